@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from verilake.llm.bpe import op10_bpe_transducer
+from verilake.llm.packing import op9_multi_length_packing
 from verilake.llm.sharding import op5_virtual_slots
 
-QUERIES = {f.__name__: f for f in (op5_virtual_slots,)}
+QUERIES = {f.__name__: f for f in (op5_virtual_slots, op9_multi_length_packing, op10_bpe_transducer)}
 
 ORACLES: dict[str, str] = {}
