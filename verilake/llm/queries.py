@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from verilake.llm.bpe import op10_bpe_transducer
+from verilake.llm.fingerprints import op7_bottom_k
 from verilake.llm.packing import op9_multi_length_packing
 from verilake.llm.sharding import op5_virtual_slots
+from verilake.llm.topk import OP3_SQL, op3_uniform_threshold
 
-QUERIES = {f.__name__: f for f in (op5_virtual_slots, op9_multi_length_packing, op10_bpe_transducer)}
+QUERIES = {f.__name__: f for f in (op3_uniform_threshold, op5_virtual_slots, op7_bottom_k, op9_multi_length_packing, op10_bpe_transducer)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_uniform_threshold": OP3_SQL}
