@@ -8,8 +8,9 @@ from verilake.llm.langid import op4_output_codes
 from verilake.llm.neardup import OP1_SQL, op1_superminhash
 from verilake.llm.packing import op9_multi_length_packing
 from verilake.llm.sharding import op5_virtual_slots
+from verilake.llm.substrings import op6_content_defined_chunks
 from verilake.llm.topk import OP3_SQL, op3_uniform_threshold
 
-QUERIES = {f.__name__: f for f in (op1_superminhash, op3_uniform_threshold, op4_output_codes, op5_virtual_slots, op7_bottom_k, op9_multi_length_packing, op10_bpe_transducer)}
+QUERIES = {f.__name__: f for f in (op1_superminhash, op3_uniform_threshold, op4_output_codes, op5_virtual_slots, op6_content_defined_chunks, op7_bottom_k, op9_multi_length_packing, op10_bpe_transducer)}
 
 ORACLES: dict[str, str] = {"op1_superminhash": OP1_SQL, "op3_uniform_threshold": OP3_SQL}
