@@ -75,8 +75,8 @@ def work_order(spark, sf_dir):
 
 
 @query(
-    """, r AS (SELECT size, row_number() OVER (ORDER BY size DESC, name, path) - 1 AS at FROM files_v)
-    SELECT CAST(CASE WHEN (at // 4) % 2 = 0 THEN at % 4 ELSE 3 - at % 4 END AS INTEGER) AS shard, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM r GROUP BY 1""",
+    """, r AS (SELECT size, row_number() OVER (ORDER BY size DESC, name, path) - 1 AS pos FROM files_v)
+    SELECT CAST(CASE WHEN (pos // 4) % 2 = 0 THEN pos % 4 ELSE 3 - pos % 4 END AS INTEGER) AS shard, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM r GROUP BY 1""",
     fx.FILES,
 )
 def shard_plan(spark, sf_dir):
