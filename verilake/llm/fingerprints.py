@@ -97,7 +97,8 @@ def _in_order(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, span = low or 0, max(1, (high or 0) - (low or 0))
-    cell = F.coalesce(F.least(F.lit(CELLS - 1), F.floor((F.col("doc_id") - low).cast("double") / float(span) * CELLS)), F.lit(-1)).cast("int")
+    at = F.floor((F.col("doc_id") - low).cast("double") / float(span) * CELLS)
+    cell = F.when(F.col("doc_id").isNull(), -1).otherwise(F.least(F.lit(CELLS - 1), at)).cast("int")
     docs = docs.withColumn("cell", cell)
     cells = sorted((r["cell"], r["n"], r["top"]) for r in docs.groupBy("cell").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).collect())
     bucket_of, tops, filled = [], [], ROWS_PER_BUCKET
