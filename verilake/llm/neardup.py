@@ -7,10 +7,11 @@
    and 6e-7 for s = 0.8.
 3. In each bucket all documents are checked against its first one, on their full
    sets. The links give components.
-4. What lies in one bucket and still in different components is compared by
-   signature, in blocks, and checked on the full sets where the signatures agree
-   as much as those of a linked pair do, less six standard deviations. No bucket
-   is cut short, and no pair that is known to be connected is looked at again.
+4. What lies in one bucket and still in different components is compared in
+   blocks: where the signatures agree as much as those of a linked pair do, less
+   six standard deviations, by 32 bits of each shingle hash, which can only find
+   too much in common; what they leave is checked on the full sets. No bucket is
+   cut short, and no pair that is known to be connected is looked at again.
 5. Links are grouped into components by union-find.
 """
 
@@ -91,11 +92,11 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
 
 
 def _alike(bands: int, rows: int, num: int, den: int):
-    """Pairs of one block pair that may be linked, each at the first band it shares."""
+    """Pairs of one block pair that may be linked, looked at in the first band they share."""
     m, s = bands * rows, num / den
     least = m * s - 6 * math.sqrt(m * s * (1 - s))
 
-    def compare(band: int, i: int, j: int, block, node, root, size, signature):
+    def compare(band: int, i: int, j: int, block, node, root, size, signature, compact):
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
         for x in left:
@@ -110,7 +111,10 @@ def _alike(bands: int, rows: int, num: int, den: int):
             others, same = others[ok], same[ok]
             first = same.reshape(len(others), bands, rows).all(2).argmax(1) == band
             for y in others[first]:
-                yield int(node[x]), int(node[y])
+                common = len(np.intersect1d(compact[x], compact[y]))
+                common += max(len(compact[x]) - len(np.unique(compact[x])), len(compact[y]) - len(np.unique(compact[y])))
+                if _linked(common, int(size[x]), int(size[y]), num, den):
+                    yield int(node[x]), int(node[y])
 
     def run(batches):
         key, held = None, []
@@ -119,8 +123,9 @@ def _alike(bands: int, rows: int, num: int, den: int):
             a, b = [], []
             if held:
                 _, band, i, j = key
-                block, node, root, size, signature = (np.array(c) if n < 4 else np.frombuffer(b"".join(c), "<u2").reshape(len(c), m) for n, c in enumerate(zip(*held, strict=True)))
-                for x, y in compare(band, i, j, block, node, root, size, signature):
+                *plain, signature, compact = zip(*held, strict=True)
+                signature = np.frombuffer(b"".join(signature), "<u2").reshape(len(signature), m)
+                for x, y in compare(band, i, j, *map(np.array, plain), signature, [np.frombuffer(c, "<u4") for c in compact]):
                     a.append(x)
                     b.append(y)
                 held.clear()
@@ -137,6 +142,17 @@ def _alike(bands: int, rows: int, num: int, den: int):
     return run
 
 
+def _compact(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, compact: 32 bits of each shingle hash of a text."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [(shingle_set(t, shingle) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "compact"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "node long, compact binary")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -166,9 +182,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     rest = live.filter((F.col("members") > 2) & (F.col("node") != F.col("hub"))).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key", "blocks")
-    rest = rest.join(apart, "key").join(reps.select("node", "signature"), "node")
+    rest = cut(rest.join(apart, "key").join(reps.select("node", "signature"), "node"))
+    again = texts.join(rest.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rest = rest.join(_compact(again, shingle), "node")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "signature")
+    rest = rest.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "signature", "compact")
     candidates = rest.repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j", "node").mapInArrow(_alike(bands, rows, num, den), "node long, hub long").distinct()
     more = verified(cut(candidates), texts, shingle, num, den)
     roots = components(links.unionByName(more))
