@@ -6,17 +6,17 @@ similarity is THRESHOLD or more. A line goes if an earlier line matches it.
 
 The join orders the words of a line by rarity. Two matching lines must share one
 of the first n - ceil(t * n) + 1 words (prefix filter), their sizes must be
-within t of each other (length filter), and the words up to and behind a shared
-one must leave room for the overlap that t asks for (positional filter). What
-passes is verified on the full sets. Rarity comes from counts in RARITY hashed
+within t of each other (length filter), and so many prefix words must be shared
+that the words behind the prefixes can make up the overlap that t asks for
+(positional filter). What passes is verified on the full sets. Rarity comes from counts in RARITY hashed
 buckets over all lines: any order gives the same matches, a rare-first one gives
 few candidates.
 
 Prefix words travel as packed arrays, dealt by word, and are sorted and paired
-in numpy. Lines that share a word are paired with each other if they are at most
-RUN; in a longer run they are first paired with its earliest line, and only
-those left without a match are compared with all earlier lines of the run, in
-blocks. No run is cut short.
+in numpy; a bitmap of each set rules out most pairs that share a word by chance.
+A line is first verified against a few lines of the run and against its earliest
+one; only those left without a match are compared with all earlier lines of the
+run, in blocks. No run is cut short.
 """
 
 from __future__ import annotations
@@ -36,17 +36,24 @@ THRESHOLD = 0.8
 #: Shorter lines say too little and stay.
 MIN_WORDS = 5
 RARITY = 1 << 18
-RUN = 16
+#: Longer runs of a word are not paired at once.
+RUN = 4096
+#: Pairs of a line that are verified at once; more wait until these have not matched.
+FIRST = 2
 BLOCK = 512
 #: Packed words that meet in one task, about; partners checked against one line in one task.
 PART = 500_000
 CHECKED = 256
 
-_ENTRY = np.dtype([("word", "<u8"), ("digest", "S16"), ("doc_id", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
+#: A prefix word of a line: 32 bits of its hash, the class (64 bits of the set's digest), the set's size and bitmap.
+_ENTRY = np.dtype([("word", "<u4"), ("n", "<i4"), ("id", "<i8"), ("bits", "<u8", 2)])
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _words(line: bytes) -> list[bytes]:
-    return line.lower().split()
+def word_hashes(raw: bytes) -> np.ndarray:
+    words = raw.lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def lines_of(text: str | None) -> list[bytes]:
@@ -54,65 +61,84 @@ def lines_of(text: str | None) -> list[bytes]:
 
 
 class _LineSets:
-    """The word sets of the lines of a text that are long enough."""
+    """The word sets of the lines of a text that are long enough.
+
+    ``words`` are 48 bits of word hashes, ascending in each set; ``at`` is the set's number.
+    """
 
     def __init__(self, text: str | None):
-        words = [_words(x) for x in lines_of(text)]
-        keep = [i for i, w in enumerate(words) if len(w) >= MIN_WORDS]
-        flat = [w for i in keep for w in words[i]]
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
-        at = np.repeat(np.arange(len(keep)), [len(words[i]) for i in keep])
-        order = np.lexsort((h, at))
-        h, at = h[order], at[order]
+        raw = text.encode("utf-8", "surrogatepass") if text else b""
+        h = self.all_words = word_hashes(raw) >> np.uint64(16)
+        starts = np.flatnonzero(np.diff(_SPACE[np.frombuffer(raw, np.uint8)].view(np.int8), prepend=1) == -1)
+        line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), starts).astype(np.uint64)
+        keep = np.bincount(line.astype(np.int64), minlength=1)[line.astype(np.int64)] >= MIN_WORDS
+        h, line = h[keep], line[keep]
+        if len(line) and int(line[-1]) < 1 << 16:
+            both = np.sort((line << np.uint64(48)) | h)
+            h, line = both & np.uint64(2**48 - 1), both >> np.uint64(48)
+        else:
+            order = np.lexsort((h, line))
+            h, line = h[order], line[order]
         fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
-        self.words, self.at = h[fresh], at[fresh]
-        self.lines = np.array(keep, np.int32)
-        self.sizes = np.bincount(self.at, minlength=len(keep)) if keep else np.zeros(0, np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-
-    def set_of(self, k: int) -> np.ndarray:
-        return self.words[self.starts[k] : self.starts[k + 1]]
+        fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.words, line = h[fresh], line[fresh]
+        opens = np.ones(len(line), bool)
+        opens[1:] = line[1:] != line[:-1]
+        first = np.flatnonzero(opens)
+        self.lines, self.at = line[first].astype(np.int64), np.cumsum(opens) - 1
+        self.starts = np.concatenate((first, [len(line)]))
+        self.sizes = np.diff(self.starts)
+
+    def bitmaps(self) -> np.ndarray:
+        """128 bits for each set: the exclusive or of one bit for each word."""
+        bit = self.words >> np.uint64(41)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        low = bit < 64
+        if not len(self.lines):
+            return np.zeros((0, 2), np.uint64)
+        return np.stack([np.bitwise_xor.reduceat(np.where(m, one, np.uint64(0)), self.starts[:-1]) for m in (low, ~low)], 1)
 
     def digests(self) -> list[bytes]:
-        return [xxhash.xxh3_128_digest(self.set_of(k).tobytes()) for k in range(len(self.lines))]
+        raw, cuts = self.words.tobytes(), (8 * self.starts).tolist()
+        return [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _ids(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), "<i8")[::2]
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), digest and n (size) of the word set of every line that is long enough."""
-    names = ["doc_id", "line", "digest", "n"]
+    """Lines that are long enough as doc_id, line (from 0), id, digest, n (of the word set); and word counts.
+
+    A row of a null doc_id has in line a bucket of words and in n their occurrences in the texts of one task.
+    """
+    names = ["doc_id", "line", "id", "digest", "n"]
 
     def run(batches):
+        counts = np.zeros(RARITY, np.int64)
         for batch in batches:
             ids, lines, digests, sizes = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = _LineSets(text)
+                np.add.at(counts, own.all_words % np.uint64(RARITY), 1)
                 ids += [doc_id] * len(own.lines)
-                lines += own.lines.tolist()
+                lines.append(own.lines)
                 digests += own.digests()
-                sizes += own.sizes.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], names)
-
-    return docs.mapInArrow(run, "doc_id long, line int, digest binary, n int")
-
+                sizes.append(own.sizes)
+            lines, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (lines, sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines.astype(np.int32)), pa.array(_ids(digests)), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int64))], names)
+        at = np.flatnonzero(counts)
+        nothing = [None] * len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(nothing, pa.int64()), pa.array(at.astype(np.int32)), pa.array(nothing, pa.int64()), pa.array(nothing, pa.binary()), pa.array(counts[at])], names)
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words in all lines, by hashed bucket: RARITY numbers."""
+    return docs.mapInArrow(run, "doc_id long, line int, id long, digest binary, n long")
 
-    def run(batches):
-        counts = np.zeros(RARITY, np.int64)
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-                counts += np.bincount(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(RARITY), minlength=RARITY) if len(words) > RARITY else 0
-                if len(words) <= RARITY:
-                    np.add.at(counts, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(RARITY), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
 
-    rows = docs.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+def _rarity(table: DataFrame) -> np.ndarray:
+    """Occurrences of words by bucket over all texts: RARITY numbers."""
+    rows = table.filter("doc_id IS NULL").groupBy("line").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(RARITY, np.int64)
-    counts[rows["bucket"]] = rows["n"]
+    counts[rows["line"]] = rows["n"]
     return counts
 
 
@@ -121,43 +147,63 @@ def _overlap(a, b, t: float):
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, parts: int, t: float) -> DataFrame:
+def _prefix_size(n, t: float):
+    return n - np.ceil(t * n - 1e-9) + 1
+
+
+def _room(a, b, t: float):
+    """Prefix words that two sets must share: the longer rest behind a prefix holds the others at most."""
+    return np.maximum(1, _overlap(a, b, t) - np.maximum(a - _prefix_size(a, t), b - _prefix_size(b, t)))
+
+
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """The place of each bucket from rare to frequent."""
+    ranks = np.empty(RARITY, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(RARITY, dtype=np.uint64)
+    return ranks
+
+
+def _by_rarity(words: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words of each set from rare to frequent, as 48 bits: the rank, then the rest of the hash."""
+    keys = (ranks[words % np.uint64(RARITY)] << np.uint64(30)) | (words // np.uint64(RARITY))
+    if len(at) and at[-1] < 1 << 16:
+        return np.sort((at.astype(np.uint64) << np.uint64(48)) | keys) & np.uint64(2**48 - 1)
+    return keys[np.lexsort((keys, at))]
+
+
+def _prefixes(docs: DataFrame, known, parts: int, t: float) -> DataFrame:
     """part, entries: the prefix words of every line, packed, dealt by word."""
-    known = docs.sparkSession.sparkContext.broadcast(counts)  # RARITY numbers
 
     def run(batches):
-        frequency, seen, held, n = known.value, set(), [], 0
+        ranks, seen, held, n = known.value, set(), [], 0
 
         def flush():
             nonlocal held, n
             entries = np.concatenate(held) if held else np.zeros(0, _ENTRY)
-            part = (mix(entries["word"]) % np.uint64(parts)).astype(np.int32)
+            part = (mix(entries["word"].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             entries, part = entries[order], part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
-            firsts = np.concatenate(([0], cuts)) if len(part) else cuts
             blobs = [x.tobytes() for x in np.split(entries, cuts)] if len(part) else []
+            firsts = np.concatenate(([0], cuts)).astype(int) if len(part) else cuts
             held, n = [], 0
             return pa.RecordBatch.from_arrays([pa.array(part[firsts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "entries"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(1).to_pylist():
                 own = _LineSets(text)
                 if not len(own.lines):
                     continue
-                digests = own.digests()
+                ids = _ids(own.digests())
                 if len(seen) > 500_000:
                     seen.clear()
-                fresh = np.array([d not in seen for d in digests])  # a task's repeats of a line add nothing
-                seen.update(digests)
-                order = np.lexsort((own.words, frequency[own.words % np.uint64(RARITY)], own.at))
-                words, at = own.words[order], own.at
-                pos = np.arange(len(at)) - own.starts[at]
-                size = own.sizes[at]
-                keep = fresh[at] & (pos < size - np.ceil(t * size - 1e-9) + 1)
+                own_ids = ids.tolist()
+                fresh = np.array([x not in seen for x in own_ids])  # a task's repeats of a line add nothing
+                seen.update(own_ids)
+                words, at = _by_rarity(own.words, ranks, own.at), own.at
+                keep = fresh[at] & (np.arange(len(at)) - own.starts[at] < _prefix_size(own.sizes, t)[at])
                 e = np.zeros(int(keep.sum()), _ENTRY)
-                e["word"], e["digest"], e["doc_id"] = words[keep], np.array(digests, "S16")[at[keep]], doc_id
-                e["line"], e["n"], e["pos"] = own.lines[at[keep]], size[keep], pos[keep]
+                e["word"], e["id"], e["n"], e["bits"] = mix(words[keep]) >> np.uint64(32), ids[at[keep]], own.sizes[at[keep]], own.bitmaps()[at[keep]]
                 held.append(e)
                 n += len(e)
                 if n > 1_000_000:
@@ -168,51 +214,58 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, parts: int, t: float) -> Data
 
 
 def _run_pairs(t: float):
-    """From packed entries of a part: pairs of line digests (kind 0), members of long runs (kind 1)."""
+    """Of the packed entries of a part: pairs of classes to verify (kind 0), entries that wait (kind 1).
+
+    Two classes of a word's run are a pair if their sizes, and the number of bits
+    in which their bitmaps differ, leave room for the overlap: an exclusive or
+    differs in no more bits than the sets do in words. A class's first pairs are
+    given out; if there are more, the classes of the rest wait with the word.
+    """
 
     def pair_up(e: np.ndarray):
-        e = e[np.lexsort((e["line"], e["doc_id"], e["digest"], e["word"]))]
+        e = e[np.lexsort((e["id"], e["word"]))]
         fresh = np.ones(len(e), bool)
-        fresh[1:] = (e["word"][1:] != e["word"][:-1]) | (e["digest"][1:] != e["digest"][:-1])
+        fresh[1:] = (e["word"][1:] != e["word"][:-1]) | (e["id"][1:] != e["id"][:-1])
         e = e[fresh]
-        e = e[np.lexsort((e["line"], e["doc_id"], e["word"]))]
-        edge = np.flatnonzero(np.concatenate(([True], e["word"][1:] != e["word"][:-1], [True])))
-        length = np.diff(edge)
-        x, y = [], []
-        short = edge[:-1][(length > 1) & (length <= RUN)]
-        sizes = length[(length > 1) & (length <= RUN)]
-        for gap in range(1, RUN):  # every two lines of a short run
-            for back in range(0, RUN - gap):
-                own = short[sizes > gap + back]
-                x.append(own + back + gap)
-                y.append(own + back)
-        long = np.flatnonzero(length > RUN)
-        for k in long:
-            x.append(np.arange(edge[k] + 1, edge[k + 1]))
-            y.append(np.full(length[k] - 1, edge[k]))
-        x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (x, y))
-        a, b = e[x], e[y]
-        need = _overlap(a["n"].astype(float), b["n"], t)
-        room = np.minimum(a["pos"], b["pos"]) + 1 + np.minimum(a["n"] - a["pos"], b["n"] - b["pos"]) - 1
-        ok = (np.minimum(a["n"], b["n"]) >= t * np.maximum(a["n"], b["n"]) - 1e-9) & (room >= need)
-        pairs = np.unique(np.stack((a["digest"][ok], b["digest"][ok]), 1), axis=0) if ok.any() else np.zeros((0, 2), "S16")
-        members = np.concatenate([np.arange(edge[k], edge[k + 1]) for k in long]) if len(long) else np.zeros(0, np.int64)
-        return pairs, e[members]
+        opens = np.ones(len(e), bool)
+        opens[1:] = e["word"][1:] != e["word"][:-1]
+        first = np.flatnonzero(opens)
+        length = np.diff(np.concatenate((first, [len(e)])))
+        place = np.arange(len(e)) - np.repeat(first, length)
+        waits = np.repeat(length > RUN, length)
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        later, back = np.flatnonzero((place > 0) & ~waits), 1
+        n, low, high = e["n"], e["bits"][:, 0], e["bits"][:, 1]
+        while len(later):
+            a, b = later, later - back
+            ok = np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9
+            a, b = a[ok], b[ok]
+            differ = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
+            ok = (n[a].astype(np.int64) + n[b] - differ) // 2 >= _overlap(n[a].astype(float), n[b], t)
+            x.append(a[ok])
+            y.append(b[ok])
+            back += 1
+            later = later[place[later] >= back]
+        x, y = np.concatenate(x), np.concatenate(y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        opens = np.ones(len(x), bool)
+        opens[1:] = x[1:] != x[:-1]
+        nth = np.arange(len(x)) - np.repeat(np.flatnonzero(opens), np.diff(np.concatenate((np.flatnonzero(opens), [len(x)]))))
+        now = nth < FIRST
+        waits[x[~now]] = waits[y[~now]] = True
+        pairs = np.unique(np.stack((e["id"][x[now]], e["id"][y[now]]), 1), axis=0) if now.any() else np.zeros((0, 2), np.int64)
+        return pairs, e[waits]
 
     def run(batches):
         at, held = None, []
 
         def flush():
-            pairs, m = pair_up(np.concatenate(held)) if held else (np.zeros((0, 2), "S16"), np.zeros(0, _ENTRY))
+            pairs, members = pair_up(np.concatenate(held) if held else np.zeros(0, _ENTRY))
             held.clear()
-            full = lambda c: [x.ljust(16, b"\0") for x in c.tolist()]  # noqa: E731  numpy drops trailing zero bytes
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([0] * len(pairs) + [1] * len(m), pa.int32()), pa.array(full(pairs[:, 0]) + full(m["digest"]), pa.binary()), pa.array([*full(pairs[:, 1]), *[None] * len(m)], pa.binary()),
-                    pa.array([*[None] * len(pairs), *m["word"].view(np.int64).tolist()], pa.int64()),
-                ],
-                ["kind", "x", "y", "word"],
-            )
+            kind = np.repeat(np.array([0, 1], np.int32), (len(pairs), len(members)))
+            columns = (pairs[:, 0], members["id"]), (pairs[:, 1], members["word"].astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(c)) for c in columns)], ["kind", "x", "y"])
 
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -226,11 +279,11 @@ def _run_pairs(t: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
-    """Those of the distinct pairs (x, y) of lines that match; texts: digest, text of a line."""
+    """Those of the distinct pairs (x, y) of digests that match; texts: digest, text of a line."""
     salts = pairs.groupBy("y").agg(F.ceil(F.count("*") / CHECKED).cast("int").alias("salts"))
     members = pairs.join(salts, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"))
-    hubs = salts.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth"))
-    rows = members.unionByName(hubs).join(texts, F.col("x") == F.col("digest")).select("y", "salt", "nth", "x", "text")
+    firsts = salts.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth"))
+    rows = members.unionByName(firsts).join(texts, F.col("x") == F.col("digest")).select("y", "salt", "nth", "x", "text")
     spread = rows.repartition("y", "salt").sortWithinPartitions("y", "salt", "nth")
 
     def run(batches):
@@ -238,21 +291,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
         for batch in batches:
             found = ([], [])
             for y, _, nth, x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = set(_words(text))
+                words = set(text.lower().split())
                 if nth == 0:
                     own = words
-                else:
-                    common = len(own & words)
-                    if common >= _overlap(len(own), len(words), t):
-                        found[0].append(x)
-                        found[1].append(y)
+                elif len(own & words) >= _overlap(len(own), len(words), t):
+                    found[0].append(x)
+                    found[1].append(y)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["x", "y"])
 
     return spread.mapInArrow(run, "x binary, y binary")
 
 
-def _blocks(t: float):
-    """Pairs of unmatched lines with all earlier lines of a long run that may match by size."""
+def _blocks(t: float, known):
+    """Pairs of unmatched lines with all earlier lines of a long run whose prefixes share enough."""
 
     def run(batches):
         key, held = None, []
@@ -261,16 +312,22 @@ def _blocks(t: float):
             out = ([], [])
             if held:
                 _, i, j = key
-                rows = [*zip(*held, strict=True)]
-                block, n, free = np.array(rows[0]), np.array(rows[1]), np.array(rows[2])
-                place = np.array([*zip(rows[3], rows[4], strict=True)], np.int64)
-                rank = np.empty(len(place), np.int64)
-                rank[np.lexsort((place[:, 1], place[:, 0]))] = np.arange(len(place))
+                block, free, doc_id, line, digest, text = zip(*held, strict=True)
+                place = np.empty(len(held), np.int64)
+                place[np.lexsort((line, doc_id))] = np.arange(len(held))
+                block = np.array(block)
+                prefixes, n = [], np.zeros(len(held))
+                for k, x in enumerate(text):
+                    h = np.unique(word_hashes(x) >> np.uint64(16))
+                    n[k] = len(h)
+                    prefixes.append(_by_rarity(h, known.value, np.zeros(len(h), np.int64))[: int(_prefix_size(len(h), t))])
+                flat, owner = np.concatenate(prefixes), np.repeat(np.arange(len(held)), list(map(len, prefixes)))
                 for k in np.flatnonzero(free):
-                    others = np.flatnonzero((block == (j if block[k] == i else i)) & (rank < rank[k]))
-                    others = others[np.minimum(n[others], n[k]) >= t * np.maximum(n[others], n[k]) - 1e-9]
-                    out[0].extend([rows[5][k]] * len(others))
-                    out[1].extend(rows[5][o] for o in others.tolist())
+                    others = (block == (j if block[k] == i else i)) & (place < place[k]) & (np.minimum(n, n[k]) >= t * np.maximum(n, n[k]) - 1e-9)
+                    shared = np.bincount(owner[np.isin(flat, prefixes[k])], minlength=len(held))
+                    for o in np.flatnonzero(others & (shared >= _room(n, n[k], t))):
+                        out[0].append(digest[k])
+                        out[1].append(digest[o])
                 held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["x", "y"])
 
@@ -287,7 +344,8 @@ def _blocks(t: float):
 
 def _lines_by_digest(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """digest, text of the wanted lines (digest, doc_id, line)."""
-    own = docs.join(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "digest")).alias("lines")), "doc_id").select("text", "lines")
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "digest")).alias("lines"))
+    own = docs.join(lists.hint("shuffle_hash"), "doc_id").select("text", "lines")
 
     def run(batches):
         for batch in batches:
@@ -308,31 +366,37 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     t = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     table = cut(line_table(docs))
-    classes = cut(table.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("n").alias("n")))
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(_rarity(table)))  # RARITY numbers
+    table = table.filter("doc_id IS NOT NULL")
+    classes = cut(table.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("n").cast("int").alias("n"), F.first("id").alias("id")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(total * (1.2 - t) / PART))
-    packed = _prefixes(docs, rarity(docs), parts, t).repartition(parts, "part").sortWithinPartitions("part")
-    found = cut(packed.mapInArrow(_run_pairs(t), "kind int, x binary, y binary, word long"))
-
-    pairs = found.filter("kind = 0").select("x", "y").distinct()
-    members = found.filter("kind = 1").select("word", F.col("x").alias("digest"))
+    packed = _prefixes(docs, ranks, parts, t).repartition(parts, "part").sortWithinPartitions("part")
+    found = cut(packed.mapInArrow(_run_pairs(t), "kind int, x long, y long"))
+
+    # a class is known by 64 bits so far; from here on by its digest
+    named = classes.select("id", "digest", "n", "place")
+    x, y = (named.select(*[F.col(c).alias(c + side) for c in named.columns]) for side in ("_x", "_y"))
+    pairs = found.filter("kind = 0").select("x", "y").distinct().join(x, F.col("x") == F.col("id_x")).join(y, F.col("y") == F.col("id_y"))
+    later = F.col("place_x") > F.col("place_y")
+    pairs = pairs.select(F.when(later, F.col("digest_x")).otherwise(F.col("digest_y")).alias("x"), F.when(later, F.col("digest_y")).otherwise(F.col("digest_x")).alias("y"))
+    members = cut(found.filter("kind = 1").select(F.col("y").alias("word"), F.col("x").alias("id")).join(named, "id").select("word", "digest", "n", "place"))
+    first = members.groupBy("word").agg(F.min(F.struct("place", "digest", "n")).alias("first"))
+    to_first = members.join(first, "word").filter((F.col("digest") != F.col("first.digest")) & (F.least("n", "first.n") >= t * F.greatest("n", "first.n") - F.lit(1e-9)))
+    pairs = cut(pairs.union(to_first.select("digest", "first.digest")).distinct())
     wanted = pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).union(members.select("digest")).distinct()
     places = classes.select("digest", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"))
-    texts = cut(_lines_by_digest(docs, wanted.join(places, "digest")).distinct())
-
-    def lost(links: DataFrame) -> DataFrame:
-        """The later line of each match."""
-        a, b = classes.select(F.col("digest").alias("x"), F.col("place").alias("px")), classes.select(F.col("digest").alias("y"), F.col("place").alias("py"))
-        return links.join(a, "x").join(b, "y").select(F.when(F.col("px") > F.col("py"), F.col("x")).otherwise(F.col("y")).alias("digest")).distinct()
+    texts = cut(_lines_by_digest(docs, wanted.join(places, "digest")))
 
-    gone = cut(lost(_verified(pairs, texts, t)))
+    gone = cut(_verified(pairs, texts, t).select(F.col("x").alias("digest")).distinct())
     free = members.join(gone.withColumn("gone", F.lit(True)), "digest", "left").withColumn("free", F.col("gone").isNull())
-    open_runs = free.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_if("free").alias("left")).filter("left > 1").select("word", "blocks")
-    rest = free.join(open_runs, "word").join(classes, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    # a run is done with if no line behind its first one is still unmatched
+    runs = free.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start"))
+    rest = free.join(runs.filter("last > start").select("word", "blocks"), "word").join(texts, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("word", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "free", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"), "digest")
-    more = cut(rest.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(_blocks(t), "x binary, y binary").distinct())
-    gone = gone.union(lost(_verified(more, texts, t))).distinct()
+    rest = rest.select("word", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "free", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"), "digest", "text")
+    more = cut(rest.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(_blocks(t, ranks), "x binary, y binary").distinct())
+    gone = gone.union(_verified(more, texts, t).select("x")).distinct()
 
     verdict = classes.join(gone.withColumn("gone", F.lit(True)), "digest", "left").select("digest", "place", "gone")
     out = table.join(verdict, "digest").filter(F.col("gone").isNotNull() | (F.struct("doc_id", "line") != F.col("place")))
@@ -347,7 +411,7 @@ def _cleaned(docs: DataFrame, threshold: float) -> DataFrame:
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("lines"), i)), "\n")
     removed = F.coalesce(F.size("lines"), F.lit(0))
     text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(kept)
-    return own.join(found, own["id"] == found["found"], "left").select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(removed).alias("removed_lines"), F.col("lines").alias("removed"))
+    return own.join(found.hint("shuffle_hash"), own["id"] == found["found"], "left").select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(removed).alias("removed_lines"), F.col("lines").alias("removed"))
 
 
 def find_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -365,9 +429,11 @@ def find_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows with repeated lines cut out of text, and n_chars (if there) as it is then.
 
-    Rows of which no word is left go; other columns stay as they are.
+    Rows that lost lines and have no long enough one left go; other columns stay as they are.
     """
-    out = _cleaned(docs, threshold).filter((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    word, blank = r"[^\x20\x09-\x0D]+", r"[\x20\x09\x0B-\x0D]+"
+    long_line = F.col("text").rlike(f"{word}(?:{blank}{word}){{{MIN_WORDS - 1}}}")
+    out = _cleaned(docs, threshold).filter((F.col("removed_lines") == 0) | long_line)
     length = lambda c: F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c)
     return out.select(*[F.col("text") if c == "text" else length(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
 
