@@ -303,21 +303,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
 
 
 def _blocks(t: float, known):
-    """Pairs of unmatched lines with all earlier lines of a long run whose prefixes share enough."""
+    """Unmatched lines that match an earlier line of a long run, on their full sets.
+
+    Lines whose prefixes do not share enough words are passed over.
+    """
 
     def run(batches):
         key, held = None, []
 
         def flush():
-            out = ([], [])
+            out = []
             if held:
                 _, i, j = key
                 block, free, doc_id, line, digest, text = zip(*held, strict=True)
                 place = np.empty(len(held), np.int64)
                 place[np.lexsort((line, doc_id))] = np.arange(len(held))
                 block = np.array(block)
-                prefixes, n = [], np.zeros(len(held))
+                prefixes, n, sets = [], np.zeros(len(held)), []
                 for k, x in enumerate(text):
+                    sets.append(set(x.lower().split()))
                     h = np.unique(word_hashes(x) >> np.uint64(16))
                     n[k] = len(h)
                     prefixes.append(_by_rarity(h, known.value, np.zeros(len(h), np.int64))[: int(_prefix_size(len(h), t))])
@@ -325,11 +329,11 @@ def _blocks(t: float, known):
                 for k in np.flatnonzero(free):
                     others = (block == (j if block[k] == i else i)) & (place < place[k]) & (np.minimum(n, n[k]) >= t * np.maximum(n, n[k]) - 1e-9)
                     shared = np.bincount(owner[np.isin(flat, prefixes[k])], minlength=len(held))
-                    for o in np.flatnonzero(others & (shared >= _room(n, n[k], t))):
-                        out[0].append(digest[k])
-                        out[1].append(digest[o])
+                    near = np.flatnonzero(others & (shared >= _room(n, n[k], t)))
+                    if any(len(sets[k] & sets[o]) >= _overlap(len(sets[k]), len(sets[o]), t) for o in near.tolist()):
+                        out.append(digest[k])
                 held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["digest"])
 
         for batch in batches:
             for word, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -395,8 +399,8 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = free.join(runs.filter("last > start").select("word", "blocks"), "word").join(texts, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("word", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "free", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"), "digest", "text")
-    more = cut(rest.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(_blocks(t, ranks), "x binary, y binary").distinct())
-    gone = gone.union(_verified(more, texts, t).select("x")).distinct()
+    more = rest.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(_blocks(t, ranks), "digest binary")
+    gone = gone.union(more).distinct()
 
     verdict = classes.join(gone.withColumn("gone", F.lit(True)), "digest", "left").select("digest", "place", "gone")
     out = table.join(verdict, "digest").filter(F.col("gone").isNotNull() | (F.struct("doc_id", "line") != F.col("place")))
