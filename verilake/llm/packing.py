@@ -38,7 +38,7 @@ END = 2
 #: Tokens that a task gathers before it packs them.
 POOL = 1 << 21
 #: Distinct parts of text whose ids a worker keeps at hand.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 class WordEncoder:
@@ -62,7 +62,7 @@ class WordEncoder:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list({x for own in parts for x in own}.difference(memo))
+        new = list(set().union(*parts).difference(memo))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -138,6 +138,13 @@ class Packer:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def word_encoder(path: str) -> WordEncoder:
+    """This worker's encoder, which keeps its memo from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def pack(docs: DataFrame, vocabulary_path: str, tiers: tuple[int, ...] = TIERS, with_ids: bool = True) -> DataFrame:
     """The pieces of all documents, each with its place in a sequence.
 
@@ -151,9 +158,7 @@ def pack(docs: DataFrame, vocabulary_path: str, tiers: tuple[int, ...] = TIERS,
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
 
     def run(batches):
-        if vocabulary_path not in _ENCODERS:
-            _ENCODERS[vocabulary_path] = WordEncoder(vocabulary_path)
-        encoder, packer = _ENCODERS[vocabulary_path], Packer(tiers)
+        encoder, packer = word_encoder(vocabulary_path), Packer(tiers)
         task = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[object, memoryview]] = {}  # documents whose tokens aren't all placed
         number = sequences = 0
