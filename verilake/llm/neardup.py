@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     roots = components(links.unionByName(more))
 
     placed = signed.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "node"), "digest", "left").join(roots, "node", "left")
-    component = F.coalesce("root", "node", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
