@@ -30,11 +30,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is frequent if it is at least this share of all words, so that at most
-#: 1 / FREQUENT words are, whatever the input.
+from verilake.llm.common import cut
+
+#: A piece of text between blanks is frequent if it is at least this share of all
+#: pieces, so that at most 1 / FREQUENT pieces are, whatever the input; the words
+#: of frequent pieces are compiled.
 FREQUENT = 2.0**-17
 #: Distinct pieces of text whose ids a worker keeps at hand.
-MEMO = 400_000
+MEMO = 700_000
 
 # Code points that became letters or numbers after Unicode 16,
 # which the vocabulary's library does not count as such.
@@ -125,6 +128,9 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     return counts + b"".join(x.tobytes() for x in (first, target, skip, start, ids)) + bytes(label) + bytes(final)
 
 
+_BYTES = [bytes([b]) for b in range(256)]
+
+
 class Lexicon:
     """A transducer file, mapped into memory."""
 
@@ -143,13 +149,14 @@ class Lexicon:
 
     def get(self, word: bytes) -> list[int] | None:
         """The word's ids, or None if it is not in the lexicon."""
-        state, number, at, find = self.n_states - 1, 0, self.label_at, self.map.find
-        for i in range(len(word)):
-            edge = find(word[i : i + 1], at + self.first[state], at + self.first[state + 1]) - at
+        first, target, skip, at, find = self.first, self.target, self.skip, self.label_at, self.map.find
+        state, number = self.n_states - 1, 0
+        for b in word:
+            edge = find(_BYTES[b], at + first[state], at + first[state + 1]) - at
             if edge < 0:
                 return None
-            number += self.skip[edge]
-            state = self.target[edge]
+            number += skip[edge]
+            state = target[edge]
         if not self.map[self.final_at + state]:
             return None
         return self.ids[self.start[number] : self.start[number + 1]].tolist()
@@ -252,8 +259,8 @@ class Codec:
     def __init__(self, vocabulary_path: str, lexicon_path: str | None = None):
         self.vocabulary = vocabulary(vocabulary_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
-        self.heads: dict[str, tuple[str, int, bytes]] = {}
-        self.rests: dict[str, tuple[str, int, bytes]] = {}
+        self.heads: dict[str, tuple[str, bytes]] = {}
+        self.rests: dict[str, tuple[str, bytes]] = {}
 
     def word(self, word: bytes) -> list[int]:
         ids = self.lexicon.get(word) if self.lexicon else None
@@ -266,35 +273,35 @@ class Codec:
         bytes_of = self.vocabulary.bytes_of
         return b"".join([bytes_of[i] for i in ids])
 
-    def _entry(self, memo: dict, key: str, piece: str) -> tuple[str, int, bytes]:
+    def _entry(self, memo: dict, key: str, piece: str) -> tuple[str, bytes]:
         ids = self.encode_piece(piece)
-        entry = (",".join(map(str, ids)), len(ids), self.decode_bytes(ids))
+        entry = (",".join(map(str, ids)), self.decode_bytes(ids))
         if len(memo) >= MEMO:
             memo.clear()
         memo[key] = entry
         return entry
 
-    def _segment(self, text: str) -> list[tuple[str, int, bytes]]:
+    def _segment(self, text: str) -> list[tuple[str, bytes]]:
         head, rest = pieces(text)
         get = self.rests.get
         found = [get(x) or self._entry(self.rests, x, " " + x) for x in rest]
         return [self.heads.get(head) or self._entry(self.heads, head, head), *found] if head else found
 
-    def runs(self, text: str) -> list[tuple[str, int, bytes]]:
-        """(ids joined by commas, number of ids, decoded bytes) piece by piece."""
+    def runs(self, text: str) -> list[tuple[str, bytes]]:
+        """(ids joined by commas, decoded bytes) piece by piece."""
         special = self.vocabulary.special
         if not any(s in text for s in special):
             return self._segment(text) if text else []
         found = []
         for part in self.vocabulary.split_special.split(text):
             if part in special:
-                found.append((str(special[part]), 1, self.vocabulary.bytes_of[special[part]]))
+                found.append((str(special[part]), self.vocabulary.bytes_of[special[part]]))
             elif part:
                 found += self._segment(part)
         return found
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for csv, _, _ in self.runs(text) for i in csv.split(",")]
+        return [int(i) for csv, _ in self.runs(text) for i in csv.split(",")]
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
@@ -315,21 +322,19 @@ def codec(vocabulary_path: str, lexicon_name: str | None) -> Codec:
 # -- Spark ------------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n long): how often each word of the pattern occurs in all texts."""
+def piece_counts(docs: DataFrame) -> DataFrame:
+    """(piece string, n long): how often each piece, with its space, occurs in all texts."""
 
     def count(batches):
         heads: Counter[str] = Counter()
         rests: Counter[str] = Counter()
 
-        def words():
-            found: Counter[str] = Counter()
-            for pieces_of, space in ((heads, ""), (rests, " ")):
-                for piece, n in pieces_of.items():
-                    for w in WORD.findall(space + piece):
-                        found[w] += n
-                pieces_of.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in found], pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
+        def counted():
+            names = [*heads, *(" " + x for x in rests)]
+            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*heads.values(), *rests.values()], pa.int64())], ["piece", "n"])
+            heads.clear()
+            rests.clear()
+            return batch
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -338,19 +343,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     heads[head] += 1
                     rests.update(rest)
                     if len(heads) + len(rests) > MEMO:
-                        yield words()
-        yield words()
+                        yield counted()
+        yield counted()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, share: float = FREQUENT) -> list[bytes]:
-    """Words that are at least ``share`` of all words, hence at most 1 / share words."""
-    from verilake.llm.common import cut
-
-    counts = cut(word_counts(docs))
+    """Words of the pieces that are at least ``share`` of all pieces, hence of at most 1 / share pieces."""
+    counts = cut(piece_counts(docs))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(bytes(r["word"]) for r in counts.filter(F.col("n") >= F.lit(max(1.0, share * total))).select("word").collect())
+    frequent = counts.filter(F.col("n") >= F.lit(max(1.0, share * total))).select("piece").collect()
+    return sorted({w.encode() for r in frequent for w in WORD.findall(r["piece"])})
 
 
 def publish_lexicon(spark: SparkSession, words: Iterable[bytes], vocabulary_path: str) -> str:
@@ -402,9 +406,11 @@ def round_trips(docs: DataFrame, vocabulary_path: str, lexicon_name: str | None
         for batch in batches:
             n_tokens, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
-                csv, n, decoded = zip(*runs, strict=True) if (runs := own.runs(text or "")) else ((), (), ())
-                n_tokens.append(sum(n))
-                ids_sha.append(hashlib.sha256(",".join(csv).encode()).hexdigest())
+                runs = own.runs(text or "")
+                csv, decoded = zip(*runs, strict=True) if runs else ((), ())
+                ids = ",".join(csv).encode()
+                n_tokens.append(ids.count(b",") + bool(ids))
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join(decoded).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
