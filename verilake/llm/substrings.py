@@ -25,6 +25,7 @@ from verilake.llm.common import cut
 
 RADIUS = 3
 MIN_WORDS = 20
+HOT = 10_000
 #: Bytes that the gear hash sees: one bit of it is lost with each.
 GEAR_BYTES = 32
 
@@ -96,9 +97,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     table = cut(chunk_table(docs))
     twice = table.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "ord")).alias("first"), F.max("doc_id").alias("top")).filter(F.col("n") > 1)
-    twice = twice.select("digest", F.col("first.doc_id").alias("first"), F.col("first.ord").alias("first_ord"), (F.col("first.doc_id") != F.col("top")).alias("across"))
+    twice = twice.select("digest", "n", F.col("first.doc_id").alias("first"), F.col("first.ord").alias("first_ord"), (F.col("first.doc_id") != F.col("top")).alias("across"))
     later = (F.col("doc_id") != F.col("first")) | (F.col("ord") != F.col("first_ord"))
-    marks = table.join(twice, "digest").select("doc_id", F.struct("ord", "digest", "first", later.alias("later"), "across").alias("mark"))
+    # a digest with a HOTth of all chunks meets its occurrences where they lie; at most HOT digests have so many
+    twice = cut(twice)
+    often = F.col("n") * HOT >= F.lit(twice.agg(F.sum("n")).first()[0] or 0)
+    hot = F.broadcast(twice.filter(often))
+    met = table.join(hot, "digest").unionByName(table.join(hot, "digest", "left_anti").join(twice.filter(~often), "digest"))
+    marks = met.select("doc_id", F.struct("ord", "digest", "first", later.alias("later"), "across").alias("mark"))
     return marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
 
