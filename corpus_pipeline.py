@@ -31,10 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest doc_id.
 
-    Of rows that share that doc_id, those of its first text stay apart from other
-    components only by text, so that the join is on doc_id and the kept mark.
+    Rows that share a doc_id are one document and stay or go together; it stays
+    if one of its texts is kept.
     """
-    gone = near_duplicates(docs, shingle=5, num=80, den=100).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    placed = near_duplicates(docs, shingle=5, num=80, den=100)
+    gone = placed.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("gone")).agg(F.max("kept").alias("kept")).filter("NOT kept").select("gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
 
 
