@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line matches; those left with scraps only go."""
+    """Documents without the lines that an earlier line matches; those of which all text was repeated go."""
     return without_repeated_lines(docs)
 
 

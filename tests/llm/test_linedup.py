@@ -74,3 +74,14 @@ def test_stage_keeps_columns_and_drops_what_is_empty(spark):
 def test_query_equals_sql(spark, sf):
     name = "op2_set_similarity_join"
     assert spark_rows(QUERIES[name](spark, sf)) == sql_rows(connect(sf), ORACLES[name])
+
+
+def test_stage_keeps_documents_of_short_lines(spark):
+    """One repeated long line above many short or blank-free unique lines takes nothing else with it."""
+    footer = "all the rights in this text are reserved"
+    code = [f"x{k} = f({k})" for k in range(2000)]
+    verse = [chr(0x4E00 + k) * 12 for k in range(300)]
+    texts = [footer, "\n".join([footer, *code]), "\n".join([footer, *verse]), "\n".join([footer, *code[::-1]]), footer + "\n \n", footer + "\n\nEnd of file"]
+    rows = [(i, t, None, None, len(t)) for i, t in enumerate(texts)]
+    kept = {r["doc_id"]: r["text"] for r in linedup.without_repeated_lines(docs_df(spark, rows)).collect()}
+    assert kept == {0: footer, 1: "\n".join(code), 2: "\n".join(verse), 5: "\nEnd of file"}

@@ -407,15 +407,38 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def _cleaned(docs: DataFrame, threshold: float) -> DataFrame:
-    """row (all columns) and text without the repeated lines, with the counts of lines."""
+def _openers(docs: DataFrame) -> DataFrame:
+    """doc_id of documents with a line of fewer than MIN_WORDS words whose word set no earlier line has."""
+
+    def run(batches):
+        for batch in batches:
+            ids, lines, short, digests = [], [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, x in enumerate(lines_of(text)):
+                    words = x.lower().split()
+                    own = set(words)
+                    if 0 < len(own) < MIN_WORDS:
+                        ids.append(doc_id)
+                        lines.append(k)
+                        short.append(len(words) < MIN_WORDS)
+                        digests.append(xxhash.xxh3_128_digest(b" ".join(sorted(own))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(short, pa.bool_()), pa.array(digests, pa.binary())], ["doc_id", "line", "short", "digest"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    table = rows.mapInArrow(run, "doc_id long, line int, short boolean, digest binary")
+    first = table.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "short")).alias("place"))
+    return first.filter("place.short").select("place.doc_id").distinct()
+
+
+def _cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """row (all columns) and text without the repeated lines, with the counts of lines; found: repeated_lines and a flag."""
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"))
-    found = repeated_lines(docs, threshold).select(F.col("doc_id").alias("found"), "lines")
+    found = found.select(F.col("doc_id").alias("found"), "lines", "opens")
     lines = F.split(F.col("row.text"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("lines"), i)), "\n")
     removed = F.coalesce(F.size("lines"), F.lit(0))
     text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(kept)
-    return own.join(found.hint("shuffle_hash"), own["id"] == found["found"], "left").select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(removed).alias("removed_lines"), F.col("lines").alias("removed"))
+    return own.join(found.hint("shuffle_hash"), own["id"] == found["found"], "left").select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(removed).alias("removed_lines"), F.col("lines").alias("removed"), "opens")
 
 
 def find_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -426,18 +449,23 @@ def find_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
     a doc_id are one document: a line of the same number and words is the same
     line. Columns other than doc_id and text are dropped.
     """
-    out = _cleaned(docs.select("doc_id", "text"), threshold)
+    docs = docs.select("doc_id", "text")
+    out = _cleaned(docs, repeated_lines(docs, threshold).withColumn("opens", F.lit(False)))
     return out.select("row.doc_id", "text", "n_lines", "removed_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows with repeated lines cut out of text, and n_chars (if there) as it is then.
 
-    Rows that lost lines and have no long enough one left go; other columns stay as they are.
+    Rows that lost lines go if nothing but blanks is left, or only lines of fewer
+    than MIN_WORDS words that all have the word set of an earlier line. Other
+    columns stay as they are.
     """
     word, blank = r"[^\x20\x09-\x0D]+", r"[\x20\x09\x0B-\x0D]+"
     long_line = F.col("text").rlike(f"{word}(?:{blank}{word}){{{MIN_WORDS - 1}}}")
-    out = _cleaned(docs, threshold).filter((F.col("removed_lines") == 0) | long_line)
+    found = repeated_lines(docs, threshold).join(_openers(docs).withColumn("opens", F.lit(True)), "doc_id", "left")
+    fresh = F.coalesce("opens", F.lit(False)) & F.col("text").rlike(word)
+    out = _cleaned(docs, found).filter((F.col("removed_lines") == 0) | long_line | fresh)
     length = lambda c: F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c)
     return out.select(*[F.col("text") if c == "text" else length(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
 
