@@ -1,6 +1,7 @@
 """Sharding, substring dedup, fingerprints, license scans."""
 
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -99,6 +100,32 @@ def test_repeats_in_odd_documents(spark):
     assert substrings.find_repeats(docs_df(spark, [])).count() == 0
 
 
+def blank_free(kind, seed, n):
+    r = random.Random(seed)
+    letters = {"chinese": [chr(0x4E00 + k) for k in range(3000)], "thai": [chr(0x0E01 + k) for k in range(46)], "base64": list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
+    return "".join(r.choice(letters[kind]) for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["chinese", "thai", "base64"])
+def test_repeats_without_blanks(spark, kind):
+    passage, whole = blank_free(kind, 1, 1500), blank_free(kind, 2, 1500)
+    texts = [blank_free(kind, 3, 700) + passage + blank_free(kind, 4, 500), blank_free(kind, 5, 333) + passage + blank_free(kind, 6, 900), whole, whole, blank_free(kind, 7, 2000)]
+    docs = docs_df(spark, [(i, t, None, None, len(t)) for i, t in enumerate(texts)])
+    by_id = {r["doc_id"]: r for r in substrings.find_repeats(docs).collect()}
+    assert [by_id[i]["text"] == texts[i] for i in range(5)] == [True, False, True, False, True]
+    assert by_id[3]["text"] == "" and by_id[3]["removed_words"] == by_id[3]["n_words"] == by_id[2]["n_words"]
+    assert 1233 <= len(by_id[1]["text"]) <= 1233 + 150 and by_id[1]["text"][:333] == texts[1][:333] and by_id[1]["text"][-900:] == texts[1][-900:]
+    assert {r["doc_id"] for r in substrings.without_repeats(docs).collect()} == {0, 1, 2, 4}
+
+
+def test_pieces_depend_on_what_is_near():
+    for raw in (blank_free("chinese", 8, 4000).encode(), blank_free("base64", 8, 4000).encode(), b"=" * 4000, "你好".encode() * 900):
+        parts = lambda x: {x[a:b] for a, b, _ in zip(*(c.tolist() for c in substrings.chunks(x)), strict=True)}
+        start, stop, words = substrings.chunks(raw)
+        assert (start[0], stop[-1]) == (0, len(raw)) and (start[1:] == stop[:-1]).all() and words.sum() == substrings.count_words(raw.decode())
+        assert all(x.decode() for x in parts(raw)) and len(parts(raw) - parts("还有什么".encode() + raw)) <= 3
+
+
 def edited_brute(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     for k, (i, t) in enumerate(order):

@@ -6,6 +6,11 @@ bytes and a few words of content and on nothing else: a passage that occurs in
 two texts is cut alike in both, whatever was inserted before it. Chunks have
 RADIUS + 1 words or more and 2 * RADIUS + 1 on average.
 
+Text without blanks has no such boundaries (Chinese, Japanese, Thai, addresses,
+packed code). There a stretch of more than LONG bytes falls into pieces first, at
+the characters whose hash is the least among those around them, REACH bytes to
+either side; each piece is a word from then on, in cuts, minimum and counts.
+
 Chunks are deduplicated by digest: the first occurrence, by doc_id and position,
 stays. A run of neighbouring repeated chunks is removed if it has MIN_WORDS words
 or more; shorter repeats are ordinary language and stay. A chunk's 64-bit digest
@@ -25,6 +30,9 @@ from verilake.llm.common import cut
 
 RADIUS = 3
 MIN_WORDS = 20
+#: Longer stretches without a blank fall into pieces of more than REACH bytes, 2 * REACH + 1 on average.
+LONG = 24
+REACH = 4
 HOT = 10_000
 #: Bytes that the gear hash sees: one bit of it is lost with each.
 GEAR_BYTES = 32
@@ -44,16 +52,62 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, words) of the chunks of UTF-8 bytes; they start and stop at words."""
-    data = np.frombuffer(raw, np.uint8)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
+
+
+def _pieces(data: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Where stretches of more than LONG bytes fall into pieces: the bytes that open one."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    long = stop - start > LONG
+    inside[start[long]] += 1
+    inside[stop[long]] -= 1
+    at = np.flatnonzero((np.cumsum(inside[:-1], dtype=np.int8) > 0) & (inside[:-1] == 0) & (data & 0xC0 != 0x80))
+    value = np.full(len(data) + 2 * REACH, 2**32 - 1, np.uint32)
+    value[at + REACH] = _mixed(h[at - 1])
+    least = value[: len(data)].copy()
+    for k in range(1, 2 * REACH + 1):
+        np.minimum(least, value[k : k + len(data)], out=least)
+    at = at[value[at + REACH] == least[at]]
+    if (np.diff(at) > REACH).all():
+        return at
+    kept, last = [], -REACH - 1  # equal hashes, as in a run of one character: those too near to the one before go
+    for p in at.tolist():
+        if p - last > REACH:
+            kept.append(p)
+            last = p
+    return np.array(kept, np.int64)
+
+
+def _words(data: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop) of words, long stretches in pieces."""
     edge = np.flatnonzero(np.diff(np.concatenate(([1], _SPACE[data], [1])).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
+    if len(start) and (stop - start).max() > LONG:
+        more = _pieces(data, h, start, stop)
+        start, stop = np.sort(np.concatenate((start, more))), np.sort(np.concatenate((stop, more)))
+    return start, stop
+
+
+def count_words(text: str | None) -> int:
+    """Words of a text, as chunks count them."""
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    words = raw.split()
+    if max(map(len, words), default=0) <= LONG:
+        return len(words)
+    data = np.frombuffer(raw, np.uint8)
+    return len(_words(data, gear(data))[0])
+
+
+def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, words) of the chunks of UTF-8 bytes; they start and stop at words or pieces of long ones."""
+    data = np.frombuffer(raw, np.uint8)
+    h = gear(data)
+    start, stop = _words(data, h)
     n = len(start)
     if not n:
         return start, stop, start
-    h = gear(data)[stop - 1]
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    h = _mixed(h[stop - 1])
     beyond = np.full(RADIUS, 2**32 - 1, np.uint32)
     least = h <= np.lib.stride_tricks.sliding_window_view(np.concatenate((beyond, h, beyond)), 2 * RADIUS + 1).min(1)
     cuts = np.flatnonzero(least[:-1]) + 1  # words that open a chunk
@@ -152,7 +206,7 @@ def _edited(docs: DataFrame, min_words: int) -> DataFrame:
                 if marks and text:
                     rows.append(_edit(text, marks, min_words))
                 else:
-                    rows.append((text, len(text.encode("utf-8", "surrogatepass").split()) if text else 0, 0, 0, []))
+                    rows.append((text, count_words(text), 0, 0, []))
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", *out.names])
 
@@ -165,7 +219,8 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared_words counts words in chunks that other documents have too, first
     occurrences included; removed_words and passages (UTF-8 byte spans, and the
     document that the first chunk was taken from) what was cut out. A null text
-    stays null, a text without words stays as it is. Rows of a null doc_id stay
+    stays null, a text without words stays as it is. Each piece of a stretch of
+    more than LONG bytes without a blank counts as a word. Rows of a null doc_id stay
     as they are, and rows that repeat doc_id and text are one occurrence. Columns
     other than doc_id and text are dropped.
     """
