@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import pytest
@@ -189,3 +190,21 @@ def test_edited_and_odd_licenses(spark):
     assert licenses.scan(docs_df(spark, [])).count() == 0 and licenses.scan(docs_df(spark), []).filter("n_findings > 0").count() == 0
     with pytest.raises(ValueError):
         licenses.Templates.of([("x", "y z")] * (licenses.MAX_TEMPLATES + 1))
+
+
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+def test_real_notices(spark):
+    """Notices that the fixture tables do not have, and full texts, in prose and in comments."""
+    full = {n: t for n, t in licenses.TABLE[:14]}
+    cases = [
+        ("Licensed under the MIT License.", "MIT"), ("distributed under the MIT License", "MIT"), (GPL.format(3), "GPL-3.0"), (GPL.format(2), "GPL-2.0"),
+        ("\n".join("# " + x for x in textwrap.wrap(GPL.format(2), 60)), "GPL-2.0"), ("Licensed under the GNU General Public License v3.0", "GPL-3.0"), ("Licensed under the GNU General Public License v2.0", "GPL-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        *((full[n], n) for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0")),
+    ]
+    rows = [(k, prose(50 + k, 80) + "\n" + t + "\n" + prose(90 + k, 80), None, None, 1) for k, (t, _) in enumerate(cases)]
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_df(spark, rows)).collect()}
+    assert [(k, n in found[k]) for k, (_, n) in enumerate(cases)] == [(k, True) for k in range(len(cases))]
+    assert [found[k] for k in range(9)] == [[n] for _, n in cases[:9]]

@@ -6,7 +6,9 @@ STRIDE apart. Windows whose signatures share a band are candidates: a verbatim
 window always shares all of them, and with BANDS bands of ROWS rows a window of
 similarity s is missed with a chance of (1 - s ** ROWS) ** BANDS, 1e-6 at 0.8.
 For a candidate the template's word shingles are sought in the words around the
-window; it is a finding if CONTAINMENT of them are there.
+window; it is a finding if CONTAINMENT of them are there. Licenses share most of
+their words with their other versions: of findings of different licenses in one
+place, the one of the highest containment stays (then the longest template).
 
 Templates are a small table that the caller gives; they and their bands are
 broadcast behind a check of their number.
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from verilake.llm.license_table import TABLE
 from verilake.llm.setsketch import mix, shingles, word_hashes
 
 SHINGLE = 2
@@ -29,7 +32,7 @@ BANDS, ROWS = 16, 2
 CONTAINMENT = 0.8
 MAX_TEMPLATES = 10_000
 
-# Notices that name a license.
+# Notices that name a license, then full texts, headers and usual wordings.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -41,9 +44,13 @@ TEMPLATES = (
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("all-rights-reserved", "All rights reserved."),
+    *TABLE,
 )
 
-_PUNCTUATION = b".,;:!?\"'()[]{}*"
+#: With the marks that open comment lines.
+_PUNCTUATION = b".,;:!?\"'()[]{}*#/<>-"
+#: A finding gives way to a better one of another license that has so much of its words.
+COVERED = 0.8
 
 
 def _words(text: str | None) -> np.ndarray:
@@ -74,53 +81,67 @@ class Templates:
     names: list[str]
     sets: list[np.ndarray]
     lengths: list[int]  # in words
+    own: list[int]  # width of the windows of each template
     widths: list[int]  # of windows, in shingles
-    known: np.ndarray
+    known: dict[int, np.ndarray]  # shingles of the templates of each width
     bands: dict[int, set[int]]
 
     @classmethod
     def of(cls, templates: list[tuple[str, str]]) -> Templates:
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
-        names, sets, lengths, widths, bands = [], [], [], set(), {}
+        names, sets, lengths, own, widths, bands = [], [], [], [], {}, {}
         for name, text in templates:
             h = _words(text)
             if not len(h):
                 continue
             sh = shingles(h, SHINGLE)
             k = min(len(sh), WINDOW - SHINGLE + 1)
-            widths.add(k)
+            widths.setdefault(k, []).append(sh)
             for key in np.unique(_signatures(_windows(sh, np.arange(len(sh) - k + 1), k))).tolist():
                 bands.setdefault(key, set()).add(len(names))
             names.append(name)
             sets.append(np.unique(sh))
             lengths.append(len(h))
-        return cls(names, sets, lengths, sorted(widths), np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64), bands)
+            own.append(k)
+        return cls(names, sets, lengths, own, sorted(widths), {k: np.unique(np.concatenate(x)) for k, x in widths.items()}, bands)
 
     def find(self, text: str | None) -> list[dict]:
         """The templates in a text, each with its words and how much of it is there."""
         h = _words(text)
-        if not len(h) or not len(self.known):
+        if not len(h):
             return []
         sh = shingles(h, SHINGLE)
-        at = np.minimum(np.searchsorted(self.known, sh), len(self.known) - 1)
-        hits = np.flatnonzero(self.known[at] == sh)
-        if not len(hits):  # a window without a shingle of a template shares no minimum with one
-            return []
-        found: dict[int, list[tuple[int, int, float]]] = {}
+        places: dict[int, set[tuple[int, int]]] = {}
+        seen = {}
         for width in self.widths:
+            known = self.known[width]
+            at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
+            seen[width] = np.flatnonzero(known[at] == sh)
+        for width, hits in seen.items():
+            if not len(hits):  # a window without a shingle of a template shares no minimum with one
+                continue
             k = min(width, len(sh))
             starts = np.unique((hits[:, None] - np.arange(k)).ravel())
             starts = starts[(starts >= 0) & (starts <= len(sh) - k) & (starts % STRIDE == 0)]
             keys = _signatures(_windows(sh, starts, k))
-            candidates = {(s, t) for s, own in zip(starts.tolist(), keys.tolist(), strict=True) for key in own for t in self.bands.get(key, ())}
-            for s, t in candidates:
-                a, b = max(0, s - len(self.sets[t])), min(len(sh), s + k + len(self.sets[t]))
-                there = np.isin(sh[a:b], self.sets[t])
-                share = len(np.unique(sh[a:b][there])) / len(self.sets[t])
+            for s, own in zip(starts.tolist(), keys.tolist(), strict=True):
+                for t in {t for key in own for t in self.bands.get(key, ())}:
+                    places.setdefault(t, set()).add((max(0, s - len(self.sets[t])), min(len(sh), s + k + len(self.sets[t]))))
+        found: dict[int, list[tuple[int, int, float]]] = {}
+        for t, around in places.items():
+            within = np.array(sorted(around))
+            enough = np.diff(np.searchsorted(seen[self.own[t]], within), axis=1)[:, 0] >= CONTAINMENT * len(self.sets[t])
+            if not enough.any():  # fewer words around than the template needs
+                continue
+            there = np.flatnonzero(np.isin(sh, self.sets[t]))
+            within = {tuple(x) for x in np.searchsorted(there, within[enough]).tolist()}  # windows around the same shingles give the same
+            for a, b in within:
+                if b - a < CONTAINMENT * len(self.sets[t]):
+                    continue
+                share = len(np.unique(sh[there[a:b]])) / len(self.sets[t])
                 if share >= CONTAINMENT:
-                    own = np.flatnonzero(there) + a
-                    found.setdefault(t, []).append((int(own[0]), int(own[-1]) + SHINGLE, share))
+                    found.setdefault(t, []).append((int(there[a]), int(there[b - 1]) + SHINGLE, share))
         out = []
         for t, spans in found.items():
             start, stop, share = None, -1, 0.0
@@ -132,7 +153,13 @@ class Templates:
                     start, stop, share = a, b, s
                 else:
                     stop, share = max(stop, b), max(share, s)
-        return sorted(out, key=lambda x: (x["start_word"], x["template"]))
+        return sorted((x for x in out if not any(self._beats(y, x) for y in out)), key=lambda x: (x["start_word"], x["template"]))
+
+    def _beats(self, y: dict, x: dict) -> bool:
+        """Whether y, of another license, tells better what is at the place of x."""
+        both = min(x["start_word"] + x["words"], y["start_word"] + y["words"]) - max(x["start_word"], y["start_word"])
+        rank = lambda f: (f["containment"], len(self.sets[f["template"]]))
+        return x["license"] != y["license"] and both >= COVERED * x["words"] and rank(y) > rank(x)
 
 
 _FOUND = "licenses array<string>, n_findings int, findings array<struct<license: string, template: int, start_word: int, words: int, containment: double>>"
