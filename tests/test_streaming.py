@@ -1,6 +1,7 @@
 """A stream gives what the batch operator gives, however the input is split."""
 
 import json
+import os
 import random
 import time
 
@@ -57,10 +58,50 @@ def test_top_and_recent(spark, split_attempts, tmp_path):
         q.processAllAvailable()
         q.stop()
     key = lambda df: sorted((r["run_id"], r["seq"]) for r in df.collect())
-    assert key(spark.read.parquet(str(tmp_path / "top/current"))) == key(savings.top_by_run(rows, 3))
-    assert key(spark.read.parquet(str(tmp_path / "recent/current"))) == key(outcomes.recent(rows, 25))
+    assert key(live.kept(spark, str(tmp_path / "top"))) == key(savings.top_by_run(rows, 3))
+    assert key(live.kept(spark, str(tmp_path / "recent"))) == key(outcomes.recent(rows, 25))
     live.keep_top(str(tmp_path / "top"))(rows, 0)  # a batch that is run again
-    assert key(spark.read.parquet(str(tmp_path / "top/current"))) == key(savings.top_by_run(rows, 3))
+    assert key(live.kept(spark, str(tmp_path / "top"))) == key(savings.top_by_run(rows, 3))
+    assert len(list((tmp_path / "top").glob("version=*"))) == 2  # the newest and the one before
+
+
+def test_a_merge_that_stops_loses_nothing(spark, split_attempts, tmp_path, monkeypatch):
+    rows, _ = split_attempts
+    path, key = str(tmp_path / "top"), lambda df: sorted((r["run_id"], r["seq"]) for r in df.collect())
+    assert live.kept(spark, path) is None
+    half = rows.filter("seq % 2 = 0")
+    live.keep_top(path)(half, 0)
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # before the new version is written
+        m.setattr(savings, "top_by_run", stop)
+        with pytest.raises(RuntimeError):
+            live.keep_top(path)(rows, 1)
+    (tmp_path / "top/version=1/_temporary/0").mkdir(parents=True)  # and while it is
+    (tmp_path / "top/version=1/_temporary/0/part-0.parquet").write_bytes(b"half")
+    assert key(live.kept(spark, path)) == key(savings.top_by_run(half, 3))
+    with monkeypatch.context() as m:  # after it is there, before the old one goes
+        m.setattr(live, "_drop_version", stop)
+        with pytest.raises(RuntimeError):
+            live.keep_top(path)(rows, 1)
+    assert key(live.kept(spark, path)) == key(savings.top_by_run(rows, 3))
+    live.keep_top(path)(rows, 1)
+    assert key(live.kept(spark, path)) == key(savings.top_by_run(rows, 3))
+
+
+def test_a_success_clears_the_tries(spark, tmp_path):
+    row = lambda i, status: ("r", "f", i, None, status, 1, 1, 0, 0, 0)
+    said = ["FAIL", "FAIL", "OK", "FAIL", "FAIL", "FAIL", "FAIL", "WARN", "SKIPPED", "FAIL"]
+    want = [(1, "RETRY"), (2, "RETRY"), (3, "OK"), (1, "RETRY"), (2, "RETRY"), (3, "FAIL"), (4, "FAIL"), (5, "WARN"), (1, "SKIPPED"), (2, "RETRY")]
+    rows = spark.createDataFrame([row(i, x) for i, x in enumerate(said)], ATTEMPT)
+    assert [(r["attempt"], r["decision"]) for r in outcomes.decide(rows, 3).orderBy("seq").collect()] == want
+    for i in range(10):
+        rows.filter(F.col("seq") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "one"))
+        time.sleep(0.02)
+    found = run(live.retries(stream_of(spark, str(tmp_path / "one")), 3), "append", "cleared", spark)
+    assert [(r["attempt"], r["decision"]) for r in found.orderBy("seq").collect()] == want
 
 
 def test_decoded_events_and_worker_state(spark, sf, tmp_path):
@@ -73,11 +114,12 @@ def test_decoded_events_and_worker_state(spark, sf, tmp_path):
 
 
 def timed(spark, tmp_path, groups):
-    """A stream of JSON files, one after the other."""
+    """A stream of JSON files, one after the other: the file source goes by the times of the files."""
     path = tmp_path / "timed"
     path.mkdir()
     for i, rows in enumerate(groups):
         (path / f"{i}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(path / f"{i}.json", (1_700_000_000 + 10 * i, 1_700_000_000 + 10 * i))
     return spark.readStream.schema("worker long, seq long, ts timestamp, type string, percent int, run_id string, status string, saved long").option("maxFilesPerTrigger", 1).json(str(path))
 
 
@@ -99,6 +141,11 @@ def test_progress_and_heartbeat(spark, tmp_path):
     assert [r["percent"] for r in found] == [3, 4, 9]
     beats = run(live.heartbeat(stream), "append", "beats", spark).orderBy("start").collect()
     assert [(r["n"], r["failed"], r["saved"]) for r in beats] == [(4, 0, 40), (1, 1, 0)]
+    q = live.heartbeat(stream).writeStream.foreachBatch(live.keep_totals(str(tmp_path / "totals"))).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    totals = live.kept(spark, str(tmp_path / "totals")).orderBy("start").collect()
+    assert [(r["total_n"], r["total_failed"], r["total_saved"]) for r in totals] == [(4, 0, 40), (5, 1, 40)]
 
 
 def test_files_that_appear(spark, tmp_path):

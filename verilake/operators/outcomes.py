@@ -20,8 +20,11 @@ def savings(before: Column, after: Column) -> tuple[Column, Column]:
 
 
 def numbered(attempts: DataFrame) -> DataFrame:
-    """With each file's tries counted from 1 within its run."""
-    return attempts.withColumn("attempt", F.row_number().over(Window.partitionBy("run_id", "file").orderBy("seq")))
+    """With each file's tries counted within its run, from 1 at the first and after every success."""
+    of_file = Window.partitionBy("run_id", "file")
+    before = of_file.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = attempts.withColumn("_won", F.coalesce(F.count_if(F.col("status").isin(*SUCCESS)).over(before), F.lit(0)))
+    return rows.withColumn("attempt", F.row_number().over(Window.partitionBy("run_id", "file", "_won").orderBy("seq"))).drop("_won")
 
 
 def decide(attempts: DataFrame, max_attempts: int) -> DataFrame:

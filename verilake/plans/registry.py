@@ -268,8 +268,12 @@ def run_counters(spark, sf_dir):
     return outcomes.count(fx.attempts(spark, sf_dir))
 
 
+_NUMBERED = """, w AS (SELECT *, count(*) FILTER (WHERE status IN ('OK', 'WARN')) OVER (PARTITION BY run_id, file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS won FROM attempts_v),
+    n AS (SELECT *, row_number() OVER (PARTITION BY run_id, file, won ORDER BY seq) AS attempt FROM w)"""
+
+
 @query(
-    """, n AS (SELECT *, row_number() OVER (PARTITION BY run_id, file ORDER BY seq) AS attempt FROM attempts_v)
+    f"""{_NUMBERED}
     SELECT run_id, file, CAST(attempt AS INTEGER) AS attempt, CASE WHEN status = 'FAIL' AND attempt < 3 THEN 'RETRY' ELSE status END AS decision FROM n""",
     fx.ATTEMPTS,
 )
@@ -282,7 +286,7 @@ def file_outcomes(spark, sf_dir):
     return outcomes.settle(fx.attempts(spark, sf_dir)).select("run_id", "file", "attempts", "status", "before", "after", "saved")
 
 
-@query("SELECT CAST(attempt AS INTEGER) AS attempt, count(*) AS n_files FROM (SELECT row_number() OVER (PARTITION BY run_id, file ORDER BY seq) AS attempt FROM attempts_v) GROUP BY 1", fx.ATTEMPTS)
+@query(_NUMBERED + " SELECT CAST(attempt AS INTEGER) AS attempt, count(*) AS n_files FROM n GROUP BY 1", fx.ATTEMPTS)
 def attempt_stats(spark, sf_dir):
     return outcomes.attempt_stats(fx.attempts(spark, sf_dir))
 

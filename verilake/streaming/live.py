@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -64,7 +65,7 @@ def coalesced_progress(events: DataFrame, every: str = "100 milliseconds") -> Da
 
 
 def heartbeat(attempts: DataFrame, every: str = "10 seconds") -> DataFrame:
-    """What was done in each span of time, by run; append mode."""
+    """What was done in each span of time, by run; append mode. ``keep_totals`` adds it up."""
     rows = watermarked(attempts).groupBy("run_id", F.window("ts", every).alias("w"))
     ok = F.col("status").isin(*outcomes.SUCCESS)
     sums = rows.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.coalesce(F.sum(F.when(ok, F.col("saved"))), F.lit(0)).alias("saved"))
@@ -72,7 +73,7 @@ def heartbeat(attempts: DataFrame, every: str = "10 seconds") -> DataFrame:
 
 
 class _Retries(StatefulProcessor):
-    """Counts a file's tries; a failure is RETRY until the last one, a success starts anew."""
+    """Counts a file's tries; a failure is RETRY until the last one, after a success they count from 1 again."""
 
     def __init__(self, max_attempts: int, ttl_ms: int | None):
         self.max_attempts, self.ttl_ms = max_attempts, ttl_ms
@@ -87,7 +88,12 @@ class _Retries(StatefulProcessor):
         for r in found.itertuples():
             n += 1
             out.append((*key, r.seq, n, "RETRY" if r.status == "FAIL" and n < self.max_attempts else r.status))
-        self.tries.update((n,))
+            if r.status in outcomes.SUCCESS:
+                n = 0
+        if n:
+            self.tries.update((n,))
+        else:
+            self.tries.clear()
         yield pd.DataFrame(out, columns=["run_id", "file", "seq", "attempt", "decision"])
 
     def close(self) -> None:
@@ -103,17 +109,37 @@ def retries(attempts: DataFrame, max_attempts: int, ttl_ms: int | None = None) -
     return rows.groupBy("run_id", "file").transformWithStateInPandas(_Retries(max_attempts, ttl_ms), "run_id string, file string, seq long, attempt int, decision string", "Append", "none")
 
 
+def kept(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a table that ``keep_top`` or ``keep_recent`` maintains; None before the first."""
+    try:
+        versions = spark.read.parquet(path)
+        newest = versions.agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return None if newest is None else versions.filter(F.col("version") == newest).drop("version")
+
+
 def _merged(path: str, rows: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> None:
-    """Merge rows into the small table at ``path``: two copies, the newer one named by a pointer row."""
+    """Merge rows into the small table at ``path``, as its next version.
+
+    A version is one file in a folder of its own, which Spark puts there complete
+    or not at all; readers take the newest. A merge that stops anywhere leaves
+    the version before it in force, and running it again gives the same rows.
+    """
     spark = rows.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    old, new = path_of(f"{path}/current"), path_of(f"{path}/next")
-    both = rows.unionByName(spark.read.parquet(old.toString())) if fs.exists(old) else rows
-    keep(both.dropDuplicates(["run_id", "seq"])).coalesce(1).write.mode("overwrite").parquet(new.toString())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    old = kept(spark, path)
+    both = rows if old is None else rows.unionByName(old)
+    version = 0 if old is None else spark.read.parquet(path).agg(F.max("version")).first()[0] + 1
+    keep(both.dropDuplicates(["run_id", "seq"])).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    _drop_version(spark, path, version - 2)
+
+
+def _drop_version(spark: SparkSession, path: str, version: int) -> None:
+    """Delete a version that no reader can still be on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def keep_top(path: str, k: int = 3) -> Callable[[DataFrame, int], None]:
@@ -128,3 +154,23 @@ def keep_recent(path: str, n: int = 25) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the last n events of each run."""
     by_run = Window.partitionBy("run_id").orderBy(F.desc("seq"))
     return lambda rows, _: _merged(path, rows, lambda both: both.withColumn("_n", F.row_number().over(by_run)).filter(F.col("_n") <= n).drop("_n"))
+
+
+def keep_totals(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over ``heartbeat``: at each beat of a run, what it has done so far.
+
+    Adds total_n, total_failed and total_saved to the beats of each run. Spans come
+    in order; a batch that is run again finds its spans there and changes nothing.
+    """
+
+    def merge(rows: DataFrame, _: int) -> None:
+        so_far = Window.partitionBy("run_id").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+        def add_up(both: DataFrame) -> DataFrame:
+            beats = both.select("run_id", "seq", "start", "n", "failed", "saved")
+            return beats.select("*", *[F.sum(c).over(so_far).alias(f"total_{c}") for c in ("n", "failed", "saved")])
+
+        own = rows.select("run_id", F.unix_micros("start").alias("seq"), "start", "n", "failed", "saved", *[F.lit(None).cast("long").alias(f"total_{c}") for c in ("n", "failed", "saved")])
+        _merged(path, own, add_up)
+
+    return merge
