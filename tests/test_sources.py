@@ -93,6 +93,47 @@ def test_jpeg_segments(spark):
     assert [r["n"] for r in rows.select("i", blocks.strippable_jpeg_bytes(F.col("c")).alias("n")).orderBy("i").collect()] == [24 + 9, 0, None, None]
 
 
+def test_containers_with_many_parts(spark):
+    """More blocks, comments and segments than a usual file has."""
+    marks = [f"T{i}={i}" for i in range(1500)]
+    many = b"fLaC" + block(0, stream_info()) + b"".join(block(1, bytes(3)) for _ in range(200)) + block(4, comment(*marks)) + block(1, bytes(5), True)
+    cut = b"fLaC" + block(0, stream_info()) + block(1, bytes(3))
+    rows = spark.createDataFrame([("many", len(many), many), ("cut", len(cut), cut)], "path string, size long, content binary")
+    found = blocks.inventory(rows)
+    assert {(r["path"], r["truncated"]): r["n"] for r in found.groupBy("path", "truncated").agg(F.count("*").alias("n")).collect()} == {("many", False): 203, ("cut", True): 2}
+    assert blocks.comments(found).first()["comments"] == marks
+    assert blocks.padding(found.filter("path = 'many'")).first()["padding_bytes"] == 200 * 7 + 9
+    seg = lambda kind, n: bytes([0xFF, kind]) + (n + 2).to_bytes(2, "big") + bytes(n)
+    jpeg = b"\xff\xd8" + seg(0xE1, 20) * 400 + b"\xff\xda\x00\x02"
+    assert spark.createDataFrame([(jpeg,)], "c binary").select(blocks.strippable_jpeg_bytes(F.col("c"))).first()[0] == 400 * 24
+
+
+def test_a_bad_root_does_not_end_the_scan(spark, library):
+    files, errors = listing.scan_with_errors(spark, [str(library / "sub"), str(library / "gone"), str(library / "a.flac")])
+    assert sorted(r["name"] for r in files.collect()) == ["B.FLAC", "a.flac"]
+    assert [(r["path"], r["error"]) for r in errors.collect()] == [(str(library / "gone"), "PATH_NOT_FOUND")]
+    assert [r["line"] for r in catalog.error_digest(errors).collect()] == [str(library / "gone")]
+    nothing, errors = listing.scan_with_errors(spark, [str(library / "gone")])
+    assert nothing.count() == 0 and errors.count() == 1
+    listed = listing.scan(spark, [str(library)])
+    assert [r["error"] for r in listing.read_errors(listed, listed.filter("name <> 'd.flac'")).collect()] == ["UNREADABLE"]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    lines = [f"line {i}" + "\r" * (i % 2) for i in range(5000)]
+    (tmp_path / "a.log").write_bytes("\n".join(lines).encode())
+    (tmp_path / "b.log").write_text("one\n\nthree\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = logs.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    of = lambda name: [r["line"] for r in sorted((r for r in rows if r["file"].endswith(name)), key=lambda r: r["line_no"])]
+    assert of("a.log") == [f"line {i}" for i in range(5000)] and of("b.log") == ["one", "", "three"]
+    assert sorted(r["line_no"] for r in rows if r["file"].endswith("a.log")) == list(range(5000))
+
+
 def test_logs(spark, tmp_path):
     (tmp_path / "run.log").write_text("[2026-01-02 03:04:05] [OK] done\nnoise\n[2026-01-02 03:04:06] [WARN] a [b] c\n")
     rows = logs.run_log(logs.read_lines(spark, str(tmp_path / "run.log"))).orderBy("line_no").collect()
@@ -122,16 +163,20 @@ def test_report_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([event, ("r1", "b.flac", 2, "FAIL", 0, 0, 0, 0.0, "12:00:01", "3", "FAIL|NO_HASH", None, None, None, "gone")], "run_id string, file string, seq long, status string, before long, after long, saved long, pct double, time string, attempt string, verification string, emb string, pre string, out string, detail string")
     runs = spark.createDataFrame([("r1", "/music/album", "1. May 2026, 1:00", "1. May 2026, 2:00", 4, 3, 2, False)], "run_id string, source_folder string, started string, finished string, threads int, max_attempts int, total_files long, run_canceled boolean")
     counters = spark.createDataFrame([("r1", 2, 1, 0, 1, 0)], "run_id string, processed long, successful long, warned long, failed long, skipped long")
-    texts = report.texts(runs, rows, counters)
+    best = spark.createDataFrame([("r1", 1, "a.flac", 100, 10.0)], "run_id string, rank int, file string, saved long, pct double")
+    texts = report.texts(runs, rows, counters, best)
     row = texts.first()
     assert row["text"].endswith(f"==== Log checksum {hashlib.sha256(row['body'].encode()).hexdigest()} ====\r\n")
+    assert "\r\nalbum\r\n" in row["body"] and "     Audio delta          N/A\r\n" in row["body"]
+    assert row["body"].endswith("End of status report\r\n\r\n---- Compression notes\r\n\r\n  1. Saved   100.00 B (10.00%) | a.flac")
+    assert "Compression notes" not in report.texts(runs, rows, counters, best.limit(0)).first()["body"]
     publish.write_reports(texts, str(tmp_path / "reports"))
-    checked = logs.report_check(spark, str(tmp_path / "reports" / "run_id=r1" / "part=0"))
+    checked = logs.report_check(logs.read_reports(spark, str(tmp_path / "reports" / "run_id=r1" / "part=0")))
     assert [r["valid"] for r in checked.collect()] == [True]
     files = {r["filename"]: r["fields"] for r in logs.report_files(checked).collect()}
     assert files["a.flac"]["Verification"] == "MATCH" and files["b.flac"]["Reason"] == "gone"
     (tmp_path / "bad.txt").write_text(row["text"].replace("album", "albun"), newline="")
-    assert [r["valid"] for r in logs.report_check(spark, str(tmp_path / "bad.txt")).collect()] == [False]
+    assert [r["valid"] for r in logs.report_check(logs.read_reports(spark, str(tmp_path / "bad.txt"))).collect()] == [False]
 
 
 def test_long_reports_come_in_parts(spark):

@@ -31,7 +31,9 @@ def is_permission_error(text: Column) -> Column:
 
 
 def is_fatal_error(text: Column) -> Column:
-    return F.coalesce(F.contains(text, F.lit(FATAL_PHRASES[0])) | F.contains(text, F.lit(FATAL_PHRASES[1])), F.lit(False))
+    """Whether the input itself is broken, so that no further try helps; in either case of letters."""
+    said = [F.contains(F.lower(text), F.lit(phrase.lower())) for phrase in FATAL_PHRASES]
+    return F.coalesce(said[0] | said[1], F.lit(False))
 
 
 def permission_message(operation: str, path: Column, detail: Column) -> Column:

@@ -82,18 +82,29 @@ def format_bytes(n: Column, units: int = 4, signed: bool = False) -> Column:
     return F.concat(sign, out)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def format_bytes_padded(n: Column, units: int = 4, signed: bool = False) -> Column:
     """The report's form: a number of at least 00.00 in eight places, clamped at 0 or behind its sign."""
     size = F.abs(n) if signed else F.greatest(n, F.lit(0).cast("long"))
-    number, name = _fixed(size * 100, 2), F.lit("B")
-    for i in range(1, units):
-        unit = F.lit(1024**i).cast("long")
-        number = F.when(size >= unit, _fixed(hundredths(size, unit), 2)).otherwise(number)
-        name = F.when(size >= unit, _UNITS[i]).otherwise(name)
     width = 7 if signed else 8
-    padded = F.when(F.length(number) >= width, number).otherwise(F.lpad(number, width, " "))
+
+    def parts(x: Column) -> Column:
+        unit, name = F.lit(1).cast("long"), F.lit("B")
+        for i in range(1, units):
+            least = F.lit(1024**i).cast("long")
+            unit, name = F.when(x >= least, least).otherwise(unit), F.when(x >= least, _UNITS[i]).otherwise(name)
+        return F.struct(x.alias("x"), unit.alias("unit"), name.alias("name"))
+
+    def shown(p: Column) -> Column:
+        number = _let(hundredths(p["x"], p["unit"]), lambda h: _fixed(h, 2))
+        return F.concat(_let(number, lambda t: F.when(F.length(t) >= width, t).otherwise(F.lpad(t, width, " "))), F.lit(" "), p["name"])
+
     sign = F.when(n < 0, "-").otherwise(" ") if signed else F.lit("")
-    return F.concat(sign, padded, F.lit(" "), name)
+    return F.concat(sign, _let(size, lambda x: _let(parts(x), shown)))
 
 
 def format_bytes_short(n: Column) -> Column:
@@ -140,6 +151,47 @@ def report_datetime(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "d. MMMM yyyy, H:mm")
 
 
+def header_count(n: Column) -> Column:
+    """A count in eight places."""
+    text = n.cast("string")
+    return F.when(F.length(text) >= 8, text).otherwise(F.lpad(text, 8, " "))
+
+
+def count_pair(left: Column, right: Column) -> Column:
+    """``       3 /       10``."""
+    return F.concat(header_count(left), F.lit(" / "), header_count(right))
+
+
+def attempt_of(n: Column, limit: Column) -> Column:
+    """``1/3``."""
+    return F.concat(n.cast("string"), F.lit("/"), limit.cast("string"))
+
+
+def label_value(label: str, value: Column, width: int = 20) -> Column:
+    """The label filled up to ``width``, a colon, the value."""
+    return F.concat(F.lit(label.ljust(width) + ": "), value)
+
+
+def canonical_path(path: Column) -> Column:
+    """A path in one form: forward slashes, none doubled or at the end, ``.`` and ``..`` resolved, ``file:`` dropped, other schemes in lower case.
+
+    Nothing is looked up: links stay as they are.
+    """
+    slashed = F.translate(path, "\\", "/")
+    scheme = F.lower(F.regexp_extract(slashed, r"^([A-Za-z][A-Za-z0-9+.-]+):", 1))
+    rest = F.regexp_replace(slashed, r"^[A-Za-z][A-Za-z0-9+.-]+:", "")
+    host = F.when(~scheme.isin("", "file"), F.regexp_extract(rest, r"^//([^/]*)", 1)).otherwise("")
+    tail = F.when(~scheme.isin("", "file"), F.regexp_replace(rest, r"^//[^/]*", "")).otherwise(rest)
+    rooted = tail.startswith("/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(done, F.when(F.size(done) > 0, -1).otherwise(F.lit(None))), F.lit("")) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).when((part == "..") & rooted, done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(tail, "/", -1), F.array().cast("array<string>"), step)
+    return F.concat(F.when(~scheme.isin("", "file"), F.concat(scheme, F.lit("://"), host)).otherwise(""), F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
+
+
 def report_line(label: str, value: Column, width: int = 20) -> Column:
     """Five blanks, the label filled up to ``width`` (longer ones stay whole), a blank, the value."""
     return F.concat(F.lit(" " * 5 + label.ljust(width) + " "), value)

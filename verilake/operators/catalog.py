@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
+from verilake.functions.text import canonical_path
 from verilake.sources.scratch import cut
 
 
@@ -21,8 +24,13 @@ def union_roots(*catalogs: DataFrame) -> DataFrame:
 
 
 def dedup(files: DataFrame) -> DataFrame:
-    """One row per path, of the first root that lists it; one shuffle with partial aggregation."""
-    return files.groupBy("path").agg(F.min(F.struct("root_ordinal", "size")).alias("first")).select("path", F.col("first.size").alias("size"), F.col("first.root_ordinal").alias("root_ordinal"))
+    """One row per file, of the first root that lists it; one shuffle with partial aggregation.
+
+    Paths are told apart in their canonical form, which is what comes out: two
+    ways to write a path are one file, two links to it are two.
+    """
+    rows = files.withColumn("path", canonical_path(F.col("path")))
+    return rows.groupBy("path").agg(F.min(F.struct("root_ordinal", "size")).alias("first")).select("path", F.col("first.size").alias("size"), F.col("first.root_ordinal").alias("root_ordinal"))
 
 
 def error_digest(errors: DataFrame, shown: int = 3) -> DataFrame:
@@ -36,8 +44,6 @@ def error_digest(errors: DataFrame, shown: int = 3) -> DataFrame:
 
 def _all_of_few(*order):
     """A window over a whole table of a few rows."""
-    from pyspark.sql.window import Window
-
     return Window.partitionBy(F.lit(0)).orderBy(*order)
 
 
@@ -70,6 +76,26 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, rank).drop("_part", "_at", "_before")
 
 
+def running(df: DataFrame, key: str, order: list[Column], **sums: Column) -> DataFrame:
+    """nth (from 1) and running ``sums`` of the rows of each key, without one task that sees a whole key.
+
+    Rows are dealt by ranges of key and order. What a key has in the ranges before
+    one is added there; at most one key reaches into a range from before it, so
+    that this is one row per range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = {"_n": F.lit(1), **{f"_{c}": value for c, value in sums.items()}}
+    rows = df.withColumns({c: F.coalesce(value, F.lit(0)).cast("long") for c, value in names.items()}).repartitionByRange(parts, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+    placed = cut(rows.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    totals = placed.groupBy("_part", key).agg(*[F.sum(c).alias(c) for c in names])
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("_part").alias("_p"), F.col(key).alias("_k"), *[F.sum(c).over(earlier).alias(f"_b{c}") for c in names]).filter("_b_n > 0")
+    joined = placed.join(F.broadcast(before), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    here = Window.partitionBy("_part", key).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = {"nth" if c == "_n" else c[1:]: F.sum(c).over(here) + F.coalesce(f"_b{c}", F.lit(0)) for c in names}
+    return joined.withColumns(so_far).drop("_part", "_at", "_p", "_k", *names, *[f"_b{c}" for c in names])
+
+
 def shard_plan(files: DataFrame, shards: int) -> DataFrame:
     """Each file's shard, dealt back and forth over the ranks so that sizes even out."""
     at = F.col("rank") - 1

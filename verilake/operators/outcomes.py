@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verilake.operators.catalog import running
+
 SUCCESS = ("OK", "WARN")
 
 
@@ -67,15 +69,11 @@ def recent(events: DataFrame, n: int) -> DataFrame:
 
 
 def running_progress(events: DataFrame, every: int) -> DataFrame:
-    """Events done and bytes saved so far, at every n-th event of a run and at its last.
-
-    The running frame needs a run in one task; it holds one row at a time.
-    """
-    run = Window.partitionBy("run_id")
-    so_far = run.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = events.withColumn("done", F.count("*").over(so_far)).withColumn("saved_so_far", F.sum("saved").over(so_far))
-    last = F.lead("seq").over(run.orderBy("seq")).isNull()
-    return rows.withColumn("_last", last).filter((F.col("done") % every == 0) | F.col("_last")).drop("_last")
+    """Events done and bytes saved so far, at every n-th event of a run and at its last; a run may be of any length."""
+    rows = running(events, "run_id", [F.col("seq")], saved_so_far=F.col("saved")).withColumnRenamed("nth", "done")
+    last = events.groupBy("run_id").agg(F.max("seq").alias("_last"))
+    joined = rows.join(last, "run_id")
+    return joined.filter((F.col("done") % every == 0) | (F.col("seq") == F.col("_last"))).drop("_last")
 
 
 def event_order(key: str, descending: bool) -> list[Column]:

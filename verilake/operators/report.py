@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from verilake.functions.text import format_bytes_padded, format_percent, report_line
+from verilake.functions.text import collection_label, format_bytes_padded, format_percent, report_line
+from verilake.operators.catalog import running
 
 NEWLINE = "\r\n"
 
@@ -17,6 +17,9 @@ def outcome(counters: DataFrame) -> DataFrame:
     return counters.select("run_id", F.when(F.col("failed") > 0, 1).otherwise(0).alias("exit_code"), label.alias("label"))
 
 
+# The labels and sentences of reports below are fixed values.
+
+
 def _status_lines() -> Column:
     """The lines of a status report from the counters; the order of the rules decides."""
     c = F.col
@@ -51,7 +54,7 @@ def _file_block() -> Column:
     head = F.concat(F.array(F.lit("File"), F.lit(""), F.concat(F.lit("     Filename "), c("file")), F.lit("")), line("Logged at", c("time")), line("Attempt", c("attempt")), line("Verification", c("verification")))
     done = F.concat(
         line("Original size", format_bytes_padded(c("before"))), line("Compressed size", format_bytes_padded(c("after"))),
-        line("Net saved", F.concat(format_bytes_padded(F.abs("saved")), F.lit(" ("), format_percent(c("pct")), F.lit(")"))),
+        line("Net saved", F.concat(format_bytes_padded(F.abs("saved")), F.lit(" ("), format_percent(c("pct")), F.lit(")"))), line("Audio delta", F.lit("N/A")),
         line("Embedded MD5", F.coalesce("emb", F.lit("N/A"))), line("Calculated pre MD5", F.coalesce("pre", F.lit("N/A"))), line("Calculated post MD5", F.coalesce("out", F.lit("N/A"))),
     )
     detail = F.coalesce("detail", F.lit(""))
@@ -74,27 +77,36 @@ def with_checksum(body: Column) -> Column:
 def report_parts(events: DataFrame, part_size: int = 10_000) -> DataFrame:
     """run_id, part, text, n_files: the file blocks of each run in order, in parts of bounded size.
 
-    Parts are counted off in the order of seq; a run of any length is written by
-    as many tasks as it has parts.
+    Parts are counted off in the order of seq; a run of any length is numbered by
+    ranges of it and written by as many tasks as it has parts.
     """
-    order = Window.partitionBy("run_id").orderBy("seq")
-    rows = events.withColumn("_nth", F.row_number().over(order) - 1).withColumn("part", F.call_function("div", F.col("_nth"), F.lit(part_size)).cast("int"))
+    rows = running(events, "run_id", [F.col("seq")]).withColumn("part", F.call_function("div", F.col("nth") - 1, F.lit(part_size)).cast("int"))
     blocks = rows.select("run_id", "part", "seq", _file_block().alias("txt"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "txt"))), lambda x: x.txt)
     return blocks.groupBy("run_id", "part").agg(F.array_join(ordered, NEWLINE).alias("text"), F.count("*").alias("n_files"))
 
 
-def texts(runs: DataFrame, events: DataFrame, counters: DataFrame, title: str = "Processing report", part_size: int = 10_000) -> DataFrame:
+def _best_lines(best: DataFrame) -> DataFrame:
+    """run_id, best: the lines on the files that saved most, from (run_id, rank, file, saved, pct) with a few ranks a run."""
+    c = F.col
+    line = F.concat(F.lit("  "), c("rank").cast("string"), F.lit(". Saved "), format_bytes_padded(F.abs("saved")), F.lit(" ("), format_percent(c("pct")), F.lit(") | "), c("file"))
+    rows = best.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    head = F.array(F.lit(""), F.lit("---- Compression notes"), F.lit(""))
+    return rows.select("run_id", F.array_join(F.concat(head, F.transform("lines", lambda x: x.line)), NEWLINE).alias("best"))
+
+
+def texts(runs: DataFrame, events: DataFrame, counters: DataFrame, best: DataFrame, title: str = "Processing report", part_size: int = 10_000) -> DataFrame:
     """run_id, part, n_files, body, text: the report of each run, each part closed by its own checksum.
 
-    The first part has the header, the last the status report. runs has
-    source_folder, started and finished as text, threads, max_attempts,
+    The first part has the header, the last the status report and the files that
+    saved most (``best``: run_id, rank, file, saved, pct; none for a run, no list).
+    runs has source_folder, started and finished as text, threads, max_attempts,
     total_files and run_canceled.
     """
     c = F.col
     header = F.array_join(
         F.array(
-            F.lit(title), F.lit(""), F.concat(F.lit("Logfile from "), c("finished")), F.lit(""), report_line("Source folder", c("source_folder")), report_line("Run started", c("started")),
+            F.lit(title), F.lit(""), F.concat(F.lit("Logfile from "), c("finished")), F.lit(""), collection_label(F.array("source_folder")), F.lit(""), report_line("Source folder", c("source_folder")), report_line("Run started", c("started")),
             report_line("Run finished", c("finished")), report_line("Worker threads", c("threads").cast("string")), report_line("Retry limit", c("max_attempts").cast("string")),
             report_line("Files discovered", c("total_files").cast("string")), F.lit(""),
         ),
@@ -104,15 +116,14 @@ def texts(runs: DataFrame, events: DataFrame, counters: DataFrame, title: str =
     heads = runs.join(counters, "run_id").select("run_id", header.alias("header"), status.alias("status"))
     parts = report_parts(events, part_size)
     last = parts.groupBy("run_id").agg(F.max("part").alias("last"))
-    joined = parts.join(last, "run_id").join(heads, "run_id")
-    body = F.concat_ws(NEWLINE, F.when(c("part") == 0, c("header")), c("text"), F.when(c("part") == c("last"), c("status")))
+    joined = parts.join(last, "run_id").join(heads, "run_id").join(_best_lines(best), "run_id", "left")
+    body = F.concat_ws(NEWLINE, F.when(c("part") == 0, c("header")), c("text"), F.when(c("part") == c("last"), c("status")), F.when(c("part") == c("last"), c("best")))
     return joined.select("run_id", "part", "n_files", body.alias("body")).withColumn("text", with_checksum(c("body")))
 
 
 def failed_list(settled: DataFrame) -> DataFrame:
     """The files that failed for good, numbered in each run."""
-    rows = settled.filter(F.col("status") == "FAIL")
-    return rows.withColumn("entry", F.row_number().over(Window.partitionBy("run_id").orderBy("file")))
+    return running(settled.filter(F.col("status") == "FAIL"), "run_id", [F.col("file")]).withColumn("entry", F.col("nth").cast("int")).drop("nth")
 
 
 def history(counters: DataFrame, runs: DataFrame) -> DataFrame:

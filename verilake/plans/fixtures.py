@@ -148,3 +148,63 @@ def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SAVINGS = """savings_v AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS run, l_suppkey AS supplier, CAST(round(l_extendedprice * 100) AS BIGINT) AS before, CAST(round(l_extendedprice * 100 * (1 - l_discount)) AS BIGINT) AS after FROM lineitem)"""
+
+
+def _hex(n, digits: int):
+    """A number as hexadecimal digits, most significant first."""
+    return F.lpad(F.hex(n.cast("long")), digits, "0")
+
+
+def _small(n):
+    """A number below 256 as four bytes, least significant first, in hexadecimal digits."""
+    return F.concat(_hex(n, 2), F.lit("000000"))
+
+
+def _block(kind: int, last: bool, data):
+    return F.concat(F.lit(f"{kind + 128 * last:02X}"), _hex(F.length(data) / 2, 6), data)
+
+
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, size, content: a small container made of each document's columns.
+
+    Some have bytes before the marker or no marker; checksums, pictures of several
+    kinds, comments and padding vary with the id.
+    """
+    d = F.col("doc_id")
+    md5 = F.when(d % 7 == 0, "0" * 32).otherwise(F.upper(F.md5(F.col("text").cast("binary"))))
+    packed = (F.lit(44100) + d % 3) * F.lit(1 << 44) + (d % 8) * F.lit(1 << 41) + (d % 2 * 8 + 15) * F.lit(1 << 36) + F.coalesce(F.col("n_chars"), F.lit(0))
+    info = F.concat(F.lit("00" * 10), _hex(packed, 16), md5)
+    text = lambda c: F.hex(F.encode(c, "UTF-8"))
+    counted = lambda c, size: F.concat(size(F.octet_length(F.encode(c, "UTF-8"))), text(c))
+    mime = F.element_at(F.array(*map(F.lit, ("image/png", "image/jpeg", "-->", "image/gif"))), (d % 4 + 1).cast("int"))
+    description = F.concat(F.lit("cover"), F.when(d % 6 == 1, "\n").otherwise(" "), (d % 10).cast("string"))
+    jpeg = F.concat(F.lit("FFD8FFE00004AAAA"), F.lit("FFE1"), _hex(d % 50 + 2, 4), F.repeat(F.lit("00"), (d % 50).cast("int")), F.lit("FFFE0005414243FFDA0002"))
+    image = F.when(d % 4 == 0, F.concat(F.lit("89504E470D0A1A0A"), text((d % 10).cast("string")))).when(d % 4 == 1, jpeg).otherwise(text(F.lit("http://x")))
+    wide = lambda n: _hex(n, 8)
+    picture = F.concat(F.lit("00000003"), counted(mime, wide), counted(description, wide), _hex(d % 500, 8), _hex(d % 300, 8), F.lit("0000001800000000"), _hex(F.length(image) / 2, 8), image)
+    items = F.concat(
+        F.array(F.concat(F.lit("SOURCE="), F.coalesce("source", F.lit("")))), F.when(d % 2 == 0, F.array(F.lit("Job_Done=1"))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.sequence(F.lit(0), (d % 3).cast("int")), lambda i: F.concat(F.lit("note="), i.cast("string"))),
+    )
+    written = F.transform(items, lambda x: F.concat(_small(F.octet_length(x)), F.hex(F.encode(x, "UTF-8"))))
+    comment = F.concat(_small(F.lit(3)), F.lit("6C6962"), _small(F.size(items)), F.array_join(written, ""))
+    padding = F.repeat(F.lit("00"), (d % 64).cast("int"))
+    content = F.concat(
+        F.when(d % 5 == 0, F.lit("49443300000000000000")).otherwise(""), F.when(d % 13 == 0, "").otherwise("664C6143"),
+        _block(0, False, info), F.when(d % 3 != 0, _block(6, False, picture)).otherwise(""), _block(4, False, comment), _block(1, True, padding),
+    )
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("/lib/r"), d % 5, F.lit("/"), d, F.lit(".flac")).alias("path"), F.unhex(content).alias("content"))
+    return rows.select("path", F.octet_length("content").cast("long").alias("size"), "content")
+
+
+CONTAINERS = """containers_v AS (
+  SELECT *, ['image/png', 'image/jpeg', '-->', 'image/gif'][doc_id % 4 + 1] AS mime, 'cover' || CASE WHEN doc_id % 6 = 1 THEN chr(10) ELSE ' ' END || (doc_id % 10) AS description,
+         CASE doc_id % 4 WHEN 0 THEN 9 WHEN 1 THEN 23 + doc_id % 50 ELSE 8 END AS image_length,
+         list_concat(['SOURCE=' || coalesce(source, '')], CASE WHEN doc_id % 2 = 0 THEN ['Job_Done=1'] ELSE [] END, list_transform(range(0, doc_id % 3 + 1), lambda i: 'note=' || i)) AS items
+  FROM (SELECT doc_id, '/lib/r' || (doc_id % 5) || '/' || doc_id || '.flac' AS path, '/lib/r' || (doc_id % 5) AS folder, n_chars, text, source FROM documents) WHERE doc_id % 13 <> 0)"""
+
+
+def log_lines(spark: SparkSession, sf_dir: str, written) -> DataFrame:
+    """file, line_no, line: a log of each user's events; ``written`` gives a line of an attempt."""
+    rows = attempts(spark, sf_dir)
+    return rows.select(F.concat(F.lit("log-"), F.substring_index("file", "-", 1)).alias("file"), F.col("seq").cast("int").alias("line_no"), written.alias("line"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verilake.functions import classes, text
 from verilake.operators import catalog, events, outcomes, report, savings, verify
 from verilake.plans import fixtures as fx
-from verilake.sources import listing
+from verilake.sources import blocks, listing, logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +50,8 @@ def multi_root_union(spark, sf_dir):
 @query("SELECT path, arg_min(size, (root_ordinal, size)) AS size, min(root_ordinal) AS root_ordinal FROM roots_v GROUP BY path", fx.ROOTS)
 def catalog_dedup(spark, sf_dir):
     all_files = fx.files(spark, sf_dir)
-    return catalog.dedup(catalog.union_roots(fx.nested_root(all_files), all_files).withColumn("root_ordinal", 1 - F.col("root_ordinal")))
+    nested = fx.nested_root(all_files).withColumn("path", F.concat(F.lit("file:/lib/../lib/./"), F.element_at(F.split("dir", "/"), -1), F.lit("//"), "name"))  # the same files, written another way
+    return catalog.dedup(catalog.union_roots(nested, all_files).withColumn("root_ordinal", 1 - F.col("root_ordinal")))
 
 
 @query(
@@ -167,7 +168,7 @@ def error_snippet(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", text.error_snippet(F.col("text")).alias("snippet"))
 
 
-_SAID = ("Access is denied.", "open: permission denied", "UnauthorizedAccess at file", "volume is Read-Only", "FLAC__STREAM_DECODER_ERROR_STATUS_LOST_SYNC", "disk full", "", "while decoding FLAC input, state = FLAC__STREAM_DECODER_ABORTED")
+_SAID = ("Access is denied.", "open: permission denied", "UnauthorizedAccess at file", "volume is Read-Only", "flac__stream_decoder_error_status_LOST_SYNC", "disk full", "", "while decoding FLAC input, state = FLAC__STREAM_DECODER_ABORTED")
 
 
 @query(
@@ -406,22 +407,28 @@ _REPORT = (
     _STATUS
     + f""", e AS (SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS nth, array_to_string(list_concat(
     ['File', '', '     Filename ' || file, '', {_line("Logged at", "strftime(ts, '%H:%M:%S')")}, {_line("Attempt", "CAST(blocks + 1 AS VARCHAR)")}, {_line("Verification", "status")}],
-    CASE WHEN status IN ('OK', 'WARN') THEN list_concat([{_line("Original size", _num("before"))}, {_line("Compressed size", _num("greatest(after, 0)"))}, {_line("Net saved", _num("abs(saved)") + " || ' (' || " + _pct_text("pct") + " || ')'")},
+    CASE WHEN status IN ('OK', 'WARN') THEN list_concat([{_line("Original size", _num("before"))}, {_line("Compressed size", _num("greatest(after, 0)"))}, {_line("Net saved", _num("abs(saved)") + " || ' (' || " + _pct_text("pct") + " || ')'")}, {_line("Audio delta", "'N/A'")},
         {_line("Embedded MD5", "'N/A'")}, {_line("Calculated pre MD5", "md5(file)")}, {_line("Calculated post MD5", "md5(file)")}],
         CASE WHEN status = 'WARN' THEN [{_line("Write-back", "'kept'")}, '     Copy warning (original file unchanged)'] WHEN blocks > 0 THEN [{_line("Metadata cleanup", "'kept'")}, '     Copy OK'] ELSE ['     Copy OK'] END)
       WHEN status = 'FAIL' THEN ['     Copy failed', {_line("Reason", "CASE WHEN status = 'WARN' OR blocks > 0 THEN 'kept' ELSE '' END")}]
       ELSE list_concat([{_line("Original size", _num("before"))}, '     Skipped - already processed'], CASE WHEN blocks > 0 THEN [{_line("Reason", "'kept'")}] ELSE [] END) END, ['']), chr(13) || chr(10)) AS txt FROM attempts_v),
   p AS (SELECT run_id, CAST(nth // 1000 AS INTEGER) AS part, string_agg(txt, chr(13) || chr(10) ORDER BY seq) AS t, count(*) AS n_files FROM e GROUP BY 1, 2), z AS (SELECT run_id, max(part) AS last FROM p GROUP BY run_id),
-  b AS (SELECT p.run_id, part, n_files, CASE WHEN part = 0 THEN array_to_string(['Processing report', '', 'Logfile from ' || strftime(to_timestamp(finish_ms / 1000) AT TIME ZONE 'UTC', '%-d. %B %Y, %-H:%M'), '', {_line("Source folder", "'/lib/' || p.run_id")},
+  t AS (SELECT run_id, list('  ' || n || '. Saved ' || {_num("abs(saved)")} || ' (' || {_pct_text("pct")} || ') | ' || file ORDER BY n) AS best
+    FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY saved DESC, seq) AS n FROM attempts_v WHERE status IN ('OK', 'WARN') AND saved > 0) WHERE n <= 3 GROUP BY run_id),
+  b AS (SELECT p.run_id, part, n_files, CASE WHEN part = 0 THEN array_to_string(['Processing report', '', 'Logfile from ' || strftime(to_timestamp(finish_ms / 1000) AT TIME ZONE 'UTC', '%-d. %B %Y, %-H:%M'), '', p.run_id, '', {_line("Source folder", "'/lib/' || p.run_id")},
     {_line("Run started", "strftime(to_timestamp(start_ms / 1000) AT TIME ZONE 'UTC', '%-d. %B %Y, %-H:%M')")}, {_line("Run finished", "strftime(to_timestamp(finish_ms / 1000) AT TIME ZONE 'UTC', '%-d. %B %Y, %-H:%M')")},
-    {_line("Worker threads", "'8'")}, {_line("Retry limit", "'3'")}, {_line("Files discovered", "CAST(total_files AS VARCHAR)")}, '', ''], chr(13) || chr(10)) ELSE '' END || t || CASE WHEN part = last THEN chr(13) || chr(10) || array_to_string(lines, chr(13) || chr(10)) ELSE '' END AS body
-    FROM p JOIN z USING (run_id) JOIN l USING (run_id) JOIN runs_v USING (run_id))
+    {_line("Worker threads", "'8'")}, {_line("Retry limit", "'3'")}, {_line("Files discovered", "CAST(total_files AS VARCHAR)")}, '', ''], chr(13) || chr(10)) ELSE '' END || t || CASE WHEN part = last THEN chr(13) || chr(10) || array_to_string(lines, chr(13) || chr(10)) || coalesce(chr(13) || chr(10) || array_to_string(list_concat(['', '---- Compression notes', ''], best), chr(13) || chr(10)), '') ELSE '' END AS body
+    FROM p JOIN z USING (run_id) JOIN l USING (run_id) JOIN runs_v USING (run_id) LEFT JOIN t USING (run_id))
   SELECT run_id, part, n_files, sha256(body) AS body_sha256, CAST(len(string_split(body, chr(13) || chr(10))) AS INTEGER) AS n_lines FROM b"""
 )
 
 
 @query(_REPORT, fx.SETTLED + fx.counters_sql("settled_v") + fx.RUNS)
 def run_report(spark, sf_dir):
+    return _report_texts(spark, sf_dir).select("run_id", "part", "n_files", F.sha2("body", 256).alias("body_sha256"), F.size(F.split("body", report.NEWLINE, -1)).alias("n_lines"))
+
+
+def _report_texts(spark, sf_dir):
     rows = fx.attempts(spark, sf_dir).select(
         "*", F.date_format("ts", "HH:mm:ss").alias("time"), (F.col("blocks") + 1).cast("string").alias("attempt"), F.col("status").alias("verification"), F.lit(None).cast("string").alias("emb"),
         F.md5(F.col("file").cast("binary")).alias("pre"), F.md5(F.col("file").cast("binary")).alias("out"), F.when((F.col("blocks") > 0) | (F.col("status") == "WARN"), "kept").alias("detail"),
@@ -430,8 +437,7 @@ def run_report(spark, sf_dir):
         "run_id", "total_files", "run_canceled", F.concat(F.lit("/lib/"), "run_id").alias("source_folder"), text.report_datetime(F.col("start_ms")).alias("started"),
         text.report_datetime(F.col("finish_ms")).alias("finished"), F.lit(8).alias("threads"), F.lit(3).alias("max_attempts"),
     )
-    out = report.texts(runs, rows, outcomes.count(outcomes.settle(fx.attempts(spark, sf_dir))), part_size=1000)
-    return out.select("run_id", "part", "n_files", F.sha2("body", 256).alias("body_sha256"), F.size(F.split("body", report.NEWLINE, -1)).alias("n_lines"))
+    return report.texts(runs, rows, outcomes.count(outcomes.settle(fx.attempts(spark, sf_dir))), savings.top_by_run(fx.attempts(spark, sf_dir), 3), part_size=1000)
 
 
 def _plain(b: str) -> str:
@@ -514,3 +520,184 @@ def live_progress(spark, sf_dir):
 )
 def activity_sessions(spark, sf_dir):
     return events.sessions(fx.table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq"), "user_id", "1 DAY")
+
+
+# -- containers -----------------------------------------------------------------
+
+
+def _inventory(spark, sf_dir):
+    return blocks.inventory(fx.containers(spark, sf_dir))
+
+
+_BLOCKS = """, b AS (
+  SELECT path, 0 AS n, 0 AS type, 34 AS length FROM containers_v
+  UNION ALL SELECT path, 1, 6, 32 + length(mime) + length(description) + image_length FROM containers_v WHERE doc_id % 3 <> 0
+  UNION ALL SELECT path, 2, 4, 11 + list_sum(list_transform(items, lambda x: 4 + strlen(x))) FROM containers_v
+  UNION ALL SELECT path, 3, 1, doc_id % 64 FROM containers_v)"""
+
+
+@query(_BLOCKS + " SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY n) - 1 AS INTEGER) AS block_number, CAST(type AS INTEGER) AS type, CAST(length AS BIGINT) AS length, n = 3 AS is_last, false AS truncated FROM b", fx.CONTAINERS)
+def block_inventory(spark, sf_dir):
+    return _inventory(spark, sf_dir).select("path", "block_number", "type", "length", "is_last", "truncated")
+
+
+@query(
+    """, f AS (SELECT path, 44100 + doc_id % 3 AS sample_rate, doc_id % 8 + 1 AS channels, doc_id % 2 * 8 + 16 AS bits, coalesce(n_chars, 0) AS samples, CASE WHEN doc_id % 7 <> 0 THEN md5(text) END AS embedded_md5 FROM containers_v)
+    SELECT path, CAST(sample_rate AS BIGINT) AS sample_rate, CAST(channels AS BIGINT) AS channels, CAST(bits AS BIGINT) AS bits, CAST(samples AS BIGINT) AS samples, CAST(samples * channels * bits // 8 AS BIGINT) AS raw_bytes, embedded_md5 FROM f""",
+    fx.CONTAINERS,
+)
+def stream_facts(spark, sf_dir):
+    out = blocks.stream_facts(_inventory(spark, sf_dir))
+    return out.select("path", *[F.col(c).cast("long").alias(c) for c in ("sample_rate", "channels", "bits", "samples", "raw_bytes")], "embedded_md5")
+
+
+@query("SELECT folder, count(*) AS n_files, count(*) FILTER (WHERE doc_id % 7 = 0) AS n_missing FROM containers_v GROUP BY folder", fx.CONTAINERS)
+def missing_md5(spark, sf_dir):
+    return blocks.missing_md5(blocks.stream_facts(_inventory(spark, sf_dir)))
+
+
+@query("SELECT path, CAST(10 AS BIGINT) AS prefix_bytes FROM containers_v WHERE doc_id % 5 = 0", fx.CONTAINERS)
+def foreign_prefix(spark, sf_dir):
+    return blocks.foreign_prefix(fx.containers(spark, sf_dir)).select("path", F.col("prefix_bytes").cast("long").alias("prefix_bytes"))
+
+
+_PICTURES = """, p AS (SELECT path, doc_id, mime, description, CAST(doc_id % 500 AS INTEGER) AS width, CAST(doc_id % 300 AS INTEGER) AS height, CAST(image_length AS BIGINT) AS data_length,
+  CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' END AS image, CASE doc_id % 4 WHEN 0 THEN 'png' || (doc_id % 10) WHEN 1 THEN 'jpeg' || (doc_id % 50) ELSE 'address' END AS same FROM containers_v WHERE doc_id % 3 <> 0)"""
+
+
+@query(_PICTURES + " SELECT path, mime, description, width, height, data_length, image, mime = '-->' AS is_url, doc_id % 6 = 1 AS unsafe_to_rewrite FROM p", fx.CONTAINERS)
+def picture_inventory(spark, sf_dir):
+    return blocks.pictures(_inventory(spark, sf_dir)).select("path", "mime", "description", "width", "height", "data_length", "image", "is_url", "unsafe_to_rewrite")
+
+
+@query(_PICTURES + " SELECT n, n_files, bytes, count(*) AS n_pictures FROM (SELECT count(*) AS n, count(DISTINCT path) AS n_files, max(data_length) AS bytes FROM p GROUP BY same HAVING count(*) > 1) GROUP BY ALL", fx.CONTAINERS)
+def repeated_pictures(spark, sf_dir):
+    return blocks.repeated_pictures(blocks.pictures(_inventory(spark, sf_dir))).groupBy("n", "n_files", "bytes").agg(F.count("*").alias("n_pictures"))
+
+
+@query("SELECT doc_id % 4 AS kind, count(*) AS n, CAST(sum(CASE WHEN doc_id % 4 = 1 THEN doc_id % 50 + 11 END) AS BIGINT) AS strippable FROM containers_v WHERE doc_id % 3 <> 0 GROUP BY 1", fx.CONTAINERS)
+def strippable_artwork(spark, sf_dir):
+    d = F.regexp_extract("path", r"(\d+)\.flac$", 1).cast("long")
+    found = blocks.pictures(_inventory(spark, sf_dir)).select("path", "block_number", "data_length").join(_inventory(spark, sf_dir).select("path", "block_number", "data"), ["path", "block_number"])
+    shown = found.select((d % 4).alias("kind"), F.substring("data", F.octet_length("data") - F.col("data_length").cast("int") + 1, F.col("data_length").cast("int")).alias("image"))
+    return shown.groupBy("kind").agg(F.count("*").alias("n"), F.sum(blocks.strippable_jpeg_bytes(F.col("image"))).alias("strippable"))
+
+
+@query("SELECT path, CAST(doc_id % 64 + 4 AS BIGINT) AS padding_bytes, CAST(1 AS BIGINT) AS padding_blocks FROM containers_v", fx.CONTAINERS)
+def padding_totals(spark, sf_dir):
+    return blocks.padding(_inventory(spark, sf_dir))
+
+
+@query(", t AS (SELECT path, upper(split_part(x, '=', 1)) AS tag FROM (SELECT path, unnest(items) AS x FROM containers_v)) SELECT tag, count(*) AS n, count(DISTINCT path) AS n_files FROM t GROUP BY tag", fx.CONTAINERS)
+def tag_counts(spark, sf_dir):
+    return blocks.tag_counts(blocks.comments(_inventory(spark, sf_dir)))
+
+
+@query("SELECT count(*) AS n_files, count(*) FILTER (WHERE doc_id % 2 = 0) AS n_marked FROM containers_v", fx.CONTAINERS)
+def marker_coverage(spark, sf_dir):
+    return blocks.marker_coverage(blocks.comments(_inventory(spark, sf_dir)), "JOB_DONE")
+
+
+@query("""SELECT seq, '{"processed":true,"version":"1.' || (k % 7) || '","library":"lib","time":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}' AS marker FROM attempts_v""", fx.ATTEMPTS)
+def marker_value(spark, sf_dir):
+    return fx.attempts(spark, sf_dir).select("seq", classes.marker_value(F.concat(F.lit("1."), (F.col("k") % 7).cast("string")), F.lit("lib"), F.col("ts")).alias("marker"))
+
+
+# -- logs -----------------------------------------------------------------------
+
+
+@query(
+    """SELECT 'log-' || split_part(file, '-', 1) AS file, CAST(seq AS INTEGER) AS line_no, CASE WHEN k % 5 <> 0 THEN date_trunc('second', ts) END AS ts,
+      CASE WHEN k % 5 = 0 THEN NULL WHEN status = 'OK' THEN 'SUCCESS' WHEN status = 'WARN' THEN 'WARN' WHEN status = 'FAIL' THEN 'ERROR' ELSE 'INFO' END AS level,
+      CASE WHEN k % 5 <> 0 THEN file || ' [' || saved || '] done' END AS message, CASE WHEN k % 5 = 0 THEN 'no log line: ' || file END AS corrupt FROM attempts_v""",
+    fx.ATTEMPTS,
+)
+def run_log(spark, sf_dir):
+    c = F.col
+    level = F.when(c("status").isin("OK", "WARN"), c("status")).when(c("status") == "FAIL", "ERROR").otherwise("INFO")
+    line = F.when(c("k") % 5 == 0, F.concat(F.lit("no log line: "), "file")).otherwise(F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] ["), level, F.lit("] "), "file", F.lit(" ["), c("saved").cast("string"), F.lit("] done")))
+    return logs.run_log(fx.log_lines(spark, sf_dir, line)).withColumn("ts", c("ts").cast("timestamp_ntz"))
+
+
+@query(
+    """SELECT CAST(seq AS INTEGER) AS line_no, CASE WHEN k % 5 <> 0 THEN status END AS level, CASE WHEN k % 5 <> 0 THEN 'File done' END AS event, CASE WHEN k % 5 <> 0 THEN '/lib/' || file || ': x' END AS path,
+      CASE WHEN k % 5 <> 0 THEN CAST(saved AS VARCHAR) END AS saved, CASE WHEN k % 5 = 0 THEN 'half | ' || file END AS corrupt FROM attempts_v""",
+    fx.ATTEMPTS,
+)
+def pipe_log(spark, sf_dir):
+    c = F.col
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" | "), "status", F.lit(" | File done | Path: /lib/"), "file", F.lit(": x | Saved: 0 | Saved: "), c("saved").cast("string"))
+    rows = logs.pipe_log(fx.log_lines(spark, sf_dir, F.when(c("k") % 5 == 0, F.concat(F.lit("half | "), "file")).otherwise(line)))
+    return rows.select("line_no", "level", "event", F.col("fields")["Path"].alias("path"), F.col("fields")["Saved"].alias("saved"), "corrupt")
+
+
+@query(
+    "SELECT seq, CAST(CASE WHEN k % 4 = 0 THEN 0 ELSE least(100, k * 2) END AS INTEGER) AS percent, CASE WHEN k % 4 <> 0 THEN '0.' || (k % 10) END AS ratio FROM attempts_v",
+    fx.ATTEMPTS,
+)
+def encoder_progress(spark, sf_dir):
+    k = F.col("k")
+    said = F.concat(F.lit("file: 1% complete, ratio=0.99\rfile: "), (k * 2).cast("string"), F.lit("% complete, ratio=0."), (k % 10).cast("string"))
+    return fx.attempts(spark, sf_dir).select("seq", logs.progress(F.when(k % 4 == 0, "wrote nothing").otherwise(said)).alias("p")).select("seq", "p.*")
+
+
+@query(
+    """SELECT 'listing-' || doc_id AS file, CAST(2 AS INTEGER) AS block_number, mime, trim(replace(description, chr(10), ' ')) AS description, CAST(doc_id % 500 AS INTEGER) AS width, CAST(doc_id % 300 AS INTEGER) AS height,
+      CAST(24 AS INTEGER) AS depth, CAST(0 AS INTEGER) AS colors, CAST(image_length AS BIGINT) AS data_length FROM containers_v WHERE doc_id % 3 <> 0""",
+    fx.CONTAINERS,
+)
+def picture_listing(spark, sf_dir):
+    d = F.regexp_extract("path", r"(\d+)\.flac$", 1)
+    shown = blocks.pictures(_inventory(spark, sf_dir)).select(d.alias("d"), "mime", F.translate("description", "\n", " ").alias("description"), "width", "height", "data_length")
+    head = ["METADATA block #1", "  type: 4 (COMMENT)", "METADATA block #2", "  type: 6 (PICTURE)"]
+    said = [F.lit(x) for x in head] + [F.concat(F.lit(f"  {k}: "), F.col(c).cast("string")) for k, c in (("MIME type", "mime"), ("description", "description"), ("width", "width"), ("height", "height"))]
+    said += [F.lit("  depth: 24"), F.lit("  colors: 0 (unindexed)"), F.concat(F.lit("  data length: "), F.col("data_length").cast("string"))]
+    return logs.picture_listing(shown.select(F.concat(F.lit("listing-"), "d").alias("file"), F.posexplode(F.array(*said)).alias("line_no", "line")))
+
+
+@query(
+    "SELECT run_id, file AS filename, CASE WHEN status = 'FAIL' AND blocks > 0 THEN 'kept' END AS reason, status AS verification, count(*) AS n, CAST(2 AS INTEGER) AS checks FROM attempts_v GROUP BY ALL",
+    fx.ATTEMPTS,
+)
+def report_reading(spark, sf_dir):
+    """Reports, read again: those with a changed letter are found out, the others give back their files."""
+    whole = _report_texts(spark, sf_dir).select(F.concat_ws("/", "run_id", F.col("part").cast("string")).alias("file"), "text")
+    broken = whole.select(F.concat("file", F.lit("/broken")).alias("file"), F.regexp_replace("text", "Retry limit", "Retry Limit").alias("text")).filter("file LIKE '%/0/broken'")
+    checked = logs.report_check(whole.unionByName(broken))
+    proper = checked.agg(F.max((F.col("valid") == F.endswith("file", F.lit("broken"))).cast("int")).alias("wrong"))
+    files = logs.report_files(checked.filter("valid")).select(F.substring_index("file", "/", 1).alias("run_id"), "filename", F.nullif(F.when(F.col("fields")["Verification"] == "FAIL", F.col("fields")["Reason"]), F.lit("")).alias("reason"), F.col("fields")["Verification"].alias("verification"))
+    return files.groupBy("run_id", "filename", "reason", "verification").agg(F.count("*").alias("n")).crossJoin(F.broadcast(proper.select((2 - F.col("wrong")).alias("checks"))))  # one row
+
+
+# -- what went wrong, and what was cleaned up -------------------------------------
+
+
+@query(
+    """, t AS (SELECT seq, file, k, ['Access is denied.', 'open: permission denied', 'UnauthorizedAccess at file', 'volume is Read-Only', 'flac__stream_decoder_error_status_LOST_SYNC', 'disk full', '', 'while decoding FLAC input, state = FLAC__STREAM_DECODER_ABORTED'][k % 8 + 1] AS said FROM attempts_v)
+    SELECT seq, CASE WHEN k % 8 < 4 THEN 'Permission denied while converting file | Path: ' || file || ' | Detail: ' || said WHEN k % 3 = 0 THEN 'gave up' WHEN k % 5 <> 0 THEN 'encoder exit ' || (k % 5) ELSE 'encoder gave no output' END
+      || CASE WHEN k % 8 IN (4, 7) THEN ' (not retryable: corrupt input)' ELSE '' END AS reason FROM t""",
+    fx.ATTEMPTS,
+)
+def failure_reason(spark, sf_dir):
+    k = F.col("k")
+    said = F.get(F.array(*map(F.lit, _SAID)), (k % 8).cast("int"))
+    return fx.attempts(spark, sf_dir).select("seq", classes.failure_reason(F.when(k % 3 == 0, "gave up").when(k % 3 == 1, " "), (k % 5).cast("int"), said, F.col("file")).alias("reason"))
+
+
+@query(
+    f""", t AS (SELECT seq, saved, before, blocks, k % 2 = 0 AS changed, k % 4 = 0 AS nothing FROM attempts_v)
+    SELECT seq, CASE WHEN NOT nothing AND saved > 0 AND blocks > 0 THEN ltrim({_num('saved')}) || ' net (' || ltrim({_num('before')}) || ' raw image, ' || blocks || ' block' || CASE WHEN blocks = 1 THEN '' ELSE 's' END || ')'
+      WHEN NOT nothing AND saved > 0 THEN ltrim({_num('saved')}) || ' net (padding only)' WHEN changed AND blocks > 0 THEN 'no change of size (' || ltrim({_num('before')}) || ' raw image)' WHEN changed THEN 'no change of size (padding only)' ELSE 'none' END AS summary FROM t""",
+    fx.ATTEMPTS,
+)
+def cleanup_summary(spark, sf_dir):
+    net = F.when(F.col("k") % 4 == 0, F.lit(0).cast("long")).otherwise(F.col("saved"))
+    return fx.attempts(spark, sf_dir).select("seq", classes.cleanup_summary(net, F.col("before"), F.col("blocks"), F.col("k") % 2 == 0).alias("summary"))
+
+
+@query(
+    "SELECT seq, lpad(CAST(blocks AS VARCHAR), 8, ' ') || ' / ' || lpad(CAST(k AS VARCHAR), 8, ' ') AS pair, (blocks + 1) || '/3' AS attempt, 'Net saved           : ' || saved AS labelled FROM attempts_v",
+    fx.ATTEMPTS,
+)
+def count_texts(spark, sf_dir):
+    return fx.attempts(spark, sf_dir).select("seq", text.count_pair(F.col("blocks"), F.col("k")).alias("pair"), text.attempt_of(F.col("blocks") + 1, F.lit(3)).alias("attempt"), text.label_value("Net saved", F.col("saved").cast("string")).alias("labelled"))

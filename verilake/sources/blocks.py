@@ -2,9 +2,9 @@
 
 A container is a marker ``fLaC`` (perhaps behind other bytes), then blocks of a
 one-byte header (top bit: last block; rest: type), a three-byte length, and the
-content. The walk over the blocks is a fold over the binary column; at most
-MAX_BLOCKS are visited, and a file with more says so. Nothing but slices of the
-content leaves the row.
+content. The walk over the blocks is a fold over the binary column: USUAL steps,
+and for what has not ended by then as many more as the content can hold. Nothing
+but slices of the content leaves the row.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from verilake.functions.classes import has_marker, image_type
 from verilake.functions.text import NULL_MD5
 from verilake.sources.listing import any_case
 
-MAX_BLOCKS = 64
+USUAL = 64
 MAX_BYTES = 1 << 30
 STREAMINFO, PADDING, COMMENT, PICTURE = 0, 1, 4, 6
 
@@ -44,8 +44,15 @@ def marker_at(content: Column) -> Column:
     return F.instr(F.decode(content, "ISO-8859-1"), "fLaC")
 
 
+def _fold(start: Column, ended, most: Column, step) -> Column:
+    """``step`` applied until a state has ended: USUAL times, and then, where it has not, ``most`` times more."""
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(USUAL)), start, step)
+    rest = lambda s: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), most.cast("int"))), s, step)
+    return F.get(F.transform(F.array(first), lambda s: F.when(ended(s), s).otherwise(rest(s))), F.lit(0))
+
+
 def inventory(files: DataFrame) -> DataFrame:
-    """path, size, block_number, type, offset (of the content, from 1), length, is_last, truncated, and the block's content."""
+    """path, size, block_number, type, offset (of the content, from 1), length, is_last, truncated (no last block), and the block's content."""
     shape = "struct<at: bigint, done: boolean, blocks: array<struct<type: int, offset: bigint, length: bigint, is_last: boolean>>>"
     start = F.struct((F.col("marker") + 4).cast("long").alias("at"), (F.col("marker") == 0).alias("done"), F.array().cast("array<struct<type: int, offset: bigint, length: bigint, is_last: boolean>>").alias("blocks")).cast(shape)
 
@@ -59,9 +66,10 @@ def inventory(files: DataFrame) -> DataFrame:
         stopped = F.struct(state["at"].alias("at"), F.lit(True).alias("done"), state["blocks"].alias("blocks"))
         return F.when(ended, stopped.cast(shape)).otherwise(following.cast(shape))
 
+    most = F.call_function("div", F.octet_length("content"), F.lit(4))
     rows = files.withColumn("marker", marker_at(F.col("content")).cast("long"))
-    walked = rows.withColumn("walk", F.aggregate(F.sequence(F.lit(1), F.lit(MAX_BLOCKS)), start, step))
-    out = walked.select("path", "size", "content", (~F.col("walk.done")).alias("truncated"), F.posexplode("walk.blocks").alias("block_number", "b"))
+    walked = rows.withColumn("walk", _fold(start, lambda s: s["done"], most, step))
+    out = walked.select("path", "size", "content", (~F.coalesce(F.element_at("walk.blocks", -1)["is_last"], F.lit(False))).alias("truncated"), F.posexplode("walk.blocks").alias("block_number", "b"))
     return out.select("path", "size", "block_number", "b.*", "truncated", F.expr("substring(content, int(b.offset), int(b.length))").alias("data"))
 
 
@@ -111,10 +119,7 @@ def repeated_pictures(found: DataFrame) -> DataFrame:
 
 
 def strippable_jpeg_bytes(content: Column) -> Column:
-    """Bytes of the APP1 to APP15 and comment segments of a JPEG before its image data; null if it is none.
-
-    At most 256 segments are visited; a picture with more gives null.
-    """
+    """Bytes of the APP1 to APP15 and comment segments of a JPEG before its image data; null if it is none."""
     shape = "struct<at: bigint, sum: bigint, state: int>"  # 0 going, 1 ended well, 2 broken
     make = lambda at, total, state: F.struct(at.cast("long").alias("at"), total.cast("long").alias("sum"), state.cast("int").alias("state")).cast(shape)
 
@@ -133,7 +138,7 @@ def strippable_jpeg_bytes(content: Column) -> Column:
             .otherwise(make(s["at"] + 2 + length, s["sum"] + F.when(strip, length + 2).otherwise(F.lit(0)), F.lit(0)))
         )
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(256)), make(F.lit(3), F.lit(0), F.lit(0)), step)
+    walked = _fold(make(F.lit(3), F.lit(0), F.lit(0)), lambda s: s["state"] != 0, F.octet_length(content), step)
     return F.when((F.hex(F.substring(content, 1, 2)) == "FFD8") & (walked["state"] == 1), walked["sum"])
 
 
@@ -143,7 +148,7 @@ def padding(blocks: DataFrame) -> DataFrame:
 
 
 def comments(blocks: DataFrame) -> DataFrame:
-    """path, comments: the NAME=value texts of each file. At most 1024 of a block are read."""
+    """path, comments: the NAME=value texts of each file."""
     d = F.col("data")
     shape = "struct<at: bigint, left: bigint, found: array<string>>"
     vendor = little_endian(d, F.lit(1))
@@ -152,9 +157,11 @@ def comments(blocks: DataFrame) -> DataFrame:
     def step(s, _):
         n = little_endian(d, s["at"].cast("int"))
         item = F.decode(F.substring(d, (s["at"] + 4).cast("int"), n.cast("int")), "UTF-8")
-        return F.when((s["left"] > 0) & n.isNotNull(), F.struct((s["at"] + 4 + n).alias("at"), (s["left"] - 1).alias("left"), F.concat(s["found"], F.array(item)).alias("found")).cast(shape)).otherwise(s)
+        following = F.struct((s["at"] + 4 + n).alias("at"), (s["left"] - 1).alias("left"), F.concat(s["found"], F.array(item)).alias("found")).cast(shape)
+        broken = F.struct(s["at"].alias("at"), F.lit(0).alias("left"), s["found"].alias("found")).cast(shape)
+        return F.when(s["left"] <= 0, s).when(n.isNull(), broken).otherwise(following)
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(1024)), start, step)
+    walked = _fold(start, lambda s: s["left"] <= 0, F.call_function("div", F.octet_length(d), F.lit(4)), step)
     return blocks.filter(F.col("type") == COMMENT).select("path", walked["found"].alias("comments"))
 
 

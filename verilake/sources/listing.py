@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,24 @@ def any_case(extension: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
+def scan_with_errors(spark: SparkSession, roots: list[str], extension: str = "flac") -> tuple[DataFrame, DataFrame]:
+    """(what ``scan`` lists, path and error of the roots that cannot be listed): one bad root does not end the scan."""
+    good, bad = [], []
+    for root in roots:
+        try:
+            scan(spark, [root], extension)
+            good.append(root)
+        except AnalysisException as e:
+            bad.append((root, e.getCondition() or "UNKNOWN"))
+    nothing = spark.createDataFrame([], "path string, name string, size long, modified timestamp")
+    return scan(spark, good, extension) if good else nothing, spark.createDataFrame(bad, "path string, error string")
+
+
+def read_errors(listed: DataFrame, read: DataFrame) -> DataFrame:
+    """path, error of listed files that a read which skips bad files (``ignoreCorruptFiles``, ``ignoreMissingFiles``) did not give."""
+    return listed.select("path").join(read.select("path").distinct(), "path", "left_anti").withColumn("error", F.lit("UNREADABLE"))
+
+
 def scan(spark: SparkSession, roots: list[str], extension: str = "flac") -> DataFrame:
     """path, name, size, modified of the files under the roots (folders or files).
 

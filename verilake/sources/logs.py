@@ -1,7 +1,8 @@
 """Readers of log files and of texts that tools print.
 
-Files are read whole and cut into numbered lines, so that the order of lines is
-known without a shuffle.
+Logs are read line by line, a large one by many tasks; lines are numbered by the
+place of their block in the file. Reports are read whole: their checksum is of
+the whole text, and they are written in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verilake.operators.catalog import running
+
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """file, line_no (from 0), line of text files."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("line_no", "line"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return running(placed, "file", [F.col("block"), F.col("at")]).select("file", (F.col("nth") - 1).cast("int").alias("line_no"), "line")
 
 
 _BRACKETS = r"^\[([^\]]+)\] \[(INFO|WARN|ERROR|OK|SUCCESS)\] (.*)$"
@@ -78,9 +82,13 @@ def picture_listing(lines: DataFrame) -> DataFrame:
 _FOOTER = r"(?s)^(.*?)\r?\n\r?\n==== Log checksum ([0-9A-Fa-f]{64}) ====\s*$"
 
 
-def report_check(spark: SparkSession, path) -> DataFrame:
-    """file, body, stated and true checksum of report files, and whether they agree, in either case of letters."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+def read_reports(spark: SparkSession, path) -> DataFrame:
+    """file, text of report files."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+
+
+def report_check(whole: DataFrame) -> DataFrame:
+    """file, body, stated and true checksum of reports (file, text), and whether they agree, in either case of letters."""
     body, stated = F.regexp_extract("text", _FOOTER, 1), F.lower(F.regexp_extract("text", _FOOTER, 2))
     return whole.select("file", body.alias("body"), stated.alias("stated"), F.sha2(body, 256).alias("actual")).withColumn("valid", F.col("stated") == F.col("actual"))
 
@@ -90,5 +98,5 @@ def report_files(checked: DataFrame) -> DataFrame:
     sections = F.slice(F.split("body", r"(?:^|\r?\n)File\r?\n", -1), F.lit(2), F.greatest(F.size(F.split("body", r"(?:^|\r?\n)File\r?\n", -1)) - 1, F.lit(0)))
     rows = checked.select("file", F.posexplode(sections).alias("nth", "section"))
     labelled = F.filter(F.split("section", r"\r?\n"), lambda x: x.rlike(r"^ {5}[A-Z][^ ].{18,}") & ~x.startswith("     Filename "))
-    pairs = F.transform(labelled, lambda x: F.struct(F.btrim(F.substring(x, 6, 20)).alias("key"), F.btrim(F.substring(x, 27, 1_000_000)).alias("value")))
+    pairs = F.transform(labelled, lambda x: F.struct(F.btrim(F.substring(x, 6, 20)).alias("key"), F.btrim(F.substring(x, 27, 2_147_483_647)).alias("value")))
     return rows.select("file", "nth", F.regexp_extract("section", r"(?m)^ {5}Filename (.*?)\r?$", 1).alias("filename"), F.map_from_entries(_last_of_each(pairs)).alias("fields"))
