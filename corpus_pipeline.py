@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilake.llm.common import cut, documents
+from verilake.llm.common import documents
 from verilake.llm.langid import identified, train
 from verilake.llm.linedup import without_repeated_lines
 from verilake.llm.neardup import near_duplicates
 from verilake.llm.packing import pack
 from verilake.llm.substrings import without_repeats
+from verilake.sources.scratch import cut
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
