@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import docs_df, documents
@@ -32,19 +33,49 @@ def odd_texts():
     return fixed + ["".join(r.choice(alphabet) for _ in range(r.randrange(30))) for _ in range(2000)] + [t or "" for _, t, *_ in documents()]
 
 
-def test_codec_equals_the_library(byte_bpe, tmp_path):
+def test_codec_equals_the_library(byte_bpe, tmp_path, monkeypatch):
     path = public.path("byte_bpe_50k.json")
     words = sorted({w.encode() for t in odd_texts() for w in bpe.WORD.findall(t)})[::3]
     merge = bpe.vocabulary(path).merge
     (tmp_path / "lexicon").write_bytes(bpe.compile_lexicon((w, merge(w)) for w in words))
     codec = bpe.Codec(path, str(tmp_path / "lexicon"))
     assert all(codec.lexicon.get(w) == merge(w) for w in words) and codec.lexicon.n_words == len(words)
-    for t in odd_texts():
-        ids = byte_bpe.encode(t, add_special_tokens=False).ids
+    want = [byte_bpe.encode(t, add_special_tokens=False).ids for t in odd_texts()]
+    assert [x.tolist() for x in codec.ids_of(pa.array(odd_texts()))] == want
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    assert [x.tolist() for x in bpe.Codec(path).ids_of(pa.array([None, *odd_texts()]).slice(1))] == want  # no lexicon, small slices
+    for t, ids in zip(odd_texts()[:200], want[:200], strict=True):
         assert codec.encode(t) == ids
         assert codec.decode(ids) == byte_bpe.decode(ids, skip_special_tokens=False)
 
 
+def test_merges_of_many_words_equal_those_of_one():
+    v, r = bpe.vocabulary(public.path("byte_bpe_50k.json")), random.Random(5)
+    some = [bytes(r.choice(b"aeinrst lh\xc3\xa9\xf0") for _ in range(r.randrange(1, bpe.LONG + 1))) for _ in range(3000)]
+    stop = np.cumsum([len(w) for w in some])
+    ids, n = v.merge_all(np.frombuffer(b"".join(some), np.uint8), stop - [len(w) for w in some], stop)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [v.merge(w) for w in some]
+
+
+def test_most_words_of_texts_come_from_the_lexicon(spark, sf, tmp_path):
+    """The transducer is asked first, for every word, and knows those that it was built for."""
+    path = public.path("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = bpe.frequent_words(docs, path)
+    merge = bpe.vocabulary(path).merge
+    (tmp_path / "lexicon").write_bytes(bpe.compile_lexicon((w, merge(w)) for w in words))
+    codec, texts = bpe.Codec(path, str(tmp_path / "lexicon")), pa.array([r["text"] for r in docs.select("text").collect()])
+    asked = 0
+    for _, data, edges in bpe.W.slices(texts, bpe.SLICE):
+        which, _, start, stop, _ = codec.distinct(data, edges)
+        known = codec.lexicon.find(data, start, stop) >= 0
+        assert {data[a:b].tobytes() for a, b in zip(start[known], stop[known], strict=True)} <= set(words)
+        assert known[which].mean() > 0.5  # of the words of the texts
+        asked += len(start)
+    list(codec.ids_of(texts))
+    assert codec.asked == asked and codec.known > 0
+
+
 def test_lexicon_shares_suffixes(tmp_path):
     words = [a + b for a in (b"walk", b"talk", b"look") for b in (b"", b"ed", b"ing", b"s")]
     (tmp_path / "x").write_bytes(bpe.compile_lexicon((w, [i]) for i, w in enumerate(words)))
@@ -65,12 +96,12 @@ def test_bpe_query(spark, sf, byte_bpe):
 
 def test_bpe_of_odd_documents(spark, byte_bpe):
     path, docs = public.path("byte_bpe_50k.json"), docs_df(spark)
-    encoded = bpe.encode_documents(docs, path, bpe.publish_lexicon(spark, bpe.frequent_words(docs), path))
+    encoded = bpe.encode_documents(docs, path, bpe.publish_lexicon(spark, bpe.frequent_words(docs, path), path))
     found = sorted(tuple(r["ids"]) for r in encoded.collect())
     assert found == sorted(tuple(byte_bpe.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in documents())
     assert sorted(r["text"] for r in bpe.decode_documents(encoded, path).collect()) == sorted(t or "" for _, t, *_ in documents())
     empty = docs_df(spark, [])
-    assert bpe.round_trips(empty, path, bpe.publish_lexicon(spark, bpe.frequent_words(empty), path)).count() == 0
+    assert bpe.round_trips(empty, path, bpe.publish_lexicon(spark, bpe.frequent_words(empty, path), path)).count() == 0
 
 
 def check_pieces(rows, ids_of):
