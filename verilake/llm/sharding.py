@@ -1,32 +1,40 @@
 """Fixed virtual slots: hash records into slots, give whole slots to shards.
 
-A record's slot depends on its key alone and never changes. What changes is the
+A record's slot depends on its doc_id and text alone and never changes. What changes is the
 slot-to-shard map: a small table of ``slots`` rows with a version. It is made
-once from the bytes of each slot (largest slot to the lightest shard) and edited
-when the load drifts or a shard is added, so that few slots, and no other rows,
-move. The map is the only thing the driver holds; its size is ``slots`` rows,
-whatever the input.
+once (largest slot to the lightest shard) and edited when the load drifts or a
+shard is added, so that few slots, and no other rows, move. The map is the only
+thing the driver holds; its size is ``slots`` rows, whatever the input.
+
+Records that are alike in doc_id and text share a slot, as do rows of neither.
+A slot with over a quarter of a shard's bytes or rows is overfull: its records
+are dealt over all slots by where they lie in the table instead. At most eight
+slots for each shard can be overfull.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verilake.sources.scratch import cut, scratch_path
+
 SLOTS = 4096
 SHARDS = 16
 
 MAP_SCHEMA = "version long, slot int, shard int, shards int"
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
+def slot_of(*key: Column, slots: int = SLOTS) -> Column:
     """The virtual slot of a key; a null key has a slot too."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
 def slot_loads(records: DataFrame, slot: str = "vslot", size: str = "size") -> list[tuple[int, int, int]]:
@@ -60,39 +68,54 @@ class SlotMap:
         return cls(1, shards, tuple(assignment))
 
     def rebalance(self, loads: Iterable[tuple[int, int, int]], shards: int | None = None, tolerance: float = 0.02) -> SlotMap:
-        """The next version: moves slots from shards above the mean to the lightest ones.
+        """The next version: moves slots from the fullest shard to the lightest one.
 
         ``shards`` may grow (new shards take slots) or shrink (slots of the shards
-        that go are moved). A slot moves only if that narrows the gap between the
-        two shards; slots on shards within ``tolerance`` of the mean stay.
+        that go are moved). Slots move, or change places, as long as a shard is
+        more than ``tolerance`` above the mean and that narrows the gap: each time
+        what comes nearest to half of it.
         """
         n = shards or self.shards
         assignment = list(self.assignment)
         size = {slot: b for slot, b, _ in loads}
-        held: list[list[int]] = [[] for _ in range(max(n, self.shards))]
+        held: list[list[tuple[int, int]]] = [[] for _ in range(max(n, self.shards))]  # (bytes, slot), ascending
         for slot, shard in enumerate(assignment):
-            held[shard].append(slot)
-        total = [sum(size.get(s, 0) for s in own) for own in held]
+            held[shard].append((size.get(slot, 0), slot))
+        total = [sum(b for b, _ in own) for own in held]
+        for own in held:
+            own.sort()
         mean = sum(total) / n
 
-        def move(slot: int, to: int) -> None:
-            own = assignment[slot]
-            held[own].remove(slot)
-            held[to].append(slot)
-            total[own] -= size.get(slot, 0)
-            total[to] += size.get(slot, 0)
-            assignment[slot] = to
+        def move(item: tuple[int, int], to: int) -> None:
+            own = assignment[item[1]]
+            held[own].remove(item)
+            insort(held[to], item)
+            total[own] -= item[0]
+            total[to] += item[0]
+            assignment[item[1]] = to
 
         for gone in range(n, self.shards):
-            for slot in sorted(held[gone], key=lambda s: (-size.get(s, 0), s)):
-                move(slot, min(range(n), key=lambda s: (total[s], s)))
-        for heavy in sorted(range(n), key=lambda s: (-total[s], s)):
-            for slot in sorted(held[heavy], key=lambda s: (-size.get(s, 0), s)):
-                if total[heavy] <= mean * (1 + tolerance):
-                    break
-                light = min(range(n), key=lambda s: (total[s], s))
-                if total[light] + size.get(slot, 0) < total[heavy]:
-                    move(slot, light)
+            for item in held[gone][::-1]:
+                move(item, min(range(n), key=lambda s: (total[s], s)))
+        while True:
+            heavy, light = max(range(n), key=lambda s: (total[s], -s)), min(range(n), key=lambda s: (total[s], s))
+            gap = total[heavy] - total[light]
+            if total[heavy] <= mean * (1 + tolerance) or gap < 2:
+                break
+            best = None  # (how far from half the gap, the slot to move, the one that comes back for it)
+            for back in [None, *held[light]]:
+                at = bisect_left(held[heavy], (gap / 2 + (back[0] if back else 0), 0))
+                for item in held[heavy][max(0, at - 1) : at + 1]:
+                    moved = item[0] - (back[0] if back else 0)
+                    if 0 < moved < gap and (best is None or abs(moved - gap / 2) < best[0]):
+                        best = abs(moved - gap / 2), item, back
+                if best and back is None and best[0] < gap / 4:
+                    break  # one slot does it
+            if best is None:
+                break
+            move(best[1], light)
+            if best[2]:
+                move(best[2], heavy)
         return SlotMap(self.version + 1, n, tuple(assignment))
 
     def to_df(self, spark: SparkSession) -> DataFrame:
@@ -100,8 +123,18 @@ class SlotMap:
         return spark.createDataFrame(rows, MAP_SCHEMA)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the table at ``path``; older versions stay readable."""
-        self.to_df(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Add this version to the table at ``path``, or put it there again; older versions stay readable."""
+        self.to_df(spark).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+
+    @staticmethod
+    def stored(spark: SparkSession, path: str) -> bool:
+        """Whether there is a version at ``path``."""
+        try:
+            return not spark.read.schema(MAP_SCHEMA).parquet(path).isEmpty()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -119,28 +152,30 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     the CRC of no bytes, 0. Other columns are dropped.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("vslot"))
+    slot = slot_of(F.col("doc_id"), F.col("text"), slots=slots)
+    return docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot.alias("vslot"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
-    """Place every document: shard and its position there, gapless from 0.
-
-    Repeated rows and rows of one doc_id share a virtual slot; a null doc_id has
-    one as well; an empty table gives no rows. Positions come from row numbers
-    within each virtual slot plus the rows of the shard's earlier slots, so no
-    task sorts a whole shard.
-    """
-    spark = docs.sparkSession
-    records = sized(docs, slots)
+def _dealt(docs: DataFrame, shards: int, slots: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """The records as a written table, those of overfull slots dealt anew, and the loads of the slots."""
+    records = cut(sized(docs, slots).withColumn("at", F.monotonically_increasing_id()))
     loads = slot_loads(records)
-    slot_map = slot_map or SlotMap.build(loads, shards, slots)
+    bound = [sum(x[k] for x in loads) / (4 * shards) for k in (1, 2)]
+    over = [slot for slot, b, n in loads if n > 1 and (b > bound[0] or n > bound[1])]
+    if over:
+        records = records.withColumn("vslot", F.when(F.col("vslot").isin(over), slot_of(F.col("vslot"), F.col("at"), slots=slots)).otherwise(F.col("vslot")))
+        loads = slot_loads(records)
+    return records, loads
+
+
+def _placed(records: DataFrame, loads: list[tuple[int, int, int]], slot_map: SlotMap) -> DataFrame:
     n_rows = {slot: n for slot, _, n in loads}
     at = [0] * slot_map.shards
     rows = []
     for vslot, to in enumerate(slot_map.assignment):
         rows.append((vslot, to, at[to]))
         at[to] += n_rows.get(vslot, 0)
-    where = spark.createDataFrame(rows, "vslot int, shard int, before long")  # `slots` rows
+    where = records.sparkSession.createDataFrame(rows, "vslot int, shard int, before long")  # `slots` rows
     order = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     return (
         records.withColumn("nth", F.row_number().over(order) - 1)
@@ -149,7 +184,33 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: S
     )
 
 
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
+    """Place every document: shard and its position there, gapless from 0.
+
+    Without a map, one is made from the slots' bytes. Rows alike in doc_id and
+    text share a virtual slot, null or not, unless that is overfull; an empty
+    table gives no rows. Positions come from row numbers within each virtual slot
+    plus the rows of the shard's earlier slots, so no task sorts a whole shard.
+    """
+    records, loads = _dealt(docs, slot_map.shards if slot_map else shards, slots)
+    return _placed(records, loads, slot_map or SlotMap.build(loads, shards, slots))
+
+
+def shard_by_stored_map(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS, tolerance: float = 0.0) -> DataFrame:
+    """As ``shard``, with the map in the table at ``path``: its last version is edited for today's bytes, and stored.
+
+    Where none is stored, the first version deals out slots by their rows, as for
+    records whose sizes are not known yet.
+    """
+    spark = docs.sparkSession
+    records, loads = _dealt(docs, shards, slots)
+    if not SlotMap.stored(spark, path):
+        SlotMap.build(((slot, n, n) for slot, _, n in loads), shards, slots).save(spark, path)
+    SlotMap.load(spark, path).rebalance(loads, shards, tolerance).save(spark, path)
+    return _placed(records, loads, SlotMap.load(spark, path))
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: all documents in 16 shards of near equal bytes."""
-    placed = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Query: all documents in 16 shards of near equal bytes, by a map that is made, stored, edited and stored again."""
+    placed = shard_by_stored_map(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_path(spark, "slot-map"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
