@@ -15,9 +15,9 @@ from pyspark.sql.window import Window
 
 K = 128
 SHINGLE = 5
-#: Cells into which the range of doc_id is cut to deal it out in order.
+#: Windows that share the documents, about, where these are many.
 CELLS = 65536
-#: Rows that share a window, on average.
+#: Documents of a window where they are few.
 ROWS_PER_BUCKET = 256
 
 
@@ -85,44 +85,81 @@ def fingerprint(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
+def _leaves(ids: DataFrame, limit: int) -> list[tuple[int, int | None, int, int | None]]:
+    """(shift, cell, rows, largest id) of cells of doc_id >> shift, from the largest id down, nulls last.
+
+    The range of ids is cut into 2**16 cells, and a cell of more than ``limit``
+    rows into 2**8 finer ones, over and over, down to a single id. At most
+    rows / limit cells are cut at a time, so that few counts reach the driver.
+    """
+    low, high, nulls = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    found: list[tuple[int, int | None, int, int | None]] = []
+    if low is not None:
+        shift = 48 if (low < 0) != (high < 0) else max(0, (low ^ high).bit_length() - 16)
+        rows = ids.filter("doc_id IS NOT NULL")
+        while True:
+            cell = F.shiftright("doc_id", shift).alias("cell")
+            cells = rows.groupBy(cell).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).collect()
+            full = [(r["cell"],) for r in cells if r["n"] > limit and shift]
+            found += [(shift, r["cell"], r["n"], r["top"]) for r in cells if r["n"] <= limit or not shift]
+            if not full:
+                break
+            parents = ids.sparkSession.createDataFrame(full, "parent long")
+            rows = rows.join(F.broadcast(parents), F.shiftright("doc_id", shift) == F.col("parent"), "left_semi")
+            shift = max(0, shift - 8)
+    found.sort(key=lambda x: -x[3])
+    return [*found, (0, None, nulls, None)] if nulls else found
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, and bucket: every bucket is a run of descending doc_ids.
 
     A bucket also gets one row with ``after`` set, which has the text of the first
-    row behind it (behind the last bucket: of the first one). Ids are counted in
-    CELLS cells of their range, and neighbouring cells make up a bucket; the
-    counts and the buckets' largest ids are at most CELLS rows.
+    row behind it (behind the last bucket: of the first one). Neighbouring cells
+    of ids make up a bucket; one id with the rows of many buckets has as many,
+    over which its rows are dealt by text and input partition, so that equal rows
+    spread too. Cells, buckets and their largest ids are numbers by the 65,536ths
+    of the rows, whatever their sum.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, span = low or 0, max(1, (high or 0) - (low or 0))
-    at = F.floor((F.col("doc_id") - low).cast("double") / float(span) * CELLS)
-    cell = F.when(F.col("doc_id").isNull(), -1).otherwise(F.least(F.lit(CELLS - 1), at)).cast("int")
-    docs = docs.withColumn("cell", cell)
-    cells = sorted((r["cell"], r["n"], r["top"]) for r in docs.groupBy("cell").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).collect())
-    bucket_of, tops, filled = [], [], ROWS_PER_BUCKET
-    for at, n, top in cells:
-        if filled + n > ROWS_PER_BUCKET:
-            tops.append(top)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    limit = max(ROWS_PER_BUCKET, -(-docs.count() // CELLS))
+    where: dict[int, list[tuple[int | None, int, int]]] = {}
+    tops, filled = [], limit
+    for shift, cell, n, top in _leaves(docs.select("doc_id"), limit):
+        pieces = -(-n // limit)
+        if pieces > 1 or filled + n > limit or cell is None:
+            first = len(tops)
+            tops += [top] * pieces
             filled = 0
-        filled += n
-        tops[-1] = top
-        bucket_of.append((at, len(tops) - 1))
-    before = [(tops[b - 1], b) for b in range(len(tops))]  # below bucket 0 comes the top one
-    where = F.broadcast(spark.createDataFrame(bucket_of, "cell int, bucket int"))
-    heads = F.broadcast(spark.createDataFrame(before, "top long, bucket int"))
-    after = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
-    rows = docs.join(where, "cell").select("bucket", "doc_id", "text", F.lit(False).alias("after"))
-    return rows.unionByName(after.select("bucket", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("after")))
+        else:
+            first = len(tops) - 1
+        filled = limit if pieces > 1 else filled + n
+        where.setdefault(shift, []).append((cell, first, pieces))
+    rows = docs.withColumn("bucket", F.lit(None).cast("int")).withColumn("pieces", F.lit(None).cast("int"))
+    for shift, cells in where.items():
+        own = F.broadcast(spark.createDataFrame(cells, "cell long, own_bucket int, own_pieces int"))
+        rows = rows.join(own, F.shiftright("doc_id", shift).eqNullSafe(F.col("cell")), "left")
+        rows = rows.select("doc_id", "text", F.coalesce("bucket", "own_bucket").alias("bucket"), F.coalesce("pieces", "own_pieces").alias("pieces"))
+    dealt = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("text", F.spark_partition_id()), F.col("pieces")).cast("int")).otherwise(0)
+    rows = rows.select((F.col("bucket") + dealt).alias("bucket"), "doc_id", "text")
+    heads = F.broadcast(spark.createDataFrame(list(enumerate(tops)), "top_bucket int, top long"))
+    firsts = rows.join(heads, (F.col("bucket") == F.col("top_bucket")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
+    # a bucket that got no row hands on what it is handed: the next bucket that has one comes after
+    following = F.coalesce(F.lag("bucket").over(Window.partitionBy(F.lit(0)).orderBy("bucket")), F.max("bucket").over(Window.partitionBy(F.lit(0))))
+    after = firsts.select("bucket", "text")
+    before = firsts.select("bucket").withColumn("goes_to", following)  # one number a bucket
+    after = after.join(F.broadcast(before), "bucket").select(F.col("goes_to").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("after"))
+    return rows.withColumn("after", F.lit(False)).unionByName(after)
 
 
 def edited_likeness(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
     """Sketches of every text and of its edited form, and how alike they are.
 
     The edited form has the last third of the characters replaced by the first as
-    many of the next document, in descending order of doc_id (equal ids: by text;
-    null ids last; after the last: the first). A null text is an empty one; two
+    many of the next document, in descending order of doc_id (equal ids: by text,
+    or, if they are so many that tasks share them, by a deal of the texts; null
+    ids last; after the last: the first). A null text is an empty one; two
     empty sketches are alike (1). One document alone is its own next. Other
     columns are dropped.
     """
