@@ -1,39 +1,43 @@
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import ascii_lower, docs_df, documents
 from tests.oracle import connect, spark_rows, sql_rows
-from verilake.llm import linedup
+from verilake.llm import linedup, words
 from verilake.llm.queries import ORACLES, QUERIES
 
 
-def brute(rows, t=0.8):
-    """Line numbers that go, by doc_id; rows of one doc_id and text are one document."""
+def brute(rows, order, t=0.8):
+    """Line numbers that go, by doc_id and text; rows alike in both are one document. order: a place for each text."""
     lines = {}
     for doc_id, text, *_ in rows:
         if doc_id is not None and text:
             for k, x in enumerate(text.split("\n")):
-                w = ascii_lower(x).split()
-                if len(w) >= linedup.MIN_WORDS:
-                    lines[doc_id, k] = frozenset(w)
+                if w := ascii_lower(x).split():
+                    lines[doc_id, order[text], k, text] = frozenset(w)
     gone = {}
     places = sorted(lines)
     for a, p in enumerate(places):
         x = lines[p]
         if any(10 * len(x & lines[q]) >= 10 * t * len(x | lines[q]) - 1e-9 for q in places[:a]):
-            gone.setdefault(p[0], []).append(p[1])
+            gone.setdefault((p[0], p[3]), []).append(p[2])
     return gone
 
 
 def check(spark, rows):
-    found = linedup.find_repeated_lines(docs_df(spark, rows)).collect()
-    want = brute(rows)
-    texts = {(i, t) for i, t, *_ in rows}
-    assert len(found) == len(rows)
-    for r in found:
-        assert r["removed"] == want.get(r["doc_id"], [])
-        assert any(i == r["doc_id"] and (t is None and r["text"] is None or t is not None and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in r["removed"]) == r["text"]) for i, t in texts)
+    docs = docs_df(spark, rows)
+    found = linedup.find_repeated_lines(docs).collect()
+    order = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    want = brute(rows, order)
+    expected = Counter()
+    for i, x, *_ in rows:
+        gone = want.get((i, x), [])
+        expected[i, x if x is None else "\n".join(y for k, y in enumerate(x.split("\n")) if k not in gone), tuple(gone)] += 1
+    assert Counter((r["doc_id"], r["text"], tuple(r["removed"])) for r in found) == expected
 
 
 def test_equals_brute_force(spark):
@@ -58,6 +62,50 @@ def test_families_of_similar_lines(spark, monkeypatch, run):
     check(spark, rows)
 
 
+def test_rows_that_share_a_doc_id_lose_only_their_own_lines(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven"
+    row = lambda i, x: (i, x, None, None, None)
+    check(spark, [row(0, a), row(1, b), row(1, a)])
+    check(spark, [row(1, b), row(1, a), row(2, f"{a} x\n{a}")])
+    check(spark, [row(1, b), row(1, b), row(1, a + "\n" + b), row(1, None), row(None, a)])
+
+
+def test_short_lines_are_compared(spark):
+    row = lambda i, x: (i, x, None, None, None)
+    check(spark, [row(0, "Read more\na b c d\n\nx"), row(1, "read MORE\nd c b a\n\nX"), row(2, "a b c d e\na b c\na b c d\nm n o p q r"), row(3, "m n o p q\n \n\t\n日本語")])
+
+
+def test_one_hot_line(spark):
+    """A line that every document has, and near forms of it."""
+    hot = "this very line is in every document of the table"
+    check(spark, [(i, f"own{i} words{i} of{i} document{i}\n{hot}{' again' * (i % 3 == 1)}\n{hot}", None, None, None) for i in range(300)])
+
+
+def test_lines_and_texts_of_a_batch_keep_apart():
+    """Lines at the ends of texts, empty texts, and a word on either side of an edge."""
+    texts = ["a b\n", "", "\n", "c", "d\n\ne f e", None, "\n\ng", "x" * 100 + "\n" + "X" * 100]
+    own = linedup._LineSets(*next(words.slices(pa.array(texts)))[1:], np.arange(linedup.RARITY, dtype=np.uint64))
+    assert list(zip(own.text.tolist(), own.line.tolist(), own.sizes.tolist(), strict=True)) == [(0, 0, 2), (3, 0, 1), (4, 0, 1), (4, 2, 2), (6, 2, 1), (7, 0, 1), (7, 1, 1)]
+    ids = own.digests()[0].tolist()
+    assert ids[-1] == ids[-2] and len(set(ids)) == 6
+
+
+@pytest.mark.parametrize("block", [16, 1 << 18])
+def test_word_hashes_depend_on_the_word_alone(monkeypatch, block):
+    monkeypatch.setattr(words, "BLOCK", block)
+    monkeypatch.setattr(words, "_STEP", pow(words._BASE, block, 1 << 64))
+    monkeypatch.setattr(words, "_BACK", pow(words._BASE, -block, 1 << 64))
+    texts = [t for _, t, *_ in documents()]
+    seen = {}
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["x", *texts]).slice(1)):
+        for _, data, edges in words.slices(column, 5000):
+            start, stop = words.spans(data, edges)
+            for h, a, b in zip(words.hashes(data, start, stop).tolist(), start.tolist(), stop.tolist(), strict=True):
+                assert seen.setdefault(data[a:b].tobytes().lower(), h) == h
+    assert set(seen) == {w for t in texts if t for w in t.encode().lower().split()}
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_empty_table(spark):
     assert linedup.find_repeated_lines(docs_df(spark, [])).count() == 0
 

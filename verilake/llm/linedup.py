@@ -1,22 +1,26 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its lower-case words. Lines of equal sets are one class; its
-first occurrence is the class's place. Two classes match if their Jaccard
-similarity is THRESHOLD or more. A line goes if an earlier line matches it.
+A line is the set of its lower-case words, however few; lines without a word are
+not compared. Lines of equal sets are one class; its first occurrence is the
+class's place. Two classes match if their Jaccard similarity is THRESHOLD or
+more. A line goes if an earlier line matches it: earlier is by doc_id, then (for
+rows that share it) by the text's hash, then by line.
 
 The join orders the words of a line by rarity. Two matching lines must share one
 of the first n - ceil(t * n) + 1 words (prefix filter), their sizes must be
-within t of each other (length filter), and so many prefix words must be shared
-that the words behind the prefixes can make up the overlap that t asks for
-(positional filter). What passes is verified on the full sets. Rarity comes from counts in RARITY hashed
+within t of each other (length filter), and at the first word that they share
+enough words must be left behind it in both (positional filter). What passes is
+verified on the full sets. Rarity comes from counts in RARITY hashed
 buckets over all lines: any order gives the same matches, a rare-first one gives
 few candidates.
 
 Prefix words travel as packed arrays, dealt by word, and are sorted and paired
 in numpy; a bitmap of each set rules out most pairs that share a word by chance.
 A line is first verified against a few lines of the run and against its earliest
-one; only those left without a match are compared with all earlier lines of the
-run, in blocks. No run is cut short.
+one; only those left without a match go on. They are dealt by the word and one
+more: two matching lines that share a word of their prefixes share two of
+prefixes that are one word longer. Each is compared with the earlier lines of
+such a run, in blocks. No run is cut short.
 """
 
 from __future__ import annotations
@@ -25,16 +29,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilake.llm.common import cut
-from verilake.llm.setsketch import mix
+from verilake.llm import words as W
+from verilake.sources.scratch import cut
 
 THRESHOLD = 0.8
-#: Shorter lines say too little and stay.
-MIN_WORDS = 5
 RARITY = 1 << 18
 #: Longer runs of a word are not paired at once.
 RUN = 4096
@@ -44,102 +45,64 @@ BLOCK = 512
 #: Packed words that meet in one task, about; partners checked against one line in one task.
 PART = 500_000
 CHECKED = 256
+#: A class with a HOTth of all lines meets them where they lie; at most HOT classes have so many.
+HOT = 10_000
 
-#: A prefix word of a line: 32 bits of its hash, the class (64 bits of the set's digest), the set's size and bitmap.
-_ENTRY = np.dtype([("word", "<u4"), ("n", "<i4"), ("id", "<i8"), ("bits", "<u8", 2)])
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A prefix word of a line: 48 bits (rank and hash), the set's size, the word's place in it, the class (half of the set's digest), and a bitmap.
+_ENTRY = np.dtype([("word", "<u8"), ("n", "<i4"), ("at", "<i4"), ("id", "<i8"), ("bits", "<u8", 2)])
+_LOW = np.uint64(2**48 - 1)
+_REST = np.uint64(2**30 - 1)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    words = raw.lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def lines_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
+def _ranked_words(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """48 bits of each word, which ascend from rare to frequent: the rank of its bucket, then 30 bits of its hash."""
+    return (ranks[h >> np.uint64(46)] << np.uint64(30)) | ((h >> np.uint64(16)) & _REST)
 
 
 class _LineSets:
-    """The word sets of the lines of a text that are long enough.
+    """The word sets of the lines of some texts.
 
-    ``words`` are 48 bits of word hashes, ascending in each set; ``at`` is the set's number.
+    ``words`` ascend in each set; ``at`` is the set's number. Of each set there
+    is the text that it is of, the line there, its size and its digest.
     """
 
-    def __init__(self, text: str | None):
-        raw = text.encode("utf-8", "surrogatepass") if text else b""
-        h = self.all_words = word_hashes(raw) >> np.uint64(16)
-        starts = np.flatnonzero(np.diff(_SPACE[np.frombuffer(raw, np.uint8)].view(np.int8), prepend=1) == -1)
-        line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), starts).astype(np.uint64)
-        keep = np.bincount(line.astype(np.int64), minlength=1)[line.astype(np.int64)] >= MIN_WORDS
-        h, line = h[keep], line[keep]
-        if len(line) and int(line[-1]) < 1 << 16:
-            both = np.sort((line << np.uint64(48)) | h)
-            h, line = both & np.uint64(2**48 - 1), both >> np.uint64(48)
-        else:
-            order = np.lexsort((h, line))
-            h, line = h[order], line[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        self.words, line = h[fresh], line[fresh]
-        opens = np.ones(len(line), bool)
-        opens[1:] = line[1:] != line[:-1]
-        first = np.flatnonzero(opens)
-        self.lines, self.at = line[first].astype(np.int64), np.cumsum(opens) - 1
-        self.starts = np.concatenate((first, [len(line)]))
+    def __init__(self, data: np.ndarray, edges: np.ndarray, ranks: np.ndarray):
+        start, stop = W.spans(data, edges)
+        w = _ranked_words(W.hashes(data, start, stop), ranks)
+        breaks = np.flatnonzero(data == 10) + 1
+        n_lines = np.diff(np.searchsorted(breaks, edges, "right")) + 1
+        opens = np.sort(np.concatenate((edges[:-1], breaks)), kind="stable")
+        line = np.searchsorted(opens, start, "right") - 1
+        fresh = np.ones(len(line), bool)
+        fresh[1:] = line[1:] != line[:-1]
+        own = line[fresh]
+        number = np.cumsum(fresh) - 1
+        kept = []
+        for low in range(0, len(own), 1 << 16):
+            a, b = np.searchsorted(number, (low, low + (1 << 16)))
+            both = np.sort(((number[a:b] - low).astype(np.uint64) << np.uint64(48)) | w[a:b])
+            both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+            kept.append((both & _LOW, (both >> np.uint64(48)).astype(np.int64) + low))
+        self.words, self.at = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.starts = np.searchsorted(self.at, np.arange(len(own) + 1))
         self.sizes = np.diff(self.starts)
+        first = np.concatenate(([0], np.cumsum(n_lines)))
+        self.text = np.searchsorted(first, own, "right") - 1
+        self.line = own - first[self.text]
+
+    def _summed(self, values: np.ndarray, how=np.add) -> np.ndarray:
+        return how.reduceat(values, self.starts[:-1]) if len(self.sizes) else np.zeros(0, np.uint64)
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit halves of a digest of each set."""
+        return tuple(self._summed(W.mix(self.words * np.uint64(c))).view(np.int64) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
     def bitmaps(self) -> np.ndarray:
         """128 bits for each set: the exclusive or of one bit for each word."""
-        bit = self.words >> np.uint64(41)
+        bit = W.mix(self.words) >> np.uint64(57)
         one = np.uint64(1) << (bit & np.uint64(63))
         low = bit < 64
-        if not len(self.lines):
-            return np.zeros((0, 2), np.uint64)
-        return np.stack([np.bitwise_xor.reduceat(np.where(m, one, np.uint64(0)), self.starts[:-1]) for m in (low, ~low)], 1)
-
-    def digests(self) -> list[bytes]:
-        raw, cuts = self.words.tobytes(), (8 * self.starts).tolist()
-        return [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _ids(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), "<i8")[::2]
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """Lines that are long enough as doc_id, line (from 0), id, digest, n (of the word set); and word counts.
-
-    A row of a null doc_id has in line a bucket of words and in n their occurrences in the texts of one task.
-    """
-    names = ["doc_id", "line", "id", "digest", "n"]
-
-    def run(batches):
-        counts = np.zeros(RARITY, np.int64)
-        for batch in batches:
-            ids, lines, digests, sizes = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = _LineSets(text)
-                np.add.at(counts, own.all_words % np.uint64(RARITY), 1)
-                ids += [doc_id] * len(own.lines)
-                lines.append(own.lines)
-                digests += own.digests()
-                sizes.append(own.sizes)
-            lines, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (lines, sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines.astype(np.int32)), pa.array(_ids(digests)), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int64))], names)
-        at = np.flatnonzero(counts)
-        nothing = [None] * len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(nothing, pa.int64()), pa.array(at.astype(np.int32)), pa.array(nothing, pa.int64()), pa.array(nothing, pa.binary()), pa.array(counts[at])], names)
-
-    return docs.mapInArrow(run, "doc_id long, line int, id long, digest binary, n long")
-
-
-def _rarity(table: DataFrame) -> np.ndarray:
-    """Occurrences of words by bucket over all texts: RARITY numbers."""
-    rows = table.filter("doc_id IS NULL").groupBy("line").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(RARITY, np.int64)
-    counts[rows["line"]] = rows["n"]
-    return counts
+        return np.stack([self._summed(np.where(m, one, np.uint64(0)), np.bitwise_xor) for m in (low, ~low)], 1)
 
 
 def _overlap(a, b, t: float):
@@ -151,36 +114,63 @@ def _prefix_size(n, t: float):
     return n - np.ceil(t * n - 1e-9) + 1
 
 
-def _room(a, b, t: float):
-    """Prefix words that two sets must share: the longer rest behind a prefix holds the others at most."""
-    return np.maximum(1, _overlap(a, b, t) - np.maximum(a - _prefix_size(a, t), b - _prefix_size(b, t)))
-
+def _ranks(docs: DataFrame) -> np.ndarray:
+    """The place of each bucket of words from rare to frequent, by counts over all texts: RARITY numbers."""
+    piece = 1024  # buckets that travel together
 
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    """The place of each bucket from rare to frequent."""
+    def count(batches):
+        counts = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for _, data, edges in W.slices(batch.column(0)):
+                counts += np.bincount(W.hashes(data, *W.spans(data, edges)) >> np.uint64(46), minlength=RARITY)
+        rows = counts.reshape(-1, piece)
+        at = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([rows[k].tobytes() for k in at.tolist()], pa.binary())], ["piece", "counts"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(counts, np.int64)
+                total[k] = total[k] + own if k in total else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
+
+    schema = "piece int, counts binary"
+    counts = np.zeros((RARITY // piece, piece), np.int64)
+    for r in docs.select("text").mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).collect():
+        counts[r["piece"]] += np.frombuffer(r["counts"], np.int64)
     ranks = np.empty(RARITY, np.uint64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(RARITY, dtype=np.uint64)
+    ranks[np.argsort(counts.ravel(), kind="stable")] = np.arange(RARITY, dtype=np.uint64)
     return ranks
 
 
-def _by_rarity(words: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Words of each set from rare to frequent, as 48 bits: the rank, then the rest of the hash."""
-    keys = (ranks[words % np.uint64(RARITY)] << np.uint64(30)) | (words // np.uint64(RARITY))
-    if len(at) and at[-1] < 1 << 16:
-        return np.sort((at.astype(np.uint64) << np.uint64(48)) | keys) & np.uint64(2**48 - 1)
-    return keys[np.lexsort((keys, at))]
+def line_table(docs: DataFrame, known) -> DataFrame:
+    """doc_id, text_id, line (from 0), and the digest (id, more) and size n of the word set of every line that has a word."""
+    names = ["doc_id", "text_id", "line", "id", "more", "n"]
+
+    def run(batches):
+        for batch in batches:
+            for row, data, edges in W.slices(batch.column(2)):
+                own = _LineSets(data, edges, known.value)
+                at = pa.array(own.text + row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(own.line.astype(np.int32)), *map(pa.array, own.digests()), pa.array(own.sizes.astype(np.int32))], names)
+
+    return docs.mapInArrow(run, "doc_id long, text_id long, line int, id long, more long, n int")
 
 
 def _prefixes(docs: DataFrame, known, parts: int, t: float) -> DataFrame:
-    """part, entries: the prefix words of every line, packed, dealt by word."""
+    """part, entries: the prefix words of every line, packed, dealt by word.
+
+    Sets of so few words that only an equal one can match have none.
+    """
 
     def run(batches):
-        ranks, seen, held, n = known.value, set(), [], 0
+        seen, held, n = set(), [], 0
 
         def flush():
             nonlocal held, n
             entries = np.concatenate(held) if held else np.zeros(0, _ENTRY)
-            part = (mix(entries["word"].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            part = (W.mix(entries["word"]) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             entries, part = entries[order], part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
@@ -190,40 +180,42 @@ def _prefixes(docs: DataFrame, known, parts: int, t: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(part[firsts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "entries"])
 
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                own = _LineSets(text)
-                if not len(own.lines):
-                    continue
-                ids = _ids(own.digests())
+            for _, data, edges in W.slices(batch.column(0)):
+                own = _LineSets(data, edges, known.value)
+                ids, _ = own.digests()
+                _, first = np.unique(ids, return_index=True)
+                fresh = np.zeros(len(ids), bool)
+                fresh[first] = True
+                fresh &= own.sizes >= t * (own.sizes + 1) - 1e-9  # smaller sets have only equal ones at t
+                fresh &= np.array([x not in seen for x in ids.tolist()], bool)  # a task's repeats of a line add nothing
                 if len(seen) > 500_000:
                     seen.clear()
-                own_ids = ids.tolist()
-                fresh = np.array([x not in seen for x in own_ids])  # a task's repeats of a line add nothing
-                seen.update(own_ids)
-                words, at = _by_rarity(own.words, ranks, own.at), own.at
-                keep = fresh[at] & (np.arange(len(at)) - own.starts[at] < _prefix_size(own.sizes, t)[at])
-                e = np.zeros(int(keep.sum()), _ENTRY)
-                e["word"], e["id"], e["n"], e["bits"] = mix(words[keep]) >> np.uint64(32), ids[at[keep]], own.sizes[at[keep]], own.bitmaps()[at[keep]]
+                seen.update(ids[fresh].tolist())
+                keep = fresh[own.at] & (np.arange(len(own.at)) - own.starts[own.at] < _prefix_size(own.sizes, t)[own.at])
+                e, at = np.zeros(int(keep.sum()), _ENTRY), own.at[keep]
+                e["word"], e["id"], e["n"], e["bits"] = own.words[keep], ids[at], own.sizes[at], own.bitmaps()[at]
+                e["at"] = np.flatnonzero(keep) - own.starts[at]
                 held.append(e)
                 n += len(e)
                 if n > 1_000_000:
                     yield flush()
         yield flush()
 
-    return docs.mapInArrow(run, "part int, entries binary")
+    return docs.select("text").mapInArrow(run, "part int, entries binary")
 
 
 def _run_pairs(t: float):
     """Of the packed entries of a part: pairs of classes to verify (kind 0), entries that wait (kind 1).
 
-    Two classes of a word's run are a pair if their sizes, and the number of bits
-    in which their bitmaps differ, leave room for the overlap: an exclusive or
-    differs in no more bits than the sets do in words. A class's first pairs are
-    given out; if there are more, the classes of the rest wait with the word.
+    Two classes of a word's run are a pair if their sizes, the words left behind
+    this one, and the number of bits in which their bitmaps differ, leave room
+    for the overlap: an exclusive or differs in no more bits than the sets do in
+    words. A class's first pairs are given out; if there are more, the classes of
+    the rest wait with the word.
     """
 
     def pair_up(e: np.ndarray):
-        e = e[np.lexsort((e["id"], e["word"]))]
+        e = e[np.lexsort((e["id"], e["n"], e["word"]))]
         fresh = np.ones(len(e), bool)
         fresh[1:] = (e["word"][1:] != e["word"][:-1]) | (e["id"][1:] != e["id"][:-1])
         e = e[fresh]
@@ -235,13 +227,17 @@ def _run_pairs(t: float):
         waits = np.repeat(length > RUN, length)
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         later, back = np.flatnonzero((place > 0) & ~waits), 1
-        n, low, high = e["n"], e["bits"][:, 0], e["bits"][:, 1]
+        n, left, low, high = e["n"].astype(np.int64), (e["n"] - e["at"]).astype(np.int64), e["bits"][:, 0].copy(), e["bits"][:, 1].copy()
         while len(later):
-            a, b = later, later - back
-            ok = np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9
-            a, b = a[ok], b[ok]
+            b = later - back
+            ok = n[b] >= t * n[later] - 1e-9  # sizes ascend: none further back is nearer
+            later, b = later[ok], b[ok]
+            a, both = later, n[later] + n[b]
+            need = t / (1 + t) * both - 1e-9
+            ok = np.minimum(left[a], left[b]) >= need
+            a, b, both, need = a[ok], b[ok], both[ok], need[ok]
             differ = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
-            ok = (n[a].astype(np.int64) + n[b] - differ) // 2 >= _overlap(n[a].astype(float), n[b], t)
+            ok = (both - differ) // 2 >= need
             x.append(a[ok])
             y.append(b[ok])
             back += 1
@@ -263,9 +259,10 @@ def _run_pairs(t: float):
         def flush():
             pairs, members = pair_up(np.concatenate(held) if held else np.zeros(0, _ENTRY))
             held.clear()
-            kind = np.repeat(np.array([0, 1], np.int32), (len(pairs), len(members)))
-            columns = (pairs[:, 0], members["id"]), (pairs[:, 1], members["word"].astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(c)) for c in columns)], ["kind", "x", "y"])
+            none = pa.nulls(len(pairs), pa.int64())
+            waiting = [members["id"], members["word"].astype(np.int64), members["n"].astype(np.int64), members["bits"][:, 0].view(np.int64), members["bits"][:, 1].view(np.int64)]
+            columns = [pa.concat_arrays([pa.array(a), pa.array(b)]) for a, b in zip(pairs.T, waiting[:2], strict=True)] + [pa.concat_arrays([none, pa.array(b)]) for b in waiting[2:]]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), (len(pairs), len(members)))), *columns], ["kind", "x", "y", "n", "low", "high"])
 
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -279,34 +276,48 @@ def _run_pairs(t: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
-    """Those of the distinct pairs (x, y) of digests that match; texts: digest, text of a line."""
+    """x of those of the distinct pairs (x, y) of classes that match; texts: id, text of a line."""
     salts = pairs.groupBy("y").agg(F.ceil(F.count("*") / CHECKED).cast("int").alias("salts"))
     members = pairs.join(salts, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"))
     firsts = salts.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth"))
-    rows = members.unionByName(firsts).join(texts, F.col("x") == F.col("digest")).select("y", "salt", "nth", "x", "text")
+    rows = members.unionByName(firsts).join(texts, F.col("x") == F.col("id")).select("y", "salt", "nth", "x", "text")
     spread = rows.repartition("y", "salt").sortWithinPartitions("y", "salt", "nth")
 
     def run(batches):
         own: set[bytes] = set()
         for batch in batches:
-            found = ([], [])
-            for y, _, nth, x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = []
+            for _, _, nth, x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(text.lower().split())
                 if nth == 0:
                     own = words
                 elif len(own & words) >= _overlap(len(own), len(words), t):
-                    found[0].append(x)
-                    found[1].append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["x", "y"])
+                    found.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["id"])
 
-    return spread.mapInArrow(run, "x binary, y binary")
+    return spread.mapInArrow(run, "id long").distinct()
 
 
-def _blocks(t: float, known):
-    """Unmatched lines that match an earlier line of a long run, on their full sets.
+def _in_finer_runs(members: DataFrame, known, t: float) -> DataFrame:
+    """Members (word, id, place, free, text) by the word and each other word of a prefix that is one word longer."""
+
+    def run(batches):
+        for batch in batches:
+            _, data, edges = next(W.slices(batch.column("text"), 1 << 62), (0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+            data = np.where(data == 10, 32, data).astype(np.uint8)
+            own = _LineSets(data, edges, known.value)
+            keep = np.arange(len(own.at)) - own.starts[own.at] <= _prefix_size(own.sizes, t)[own.at]
+            other, at = own.words[keep].astype(np.int64), own.text[own.at[keep]]
+            apart = other != batch.column("word").to_numpy()[at]
+            rows = pa.array(at[apart])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("word", "id", "place", "free", "text")), pa.array(other[apart])], ["word", "id", "place", "free", "text", "other"])
+
+    place = members.schema["place"].dataType.simpleString()
+    return members.select("word", "id", "place", "free", "text").mapInArrow(run, f"word long, id long, place {place}, free boolean, text binary, other long")
 
-    Lines whose prefixes do not share enough words are passed over.
-    """
+
+def _blocks(t: float):
+    """Unmatched lines of a pair of blocks that match an earlier line there, on their full sets."""
 
     def run(batches):
         key, held = None, []
@@ -314,158 +325,126 @@ def _blocks(t: float, known):
         def flush():
             out = []
             if held:
-                _, i, j = key
-                block, free, doc_id, line, digest, text = zip(*held, strict=True)
-                place = np.empty(len(held), np.int64)
-                place[np.lexsort((line, doc_id))] = np.arange(len(held))
-                block = np.array(block)
-                prefixes, n, sets = [], np.zeros(len(held)), []
-                for k, x in enumerate(text):
-                    sets.append(set(x.lower().split()))
-                    h = np.unique(word_hashes(x) >> np.uint64(16))
-                    n[k] = len(h)
-                    prefixes.append(_by_rarity(h, known.value, np.zeros(len(h), np.int64))[: int(_prefix_size(len(h), t))])
-                flat, owner = np.concatenate(prefixes), np.repeat(np.arange(len(held)), list(map(len, prefixes)))
+                *_, i, j = key
+                block, free, place, ids, text = zip(*held, strict=True)
+                places = [tuple(p.values()) for p in place]
+                block, sets = np.array(block), [set(x.lower().split()) for x in text]
+                n = np.array([len(s) for s in sets], float)
                 for k in np.flatnonzero(free):
-                    others = (block == (j if block[k] == i else i)) & (place < place[k]) & (np.minimum(n, n[k]) >= t * np.maximum(n, n[k]) - 1e-9)
-                    shared = np.bincount(owner[np.isin(flat, prefixes[k])], minlength=len(held))
-                    near = np.flatnonzero(others & (shared >= _room(n, n[k], t)))
-                    if any(len(sets[k] & sets[o]) >= _overlap(len(sets[k]), len(sets[o]), t) for o in near.tolist()):
-                        out.append(digest[k])
+                    others = (block == (j if block[k] == i else i)) & (np.minimum(n, n[k]) >= t * np.maximum(n, n[k]) - 1e-9)
+                    if any(places[o] < places[k] and len(sets[k] & sets[o]) >= _overlap(len(sets[k]), len(sets[o]), t) for o in np.flatnonzero(others).tolist()):
+                        out.append(ids[k])
                 held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["digest"])
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
 
         for batch in batches:
-            for word, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (word, i, j) != key:
+            for word, other, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (word, other, i, j) != key:
                     yield flush()
-                    key = (word, i, j)
+                    key = (word, other, i, j)
                 held.append(row)
         yield flush()
 
     return run
 
 
-def _lines_by_digest(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, text of the wanted lines (digest, doc_id, line)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "digest")).alias("lines"))
-    own = docs.join(lists.hint("shuffle_hash"), "doc_id").select("text", "lines")
+def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, text of the wanted lines (id, doc_id, text_id, line)."""
+    lists = wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
+    found = docs.join(lists.hint("shuffle_hash"), ["doc_id", "text_id"]).select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
+    return found.select("w.id", F.get("lines", F.col("w.line")).cast("binary").alias("text"))
 
-    def run(batches):
-        for batch in batches:
-            digests, texts = [], []
-            for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = lines_of(text)
-                for x in lines:
-                    if x["line"] < len(parts):
-                        digests.append(x["digest"])
-                        texts.append(parts[x["line"]])
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], ["digest", "text"])
 
-    return own.mapInArrow(run, "digest binary, text binary")
+def _with_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, text of the rows that are compared; rows alike in both ids are one document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, lines: the numbers (from 0) of the lines of each document that an earlier line matches."""
+    """doc_id, text_id, lines: the numbers (from 0) of the lines of each document that an earlier line matches."""
     t = threshold
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    table = cut(line_table(docs))
-    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(_rarity(table)))  # RARITY numbers
-    table = table.filter("doc_id IS NOT NULL")
-    classes = cut(table.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("n").cast("int").alias("n"), F.first("id").alias("id")))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, math.ceil(total * (1.2 - t) / PART))
-    packed = _prefixes(docs, ranks, parts, t).repartition(parts, "part").sortWithinPartitions("part")
-    found = cut(packed.mapInArrow(_run_pairs(t), "kind int, x long, y long"))
-
-    # a class is known by 64 bits so far; from here on by its digest
-    named = classes.select("id", "digest", "n", "place")
-    x, y = (named.select(*[F.col(c).alias(c + side) for c in named.columns]) for side in ("_x", "_y"))
-    pairs = found.filter("kind = 0").select("x", "y").distinct().join(x, F.col("x") == F.col("id_x")).join(y, F.col("y") == F.col("id_y"))
+    docs = _with_ids(docs)
+    known = docs.sparkSession.sparkContext.broadcast(_ranks(docs))  # RARITY numbers
+    table = cut(line_table(docs, known))
+    keys = ["id", "more"]
+    classes = cut(table.groupBy(*keys).agg(F.min(F.struct("doc_id", "text_id", "line")).alias("place"), F.first("n").alias("n"), F.count("*").alias("lines")))
+    sizes = classes.agg(F.sum("n").alias("words"), F.sum("lines").alias("lines")).first()
+    parts = max(1, math.ceil((sizes["words"] or 0) * (1.2 - t) / PART))
+    packed = _prefixes(docs, known, parts, t).repartition(parts, "part").sortWithinPartitions("part")
+    found = cut(packed.mapInArrow(_run_pairs(t), "kind int, x long, y long, n long, low long, high long"))
+
+    # a pair knows a class by half of its digest; should two have that half, both are looked at as one line of either
+    pairs, members = found.filter("kind = 0").select("x", "y").distinct(), found.filter("kind = 1").withColumnRenamed("x", "id").withColumnRenamed("y", "word")
+    met = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).union(members.select("id")).distinct()
+    named = cut(classes.join(met.hint("shuffle_hash"), "id").groupBy("id").agg(F.min("place").alias("place")))
+    place = lambda c: named.select(F.col("id").alias(c), F.col("place").alias("place_" + c))
     later = F.col("place_x") > F.col("place_y")
-    pairs = pairs.select(F.when(later, F.col("digest_x")).otherwise(F.col("digest_y")).alias("x"), F.when(later, F.col("digest_y")).otherwise(F.col("digest_x")).alias("y"))
-    members = cut(found.filter("kind = 1").select(F.col("y").alias("word"), F.col("x").alias("id")).join(named, "id").select("word", "digest", "n", "place"))
-    first = members.groupBy("word").agg(F.min(F.struct("place", "digest", "n")).alias("first"))
-    to_first = members.join(first, "word").filter((F.col("digest") != F.col("first.digest")) & (F.least("n", "first.n") >= t * F.greatest("n", "first.n") - F.lit(1e-9)))
-    pairs = cut(pairs.union(to_first.select("digest", "first.digest")).distinct())
-    wanted = pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).union(members.select("digest")).distinct()
-    places = classes.select("digest", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"))
-    texts = cut(_lines_by_digest(docs, wanted.join(places, "digest")))
-
-    gone = cut(_verified(pairs, texts, t).select(F.col("x").alias("digest")).distinct())
-    free = members.join(gone.withColumn("gone", F.lit(True)), "digest", "left").withColumn("free", F.col("gone").isNull())
+    pairs = pairs.join(place("x"), "x").join(place("y"), "y")
+    pairs = pairs.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("y"))
+    members = cut(members.join(named, "id").select("word", "id", "place", "n", "low", "high"))
+    first = members.groupBy("word").agg(F.min(F.struct("place", "id", "n", "low", "high")).alias("first"))
+    size = F.col("n") + F.col("first.n")
+    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("first.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("first.high")))
+    may_match = (F.least("n", "first.n") >= t * F.greatest("n", "first.n") - F.lit(1e-9)) & ((size - differ) / 2 >= t / (1 + t) * size - F.lit(1e-9))
+    to_first = members.join(first, "word").filter((F.col("id") != F.col("first.id")) & may_match)
+    pairs = cut(pairs.union(to_first.select("id", "first.id")).distinct())
+    texts = cut(_lines_at(docs, named.select("id", "place.*")))
+
+    gone = cut(_verified(pairs, texts, t))
+    free = members.select("word", "id", "place").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("free", F.col("gone").isNull())
     # a run is done with if no line behind its first one is still unmatched
-    runs = free.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start"))
-    rest = free.join(runs.filter("last > start").select("word", "blocks"), "word").join(texts, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("word", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "free", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"), "digest", "text")
-    more = rest.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(_blocks(t, ranks), "digest binary")
+    runs = free.groupBy("word").agg(F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start")).filter("last > start").select("word")
+    rest = cut(_in_finer_runs(free.join(runs, "word").join(texts, "id"), known, t))
+    finer = rest.groupBy("word", "other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start"))
+    rest = rest.join(finer.filter("last > start").select("word", "other", "blocks"), ["word", "other"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("word", "other", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "free", "place", "id", "text")
+    more = rest.repartition("word", "other", "i", "j").sortWithinPartitions("word", "other", "i", "j").mapInArrow(_blocks(t), "id long")
     gone = gone.union(more).distinct()
 
-    verdict = classes.join(gone.withColumn("gone", F.lit(True)), "digest", "left").select("digest", "place", "gone")
-    out = table.join(verdict, "digest").filter(F.col("gone").isNotNull() | (F.struct("doc_id", "line") != F.col("place")))
-    return out.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-
+    # only the lines of classes that go, or that have more than one line, meet a verdict
+    verdict = classes.join(gone.withColumn("gone", F.lit(True)), "id", "left").filter("gone OR lines > 1")
+    verdict = cut(verdict.select(*keys, "place", "lines", F.coalesce("gone", F.lit(False)).alias("gone")))
+    often = F.col("lines") * HOT >= F.lit(sizes["lines"] or 0)
+    hot = F.broadcast(verdict.filter(often))  # HOT rows at most
+    met = table.join(hot, keys).unionByName(table.join(hot, keys, "left_anti").join(verdict.filter(~often).hint("shuffle_hash"), keys))
+    out = met.filter(F.col("gone") | (F.struct("doc_id", "text_id", "line") != F.col("place")))
+    return out.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
-def _openers(docs: DataFrame) -> DataFrame:
-    """doc_id of documents with a line of fewer than MIN_WORDS words whose word set no earlier line has."""
 
-    def run(batches):
-        for batch in batches:
-            ids, lines, short, digests = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, x in enumerate(lines_of(text)):
-                    words = x.lower().split()
-                    own = set(words)
-                    if 0 < len(own) < MIN_WORDS:
-                        ids.append(doc_id)
-                        lines.append(k)
-                        short.append(len(words) < MIN_WORDS)
-                        digests.append(xxhash.xxh3_128_digest(b" ".join(sorted(own))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(short, pa.bool_()), pa.array(digests, pa.binary())], ["doc_id", "line", "short", "digest"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    table = rows.mapInArrow(run, "doc_id long, line int, short boolean, digest binary")
-    first = table.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "short")).alias("place"))
-    return first.filter("place.short").select("place.doc_id").distinct()
-
-
-def _cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """row (all columns) and text without the repeated lines, with the counts of lines; found: repeated_lines and a flag."""
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"))
-    found = found.select(F.col("doc_id").alias("found"), "lines", "opens")
+def _cleaned(docs: DataFrame, threshold: float) -> DataFrame:
+    """row (all columns) and text without the repeated lines, with the counts of lines."""
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(docs["text"]).alias("own_text"))
+    found = repeated_lines(docs, threshold)
     lines = F.split(F.col("row.text"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("lines"), i)), "\n")
     removed = F.coalesce(F.size("lines"), F.lit(0))
     text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(kept)
-    return own.join(found.hint("shuffle_hash"), own["id"] == found["found"], "left").select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(removed).alias("removed_lines"), F.col("lines").alias("removed"), "opens")
+    joined = own.join(found.hint("shuffle_hash"), (own["own_id"] == found["doc_id"]) & (own["own_text"] == found["text_id"]), "left")
+    return joined.select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(removed).alias("removed_lines"), F.col("lines").alias("removed"))
 
 
 def find_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text without its repeated lines, n_lines, removed_lines, removed (line numbers), for every row.
 
-    A line with fewer than MIN_WORDS words stays, as does a null or empty text,
-    which has no lines. Rows of a null doc_id stay as they are. Rows that repeat
-    a doc_id are one document: a line of the same number and words is the same
-    line. Columns other than doc_id and text are dropped.
+    A line without a word stays, as does a null or empty text, which has no
+    lines. Rows of a null doc_id stay as they are. Rows that repeat doc_id and
+    text are one document; rows that share only the doc_id are documents of
+    their own, in the order of their texts' hashes. Columns other than doc_id and
+    text are dropped.
     """
-    docs = docs.select("doc_id", "text")
-    out = _cleaned(docs, repeated_lines(docs, threshold).withColumn("opens", F.lit(False)))
+    out = _cleaned(docs.select("doc_id", "text"), threshold)
     return out.select("row.doc_id", "text", "n_lines", "removed_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows with repeated lines cut out of text, and n_chars (if there) as it is then.
 
-    Rows that lost lines go if nothing but blanks is left, or only lines of fewer
-    than MIN_WORDS words that all have the word set of an earlier line. Other
-    columns stay as they are.
+    Rows that lost lines go if nothing but blanks is left. Other columns stay as
+    they are.
     """
-    word, blank = r"[^\x20\x09-\x0D]+", r"[\x20\x09\x0B-\x0D]+"
-    long_line = F.col("text").rlike(f"{word}(?:{blank}{word}){{{MIN_WORDS - 1}}}")
-    found = repeated_lines(docs, threshold).join(_openers(docs).withColumn("opens", F.lit(True)), "doc_id", "left")
-    fresh = F.coalesce("opens", F.lit(False)) & F.col("text").rlike(word)
-    out = _cleaned(docs, found).filter((F.col("removed_lines") == 0) | long_line | fresh)
+    out = _cleaned(docs, threshold).filter((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     length = lambda c: F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c)
     return out.select(*[F.col("text") if c == "text" else length(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
 
@@ -482,7 +461,7 @@ WITH lines AS (
 ), words AS (
   SELECT doc_id, line, list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM lines
 ), sets AS (
-  SELECT doc_id, line, list_sort(list_distinct(w)) AS s FROM words WHERE len(w) >= 5
+  SELECT doc_id, line, list_sort(list_distinct(w)) AS s FROM words WHERE len(w) > 0
 ), classes AS (
   SELECT s, min(ROW(doc_id, line)) AS place, row_number() OVER (ORDER BY min(ROW(doc_id, line))) AS c FROM sets GROUP BY s
 ), items AS (
