@@ -162,3 +162,46 @@ def test_sessions_close_only_when_idle(spark):
     assert sorted((r["k"], r["session"], r["n"]) for r in found.collect()) == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
     busy = spark.createDataFrame([(1, "converting"), (2, "idle")], "k int, state string")
     assert {r["k"] for r in events.closed_sessions(found, busy, "k").collect()} == {2}
+
+
+def test_scratch_tables(spark):
+    from types import SimpleNamespace
+
+    from verilake.sources import scratch
+
+    with scratch.released(spark):
+        df = scratch.cut(spark.range(5))
+        path = df.inputFiles()[0]
+        assert df.count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist|FILE_NOT_EXIST|FAILED_READ_FILE"):
+        spark.read.parquet(path).count()
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(far)
+
+
+@pytest.mark.parametrize("key", ["a", None])
+def test_running_counts_and_sums(spark, key):
+    """Over ranges: keys of one row, of many, and a null one, as a window over the whole key gives them."""
+    import random
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", key, key, key]), i, r.randrange(100)) for i in range(700)] + [(f"k{i}", i, 1) for i in range(50)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, seq long, v long").repartition(7)
+    found = {(x["k"], x["seq"]): (x["nth"], x["so_far"]) for x in catalog.running(df, "k", [F.col("seq")], so_far=F.col("v")).collect()}
+    want, seen = {}, {}
+    for k, i, v in sorted(rows, key=lambda x: x[1]):
+        n, total = seen.get(k, (0, 0))
+        seen[k] = want[k, i] = (n + 1, total + v)
+    assert found == want
+    assert catalog.running(df.limit(0), "k", [F.col("seq")]).count() == 0
+
+
+def test_canonical_paths(spark):
+    from verilake.functions.text import canonical_path
+
+    rows = ["/a/b", "/a//b/", "/a/./b", "/a/x/../b", "file:/a/b", "file:///a/b", "FILE:///a/b", "/../a/b", "a/../../b", "S3://Bucket/a/./b", "C:\\x\\..\\a", "", "/", "..", None]
+    want = ["/a/b"] * 8 + ["../b", "s3://Bucket/a/b", "C:/a", "", "/", "..", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, p string")
+    assert [r["c"] for r in df.select("i", canonical_path(F.col("p")).alias("c")).orderBy("i").collect()] == want

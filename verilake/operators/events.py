@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verilake.operators.catalog import running
+
 EVENT_SCHEMA = "type string, worker long, seq long, ts timestamp, file string, percent int, ratio string, stage string, phase string, hash string, status string"
 TYPES = ("workerStarted", "workerProgress", "workerStageChanged", "workerIdle", "hashComputed", "fileCompleted", "filesAdded", "runComplete")
 
@@ -26,26 +28,28 @@ def decode(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFram
     return events, parsed.filter(~known).select(column)
 
 
-def _so_far():
-    return Window.partitionBy("worker").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def with_file(events: DataFrame) -> DataFrame:
-    """Every event with the file of its worker's last start; an idle worker has none."""
-    mark = F.when(F.col("type") == "workerStarted", F.struct(F.col("file").alias("f"))).when(F.col("type") == "workerIdle", F.struct(F.lit(None).cast("string").alias("f")))
-    return events.withColumn("current_file", F.last(mark, ignorenulls=True).over(_so_far())["f"])
+    """Every event with the file of its worker's last start; an idle worker has none.
+
+    Starts and idle marks are counted along each worker's events, by ranges of
+    them; an event takes the file of the mark that has its count.
+    """
+    marks = F.col("type").isin("workerStarted", "workerIdle")
+    rows = running(events, "worker", [F.col("seq")], _mark=F.when(marks, 1)).drop("nth")
+    files = rows.filter(marks).select("worker", "_mark", F.when(F.col("type") == "workerStarted", F.col("file")).alias("current_file"))
+    return rows.join(files, ["worker", "_mark"], "left").drop("_mark")
 
 
 def progress_changes(events: DataFrame) -> DataFrame:
     """Progress events whose percentage differs from the worker's one before, which is 0 at first."""
-    rows = events.filter(F.col("type") == "workerProgress")
-    before = F.lag("percent", 1).over(Window.partitionBy("worker").orderBy("seq"))
-    return rows.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("percent") != F.col("_before")).drop("_before")
+    rows = running(events.filter(F.col("type") == "workerProgress"), "worker", [F.col("seq")])
+    before = rows.select("worker", (F.col("nth") + 1).alias("nth"), F.col("percent").alias("_before"))
+    return rows.join(before, ["worker", "nth"], "left").filter(F.col("percent") != F.coalesce("_before", F.lit(0))).drop("_before", "nth")
 
 
 def hash_pairs(events: DataFrame) -> DataFrame:
     """worker, job (from 1), source_hash, output_hash: the hashes of each file a worker took up."""
-    jobs = events.withColumn("job", F.sum(F.when(F.col("type") == "workerStarted", 1).otherwise(0)).over(_so_far()))
+    jobs = running(events, "worker", [F.col("seq")], job=F.when(F.col("type") == "workerStarted", 1))
     of = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("hash")))
     return jobs.filter((F.col("job") > 0) & F.col("hash").isNotNull()).groupBy("worker", "job").agg(of("source").alias("source_hash"), of("output").alias("output_hash"))
 
