@@ -104,6 +104,17 @@ def test_bpe_of_odd_documents(spark, byte_bpe):
     assert bpe.round_trips(empty, path, bpe.publish_lexicon(spark, bpe.frequent_words(empty, path), path)).count() == 0
 
 
+def test_word_encoder_equals_the_library(word_bpe, monkeypatch):
+    more = ["É È ÀÁ ß ÷x×y Ñandú ÿ", "e\u0301 \u0301 a", "3x14 2026-01-02 a1b2", "IT'S DON'T", "<|ENDOFTEXT|> <|endoftext|>x<|startoftext|>", "A\u00a0B", "ªº µ Ÿ İ", "x" * 500 + "É" * 30]
+    texts = odd_texts() + more
+    want = [word_bpe.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = packing.WordEncoder(public.path("word_bpe_49k.json"))
+    assert [x.tolist() for x in encoder.ids_of(pa.array(texts))] == want
+    monkeypatch.setattr(packing, "SLICE", 60)
+    monkeypatch.setattr(packing, "MEMO_BYTES", 500)
+    assert [x.tolist() for x in encoder.ids_of(pa.array([None, *texts], pa.large_string()))] == [[], *want]
+
+
 def check_pieces(rows, ids_of):
     pieces, sequences = {}, {}
     for r in rows:

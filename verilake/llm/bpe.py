@@ -256,6 +256,24 @@ def _byte_letters() -> list[str]:
     return letters
 
 
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, behind one another."""
+    total = np.cumsum(length)
+    return np.repeat(start - (total - length), length) + np.arange(total[-1] if len(total) else 0)
+
+
+def together(n: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first) of n words from (words, ids, lengths) parts: all ids in the order of words, and where each word's begin, with the end."""
+    length = np.zeros(n, np.int64)
+    for at, _, lengths in parts:
+        length[at] = lengths
+    first = np.concatenate(([0], np.cumsum(length)))
+    out = np.empty(first[-1], np.int32)
+    for at, ids, lengths in parts:
+        out[ranges(first[at], lengths)] = ids
+    return out, first
+
+
 class _PairTable:
     """Merge ranks of pairs of ids, many pairs at once: two places for each pair (cuckoo hashing)."""
 
@@ -301,7 +319,10 @@ class _PairTable:
 
 
 class Vocabulary:
-    """A byte-level BPE vocabulary file: exact merges, and ids back to bytes."""
+    """A byte-level BPE vocabulary file: exact merges, and ids back to bytes.
+
+    In a vocabulary with word ends, a word's last byte has an id of its own.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -309,6 +330,7 @@ class Vocabulary:
         ids, letters = spec["model"]["vocab"], _byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.byte_id = [ids[c] for c in letters]
+        self.end_id = [ids[c + (spec["model"].get("end_of_word_suffix") or "")] for c in letters]
         self.rank: dict[tuple[int, int], int] = {}
         self.merged: list[int] = []  # by rank
         for a, b in (pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"]):
@@ -316,7 +338,7 @@ class Vocabulary:
             self.merged.append(ids[a + b])
         self.never = len(self.merged)
         self.pairs = _PairTable(self.rank)
-        self.byte_ids, self.merged_ids = np.array(self.byte_id, np.int32), np.array(self.merged, np.int32)
+        self.byte_ids, self.end_ids, self.merged_ids = (np.array(x, np.int32) for x in (self.byte_id, self.end_id, self.merged))
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
@@ -327,6 +349,7 @@ class Vocabulary:
         """The word's ids: the pair of lowest rank, leftmost first, is merged until none is left."""
         byte_id = self.byte_id
         ids = [byte_id[b] for b in word]
+        ids[-1:] = [self.end_id[b] for b in word[-1:]]
         if len(ids) > 64:
             return self._merge_long(ids)
         rank, never = self.rank.get, self.never
@@ -349,6 +372,7 @@ class Vocabulary:
         n, width = len(start), int((stop - start).max(initial=1))
         at = start[:, None] + np.arange(width)
         ids = np.where(at < stop[:, None], self.byte_ids[data[np.minimum(at, len(data) - 1)]], -1).astype(np.int32)
+        ids[np.arange(n), stop - start - 1] = self.end_ids[data[stop - 1]]
         ranks = np.full((n, width), self.never, np.int32)
         ranks[:, :-1] = np.where(ids[:, 1:] >= 0, self.pairs.get(ids[:, :-1], ids[:, 1:]), self.never)
         after = np.tile(np.arange(1, width + 1, dtype=np.int16), (n, 1))
@@ -375,6 +399,19 @@ class Vocabulary:
         kept = ids >= 0
         return ids[kept], kept.sum(1)
 
+    def merged_parts(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, ids, lengths) parts of the words ``which`` of data[start:stop], words of like lengths together."""
+        size, parts = (stop - start)[which], []
+        for low, high in ((0, 8), (8, 12), (12, 20), (20, LONG)):
+            at = which[(size > low) & (size <= high)]
+            for k in range(0, len(at), 50_000):
+                some = at[k : k + 50_000]
+                parts.append((some, *self.merge_all(data, start[some], stop[some])))
+        for k in which[size > LONG].tolist():
+            ids = np.array(self.merge(data[start[k] : stop[k]].tobytes()), np.int32)
+            parts.append((np.array([k]), ids, np.array([len(ids)])))
+        return parts
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, n log n for very long words."""
         n = len(ids)
@@ -422,33 +459,15 @@ class Codec:
 
     def word_ids(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of the words data[start:stop] behind one another, and where each word's begin, with the end."""
-        n = len(start)
+        n, parts = len(start), []
         numbers = self.lexicon.find(data, start, stop) if self.lexicon else np.full(n, -1)
         self.asked += n
         self.known += int((numbers >= 0).sum())
-        length, parts = np.zeros(n, np.int64), []
-
-        def put(at: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-            length[at] = lengths
-            parts.append((at, ids, lengths))
-
         at = np.flatnonzero(numbers >= 0)
         if len(at):
             first, n_ids = self.lexicon.start[numbers[at]].astype(np.int64), np.diff(self.lexicon.start).astype(np.int64)[numbers[at]]
-            put(at, self.lexicon.ids[_ranges(first, n_ids)].astype(np.int32), n_ids)
-        size = np.where(numbers < 0, stop - start, 0)
-        for low, high in ((0, 8), (8, 12), (12, 20), (20, LONG)):  # words of like lengths together
-            at = np.flatnonzero((size > low) & (size <= high))
-            for k in range(0, len(at), 50_000):
-                put(at[k : k + 50_000], *self.vocabulary.merge_all(data, start[at[k : k + 50_000]], stop[at[k : k + 50_000]]))
-        for k in np.flatnonzero(size > LONG).tolist():
-            ids = np.array(self.vocabulary.merge(data[start[k] : stop[k]].tobytes()), np.int32)
-            put(np.array([k]), ids, np.array([len(ids)]))
-        first = np.concatenate(([0], np.cumsum(length)))
-        out = np.empty(first[-1], np.int32)
-        for at, ids, lengths in parts:
-            out[_ranges(first[at], lengths)] = ids
-        return out, first
+            parts.append((at, self.lexicon.ids[ranges(first, n_ids)].astype(np.int32), n_ids))
+        return together(n, parts + self.vocabulary.merged_parts(data, start, stop, np.flatnonzero(numbers < 0)))
 
     def distinct(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of some texts: which distinct word each word is, the words up to each text, (start, stop) of the distinct ones, and the special ones."""
@@ -477,7 +496,7 @@ class Codec:
         """The ids of each text."""
         for which, bounds, ids, first in self.runs(texts):
             length = np.diff(first)[which]
-            flat = ids[_ranges(first[which], length)]
+            flat = ids[ranges(first[which], length)]
             cuts = np.concatenate(([0], np.cumsum(length)))[bounds]
             yield from (flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
 
@@ -491,12 +510,6 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, behind one another."""
-    total = np.cumsum(length)
-    return np.repeat(start - (total - length), length) + np.arange(total[-1] if len(total) else 0)
-
-
 _CODECS: dict[tuple, Codec] = {}
 
 

@@ -31,21 +31,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 
+from verilake.llm import words as W
+from verilake.llm.bpe import ranges, together, vocabulary
+
 TIERS = (4096, 2048, 1024, 512)
 #: Tokens of a step group.
 STEP = 1 << 16
 END = 2
 #: Tokens that a task gathers before it packs them.
 POOL = 1 << 21
-#: Distinct parts of text whose ids a worker keeps at hand.
-MEMO = 1_000_000
+#: Bytes of text that are encoded at once, about, and bytes of the memo of what the library has encoded.
+SLICE = 1 << 22
+MEMO_BYTES = 50_000_000
+
+
+# Kinds of bytes: white space, a byte of a letter, a digit, another sign of ASCII, and those that only the library can place.
+_GAP, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[W.SPACE] = _GAP
+_KIND[0x27] = _ODD  # an apostrophe may open a contraction
+_LOW = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
 class WordEncoder:
-    """Token ids of texts with a vocabulary that drops white space, as bytes of uint32.
+    """Token ids of texts with a vocabulary that drops white space and case and marks the ends of words.
 
-    Such a vocabulary never joins characters over a blank, so that a text's ids
-    are those of its blank-separated parts; parts seen before come from a memo.
+    Such a vocabulary never joins characters over a blank. Stretches between
+    blanks that are ASCII and letters of Latin-1 are cut into words by their
+    bytes, and every distinct word of a slice of text is merged by the vocabulary's ranks,
+    all at once; other stretches go through the library, each once while a memo
+    holds it.
     """
 
     def __init__(self, path: str):
@@ -55,19 +73,66 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list(set().union(*parts).difference(memo))
+        self.vocabulary = vocabulary(path)
+        self.memo: dict[bytes, np.ndarray] = {}
+        self.held = 0
+
+    def _words(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(data, start, stop, odd): texts in lower case, their words, and which of these are whole stretches as they were."""
+        n = len(raw)
+        data, kind = _LOW[raw], _KIND[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # the two signs among the letters
+        kind[lead] = kind[lead + 1] = _LETTER
+        upper = lead[raw[lead + 1] < 0x9F] + 1
+        data[upper] += 0x20
+        kind[np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))] = _ODD  # <| may open a special token
+        start, stop = W.spans(raw, edges)  # stretches
+        inside = np.zeros(n + 1, np.int64)
+        np.cumsum(kind == _ODD, out=inside[1:])
+        strange = inside[stop] > inside[start]
+        opens = np.zeros(n + 1, bool)
+        opens[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        for a, b in zip(start[strange].tolist(), stop[strange].tolist(), strict=True):
+            opens[a:b] = False
+            data[a:b] = raw[a:b]
+        opens[:-1] &= kind != _GAP
+        opens[start] = True
+        first = np.flatnonzero(opens)
+        # a word ends where the next one starts, or its stretch does
+        end = np.minimum(np.append(first[1:], n), stop[np.searchsorted(start, first, "right") - 1]) if len(first) else first
+        odd = np.zeros(n + 1, bool)
+        odd[start[strange]] = True
+        return data, first, end, odd[first]
+
+    def _by_library(self, stretches: list[bytes]) -> list[np.ndarray]:
+        new = [x for x in dict.fromkeys(stretches) if x not in self.memo]
+        if self.held > MEMO_BYTES:
+            self.memo.clear()
+            self.held, new = 0, list(dict.fromkeys(stretches))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[x] = np.array(e.ids, np.uint32).tobytes()
-        return [b"".join(map(memo.__getitem__, own)) for own in parts]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast([y.decode() for y in some], add_special_tokens=False), strict=True):
+                self.memo[x] = np.array(e.ids, np.int32)
+                self.held += 300 + len(x) + 4 * len(e.ids)
+        return [self.memo[x] for x in stretches]
+
+    def ids_of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for _, raw, edges in W.slices(texts, SLICE):
+            data, start, stop, odd = self._words(raw, edges)
+            bounds = np.searchsorted(start, edges)
+            _, first, which = np.unique(W.hashes(data, start, stop, W.AS_IT_IS), return_index=True, return_inverse=True)
+            start, stop, odd = start[first], stop[first], np.flatnonzero(odd[first])
+            parts = self.vocabulary.merged_parts(data, start, stop, np.setdiff1d(np.arange(len(start)), odd))
+            found = self._by_library([data[a:b].tobytes() for a, b in zip(start[odd].tolist(), stop[odd].tolist(), strict=True)])
+            if found:
+                parts.append((odd, np.concatenate(found), np.array([len(x) for x in found])))
+            ids, first = together(len(start), parts)
+            length = np.diff(first)[which]
+            flat = ids[ranges(first[which], length)]
+            cuts = np.concatenate(([0], np.cumsum(length)))[bounds].tolist()
+            yield from (flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
 
 class Packer:
@@ -184,13 +249,11 @@ def pack(docs: DataFrame, vocabulary_path: str, tiers: tuple[int, ...] = TIERS,
             return pa.RecordBatch.from_arrays([pa.array(c, id_type if i == 0 else kinds[i]) for i, c in enumerate(columns)], names)
 
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc_id, ids in zip(ids_of[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
-                    ids += end
-                    held[number] = (doc_id, memoryview(ids))
-                    packer.add(number, len(ids) // 4)
-                    number += 1
+            for doc_id, tokens in zip(batch.column(0).to_pylist(), encoder.ids_of(batch.column(1)), strict=True):
+                ids = tokens.astype("<u4").tobytes() + end
+                held[number] = (doc_id, memoryview(ids))
+                packer.add(number, len(ids) // 4)
+                number += 1
                 if packer.tokens >= POOL:
                     yield emit(packer.pack())
         yield emit(packer.finish())
