@@ -16,14 +16,16 @@ broadcast behind a check of their number.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from verilake.llm import words as W
 from verilake.llm.license_table import TABLE
-from verilake.llm.setsketch import mix, shingles, word_hashes
+from verilake.llm.setsketch import mix, shingles
 
 SHINGLE = 2
 WINDOW = 8
@@ -49,13 +51,24 @@ TEMPLATES = (
 
 #: With the marks that open comment lines.
 _PUNCTUATION = b".,;:!?\"'()[]{}*#/<>-"
+_DROPPED = np.isin(np.arange(256), list(_PUNCTUATION))
 #: A finding gives way to a better one of another license that has so much of its words.
 COVERED = 0.8
 
 
+def _words_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Word hashes of each text, without case and punctuation."""
+    for _, data, edges in W.slices(texts):
+        keep = ~_DROPPED[data]
+        data, edges = data[keep], np.concatenate(([0], np.cumsum(keep)))[edges]
+        start, stop = W.spans(data, edges)
+        h = W.hashes(data, start, stop)
+        cuts = np.searchsorted(start, edges).tolist()
+        yield from (h[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 def _words(text: str | None) -> np.ndarray:
-    """Word hashes without case and punctuation."""
-    return word_hashes(text.encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION).decode("utf-8", "surrogatepass") if text else None)
+    return next(_words_of(pa.array([text], pa.string())))
 
 
 def _signatures(windows: np.ndarray) -> np.ndarray:
@@ -108,7 +121,10 @@ class Templates:
 
     def find(self, text: str | None) -> list[dict]:
         """The templates in a text, each with its words and how much of it is there."""
-        h = _words(text)
+        return self.find_in(_words(text))
+
+    def find_in(self, h: np.ndarray) -> list[dict]:
+        """The same for a text's word hashes."""
         if not len(h):
             return []
         sh = shingles(h, SHINGLE)
@@ -177,7 +193,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
 
     def run(batches):
         for batch in batches:
-            found = [known.value.find(t) for t in batch.column(1).to_pylist()]
+            found = [known.value.find_in(h) for h in _words_of(batch.column(1))]
             names = [sorted({x["license"] for x in f}) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(map(len, found), pa.int32()), pa.array(found, pa.list_(finding))], ["doc_id", "licenses", "n_findings", "findings"])
 
