@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import textwrap
 import zlib
 
@@ -96,6 +97,51 @@ def test_every_long_repeat_is_found(spark, sf):
     assert len(rows) == len(texts)
 
 
+def plain_chunks(raw):
+    """Chunks of bytes whose words are all short, as runs of words, by loops."""
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    mixed = []
+    for _, stop in words:
+        h = sum(int(substrings._GEAR[raw[k]]) << (stop - 1 - k) for k in range(max(0, stop - substrings.GEAR_BYTES), stop)) % 2**32
+        mixed.append((h ^ (h >> 16)) * 0x7FEB352D % 2**32)
+    runs, at, radius = [], 0, substrings.RADIUS
+    for k in range(len(words)):
+        if k == len(words) - 1 or mixed[k] == min(mixed[max(0, k - radius) : k + radius + 1]):
+            runs.append(words[at : k + 1])
+            at = k + 1
+    return runs
+
+
+def plain_cut(texts, min_words):
+    """Texts (by ascending id) without the runs of chunks that were seen before."""
+    seen, out = set(), []
+    for text in texts:
+        raw = text.encode()
+        kept, at, run = [], 0, []
+        for chunk in [*plain_chunks(raw), None]:
+            body = raw[chunk[0][0] : chunk[-1][1]] if chunk else None
+            if chunk and body in seen:
+                run += chunk
+                continue
+            if len(run) >= min_words:
+                kept.append(raw[at : run[0][0]])
+                at = run[-1][1]
+            run = []
+            seen.add(body)
+        out.append(b"".join([*kept, raw[at:]]).decode())
+    return out
+
+
+def test_cut_texts_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["text"] is not None and max(map(len, r["text"].encode().split()), default=0) <= substrings.LONG)
+    assert len(rows) > 150
+    for min_words in (5, substrings.MIN_WORDS):
+        found = {r["doc_id"]: r for r in substrings.find_repeats(docs.filter(F.col("doc_id").isin([i for i, _ in rows])), min_words).collect()}
+        assert [found[i]["text"] for i, _ in rows] == plain_cut([t for _, t in rows], min_words)
+        assert all(sum(p["words"] for p in r["passages"]) == r["removed_words"] for r in found.values())
+
+
 def test_an_insertion_moves_no_chunk():
     a = prose(11, 400).encode()
     cut = lambda raw: {raw[s:e] for s, e, _ in zip(*(x.tolist() for x in substrings.chunks(raw)), strict=True)}
@@ -254,6 +300,23 @@ def test_edited_and_odd_licenses(spark):
         licenses.Templates.of([("x", "y z")] * (licenses.MAX_TEMPLATES + 1))
 
 
+def test_recall_on_edited_license_bodies():
+    """Full texts with every 25th word changed, and with lines left out, are found; other prose is not."""
+    known = licenses.Templates.of(list(licenses.TEMPLATES))
+    bodies = [(name, t) for name, t in licenses.TEMPLATES if len(t.split()) >= 200]
+    assert len(bodies) >= 10 and len({n for n, _ in bodies}) >= 10
+    hits = tries = 0
+    for name, t in bodies:
+        words = t.split()
+        changed = " ".join("altered" if k % 25 == 7 else w for k, w in enumerate(words))
+        shorter = " ".join(w for k, w in enumerate(words) if k % 200 >= 10)
+        for text in (changed, shorter, prose(3, 100) + " " + changed + " " + prose(4, 100)):
+            tries += 1
+            hits += name in {f["license"] for f in known.find(text)}
+    assert hits / tries >= 0.95
+    assert sum(bool(known.find(prose(k, 400))) for k in range(50)) == 0
+
+
 GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 
 

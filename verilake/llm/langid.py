@@ -190,14 +190,18 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of a known language, unchanged: those ``und`` or ambiguous go."""
+    """The rows of a known language, unchanged: those ``und`` or ambiguous go.
+
+    Without a model nothing can be told: every text that has a letter stays.
+    """
     known = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index("text")
 
     def run(batches):
         for batch in batches:
-            keep = [not _guess(known.value, t)[2] for t in batch.column(at).to_pylist()]
+            found = [_guess(known.value, t) for t in batch.column(at).to_pylist()] if known.value else [(None, 0.0, ngrams(t) is None) for t in batch.column(at).to_pylist()]
+            keep = [not ambiguous for *_, ambiguous in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
