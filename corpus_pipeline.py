@@ -16,16 +16,16 @@ from verilake.llm.linedup import without_repeated_lines
 from verilake.llm.neardup import near_duplicates
 from verilake.llm.packing import pack
 from verilake.llm.substrings import without_repeats
-from verilake.sources.scratch import cut
+from verilake.sources.scratch import released, scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters or between two languages go."""
+    """Documents whose language is known; those without letters or between two languages go. Without labels to learn from all that have a letter stay."""
     return identified(docs, train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line matches; those of which all text was repeated go."""
+    """Documents without the lines that an earlier line matches; those of which nothing but blanks is left go."""
     return without_repeated_lines(docs)
 
 
@@ -66,6 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        with released(spark):  # what the stage itself wrote goes when its result is there
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
