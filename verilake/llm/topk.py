@@ -33,7 +33,7 @@ K = 5
 SLICES = 2
 #: One row of so many gives the lists for the cutoff.
 SEEDS = 16
-#: Rows of a block, queries of a batch, and rows whose scores are in memory at once.
+#: Rows of a block at most, queries of a batch, and rows whose scores are in memory at once.
 ROW_BLOCK = 1 << 16
 QUERY_BATCH = 512
 TILE = 1 << 13
@@ -156,7 +156,8 @@ def _meet(k: int, slices: int):
 
 def _search(queries: DataFrame, rows: DataFrame, n_rows: int, k: int, slices: int) -> DataFrame:
     """query, query_id, vec_id, score: the k best rows of each query in each block of rows; queries have a cutoff."""
-    blocks = max(1, math.ceil(n_rows / ROW_BLOCK))
+    # full blocks where there are many rows, and as many tasks as may run at once where there are few
+    blocks = max(1, math.ceil(n_rows / ROW_BLOCK), min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / TILE)))
     dealt = rows.select(F.pmod(F.xxhash64("at"), F.lit(blocks)).cast("int").alias("block"), "at", "vec_id", "v", F.lit(int(_NO_CUTOFF)).alias("cutoff"))
     batches = _packed(queries.withColumn("block", F.lit(0)), 1, QUERY_BATCH)
     everywhere = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
