@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -522,6 +523,33 @@ def activity_sessions(spark, sf_dir):
     return events.sessions(fx.table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq"), "user_id", "1 DAY")
 
 
+_ORDERS = {"time": "seq", "file": "lower(file)", "audio": "saved", "art": "art", "pct": "pct", "verify": "lower(CASE WHEN k % 3 <> 0 THEN 'V' || (k % 5) ELSE coalesce(status, '') END)", "status": "status"}
+
+
+@query(
+    " " + " UNION ALL ".join(
+        f"SELECT '{key}' AS sort_key, {down} AS descending, seq FROM (SELECT seq FROM attempts_v ORDER BY {by} {'DESC' if down else 'ASC'}, seq DESC LIMIT 50)" for key, by in _ORDERS.items() for down in (True, False)
+    ),
+    fx.ATTEMPTS,
+)
+def event_orders(spark, sf_dir):
+    """The first rows of every order that events can be shown in."""
+    rows = fx.attempts(spark, sf_dir).withColumn("verification", F.when(F.col("k") % 3 != 0, F.concat(F.lit("V"), (F.col("k") % 5).cast("string")))).withColumn("detail", F.col("status"))
+    found = [outcomes.event_sort(rows, key, down, 50).select(F.lit(key).alias("sort_key"), F.lit(down).alias("descending"), "seq") for key in _ORDERS for down in (True, False)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query(
+    f""", s AS (SELECT seq, before * (k - 50) AS n, before % 200000 - 1000 AS e FROM attempts_v), t AS (SELECT *, abs(n) AS a, greatest(e, 0) AS g FROM s)
+    SELECT seq, CASE WHEN a >= 1048576 THEN ((a * 10 + 524288) // 1048576 // 10) || '.' || ((a * 10 + 524288) // 1048576 % 10) || ' MB' WHEN a >= 1024 THEN ((a * 10 + 512) // 1024 // 10) || '.' || ((a * 10 + 512) // 1024 % 10) || ' KB' ELSE a || ' B' END AS short,
+      CASE WHEN n <= 0 THEN '0 B' ELSE {_plain('n')} END AS ui, CASE WHEN g >= 3600 THEN lpad(CAST(g // 3600 AS VARCHAR), 2, '0') || ':' ELSE '' END || lpad(CAST(g % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(g % 60 AS VARCHAR), 2, '0') AS elapsed FROM t""",
+    fx.ATTEMPTS,
+)
+def format_short(spark, sf_dir):
+    n = F.col("before") * (F.col("k") - 50)
+    return fx.attempts(spark, sf_dir).select("seq", text.format_bytes_short(n).alias("short"), text.format_bytes_ui(n).alias("ui"), text.format_elapsed_short(F.col("before") % 200000 - 1000).alias("elapsed"))
+
+
 # -- containers -----------------------------------------------------------------
 
 
