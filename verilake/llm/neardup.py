@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verilake.llm.components import components
-from verilake.llm.setsketch import shingle_set, superminhash
+from verilake.llm.setsketch import shingle_sets, superminhash
 from verilake.sources.scratch import cut
 
 BANDS, ROWS = 36, 5
 #: Documents of a bucket that are compared in one block, and checked against one document in one task.
 BLOCK = 512
 CHECKED = 256
+#: A set, or the first document of a bucket, with a HOTth of all rows meets them where they lie; at most HOT have so many.
+HOT = 10_000
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -41,8 +43,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
     def run(batches):
         for batch in batches:
             n, digest, kept = [], [], []
-            for text in batch.column(1).to_pylist():
-                elements = shingle_set(text, shingle)
+            for elements in shingle_sets(batch.column(1), shingle):
                 n.append(len(elements))
                 digest.append(xxhash.xxh3_128_digest(elements.tobytes()))
                 value = superminhash(elements, bands * rows).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -66,8 +67,12 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
 
     Partners of one hub are dealt over as many tasks as it takes; each gets the hub's text once.
     """
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHECKED).cast("int").alias("salts"))
-    members = pairs.join(salts, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"))
+    counts = pairs.groupBy("hub").agg(F.count("*").alias("k"))
+    salts = cut(counts.select("hub", "k", F.ceil(F.col("k") / CHECKED).cast("int").alias("salts")))
+    often = F.col("k") * HOT >= F.lit(salts.agg(F.sum("k")).first()[0] or 0)
+    hot = F.broadcast(salts.filter(often).select("hub", "salts"))  # HOT rows at most
+    salted = pairs.join(hot, "hub").unionByName(pairs.join(hot, "hub", "left_anti").join(salts.filter(~often).select("hub", "salts"), "hub"))
+    members = salted.select("node", "hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"))
     hubs = salts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth"))
     wanted = members.unionByName(hubs)
     rows = texts.join(wanted, texts["doc_id"] == wanted["node"]).select("hub", "salt", "nth", "node", "text")
@@ -77,8 +82,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
         at, sets = None, []
         for batch in batches:
             u, v = [], []
-            for hub, salt, nth, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                elements = shingle_set(text, shingle)
+            for hub, salt, nth, node, elements in zip(*(c.to_pylist() for c in batch.columns[:4]), shingle_sets(batch.column(4), shingle), strict=True):
                 if (hub, salt) != at:
                     at, sets = (hub, salt), []
                 if nth == 0:
@@ -147,7 +151,7 @@ def _compact(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [(shingle_set(t, shingle) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            sets = [(x >> np.uint64(32)).astype("<u4").tobytes() for x in shingle_sets(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "compact"])
 
     return texts.select("doc_id", "text").mapInArrow(run, "node long, compact binary")
@@ -164,8 +168,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     document that a component is named after.
     """
     signed = cut(signatures(docs, shingle, bands, rows))
-    sets = signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
-    reps = cut(sets.select("digest", F.col("rep").alias("node"), "signature", "n"))
+    sets = signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    reps = cut(sets.select("digest", F.col("rep").alias("node"), "signature", "n", "rows"))
 
     key = lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (2 * rows) + 1, F.lit(2 * rows)))
     entries = reps.select("node", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("band", "key"))
@@ -177,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     size_of = reps.groupBy(F.col("node").alias("hub")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     pairs = live.filter(F.col("node") != F.col("hub")).groupBy("node", "hub").agg(F.min("n").alias("n")).join(size_of, "hub")
     pairs = pairs.filter(_near_in_size(F.col("n"), F.col("low"), num, den) | (F.col("low") != F.col("high"))).select("node", "hub")
-    links = cut(verified(pairs, texts, shingle, num, den))
+    links = cut(verified(cut(pairs), texts, shingle, num, den))
     roots = components(links)
 
     rest = live.filter((F.col("members") > 2) & (F.col("node") != F.col("hub"))).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -191,8 +195,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     more = verified(cut(candidates), texts, shingle, num, den)
     roots = components(links.unionByName(more))
 
-    placed = signed.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "node"), "digest", "left").join(roots, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id"))
+    named = reps.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"), "rows")
+    often = F.col("rows") * HOT >= F.lit(reps.agg(F.sum("rows")).first()[0] or 0)
+    hot = F.broadcast(named.filter(often).drop("rows"))  # HOT rows at most
+    some, none = signed.select("doc_id", "n_shingles", "digest").filter("n_shingles > 0"), signed.filter("n_shingles = 0").select("doc_id", "n_shingles", "digest", F.col("doc_id").alias("component"))
+    rare = some.join(hot, "digest", "left_anti").join(named.filter(~often).drop("rows"), "digest", "left")
+    placed = some.join(hot, "digest").unionByName(rare).unionByName(none)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import xxhash
-
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: every output bit depends on every input bit."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of a text: what ASCII white space parts, A-Z in lower case."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+from verilake.llm import words as W
+from verilake.llm.words import mix
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -32,9 +22,19 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Each text's distinct shingle hashes, ascending."""
+    for _, data, edges in W.slices(texts):
+        start, stop = W.spans(data, edges)
+        h = W.hashes(data, start, stop)
+        cuts = np.searchsorted(start, edges).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield np.unique(shingles(h[a:b], n))
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """The text's distinct shingle hashes, ascending."""
-    return np.unique(shingles(word_hashes(text), n))
+    return next(shingle_sets(pa.array([text], pa.string()), n))
 
 
 def superminhash(elements: np.ndarray, m: int) -> np.ndarray:
