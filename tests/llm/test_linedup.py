@@ -75,6 +75,14 @@ def test_short_lines_are_compared(spark):
     check(spark, [row(0, "Read more\na b c d\n\nx"), row(1, "read MORE\nd c b a\n\nX"), row(2, "a b c d e\na b c\na b c d\nm n o p q r"), row(3, "m n o p q\n \n\t\n日本語")])
 
 
+def test_very_large_sets(spark, monkeypatch):
+    """Sets beyond the size that an entry can hold, around the threshold."""
+    monkeypatch.setattr(linedup, "LARGE", 40)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[a:b]) for a, b in ((0, 60), (0, 50), (0, 49), (0, 47), (5, 60), (0, 41), (0, 39), (0, 36), (12, 60), (3, 35))]
+    check(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+
+
 def test_one_hot_line(spark):
     """A line that every document has, and near forms of it."""
     hot = "this very line is in every document of the table"
@@ -133,3 +141,26 @@ def test_stage_keeps_documents_of_short_lines(spark):
     rows = [(i, t, None, None, len(t)) for i, t in enumerate(texts)]
     kept = {r["doc_id"]: r["text"] for r in linedup.without_repeated_lines(docs_df(spark, rows)).collect()}
     assert kept == {0: footer, 1: "\n".join(code), 2: "\n".join(verse), 5: "\nEnd of file"}
+
+
+def test_blocks_find_every_match_of_a_run():
+    """All rows in one pair of blocks, free or not, against plain comparison."""
+    r = random.Random(8)
+    words_of, rows = [f"v{k}" for k in range(40)], []
+    for k in range(300):
+        own = r.sample(words_of, 12) if k % 3 else rows[r.randrange(len(rows))]["text"].decode().split()[: r.randrange(9, 13)] if rows else r.sample(words_of, 12)
+        text = " ".join(own).encode()
+        one = linedup._LineSets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.arange(linedup.RARITY, dtype=np.uint64))
+        low, high = one.bitmaps()[0].view(np.int64).tolist()
+        rows.append({"word": 1 + k // 150, "other": 2, "i": 0, "j": k // 150, "block": k % 2 if k >= 150 else 0, "free": r.random() < 0.7, "n": len(set(own)), "low": low, "high": high, "doc_id": r.randrange(50), "text_id": k, "line": 0, "id": k, "text": text})
+    rows.sort(key=lambda x: (x["word"], x["other"], x["i"], x["j"]))
+    want = set()
+    for x in rows:
+        for y in rows:
+            a, b = set(x["text"].split()), set(y["text"].split())
+            apart = x["i"] == x["j"] or x["block"] != y["block"]
+            if x["free"] and x["word"] == y["word"] and apart and (x["doc_id"], x["text_id"]) > (y["doc_id"], y["text_id"]) and 10 * len(a & b) >= 8 * len(a | b):
+                want.add(x["id"])
+    batches = pa.Table.from_pylist(rows).select(linedup._BLOCK_ROW).to_batches(max_chunksize=40)
+    found = [i for b in linedup._blocks(0.8)(iter(batches)) for i in b.column(0).to_pylist()]
+    assert len(want) > 20 and set(found) == want and len(found) == len(want)

@@ -9,8 +9,9 @@ rows that share it) by the text's hash, then by line.
 The join orders the words of a line by rarity. Two matching lines must share one
 of the first n - ceil(t * n) + 1 words (prefix filter), their sizes must be
 within t of each other (length filter), and at the first word that they share
-enough words must be left behind it in both (positional filter). What passes is
-verified on the full sets. Rarity comes from counts in RARITY hashed
+enough words must be left behind it in both, which must stand among the first
+n - ceil(2t / (1 + t) * n) + 1 of the smaller one (positional filter). What passes
+is verified on the full sets. Rarity comes from counts in RARITY hashed
 buckets over all lines: any order gives the same matches, a rare-first one gives
 few candidates.
 
@@ -48,8 +49,10 @@ CHECKED = 256
 #: A class with a HOTth of all lines meets them where they lie; at most HOT classes have so many.
 HOT = 10_000
 
-#: A prefix word of a line: 48 bits (rank and hash), the set's size, the word's place in it, the class (half of the set's digest), and a bitmap.
-_ENTRY = np.dtype([("word", "<u8"), ("n", "<i4"), ("at", "<i4"), ("id", "<i8"), ("bits", "<u8", 2)])
+#: A prefix word of a line: 48 bits (rank and hash) and the set's size (16 bits), the words from this one on (16 bits), the class
+#: (half of the set's digest), the doc_id, and a bitmap. A size of LARGE or more is LARGE, and then so are the words from here on.
+_ENTRY = np.dtype([("key", "<u8"), ("left", "<u2"), ("id", "<i8"), ("doc", "<i8"), ("bits", "<u8", 2)])
+LARGE = 2**16 - 1
 _LOW = np.uint64(2**48 - 1)
 _REST = np.uint64(2**30 - 1)
 
@@ -84,6 +87,7 @@ class _LineSets:
             both = both[np.concatenate(([True], both[1:] != both[:-1]))]
             kept.append((both & _LOW, (both >> np.uint64(48)).astype(np.int64) + low))
         self.words, self.at = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.mixed = W.mix(self.words * np.uint64(0x9E3779B97F4A7C15))
         self.starts = np.searchsorted(self.at, np.arange(len(own) + 1))
         self.sizes = np.diff(self.starts)
         first = np.concatenate(([0], np.cumsum(n_lines)))
@@ -94,15 +98,15 @@ class _LineSets:
         return how.reduceat(values, self.starts[:-1]) if len(self.sizes) else np.zeros(0, np.uint64)
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit halves of a digest of each set."""
-        return tuple(self._summed(W.mix(self.words * np.uint64(c))).view(np.int64) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+        """Two 64-bit halves of a digest of each set: the sum and the exclusive or of a random number for each word."""
+        return self._summed(self.mixed).view(np.int64), self._summed(self.mixed, np.bitwise_xor).view(np.int64)
 
     def bitmaps(self) -> np.ndarray:
         """128 bits for each set: the exclusive or of one bit for each word."""
-        bit = W.mix(self.words) >> np.uint64(57)
+        bit = self.mixed >> np.uint64(57)
         one = np.uint64(1) << (bit & np.uint64(63))
-        low = bit < 64
-        return np.stack([self._summed(np.where(m, one, np.uint64(0)), np.bitwise_xor) for m in (low, ~low)], 1)
+        high = one * (bit >> np.uint64(6))
+        return np.stack([self._summed(x, np.bitwise_xor) for x in (one ^ high, high)], 1)
 
 
 def _overlap(a, b, t: float):
@@ -170,7 +174,7 @@ def _prefixes(docs: DataFrame, known, parts: int, t: float) -> DataFrame:
         def flush():
             nonlocal held, n
             entries = np.concatenate(held) if held else np.zeros(0, _ENTRY)
-            part = (W.mix(entries["word"]) % np.uint64(parts)).astype(np.int32)
+            part = (W.mix(entries["key"] >> np.uint64(16)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             entries, part = entries[order], part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
@@ -180,7 +184,8 @@ def _prefixes(docs: DataFrame, known, parts: int, t: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(part[firsts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "entries"])
 
         for batch in batches:
-            for _, data, edges in W.slices(batch.column(0)):
+            docs_of = batch.column(0).to_numpy()
+            for row, data, edges in W.slices(batch.column(1)):
                 own = _LineSets(data, edges, known.value)
                 ids, _ = own.digests()
                 _, first = np.unique(ids, return_index=True)
@@ -188,20 +193,21 @@ def _prefixes(docs: DataFrame, known, parts: int, t: float) -> DataFrame:
                 fresh[first] = True
                 fresh &= own.sizes >= t * (own.sizes + 1) - 1e-9  # smaller sets have only equal ones at t
                 fresh &= np.array([x not in seen for x in ids.tolist()], bool)  # a task's repeats of a line add nothing
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.update(ids[fresh].tolist())
                 keep = fresh[own.at] & (np.arange(len(own.at)) - own.starts[own.at] < _prefix_size(own.sizes, t)[own.at])
                 e, at = np.zeros(int(keep.sum()), _ENTRY), own.at[keep]
-                e["word"], e["id"], e["n"], e["bits"] = own.words[keep], ids[at], own.sizes[at], own.bitmaps()[at]
-                e["at"] = np.flatnonzero(keep) - own.starts[at]
+                n_words = np.minimum(own.sizes, LARGE)[at]
+                e["key"], e["id"], e["doc"], e["bits"] = (own.words[keep] << np.uint64(16)) | n_words.astype(np.uint64), ids[at], docs_of[own.text[at] + row], own.bitmaps()[at]
+                e["left"] = np.where(n_words < LARGE, np.minimum(own.starts[at + 1] - np.flatnonzero(keep), LARGE), LARGE)
                 held.append(e)
                 n += len(e)
-                if n > 1_000_000:
+                if n > 200_000:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "part int, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, entries binary")
 
 
 def _run_pairs(t: float):
@@ -210,48 +216,50 @@ def _run_pairs(t: float):
     Two classes of a word's run are a pair if their sizes, the words left behind
     this one, and the number of bits in which their bitmaps differ, leave room
     for the overlap: an exclusive or differs in no more bits than the sets do in
-    words. A class's first pairs are given out; if there are more, the classes of
+    words. A class's pairs with the earliest documents are given out; if there are more, the classes of
     the rest wait with the word.
     """
 
     def pair_up(e: np.ndarray):
-        e = e[np.lexsort((e["id"], e["n"], e["word"]))]
+        e = e[np.lexsort((e["doc"], e["id"], e["key"]))]
         fresh = np.ones(len(e), bool)
-        fresh[1:] = (e["word"][1:] != e["word"][:-1]) | (e["id"][1:] != e["id"][:-1])
-        e = e[fresh]
+        fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])
+        e = e[fresh]  # of a class its first document here
+        word, n = e["key"] >> np.uint64(16), (e["key"] & np.uint64(0xFFFF)).astype(np.int64)
         opens = np.ones(len(e), bool)
-        opens[1:] = e["word"][1:] != e["word"][:-1]
+        opens[1:] = word[1:] != word[:-1]
         first = np.flatnonzero(opens)
         length = np.diff(np.concatenate((first, [len(e)])))
         place = np.arange(len(e)) - np.repeat(first, length)
         waits = np.repeat(length > RUN, length)
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         later, back = np.flatnonzero((place > 0) & ~waits), 1
-        n, left, low, high = e["n"].astype(np.int64), (e["n"] - e["at"]).astype(np.int64), e["bits"][:, 0].copy(), e["bits"][:, 1].copy()
+        left, low, high = e["left"].astype(np.int64), e["bits"][:, 0].copy(), e["bits"][:, 1].copy()
         while len(later):
             b = later - back
             ok = n[b] >= t * n[later] - 1e-9  # sizes ascend: none further back is nearer
             later, b = later[ok], b[ok]
-            a, both = later, n[later] + n[b]
+            both = n[later] + n[b]
             need = t / (1 + t) * both - 1e-9
-            ok = np.minimum(left[a], left[b]) >= need
-            a, b, both, need = a[ok], b[ok], both[ok], need[ok]
+            ok = np.minimum(left[later], left[b]) >= need
+            a, b, both, need = later[ok], b[ok], both[ok], need[ok]
             differ = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
-            ok = (both - differ) // 2 >= need
+            ok = ((both - differ) // 2 >= need) | (n[a] == LARGE)
             x.append(a[ok])
             y.append(b[ok])
             back += 1
             later = later[place[later] >= back]
         x, y = np.concatenate(x), np.concatenate(y)
-        order = np.lexsort((y, x))
+        swap = e["doc"][x] < e["doc"][y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        order = np.lexsort((e["id"][y], e["doc"][y], x))  # the earliest documents first: the same in most runs of a family
         x, y = x[order], y[order]
         opens = np.ones(len(x), bool)
         opens[1:] = x[1:] != x[:-1]
         nth = np.arange(len(x)) - np.repeat(np.flatnonzero(opens), np.diff(np.concatenate((np.flatnonzero(opens), [len(x)]))))
         now = nth < FIRST
         waits[x[~now]] = waits[y[~now]] = True
-        pairs = np.unique(np.stack((e["id"][x[now]], e["id"][y[now]]), 1), axis=0) if now.any() else np.zeros((0, 2), np.int64)
-        return pairs, e[waits]
+        return np.stack((e["id"][x[now]], e["id"][y[now]]), 1), e[waits]
 
     def run(batches):
         at, held = None, []
@@ -259,9 +267,10 @@ def _run_pairs(t: float):
         def flush():
             pairs, members = pair_up(np.concatenate(held) if held else np.zeros(0, _ENTRY))
             held.clear()
-            none = pa.nulls(len(pairs), pa.int64())
-            waiting = [members["id"], members["word"].astype(np.int64), members["n"].astype(np.int64), members["bits"][:, 0].view(np.int64), members["bits"][:, 1].view(np.int64)]
-            columns = [pa.concat_arrays([pa.array(a), pa.array(b)]) for a, b in zip(pairs.T, waiting[:2], strict=True)] + [pa.concat_arrays([none, pa.array(b)]) for b in waiting[2:]]
+            waiting = [members["id"], (members["key"] >> np.uint64(16)).astype(np.int64), (members["key"] & np.uint64(0xFFFF)).astype(np.int64), members["bits"][:, 0].view(np.int64), members["bits"][:, 1].view(np.int64)]
+            given = [*pairs.T, None, None, None]
+            column = lambda x, n: pa.nulls(n, pa.int64()) if x is None else pa.array(x)
+            columns = [pa.concat_arrays([column(a, len(pairs)), column(b, len(members))]) for a, b in zip(given, waiting, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), (len(pairs), len(members)))), *columns], ["kind", "x", "y", "n", "low", "high"])
 
         for batch in batches:
@@ -275,75 +284,127 @@ def _run_pairs(t: float):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
-    """x of those of the distinct pairs (x, y) of classes that match; texts: id, text of a line."""
+def _verified(pairs: DataFrame, texts: DataFrame, known, t: float) -> DataFrame:
+    """x of those of the distinct pairs (x, y) of classes that match; texts: id, text of a line.
+
+    Lines behind their y are compared by hashes, many at once; those that pass, by
+    the words.
+    """
     salts = pairs.groupBy("y").agg(F.ceil(F.count("*") / CHECKED).cast("int").alias("salts"))
     members = pairs.join(salts, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"))
     firsts = salts.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth"))
     rows = members.unionByName(firsts).join(texts, F.col("x") == F.col("id")).select("y", "salt", "nth", "x", "text")
     spread = rows.repartition("y", "salt").sortWithinPartitions("y", "salt", "nth")
 
+    def matching(hub, hub_text, first, texts, data, edges):
+        """The rows of a slice that match their y, and the last y there: group 0 belongs to the y before."""
+        own, group = _LineSets(data, edges, known.value), np.cumsum(first)
+        is_hub, of = first[own.text], group[own.text]
+        keys = (of[own.at].astype(np.uint64) << np.uint64(48)) | own.words
+        hubs = np.concatenate((hub, keys[is_hub[own.at]]))  # ascending
+        sizes, rows = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
+        sizes[0], sizes[of[is_hub]], rows[of[is_hub]] = len(hub), own.sizes[is_hub], own.text[is_hub]
+        found = []
+        if len(own.sizes) and len(hubs):
+            there = hubs[np.minimum(np.searchsorted(hubs, keys), len(hubs) - 1)] == keys
+            common = np.add.reduceat(there, own.starts[:-1], dtype=np.int64)
+            for k in np.flatnonzero(~is_hub & (common >= t / (1 + t) * (own.sizes + sizes[of]) - 1e-9)).tolist():
+                row, at = int(own.text[k]), int(of[k])
+                a, b = (set(x.lower().split()) for x in (texts[row].as_py(), hub_text if at == 0 else texts[int(rows[at])].as_py()))
+                if len(a & b) >= _overlap(len(a), len(b), t):
+                    found.append(row)
+        if first.any():
+            last = np.flatnonzero(is_hub)[-1]
+            hub, hub_text = own.words[own.starts[last] : own.starts[last + 1]], texts[int(own.text[last])].as_py()
+        return found, hub, hub_text
+
     def run(batches):
-        own: set[bytes] = set()
+        hub, hub_text = np.zeros(0, np.uint64), b""
         for batch in batches:
-            found = []
-            for _, _, nth, x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = set(text.lower().split())
-                if nth == 0:
-                    own = words
-                elif len(own & words) >= _overlap(len(own), len(words), t):
-                    found.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["id"])
+            found, first, texts = [], batch.column(2).to_numpy() == 0, batch.column(4)
+            for row, data, edges in W.slices(texts):
+                n = len(edges) - 1
+                rows, hub, hub_text = matching(hub, hub_text, first[row : row + n], texts.slice(row, n), data, edges)
+                found += [row + r for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(found, pa.int64()))], ["id"])
 
     return spread.mapInArrow(run, "id long").distinct()
 
 
 def _in_finer_runs(members: DataFrame, known, t: float) -> DataFrame:
-    """Members (word, id, place, free, text) by the word and each other word of a prefix that is one word longer."""
+    """Members of runs by the word and each other word of a prefix that is one word longer, without the text."""
+    kept = ["word", "id", "place", "free", "n", "low", "high"]
 
     def run(batches):
         for batch in batches:
-            _, data, edges = next(W.slices(batch.column("text"), 1 << 62), (0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-            data = np.where(data == 10, 32, data).astype(np.uint8)
-            own = _LineSets(data, edges, known.value)
-            keep = np.arange(len(own.at)) - own.starts[own.at] <= _prefix_size(own.sizes, t)[own.at]
-            other, at = own.words[keep].astype(np.int64), own.text[own.at[keep]]
-            apart = other != batch.column("word").to_numpy()[at]
-            rows = pa.array(at[apart])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("word", "id", "place", "free", "text")), pa.array(other[apart])], ["word", "id", "place", "free", "text", "other"])
+            words = batch.column("word").to_numpy()
+            for row, data, edges in W.slices(batch.column("text")):
+                own = _LineSets(data, edges, known.value)
+                keep = np.arange(len(own.at)) - own.starts[own.at] <= _prefix_size(own.sizes, t)[own.at]
+                other, at = own.words[keep].astype(np.int64), own.text[own.at[keep]] + row
+                apart = other != words[at]
+                rows = pa.array(at[apart])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in kept), pa.array(other[apart])], [*kept, "other"])
 
     place = members.schema["place"].dataType.simpleString()
-    return members.select("word", "id", "place", "free", "text").mapInArrow(run, f"word long, id long, place {place}, free boolean, text binary, other long")
+    return members.select(*kept, "text").mapInArrow(run, f"word long, id long, place {place}, free boolean, n long, low long, high long, other long")
+
+
+_BLOCK_ROW = ["word", "other", "i", "j", "block", "free", "n", "low", "high", "doc_id", "text_id", "line", "id", "text"]
 
 
 def _blocks(t: float):
-    """Unmatched lines of a pair of blocks that match an earlier line there, on their full sets."""
+    """Unmatched lines of a pair of blocks that match an earlier line there, on their full sets.
 
-    def run(batches):
-        key, held = None, []
+    Sizes and bitmaps leave few pairs whose sets must be made.
+    """
 
-        def flush():
-            out = []
-            if held:
-                *_, i, j = key
-                block, free, place, ids, text = zip(*held, strict=True)
-                places = [tuple(p.values()) for p in place]
-                block, sets = np.array(block), [set(x.lower().split()) for x in text]
-                n = np.array([len(s) for s in sets], float)
-                for k in np.flatnonzero(free):
-                    others = (block == (j if block[k] == i else i)) & (np.minimum(n, n[k]) >= t * np.maximum(n, n[k]) - 1e-9)
-                    if any(places[o] < places[k] and len(sets[k] & sets[o]) >= _overlap(len(sets[k]), len(sets[o]), t) for o in np.flatnonzero(others).tolist()):
-                        out.append(ids[k])
-                held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
+    def matched(rows: pa.Table):
+        """Ids of the rows, whole pairs of blocks in order, that go."""
+        columns = {c: rows.column(c).to_numpy() for c in _BLOCK_ROW if c not in ("id", "text")}
+        order = np.lexsort([columns[c] for c in ("n", "j", "i", "other", "word")])
+        word, other, i, j, block, free, n, low, high, *place = (columns[c][order] for c in _BLOCK_ROW[:12])
+        low, high = low.view(np.uint64), high.view(np.uint64)
+        opens = np.ones(len(n), bool)
+        opens[1:] = (word[1:] != word[:-1]) | (other[1:] != other[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        first = np.flatnonzero(opens)
+        at = np.arange(len(n)) - np.repeat(first, np.diff(np.append(first, len(n))))
+        when = np.empty(len(n), np.int64)
+        when[np.lexsort(place[::-1])] = np.arange(len(n))
+        texts, ids, sets, gone = rows.column("text").combine_chunks(), rows.column("id"), {}, set()
 
+        def words(k: int) -> set[bytes]:
+            if k not in sets:
+                sets[k] = set(texts[int(order[k])].as_py().lower().split())
+            return sets[k]
+
+        later, back = np.flatnonzero(at > 0), 1
+        while len(later):
+            b = later - back
+            ok = n[b] >= t * n[later] - 1e-9  # sizes ascend: none further back is nearer
+            later, b = later[ok], b[ok]
+            both = n[later] + n[b]
+            differ = np.bitwise_count(low[later] ^ low[b]).astype(np.int64) + np.bitwise_count(high[later] ^ high[b])
+            ok = (((both - differ) // 2 >= t / (1 + t) * both - 1e-9) | (n[later] == LARGE)) & ((i[later] == j[later]) | (block[later] != block[b]))
+            x, y = np.where(when[later] > when[b], later, b)[ok], np.where(when[later] > when[b], b, later)[ok]
+            for k, o in zip(x[free[x]].tolist(), y[free[x]].tolist(), strict=True):
+                if k not in gone and len(words(k) & words(o)) >= _overlap(len(words(k)), len(words(o)), t):
+                    gone.add(k)
+            back += 1
+            later = later[at[later] >= back]
+        return pa.RecordBatch.from_arrays([pa.array([ids[int(order[k])].as_py() for k in gone], pa.int64())], ["id"])
+
+    def run(batches):
+        held = None
         for batch in batches:
-            for word, other, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (word, other, i, j) != key:
-                    yield flush()
-                    key = (word, other, i, j)
-                held.append(row)
-        yield flush()
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.stack([held.column(c).to_numpy() for c in _BLOCK_ROW[:4]])
+            changes = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))
+            if len(changes):
+                yield matched(held.slice(0, int(changes[-1]) + 1))
+                held = held.slice(int(changes[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield matched(held)
 
     return run
 
@@ -386,20 +447,20 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = members.groupBy("word").agg(F.min(F.struct("place", "id", "n", "low", "high")).alias("first"))
     size = F.col("n") + F.col("first.n")
     differ = F.bit_count(F.col("low").bitwiseXOR(F.col("first.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("first.high")))
-    may_match = (F.least("n", "first.n") >= t * F.greatest("n", "first.n") - F.lit(1e-9)) & ((size - differ) / 2 >= t / (1 + t) * size - F.lit(1e-9))
+    may_match = (F.least("n", "first.n") >= t * F.greatest("n", "first.n") - F.lit(1e-9)) & (((size - differ) / 2 >= t / (1 + t) * size - F.lit(1e-9)) | (F.greatest("n", "first.n") == LARGE))
     to_first = members.join(first, "word").filter((F.col("id") != F.col("first.id")) & may_match)
     pairs = cut(pairs.union(to_first.select("id", "first.id")).distinct())
     texts = cut(_lines_at(docs, named.select("id", "place.*")))
 
-    gone = cut(_verified(pairs, texts, t))
-    free = members.select("word", "id", "place").join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("free", F.col("gone").isNull())
+    gone = cut(_verified(pairs, texts, known, t))
+    free = members.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("free", F.col("gone").isNull())
     # a run is done with if no line behind its first one is still unmatched
     runs = free.groupBy("word").agg(F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start")).filter("last > start").select("word")
     rest = cut(_in_finer_runs(free.join(runs, "word").join(texts, "id"), known, t))
     finer = rest.groupBy("word", "other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start"))
-    rest = rest.join(finer.filter("last > start").select("word", "other", "blocks"), ["word", "other"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.join(finer.filter("last > start").select("word", "other", "blocks"), ["word", "other"]).join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("word", "other", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "free", "place", "id", "text")
+    rest = rest.select("word", "other", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "free", "n", "low", "high", "place.*", "id", "text").select(*_BLOCK_ROW)
     more = rest.repartition("word", "other", "i", "j").sortWithinPartitions("word", "other", "i", "j").mapInArrow(_blocks(t), "id long")
     gone = gone.union(more).distinct()
 
