@@ -2,12 +2,13 @@
 
 import hashlib
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from verilake.operators import catalog, report
-from verilake.sources import blocks, listing, logs, publish
+from verilake.sources import blocks, files, listing, logs, publish
 
 
 def block(kind, data, last=False):
@@ -51,18 +52,52 @@ def test_scan_in_any_case(spark, library):
 
 
 def test_block_inventory(spark, library):
-    files, oversize = blocks.read(spark, [str(library)], max_bytes=10_000)
-    rows = blocks.inventory(files)
+    rows = blocks.inventory(blocks.read(spark, [str(library)]))
     found = {}
     for r in rows.orderBy("path", "block_number").collect():
         found.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["type"], r["length"], r["is_last"], r["truncated"]))
     assert [t for t, *_ in found["a.flac"]] == [0, 4, 6, 1] and found["a.flac"][-1][1:] == (100, True, False)
     assert [t for t, *_ in found["B.FLAC"]] == [0, 6, 6] and "d.flac" not in found
-    assert oversize.count() == 0 and blocks.read(spark, [str(library)], max_bytes=10)[1].count() == 2
+    in_memory = blocks.inventory(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", listing.any_case("flac")).load(str(library)))
+    columns = ["block_number", "type", "offset", "length", "is_last", "truncated", "size", "data"]
+    assert sorted(map(repr, in_memory.select(columns).collect())) == sorted(map(repr, rows.select(columns).collect()))
+    assert blocks.unreadable(spark.createDataFrame([("file:/nowhere/x.flac",), (str(library / "a.flac"),)], "path string")).collect()[0][:2] == ("file:/nowhere/x.flac", "FileNotFoundError")
+
+
+def test_a_file_of_gigabytes_is_read_by_its_headers(spark, tmp_path):
+    """Sparse files, far above what a column can hold: what is read are headers, comments and pictures."""
+    (tmp_path / "big").mkdir()
+    head = b"fLaC" + block(0, stream_info()) + block(4, comment("A=1")) + block(1, bytes(1 << 20)) + block(6, picture(), True)
+    for name, start in (("plain.flac", b""), ("tagged.flac", b"ID3\x04\x00\x00\x00\x10\x00\x00" + bytes(1 << 18))):
+        with open(tmp_path / "big" / name, "wb") as f:
+            f.write(start + head)
+            f.truncate(5 << 29)
+    rows = blocks.inventory(blocks.read(spark, [str(tmp_path / "big")])).orderBy("path", "block_number").collect()
+    assert [(r["type"], r["size"]) for r in rows] == [(t, 5 << 29) for t in (0, 4, 1, 6)] * 2
+    assert {r["prefix_bytes"] for r in blocks.foreign_prefix(blocks.read(spark, [str(tmp_path / "big")])).collect()} == {10 + (1 << 18)}
+    assert blocks.pictures(blocks.inventory(blocks.read(spark, [str(tmp_path / "big")]))).count() == 2
+    stores = files.Stores()
+    source = files.Ranges(lambda: stores.open(str(tmp_path / "big" / "tagged.flac")))
+    list(blocks._rows("x", source, blocks.CONTENTS))
+    assert source.bytes_read < 1000
+
+
+def test_broken_and_long_contents_take_no_time(spark, tmp_path):
+    """A large picture of many segments, one of fill bytes, a file of zeros behind the marker and one without a marker."""
+    seg = lambda kind, n: bytes([0xFF, kind]) + (n + 2).to_bytes(2, "big") + bytes(n)
+    body = bytes(32 << 20)
+    images = [b"\xff\xd8" + seg(0xE1, 20) * 300 + b"\xff\xda\x00\x02" + body, b"\xff\xd8" + b"\xff" * (32 << 20), b"\xff\xd8" + seg(0xE1, 9) + body]
+    began = time.time()
+    assert [blocks._segments(memoryview(x)) for x in images] == [300 * 24, None, None]
+    contents = [b"fLaC" + bytes(64 << 20), bytes(64 << 20), b"fLaC" + block(0, stream_info()) + b"\x04\xff\xff\xff" + bytes(10)]
+    found = [[r[3:9] for r in blocks._rows("x", files.Memory(c), blocks.CONTENTS)] for c in contents]
+    assert time.time() - began < 3
+    assert found[0] == [(0, 0, 9, 0, False, True)] and found[1][0][0] is None and [r[1] for r in found[2]] == [0, 4] and found[2][1][5]
+    assert blocks._texts(memoryview(struct.pack("<II", 0, 1 << 31))) == [] and blocks._texts(memoryview(b"\x01")) == []
 
 
 def test_stream_facts(spark, library):
-    facts = blocks.stream_facts(blocks.inventory(blocks.read(spark, [str(library)])[0]))
+    facts = blocks.stream_facts(blocks.inventory(blocks.read(spark, [str(library)])))
     rows = {r["path"].rsplit("/", 1)[1]: r for r in facts.collect()}
     a = rows["a.flac"]
     assert (a["sample_rate"], a["channels"], a["bits"], a["samples"], a["raw_bytes"]) == (44100, 2, 16, 88200, 352800)
@@ -71,9 +106,9 @@ def test_stream_facts(spark, library):
 
 
 def test_prefix_pictures_padding_comments(spark, library):
-    files = blocks.read(spark, [str(library)])[0]
-    assert [(r["path"].rsplit("/", 1)[1], r["prefix_bytes"]) for r in blocks.foreign_prefix(files).collect()] == [("a.flac", 7)]
-    inventory = blocks.inventory(files)
+    listed = blocks.read(spark, [str(library)])
+    assert [(r["path"].rsplit("/", 1)[1], r["prefix_bytes"]) for r in blocks.foreign_prefix(listed).collect()] == [("a.flac", 7)]
+    inventory = blocks.inventory(listed)
     found = {(r["path"].rsplit("/", 1)[1], r["block_number"]): r for r in blocks.pictures(inventory).collect()}
     front = found["a.flac", 2]
     assert (front["mime"], front["description"], front["width"], front["height"], front["data_length"], front["image"], front["is_url"], front["unsafe_to_rewrite"]) == ("image/png", "Front", 500, 400, 12, "png", False, False)
@@ -109,8 +144,8 @@ def test_containers_with_many_parts(spark):
 
 
 def test_a_bad_root_does_not_end_the_scan(spark, library):
-    files, errors = listing.scan_with_errors(spark, [str(library / "sub"), str(library / "gone"), str(library / "a.flac")])
-    assert sorted(r["name"] for r in files.collect()) == ["B.FLAC", "a.flac"]
+    found, errors = listing.scan_with_errors(spark, [str(library / "sub"), str(library / "gone"), str(library / "a.flac")])
+    assert sorted(r["name"] for r in found.collect()) == ["B.FLAC", "a.flac"]
     assert [(r["path"], r["error"]) for r in errors.collect()] == [(str(library / "gone"), "PATH_NOT_FOUND")]
     assert [r["line"] for r in catalog.error_digest(errors).collect()] == [str(library / "gone")]
     nothing, errors = listing.scan_with_errors(spark, [str(library / "gone")])
@@ -119,6 +154,39 @@ def test_a_bad_root_does_not_end_the_scan(spark, library):
     assert [r["error"] for r in listing.read_errors(listed, listed.filter("name <> 'd.flac'")).collect()] == ["UNREADABLE"]
 
 
+def test_links_and_errors_inside_a_root(spark, tmp_path):
+    root = tmp_path / "lib"
+    (root / "a/b").mkdir(parents=True)
+    (root / "a/b/x.flac").write_bytes(b"xx")
+    (root / "y.FLAC").write_bytes(b"y")
+    (root / "z.txt").write_bytes(b"z")
+    (root / "a/x-link.flac").symlink_to(root / "a/b/x.flac")  # a file, a link to it,
+    (root / "a/b/up").symlink_to(root / "a")  # a folder that holds itself,
+    (root / "other").symlink_to(root / "a/b")  # another way to it,
+    (root / "one").symlink_to(root / "two")  # links that lead nowhere
+    (root / "two").symlink_to(root / "one")
+    (root / "a/gone.flac").symlink_to(root / "nothing")
+    files, errors = listing.scan_with_errors(spark, [str(root), str(root / "a")])
+    assert sorted((r["path"].removeprefix(f"file:{root}/"), r["size"], r["root_ordinal"]) for r in files.collect()) == [("a/x-link.flac", 2, 0), ("y.FLAC", 1, 0)]
+    found = {r["path"].removeprefix("file:").removeprefix(f"{root}/"): r["error"] for r in errors.collect()}
+    assert found.pop("one") == found.pop("two") == "ELOOP" and found.pop("a/gone.flac") == "ENOENT"
+    assert set(found.values()) == {"ELOOP"} and all(p.endswith("up") for p in found)
+    assert listing.scan_with_errors(spark, [])[0].count() == 0
+
+
+def test_a_deep_tree_is_dealt_to_tasks(spark, tmp_path):
+    at = tmp_path
+    for k in range(12):
+        at = at / f"d{k}"
+        at.mkdir()
+        for j in range(5):
+            (at / f"{j}.flac").write_bytes(b"1" * j)
+            (at / f"e{j}").mkdir()
+            (at / f"e{j}/in.flac").write_bytes(b"22")
+    files, errors = listing.scan_with_errors(spark, [str(tmp_path)])
+    assert files.count() == 12 * 10 and errors.count() == 0 and files.agg(F.sum("size")).first()[0] == 12 * (10 + 10)
+
+
 def test_lines_are_numbered_across_blocks(spark, tmp_path):
     lines = [f"line {i}" + "\r" * (i % 2) for i in range(5000)]
     (tmp_path / "a.log").write_bytes("\n".join(lines).encode())

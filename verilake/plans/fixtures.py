@@ -6,10 +6,16 @@ of its table.
 
 from __future__ import annotations
 
+import contextlib
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verilake.functions.text import NULL_MD5
+from verilake.sources.files import local_path
+from verilake.sources.scratch import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -204,6 +210,33 @@ CONTAINERS = """containers_v AS (
   FROM (SELECT doc_id, '/lib/r' || (doc_id % 5) || '/' || doc_id || '.flac' AS path, '/lib/r' || (doc_id % 5) AS folder, n_chars, text, source FROM documents) WHERE doc_id % 13 <> 0)"""
 
 
+def written_containers(spark: SparkSession, sf_dir: str) -> str:
+    """The containers as files of a folder, which tasks write; its path.
+
+    Some files have a link in a folder ``links``, and some a broken link beside
+    them; each folder has a link back to the whole.
+    """
+    root = local_path(scratch_path(spark, "library"))
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, k = root + path, int(path.rsplit("/", 1)[1].split(".")[0])
+                os.makedirs(os.path.dirname(own), exist_ok=True)
+                os.makedirs(f"{root}/links", exist_ok=True)
+                with open(f"{own}.{os.getpid()}", "wb") as f:
+                    f.write(content)
+                os.replace(f"{own}.{os.getpid()}", own)
+                links = [(root, f"{os.path.dirname(own)}/back"), *[(own, f"{root}/links/{k}.flac")] * (k % 9 == 0), *[("gone", f"{os.path.dirname(own)}/gone-{k}.flac")] * (k % 50 == 7)]
+                for to, link in links:
+                    with contextlib.suppress(FileExistsError):  # another task's, or this one's before it was run again
+                        os.symlink(to, link)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    containers(spark, sf_dir).select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
 def log_lines(spark: SparkSession, sf_dir: str, written) -> DataFrame:
     """file, line_no, line: a log of each user's events; ``written`` gives a line of an attempt."""
     rows = attempts(spark, sf_dir)

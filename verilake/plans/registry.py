@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -631,6 +632,41 @@ def marker_value(spark, sf_dir):
     return fx.attempts(spark, sf_dir).select("seq", classes.marker_value(F.concat(F.lit("1."), (F.col("k") % 7).cast("string")), F.lit("lib"), F.col("ts")).alias("marker"))
 
 
+# -- files on disk: walked, told from links, and read by ranges ---------------------
+
+
+def _relative(root: str):
+    return F.regexp_replace("path", "^(file:)?" + re.escape(root), "")
+
+
+@query(
+    "SELECT '/lib/r' || (doc_id % 5) || '/' || doc_id || '.flac' AS path, CAST(doc_id % 5 <> 3 AS INTEGER) AS root_ordinal FROM documents",
+)
+def walked_files(spark, sf_dir):
+    """Every file once, of the first root that holds it: the second root holds the first, and links lead to files and back to the root."""
+    root = fx.written_containers(spark, sf_dir)
+    files, _ = listing.scan_with_errors(spark, [f"{root}/lib/r3", f"{root}/lib", f"{root}/links"])
+    return files.select(_relative(root).alias("path"), F.col("root_ordinal").cast("int").alias("root_ordinal"))
+
+
+@query(
+    """SELECT '/lib/r' || (doc_id % 5) || '/gone-' || doc_id || '.flac' AS path, 'ENOENT' AS error FROM documents WHERE doc_id % 50 = 7
+    UNION ALL SELECT DISTINCT '/lib/r' || (doc_id % 5) || '/back', 'ELOOP' FROM documents UNION ALL SELECT '/missing', 'PATH_NOT_FOUND'"""
+)
+def walked_errors(spark, sf_dir):
+    """What cannot be listed, inside the roots and of the roots, while everything else is."""
+    root = fx.written_containers(spark, sf_dir)
+    _, errors = listing.scan_with_errors(spark, [root, f"{root}/missing"])
+    return errors.select(_relative(root).alias("path"), "error")
+
+
+@query(_BLOCKS + " SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY n) - 1 AS INTEGER) AS block_number, CAST(type AS INTEGER) AS type, CAST(length AS BIGINT) AS length, n = 3 AS is_last, false AS truncated FROM b", fx.CONTAINERS)
+def file_inventory(spark, sf_dir):
+    """As block_inventory, of files that tasks open and read by ranges."""
+    root = fx.written_containers(spark, sf_dir)
+    return blocks.inventory(blocks.read(spark, [root])).select(_relative(root).alias("path"), "block_number", "type", "length", "is_last", "truncated")
+
+
 # -- logs -----------------------------------------------------------------------
 
 

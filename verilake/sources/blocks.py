@@ -2,29 +2,38 @@
 
 A container is a marker ``fLaC`` (perhaps behind other bytes), then blocks of a
 one-byte header (top bit: last block; rest: type), a three-byte length, and the
-content. The walk over the blocks is a fold over the binary column: USUAL steps,
-and for what has not ended by then as many more as the content can hold. Nothing
-but slices of the content leaves the row.
+content. Files are read by ranges: a task opens each of its paths, reads the four
+bytes of a header, takes the content of the blocks that are asked for, and seeks
+past all others and past the audio. Nothing depends on the size of a file, and what
+is read is as much as its headers, comments and pictures hold. The same walk takes
+contents that are in a column already.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from verilake.functions.classes import has_marker, image_type
 from verilake.functions.text import NULL_MD5
-from verilake.sources.listing import any_case
+from verilake.sources import listing
+from verilake.sources.files import Memory, Ranges, Stores
 
-USUAL = 64
-MAX_BYTES = 1 << 30
 STREAMINFO, PADDING, COMMENT, PICTURE = 0, 1, 4, 6
+#: The blocks whose content the operators below ask for.
+CONTENTS = (STREAMINFO, COMMENT, PICTURE)
+MARKER = b"fLaC"
+#: Bytes that are searched for a marker at once, and bytes of contents that a task gives out at once.
+SEARCH = 1 << 20
+_GIVE = 1 << 25
 
 
-def read(spark: SparkSession, roots: list[str], extension: str = "flac", max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(path, size, content of the files, the oversize files); the size limit reaches the listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extension)).load(roots)
-    return files.filter(F.col("length") <= max_bytes).select("path", F.col("length").alias("size"), "content"), files.filter(F.col("length") > max_bytes).select("path", F.col("length").alias("size"))
+def read(spark: SparkSession, roots: list[str], extension: str = "flac") -> DataFrame:
+    """path, size of the files under the roots, of any size; ``inventory`` opens them. Links and repeats count once."""
+    files, _ = listing.scan_with_errors(spark, roots, extension)
+    return files.select("path", "size")
 
 
 def big_endian(content: Column, at: Column, n: int) -> Column:
@@ -32,45 +41,119 @@ def big_endian(content: Column, at: Column, n: int) -> Column:
     return F.conv(F.nullif(F.hex(F.substring(content, at, F.lit(n))), F.lit("")), 16, 10).cast("long")
 
 
-def little_endian(content: Column, at: Column, n: int = 4) -> Column:
-    out = F.lit(0).cast("long")
-    for i in range(n):
-        out = out + big_endian(content, at + i, 1) * F.lit(256**i)
-    return out
+# -- the walk ---------------------------------------------------------------------
+
+
+def find_marker(source: Ranges | Memory) -> int:
+    """Where the marker is, from 0; -1 without one.
+
+    It is sought at the start, then behind a tag that states its size (``ID3``),
+    and then from the start on, piece by piece.
+    """
+    head = source.read(0, 10)
+    if head[:4] == MARKER:
+        return 0
+    if head[:3] == b"ID3" and len(head) == 10 and not any(b & 0x80 for b in head[6:]):
+        size = 10 + (head[6] << 21 | head[7] << 14 | head[8] << 7 | head[9]) + 10 * bool(head[5] & 0x10)
+        if source.read(size, 4) == MARKER:
+            return size
+    at = 0
+    while at < source.size:
+        found = source.read(at, SEARCH + len(MARKER) - 1).find(MARKER)
+        if found >= 0:
+            return at + found
+        at += SEARCH
+    return -1
+
+
+def walk_blocks(source: Ranges | Memory, marker: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(type, offset of the content from 0, length, is_last) of the blocks behind the marker, up to the last one or the end of the file.
+
+    What cannot be a header ends the walk too: type 127, or stream facts that are
+    not the first block, as in a file that is full of zeros.
+    """
+    at, last, first = marker + len(MARKER), marker < 0, True
+    while not last:
+        head = source.read(at, 4)
+        if len(head) < 4 or head[0] % 128 == 127 or (head[0] % 128 == STREAMINFO and not first):
+            return
+        last, first, length = head[0] >= 128, False, int.from_bytes(head[1:], "big")
+        yield head[0] % 128, at + 4, length, last
+        at += 4 + length
+
+
+_WALKED = {"path": pa.string(), "size": pa.int64(), "prefix": pa.int64(), "block_number": pa.int32(), "type": pa.int32(), "offset": pa.int64(), "length": pa.int64(), "is_last": pa.bool_(), "truncated": pa.bool_(), "data": pa.binary(), "error": pa.string()}
+_WALKED_DDL = "path string, size long, prefix long, block_number int, type int, offset long, length long, is_last boolean, truncated boolean, data binary, error string"
+
+
+def _rows(path: str, source: Ranges | Memory, contents: tuple[int, ...]) -> Iterator[tuple]:
+    marker = find_marker(source)
+    found = list(walk_blocks(source, marker))
+    if not found:  # nothing but where the marker is, if there is one
+        yield (path, source.size, marker, *[None] * 8)
+        return
+    truncated = not found[-1][3]
+    for n, (kind, at, length, last) in enumerate(found):
+        yield path, source.size, marker, n, kind, at + 1, length, last, truncated, source.read(at, length) if kind in contents else None, None
+
+
+def _walked(contents: tuple[int, ...], in_memory: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores, rows, held = Stores(), [], 0
+        for batch in batches:
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                try:
+                    if in_memory:
+                        content = batch.column(1)[k]
+                        source = Memory(content.as_buffer() if content.is_valid else b"")
+                    else:
+                        source = Ranges(lambda p=path: stores.open(p))
+                    try:
+                        for row in _rows(path, source, contents):
+                            rows.append(row)
+                            held += 200 + len(row[9] or b"")
+                            if held >= _GIVE:
+                                yield _batch(rows)
+                                rows, held = [], 0
+                    finally:
+                        source.close()
+                except OSError as e:  # the file went, or cannot be read: a row that says so
+                    rows.append((path, *[None] * 9, type(e).__name__))
+        yield _batch(rows)
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_WALKED)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _WALKED.values(), strict=True)], list(_WALKED))
+
+
+def walked(files: DataFrame, contents: tuple[int, ...] = CONTENTS) -> DataFrame:
+    """A row for each block of each file, and one of nulls for a file without blocks or that cannot be read (error).
+
+    ``files`` has path, and content if the bytes are there already; otherwise the
+    paths are dealt to tasks, which open them.
+    """
+    if "content" in files.columns:
+        return files.select("path", "content").mapInArrow(_walked(contents, True), _WALKED_DDL)
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # paths are small, what they lead to is not
+    return files.select("path").repartition(parts).mapInArrow(_walked(contents, False), _WALKED_DDL)
+
+
+def inventory(files: DataFrame, contents: tuple[int, ...] = CONTENTS) -> DataFrame:
+    """path, size, block_number, type, offset (of the content, from 1), length, is_last, truncated (no last block), and data, the content of the types asked for."""
+    return walked(files, contents).filter("block_number IS NOT NULL").drop("prefix", "error")
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """path, error of files that cannot be opened or read."""
+    return walked(files, ()).filter("error IS NOT NULL").select("path", "error")
 
 
-def marker_at(content: Column) -> Column:
-    """Position of the container's marker from 1; 0 without one."""
-    return F.instr(F.decode(content, "ISO-8859-1"), "fLaC")
-
-
-def _fold(start: Column, ended, most: Column, step) -> Column:
-    """``step`` applied until a state has ended: USUAL times, and then, where it has not, ``most`` times more."""
-    first = F.aggregate(F.sequence(F.lit(1), F.lit(USUAL)), start, step)
-    rest = lambda s: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), most.cast("int"))), s, step)
-    return F.get(F.transform(F.array(first), lambda s: F.when(ended(s), s).otherwise(rest(s))), F.lit(0))
-
-
-def inventory(files: DataFrame) -> DataFrame:
-    """path, size, block_number, type, offset (of the content, from 1), length, is_last, truncated (no last block), and the block's content."""
-    shape = "struct<at: bigint, done: boolean, blocks: array<struct<type: int, offset: bigint, length: bigint, is_last: boolean>>>"
-    start = F.struct((F.col("marker") + 4).cast("long").alias("at"), (F.col("marker") == 0).alias("done"), F.array().cast("array<struct<type: int, offset: bigint, length: bigint, is_last: boolean>>").alias("blocks")).cast(shape)
-
-    def step(state, _):
-        head = big_endian(F.col("content"), state["at"].cast("int"), 1)
-        length = big_endian(F.col("content"), (state["at"] + 1).cast("int"), 3)
-        last = head >= 128
-        block = F.struct((head % 128).cast("int").alias("type"), (state["at"] + 4).alias("offset"), length.alias("length"), last.alias("is_last"))
-        ended = state["done"] | head.isNull() | length.isNull()
-        following = F.struct((state["at"] + 4 + length).alias("at"), last.alias("done"), F.concat(state["blocks"], F.array(block)).alias("blocks"))
-        stopped = F.struct(state["at"].alias("at"), F.lit(True).alias("done"), state["blocks"].alias("blocks"))
-        return F.when(ended, stopped.cast(shape)).otherwise(following.cast(shape))
-
-    most = F.call_function("div", F.octet_length("content"), F.lit(4))
-    rows = files.withColumn("marker", marker_at(F.col("content")).cast("long"))
-    walked = rows.withColumn("walk", _fold(start, lambda s: s["done"], most, step))
-    out = walked.select("path", "size", "content", (~F.coalesce(F.element_at("walk.blocks", -1)["is_last"], F.lit(False))).alias("truncated"), F.posexplode("walk.blocks").alias("block_number", "b"))
-    return out.select("path", "size", "block_number", "b.*", "truncated", F.expr("substring(content, int(b.offset), int(b.length))").alias("data"))
+def foreign_prefix(files: DataFrame) -> DataFrame:
+    """Bytes before the marker, of files that have some."""
+    return walked(files, ()).filter("prefix > 0 AND coalesce(block_number, 0) = 0").select("path", F.col("prefix").alias("prefix_bytes"))
 
 
 def stream_facts(blocks: DataFrame) -> DataFrame:
@@ -93,11 +176,6 @@ def missing_md5(facts: DataFrame) -> DataFrame:
     return facts.groupBy(folder.alias("folder")).agg(F.count("*").alias("n_files"), F.count_if(F.col("embedded_md5").isNull()).alias("n_missing"))
 
 
-def foreign_prefix(files: DataFrame) -> DataFrame:
-    """Bytes before the marker, of files that have some."""
-    return files.select("path", (marker_at(F.col("content")) - 1).alias("prefix_bytes")).filter("prefix_bytes > 0")
-
-
 def pictures(blocks: DataFrame) -> DataFrame:
     """Picture blocks: type, MIME type, description, dimensions, bytes, image type, digest, and what to beware of."""
     d = F.col("data")
@@ -118,28 +196,39 @@ def repeated_pictures(found: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"), F.max("data_length").alias("bytes")).filter("n > 1")
 
 
+def _segments(image: memoryview) -> int | None:
+    """The bytes of the segments to strip, of a JPEG whose image data begins somewhere."""
+    if bytes(image[:2]) != b"\xff\xd8":
+        return None
+    at, total, end = 2, 0, len(image)
+    while at + 1 < end and image[at] == 0xFF:
+        kind = image[at + 1]
+        if kind in (0xDA, 0xD9):
+            return total
+        if kind == 0xFF:
+            at += 1
+            while at + 1 < end and image[at + 1] == 0xFF:  # fill bytes, of any number
+                run = bytes(image[at + 1 : at + 1 + SEARCH])
+                at += len(run) - len(run.lstrip(b"\xff"))
+        elif 0xD0 <= kind <= 0xD7 or kind == 0x01:
+            at += 2
+        else:
+            length = int.from_bytes(image[at + 2 : at + 4], "big")
+            if at + 4 > end or length < 2:
+                return None
+            total += (length + 2) * (0xE1 <= kind <= 0xEF or kind == 0xFE)
+            at += 2 + length
+    return None
+
+
+@F.arrow_udf(LongType())
+def _strippable(images: pa.Array) -> pa.Array:
+    return pa.array([_segments(memoryview(x.as_buffer()).cast("B")) if x.is_valid else None for x in images], pa.int64())
+
+
 def strippable_jpeg_bytes(content: Column) -> Column:
-    """Bytes of the APP1 to APP15 and comment segments of a JPEG before its image data; null if it is none."""
-    shape = "struct<at: bigint, sum: bigint, state: int>"  # 0 going, 1 ended well, 2 broken
-    make = lambda at, total, state: F.struct(at.cast("long").alias("at"), total.cast("long").alias("sum"), state.cast("int").alias("state")).cast(shape)
-
-    def step(s, _):
-        byte = big_endian(content, s["at"].cast("int"), 1)
-        kind = big_endian(content, (s["at"] + 1).cast("int"), 1)
-        length = big_endian(content, (s["at"] + 2).cast("int"), 2)
-        strip = ((kind >= 0xE1) & (kind <= 0xEF)) | (kind == 0xFE)
-        return (
-            F.when(s["state"] != 0, s)
-            .when(F.coalesce(byte != 0xFF, F.lit(True)) | kind.isNull(), make(s["at"], s["sum"], F.lit(2)))
-            .when(kind.isin(0xDA, 0xD9), make(s["at"], s["sum"], F.lit(1)))
-            .when(kind == 0xFF, make(s["at"] + 1, s["sum"], F.lit(0)))
-            .when(kind.between(0xD0, 0xD7) | (kind == 0x01), make(s["at"] + 2, s["sum"], F.lit(0)))
-            .when(F.coalesce(length < 2, F.lit(True)), make(s["at"], s["sum"], F.lit(2)))
-            .otherwise(make(s["at"] + 2 + length, s["sum"] + F.when(strip, length + 2).otherwise(F.lit(0)), F.lit(0)))
-        )
-
-    walked = _fold(make(F.lit(3), F.lit(0), F.lit(0)), lambda s: s["state"] != 0, F.octet_length(content), step)
-    return F.when((F.hex(F.substring(content, 1, 2)) == "FFD8") & (walked["state"] == 1), walked["sum"])
+    """Bytes of the APP1 to APP15 and comment segments of a JPEG before its image data; null if it is none, or broken."""
+    return _strippable(content)
 
 
 def padding(blocks: DataFrame) -> DataFrame:
@@ -147,22 +236,26 @@ def padding(blocks: DataFrame) -> DataFrame:
     return blocks.filter(F.col("type") == PADDING).groupBy("path").agg((F.sum("length") + 4 * F.count("*")).alias("padding_bytes"), F.count("*").alias("padding_blocks"))
 
 
+def _texts(data: memoryview) -> list[str]:
+    number = lambda at: int.from_bytes(data[at : at + 4], "little")
+    at = 4 + number(0)
+    left, found = number(at), []
+    at += 4
+    while left > 0 and at + 4 <= len(data):
+        n = number(at)
+        found.append(bytes(data[at + 4 : at + 4 + n]).decode("utf-8", "replace"))
+        at, left = at + 4 + n, left - 1
+    return found
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _comments(data: pa.Array) -> pa.Array:
+    return pa.array([_texts(memoryview(x.as_buffer())) if x.is_valid else [] for x in data], pa.list_(pa.string()))
+
+
 def comments(blocks: DataFrame) -> DataFrame:
     """path, comments: the NAME=value texts of each file."""
-    d = F.col("data")
-    shape = "struct<at: bigint, left: bigint, found: array<string>>"
-    vendor = little_endian(d, F.lit(1))
-    start = F.struct((vendor + 9).alias("at"), F.coalesce(little_endian(d, (vendor + 5).cast("int")), F.lit(0)).alias("left"), F.array().cast("array<string>").alias("found")).cast(shape)
-
-    def step(s, _):
-        n = little_endian(d, s["at"].cast("int"))
-        item = F.decode(F.substring(d, (s["at"] + 4).cast("int"), n.cast("int")), "UTF-8")
-        following = F.struct((s["at"] + 4 + n).alias("at"), (s["left"] - 1).alias("left"), F.concat(s["found"], F.array(item)).alias("found")).cast(shape)
-        broken = F.struct(s["at"].alias("at"), F.lit(0).alias("left"), s["found"].alias("found")).cast(shape)
-        return F.when(s["left"] <= 0, s).when(n.isNull(), broken).otherwise(following)
-
-    walked = _fold(start, lambda s: s["left"] <= 0, F.call_function("div", F.octet_length(d), F.lit(4)), step)
-    return blocks.filter(F.col("type") == COMMENT).select("path", walked["found"].alias("comments"))
+    return blocks.filter(F.col("type") == COMMENT).select("path", _comments("data").alias("comments"))
 
 
 def tag_counts(found: DataFrame) -> DataFrame:
