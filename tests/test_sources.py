@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verilake.operators import catalog, report
-from verilake.sources import blocks, files, listing, logs, publish
+from verilake.sources import blocks, files, listing, logs, publish, versioned
 
 
 def block(kind, data, last=False):
@@ -266,12 +266,76 @@ def test_failures_are_written_only_if_there_are_any(spark, tmp_path):
     assert not (tmp_path / "g").exists()
 
 
-def test_publish_only_what_passed(spark, tmp_path):
-    staged, target = str(tmp_path / "staged"), str(tmp_path / "target")
-    spark.createDataFrame([(1, "x", "old"), (2, "y", "old")], "id int, day string, v string").write.partitionBy("day").parquet(target)
-    spark.createDataFrame([(1, "x", "new"), (2, "y", "new"), (3, "y", "new"), (4, "z", "new")], "id int, day string, v string").write.partitionBy("day").parquet(staged)
-    verdicts = spark.createDataFrame([(1, True), (2, True), (3, False)], "id int, passed boolean")
+def published_rows(spark, target, version=None):
+    return sorted((r["id"], r["day"], r["v"]) for r in publish.published(spark, target, version).collect())
+
+
+OLD, NEW = [(1, "x", "old"), (2, "y", "old"), (7, None, "old")], [(1, "x", "new"), (2, "y", "new"), (3, "y", "new"), (4, "z", "new"), (5, "007", "new"), (6, None, "new")]
+MOVED = [(1, "x", "new"), (2, "y", "old"), (5, "007", "new"), (6, None, "new")]
+
+
+def day_rows(spark, rows):
+    return spark.createDataFrame(rows, "id int, day string, v string")
+
+
+@pytest.fixture
+def staged(spark, tmp_path):
+    before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    day_rows(spark, NEW).write.partitionBy("day").parquet(str(tmp_path / "staged"))
+    verdicts = spark.createDataFrame([(1, True), (2, True), (3, False), (5, True), (5, True), (6, True)], "id int, passed boolean")
+    yield lambda target: publish.publish_verified(spark, str(tmp_path / "staged"), target, verdicts, "id", "day")
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", before)
+
+
+def test_publish_only_what_passed(spark, tmp_path, staged):
+    target = str(tmp_path / "target")
+    assert publish.published(spark, target) is None
+    versioned.replace(spark, target, day_rows(spark, OLD), "day")
     for _ in range(2):
-        done = {r["day"]: r["published"] for r in publish.publish_verified(spark, staged, target, verdicts, "id", "day").collect()}
-        assert done == {"x": True, "y": False, "z": False}
-        assert sorted((r["id"], r["v"]) for r in spark.read.parquet(target).collect()) == [(1, "new"), (2, "old")]
+        done = {r["day"]: r["published"] for r in staged(target).collect()}
+        assert done == {"x": True, "y": False, "z": False, "007": True, None: True}
+        assert published_rows(spark, target)[:] == MOVED
+    assert published_rows(spark, target, 0) == OLD  # a reader that is on it still sees it
+    assert versioned.versions(spark, target) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("step", ["write_rows", "prepare", "switch", "after"])
+def test_a_publication_that_stops_shows_all_or_nothing(spark, tmp_path, staged, monkeypatch, step):
+    target = str(tmp_path / "target")
+    versioned.replace(spark, target, day_rows(spark, OLD), "day")
+
+    def stop(*a, **b):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        if step == "after":
+            put = versioned.switch
+            m.setattr(versioned, "switch", lambda *a: (put(*a), stop()))
+        elif step == "write_rows":  # half of the files are there
+            def half(rows, path, partition, write=versioned.write_rows):
+                write(rows.limit(1), path, partition)
+                stop()
+
+            m.setattr(versioned, step, half)
+        else:
+            m.setattr(versioned, step, stop)
+        with pytest.raises(RuntimeError):
+            staged(target)
+    assert published_rows(spark, target) == (MOVED if step == "after" else OLD)
+    staged(target)
+    assert published_rows(spark, target) == MOVED
+    assert versioned.vacuum(spark, target, 3600) == []  # nothing is old enough
+    gone = versioned.vacuum(spark, target, -60)
+    assert gone and published_rows(spark, target) == MOVED and len(versioned.versions(spark, target)) == 1
+    assert len(list((tmp_path / "target/data").glob("publication=*"))) == 2 and not list((tmp_path / "target/manifests").glob(".writing*"))
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    target = str(tmp_path / "target")
+    rows = day_rows(spark, OLD).select("id", "v", "day")
+    plans = [versioned.prepare(spark, target, "day", rows, versioned.write_rows(rows, target, "day")) for _ in range(2)]
+    versioned.switch(spark, target, *plans[0])
+    with pytest.raises(versioned.Overtaken):
+        versioned.switch(spark, target, *plans[1])
+    assert published_rows(spark, target) == OLD and versioned.versions(spark, target) == [0]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verilake.sources import versioned
+from verilake.sources.scratch import cut
+
 
 def write_runs(results: DataFrame, path: str) -> None:
     """Results by run_id; a run that is written again replaces itself and no other."""
@@ -26,17 +29,22 @@ def write_failures(failed: DataFrame, path: str) -> bool:
 
 
 def publish_verified(spark: SparkSession, staged: str, target: str, verdicts: DataFrame, key: str, partition: str) -> DataFrame:
-    """Move the partitions of a staged table whose rows all passed into the target; the verdict of each.
+    """Put the partitions of a staged table whose rows all passed in force in the target; the verdict of each.
 
     ``verdicts`` has key and passed. A partition with a row that failed or has no
-    verdict stays as it was in the target. Plain Parquet replaces a partition as
-    a whole but not several at once; run it again after an interruption, the
-    outcome is the same.
+    verdict stays as it was in the target. The target is a table of versions
+    (``versioned``): its readers see all of these partitions at once or none, and
+    a run that stops anywhere, or is run again, leaves the same rows in force.
     """
     rows = spark.read.parquet(staged)
-    judged = rows.select(key, partition).join(verdicts.select(key, "passed"), key, "left")
-    by_partition = judged.groupBy(partition).agg(F.count("*").alias("n"), F.count_if(F.coalesce("passed", F.lit(False))).alias("n_passed"))
-    good = by_partition.filter(F.col("n") == F.col("n_passed")).select(partition)
-    passed = rows.join(good, partition, "left_semi")
-    passed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+    judged = rows.select(key, partition).join(verdicts.groupBy(key).agg(F.min(F.coalesce("passed", F.lit(False))).alias("passed")), key, "left")
+    by_partition = cut(judged.groupBy(partition).agg(F.count("*").alias("n"), F.count_if(F.coalesce("passed", F.lit(False))).alias("n_passed")))
+    good = by_partition.filter(F.col("n") == F.col("n_passed")).select(F.col(partition).alias("_good"))
+    if not good.isEmpty():
+        versioned.replace(spark, target, rows.join(good, F.col(partition).eqNullSafe(F.col("_good")), "left_semi"), partition)
     return by_partition.withColumn("published", F.col("n") == F.col("n_passed"))
+
+
+def published(spark: SparkSession, target: str, version: int | None = None) -> DataFrame | None:
+    """What is in force in the target, or was in a version; None if nothing has been published."""
+    return versioned.read(spark, target, version)
