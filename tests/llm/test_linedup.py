@@ -92,7 +92,7 @@ def test_one_hot_line(spark):
 def test_lines_and_texts_of_a_batch_keep_apart():
     """Lines at the ends of texts, empty texts, and a word on either side of an edge."""
     texts = ["a b\n", "", "\n", "c", "d\n\ne f e", None, "\n\ng", "x" * 100 + "\n" + "X" * 100]
-    own = linedup._LineSets(*next(words.slices(pa.array(texts)))[1:], np.arange(linedup.RARITY, dtype=np.uint64))
+    own = linedup._LineSets(*next(words.slices(pa.array(texts)))[1:])
     assert list(zip(own.text.tolist(), own.line.tolist(), own.sizes.tolist(), strict=True)) == [(0, 0, 2), (3, 0, 1), (4, 0, 1), (4, 2, 2), (6, 2, 1), (7, 0, 1), (7, 1, 1)]
     ids = own.digests()[0].tolist()
     assert ids[-1] == ids[-2] and len(set(ids)) == 6
@@ -150,7 +150,7 @@ def test_blocks_find_every_match_of_a_run():
     for k in range(300):
         own = r.sample(words_of, 12) if k % 3 else rows[r.randrange(len(rows))]["text"].decode().split()[: r.randrange(9, 13)] if rows else r.sample(words_of, 12)
         text = " ".join(own).encode()
-        one = linedup._LineSets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.arange(linedup.RARITY, dtype=np.uint64))
+        one = linedup._LineSets(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         low, high = one.bitmaps()[0].view(np.int64).tolist()
         rows.append({"word": 1 + k // 150, "other": 2, "i": 0, "j": k // 150, "block": k % 2 if k >= 150 else 0, "free": r.random() < 0.7, "n": len(set(own)), "low": low, "high": high, "doc_id": r.randrange(50), "text_id": k, "line": 0, "id": k, "text": text})
     rows.sort(key=lambda x: (x["word"], x["other"], x["i"], x["j"]))
@@ -164,3 +164,35 @@ def test_blocks_find_every_match_of_a_run():
     batches = pa.Table.from_pylist(rows).select(linedup._BLOCK_ROW).to_batches(max_chunksize=40)
     found = [i for b in linedup._blocks(0.8)(iter(batches)) for i in b.column(0).to_pylist()]
     assert len(want) > 20 and set(found) == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("run", [2, 4096])
+def test_classes_that_share_half_a_digest(spark, monkeypatch, run):
+    """Whatever lines have the same first half of their digests, no other line is taken for them."""
+    own = linedup._LineSets
+
+    class Narrow(own):
+        def halves(self):
+            return own.halves(self) & 3
+
+    monkeypatch.setattr(linedup, "_LineSets", Narrow)
+    monkeypatch.setattr(linedup, "RUN", run)
+    r = random.Random(5)
+    base = [f"rare{k}" for k in range(30)]
+    lines = [" ".join(r.sample(base, 9)) for _ in range(40)]
+    near = [x + " more" for x in lines[::3]] + [" ".join(x.split()[:-1]) for x in lines[1::3]]
+    rows = [(i, "\n".join(r.sample(lines + near, 5)) + f"\nown line of document {i} number {i * i}", None, None, None) for i in range(50)]
+    check(spark, rows)
+
+
+def test_digests_are_of_whole_hashes(monkeypatch):
+    """Lines whose words share 48 bits, upper or lower, have digests of their own; ranks change nothing."""
+    plain = words.hashes
+    texts = ["a b c a b", "c b a", "a b", "b c", "a b d", "", "d"]
+    ranks = linedup.Ranks(np.random.default_rng(0).permutation(linedup.RARITY).astype(np.uint64))
+    for bits in (0xFFFF, 0xFFFF << 48, 2**64 - 1):
+        with monkeypatch.context() as m:
+            m.setattr(linedup.W, "hashes", lambda data, start, stop, bits=bits: plain(data, start, stop) & np.uint64(bits))
+            for own in (linedup._LineSets(*next(words.slices(pa.array(texts)))[1:], r) for r in (None, ranks)):
+                ids = list(zip(*(x.tolist() for x in own.digests()), strict=True))
+                assert len(ids) == 6 and ids[0] == ids[1] and len(set(ids)) == 5

@@ -57,21 +57,36 @@ _LOW = np.uint64(2**48 - 1)
 _REST = np.uint64(2**30 - 1)
 
 
-def _ranked_words(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """48 bits of each word, which ascend from rare to frequent: the rank of its bucket, then 30 bits of its hash."""
-    return (ranks[h >> np.uint64(46)] << np.uint64(30)) | ((h >> np.uint64(16)) & _REST)
+class Ranks:
+    """The place of each bucket of words from rare to frequent, and the bucket of each place."""
+
+    def __init__(self, places: np.ndarray):
+        self.places = places
+        self.buckets = np.empty_like(places)
+        self.buckets[places] = np.arange(len(places), dtype=np.uint64)
+
+    def ranked(self, h: np.ndarray) -> np.ndarray:
+        """48 bits of each word, which ascend from rare to frequent: the rank of its bucket, then 30 bits of its hash."""
+        return (self.places[h >> np.uint64(46)] << np.uint64(30)) | ((h >> np.uint64(16)) & _REST)
+
+    def unranked(self, words: np.ndarray) -> np.ndarray:
+        """The upper 48 bits of the hashes again."""
+        return (self.buckets[words >> np.uint64(30)] << np.uint64(30)) | (words & _REST)
 
 
 class _LineSets:
     """The word sets of the lines of some texts.
 
     ``words`` ascend in each set; ``at`` is the set's number. Of each set there
-    is the text that it is of, the line there, its size and its digest.
+    is the text that it is of, the line there, its size and its digest, which
+    does not depend on the ranks. Words are told apart by 48 bits of their hashes,
+    and sets by all 64: one half of a digest is of the upper 48 bits of the words,
+    the other of the lower 48.
     """
 
-    def __init__(self, data: np.ndarray, edges: np.ndarray, ranks: np.ndarray):
+    def __init__(self, data: np.ndarray, edges: np.ndarray, ranks: Ranks | None = None):
         start, stop = W.spans(data, edges)
-        w = _ranked_words(W.hashes(data, start, stop), ranks)
+        self.hashes = W.hashes(data, start, stop)  # of every word, repeats too
         breaks = np.flatnonzero(data == 10) + 1
         n_lines = np.diff(np.searchsorted(breaks, edges, "right")) + 1
         opens = np.sort(np.concatenate((edges[:-1], breaks)), kind="stable")
@@ -79,27 +94,39 @@ class _LineSets:
         fresh = np.ones(len(line), bool)
         fresh[1:] = line[1:] != line[:-1]
         own = line[fresh]
-        number = np.cumsum(fresh) - 1
-        kept = []
-        for low in range(0, len(own), 1 << 16):
-            a, b = np.searchsorted(number, (low, low + (1 << 16)))
-            both = np.sort(((number[a:b] - low).astype(np.uint64) << np.uint64(48)) | w[a:b])
-            both = both[np.concatenate(([True], both[1:] != both[:-1]))]
-            kept.append((both & _LOW, (both >> np.uint64(48)).astype(np.int64) + low))
-        self.words, self.at = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.mixed = W.mix(self.words * np.uint64(0x9E3779B97F4A7C15))
-        self.starts = np.searchsorted(self.at, np.arange(len(own) + 1))
+        self.number = np.cumsum(fresh) - 1
+        self.n = len(own)
+        self.words, self.at = self._distinct(self.hashes >> np.uint64(16) if ranks is None else ranks.ranked(self.hashes))
+        self.mixed = W.mix((self.words if ranks is None else ranks.unranked(self.words)) * np.uint64(0x9E3779B97F4A7C15))
+        self.starts = np.searchsorted(self.at, np.arange(self.n + 1))
         self.sizes = np.diff(self.starts)
         first = np.concatenate(([0], np.cumsum(n_lines)))
         self.text = np.searchsorted(first, own, "right") - 1
         self.line = own - first[self.text]
 
+    def _distinct(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different ones of 48 bits of each word, ascending in each set, and their sets."""
+        kept = []
+        for low in range(0, self.n, 1 << 16):
+            a, b = np.searchsorted(self.number, (low, low + (1 << 16)))
+            both = np.sort(((self.number[a:b] - low).astype(np.uint64) << np.uint64(48)) | w[a:b])
+            both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+            kept.append((both & _LOW, (both >> np.uint64(48)).astype(np.int64) + low))
+        words, at = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return words, at
+
     def _summed(self, values: np.ndarray, how=np.add) -> np.ndarray:
         return how.reduceat(values, self.starts[:-1]) if len(self.sizes) else np.zeros(0, np.uint64)
 
+    def halves(self) -> np.ndarray:
+        """The first half of the digest of each set: the sum of a random number for the upper 48 bits of each word."""
+        return self._summed(self.mixed).view(np.int64)
+
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit halves of a digest of each set: the sum and the exclusive or of a random number for each word."""
-        return self._summed(self.mixed).view(np.int64), self._summed(self.mixed, np.bitwise_xor).view(np.int64)
+        """Both halves."""
+        lower, at = self._distinct(self.hashes & _LOW)
+        second = np.add.reduceat(W.mix(lower * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(at, np.arange(self.n))) if self.n else np.zeros(0, np.uint64)
+        return self.halves(), second.view(np.int64)
 
     def bitmaps(self) -> np.ndarray:
         """128 bits for each set: the exclusive or of one bit for each word."""
@@ -118,18 +145,36 @@ def _prefix_size(n, t: float):
     return n - np.ceil(t * n - 1e-9) + 1
 
 
-def _ranks(docs: DataFrame) -> np.ndarray:
-    """The place of each bucket of words from rare to frequent, by counts over all texts: RARITY numbers."""
-    piece = 1024  # buckets that travel together
+_PIECE = 1024  # buckets that travel together
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """Of one pass over the texts: doc_id, text_id, line (from 0), and the digest (id, more) and size n of the word set of every line that has a word.
+
+    Rows that have a piece instead hold what a task has counted of the words of
+    some buckets; ``_ranks`` adds them up.
+    """
+    names = ["doc_id", "text_id", "line", "id", "more", "n", "piece", "counts"]
 
-    def count(batches):
+    def run(batches):
         counts = np.zeros(RARITY, np.int64)
         for batch in batches:
-            for _, data, edges in W.slices(batch.column(0)):
-                counts += np.bincount(W.hashes(data, *W.spans(data, edges)) >> np.uint64(46), minlength=RARITY)
-        rows = counts.reshape(-1, piece)
+            for row, data, edges in W.slices(batch.column(2)):
+                own = _LineSets(data, edges)
+                counts += np.bincount(own.hashes >> np.uint64(46), minlength=RARITY)
+                at = pa.array(own.text + row)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(own.line.astype(np.int32)), *map(pa.array, own.digests()), pa.array(own.sizes.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names)
+        rows = counts.reshape(-1, _PIECE)
         at = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([rows[k].tobytes() for k in at.tolist()], pa.binary())], ["piece", "counts"])
+        blobs = pa.array([rows[k].tobytes() for k in at.tolist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()]), pa.array(at.astype(np.int32)), blobs], names)
+
+    return docs.mapInArrow(run, "doc_id long, text_id long, line int, id long, more long, n int, piece int, counts binary")
+
+
+def _ranks(table: DataFrame) -> Ranks:
+    """From the counts of all texts; twice RARITY numbers."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -140,26 +185,13 @@ def _ranks(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
 
     schema = "piece int, counts binary"
-    counts = np.zeros((RARITY // piece, piece), np.int64)
-    for r in docs.select("text").mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).collect():
+    counts = np.zeros((RARITY // _PIECE, _PIECE), np.int64)
+    added = table.filter("piece IS NOT NULL").select("piece", "counts").mapInArrow(add, schema)  # the counts of a task's share of the table
+    for r in added.repartition("piece").mapInArrow(add, schema).collect():
         counts[r["piece"]] += np.frombuffer(r["counts"], np.int64)
-    ranks = np.empty(RARITY, np.uint64)
-    ranks[np.argsort(counts.ravel(), kind="stable")] = np.arange(RARITY, dtype=np.uint64)
-    return ranks
-
-
-def line_table(docs: DataFrame, known) -> DataFrame:
-    """doc_id, text_id, line (from 0), and the digest (id, more) and size n of the word set of every line that has a word."""
-    names = ["doc_id", "text_id", "line", "id", "more", "n"]
-
-    def run(batches):
-        for batch in batches:
-            for row, data, edges in W.slices(batch.column(2)):
-                own = _LineSets(data, edges, known.value)
-                at = pa.array(own.text + row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(own.line.astype(np.int32)), *map(pa.array, own.digests()), pa.array(own.sizes.astype(np.int32))], names)
-
-    return docs.mapInArrow(run, "doc_id long, text_id long, line int, id long, more long, n int")
+    places = np.empty(RARITY, np.uint64)
+    places[np.argsort(counts.ravel(), kind="stable")] = np.arange(RARITY, dtype=np.uint64)
+    return Ranks(places)
 
 
 def _prefixes(docs: DataFrame, known, parts: int, t: float) -> DataFrame:
@@ -187,19 +219,20 @@ def _prefixes(docs: DataFrame, known, parts: int, t: float) -> DataFrame:
             docs_of = batch.column(0).to_numpy()
             for row, data, edges in W.slices(batch.column(1)):
                 own = _LineSets(data, edges, known.value)
-                ids, _ = own.digests()
-                _, first = np.unique(ids, return_index=True)
+                ids, bits = own.halves(), own.bitmaps()
+                same = ids.view(np.uint64) ^ W.mix(bits[:, 0] ^ W.mix(bits[:, 1]))  # sets that share a half have other bitmaps
+                _, first = np.unique(same, return_index=True)
                 fresh = np.zeros(len(ids), bool)
                 fresh[first] = True
                 fresh &= own.sizes >= t * (own.sizes + 1) - 1e-9  # smaller sets have only equal ones at t
-                fresh &= np.array([x not in seen for x in ids.tolist()], bool)  # a task's repeats of a line add nothing
+                fresh &= np.array([x not in seen for x in same.tolist()], bool)  # a task's repeats of a line add nothing
                 if len(seen) > 200_000:
                     seen.clear()
-                seen.update(ids[fresh].tolist())
+                seen.update(same[fresh].tolist())
                 keep = fresh[own.at] & (np.arange(len(own.at)) - own.starts[own.at] < _prefix_size(own.sizes, t)[own.at])
                 e, at = np.zeros(int(keep.sum()), _ENTRY), own.at[keep]
                 n_words = np.minimum(own.sizes, LARGE)[at]
-                e["key"], e["id"], e["doc"], e["bits"] = (own.words[keep] << np.uint64(16)) | n_words.astype(np.uint64), ids[at], docs_of[own.text[at] + row], own.bitmaps()[at]
+                e["key"], e["id"], e["doc"], e["bits"] = (own.words[keep] << np.uint64(16)) | n_words.astype(np.uint64), ids[at], docs_of[own.text[at] + row], bits[at]
                 e["left"] = np.where(n_words < LARGE, np.minimum(own.starts[at + 1] - np.flatnonzero(keep), LARGE), LARGE)
                 held.append(e)
                 n += len(e)
@@ -223,8 +256,8 @@ def _run_pairs(t: float):
     def pair_up(e: np.ndarray):
         e = e[np.lexsort((e["doc"], e["id"], e["key"]))]
         fresh = np.ones(len(e), bool)
-        fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])
-        e = e[fresh]  # of a class its first document here
+        fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1]) | (e["bits"][1:] != e["bits"][:-1]).any(1)
+        e = e[fresh]  # of a class its first document here; classes of one id are told apart by their bitmaps
         word, n = e["key"] >> np.uint64(16), (e["key"] & np.uint64(0xFFFF)).astype(np.int64)
         opens = np.ones(len(e), bool)
         opens[1:] = word[1:] != word[:-1]
@@ -371,7 +404,7 @@ def _blocks(t: float):
         at = np.arange(len(n)) - np.repeat(first, np.diff(np.append(first, len(n))))
         when = np.empty(len(n), np.int64)
         when[np.lexsort(place[::-1])] = np.arange(len(n))
-        texts, ids, sets, gone = rows.column("text").combine_chunks(), rows.column("id"), {}, set()
+        texts, ids, sets, gone = rows.column("text").combine_chunks(), rows.column("id").to_numpy()[order], {}, set()
 
         def words(k: int) -> set[bytes]:
             if k not in sets:
@@ -385,14 +418,14 @@ def _blocks(t: float):
             later, b = later[ok], b[ok]
             both = n[later] + n[b]
             differ = np.bitwise_count(low[later] ^ low[b]).astype(np.int64) + np.bitwise_count(high[later] ^ high[b])
-            ok = (((both - differ) // 2 >= t / (1 + t) * both - 1e-9) | (n[later] == LARGE)) & ((i[later] == j[later]) | (block[later] != block[b]))
+            ok = (((both - differ) // 2 >= t / (1 + t) * both - 1e-9) | (n[later] == LARGE)) & ((i[later] == j[later]) | (block[later] != block[b])) & (ids[later] != ids[b])
             x, y = np.where(when[later] > when[b], later, b)[ok], np.where(when[later] > when[b], b, later)[ok]
             for k, o in zip(x[free[x]].tolist(), y[free[x]].tolist(), strict=True):
                 if k not in gone and len(words(k) & words(o)) >= _overlap(len(words(k)), len(words(o)), t):
                     gone.add(k)
             back += 1
             later = later[at[later] >= back]
-        return pa.RecordBatch.from_arrays([pa.array([ids[int(order[k])].as_py() for k in gone], pa.int64())], ["id"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[sorted(gone)], pa.int64())], ["id"])
 
     def run(batches):
         held = None
@@ -426,24 +459,26 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_id, lines: the numbers (from 0) of the lines of each document that an earlier line matches."""
     t = threshold
     docs = _with_ids(docs)
-    known = docs.sparkSession.sparkContext.broadcast(_ranks(docs))  # RARITY numbers
-    table = cut(line_table(docs, known))
+    everything = cut(line_table(docs))
+    known = docs.sparkSession.sparkContext.broadcast(_ranks(everything))  # RARITY numbers
+    table = everything.filter("piece IS NULL").drop("piece", "counts")
     keys = ["id", "more"]
-    classes = cut(table.groupBy(*keys).agg(F.min(F.struct("doc_id", "text_id", "line")).alias("place"), F.first("n").alias("n"), F.count("*").alias("lines")))
+    classes = table.groupBy(*keys).agg(F.min(F.struct("doc_id", "text_id", "line")).alias("place"), F.first("n").alias("n"), F.count("*").alias("lines"))
+    classes = cut(classes.withColumn("number", F.monotonically_increasing_id()))
     sizes = classes.agg(F.sum("n").alias("words"), F.sum("lines").alias("lines")).first()
     parts = max(1, math.ceil((sizes["words"] or 0) * (1.2 - t) / PART))
     packed = _prefixes(docs, known, parts, t).repartition(parts, "part").sortWithinPartitions("part")
     found = cut(packed.mapInArrow(_run_pairs(t), "kind int, x long, y long, n long, low long, high long"))
 
-    # a pair knows a class by half of its digest; should two have that half, both are looked at as one line of either
-    pairs, members = found.filter("kind = 0").select("x", "y").distinct(), found.filter("kind = 1").withColumnRenamed("x", "id").withColumnRenamed("y", "word")
-    met = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).union(members.select("id")).distinct()
-    named = cut(classes.join(met.hint("shuffle_hash"), "id").groupBy("id").agg(F.min("place").alias("place")))
-    place = lambda c: named.select(F.col("id").alias(c), F.col("place").alias("place_" + c))
+    # entries know a class by half of its digest; from here on it goes by its number, and if classes share that half, each of them does
+    pairs, members = found.filter("kind = 0").select("x", "y").distinct(), found.filter("kind = 1").withColumnRenamed("x", "half").withColumnRenamed("y", "word")
+    met = pairs.select(F.col("x").alias("half")).union(pairs.select("y")).union(members.select("half")).distinct()
+    named = cut(classes.select(F.col("id").alias("half"), F.col("number").alias("id"), "place").join(met.hint("shuffle_hash"), "half"))
+    of = lambda c: named.select(F.col("half").alias(c), F.col("id").alias("id_" + c), F.col("place").alias("place_" + c))
     later = F.col("place_x") > F.col("place_y")
-    pairs = pairs.join(place("x"), "x").join(place("y"), "y")
-    pairs = pairs.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("y"))
-    members = cut(members.join(named, "id").select("word", "id", "place", "n", "low", "high"))
+    pairs = pairs.join(of("x"), "x").join(of("y"), "y").filter("id_x <> id_y")
+    pairs = pairs.select(F.when(later, F.col("id_x")).otherwise(F.col("id_y")).alias("x"), F.when(later, F.col("id_y")).otherwise(F.col("id_x")).alias("y"))
+    members = cut(members.join(named, "half").select("word", "id", "place", "n", "low", "high"))
     first = members.groupBy("word").agg(F.min(F.struct("place", "id", "n", "low", "high")).alias("first"))
     size = F.col("n") + F.col("first.n")
     differ = F.bit_count(F.col("low").bitwiseXOR(F.col("first.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("first.high")))
@@ -465,7 +500,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = gone.union(more).distinct()
 
     # only the lines of classes that go, or that have more than one line, meet a verdict
-    verdict = classes.join(gone.withColumn("gone", F.lit(True)), "id", "left").filter("gone OR lines > 1")
+    verdict = classes.join(gone.select(F.col("id").alias("number"), F.lit(True).alias("gone")), "number", "left").filter("gone OR lines > 1")
     verdict = cut(verdict.select(*keys, "place", "lines", F.coalesce("gone", F.lit(False)).alias("gone")))
     often = F.col("lines") * HOT >= F.lit(sizes["lines"] or 0)
     hot = F.broadcast(verdict.filter(often))  # HOT rows at most
