@@ -189,13 +189,13 @@ def test_running_counts_and_sums(spark, key):
     rows = [(r.choice(["a", "b", key, key, key]), i, r.randrange(100)) for i in range(700)] + [(f"k{i}", i, 1) for i in range(50)]
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, seq long, v long").repartition(7)
-    found = {(x["k"], x["seq"]): (x["nth"], x["so_far"]) for x in catalog.running(df, "k", [F.col("seq")], so_far=F.col("v")).collect()}
+    found = {(x["k"], x["seq"]): (x["nth"], x["so_far"]) for x in catalog.running(df, "k", ["seq"], so_far=F.col("v")).collect()}
     want, seen = {}, {}
     for k, i, v in sorted(rows, key=lambda x: x[1]):
         n, total = seen.get(k, (0, 0))
         seen[k] = want[k, i] = (n + 1, total + v)
     assert found == want
-    assert catalog.running(df.limit(0), "k", [F.col("seq")]).count() == 0
+    assert catalog.running(df.limit(0), "k", ["seq"]).count() == 0
 
 
 def test_canonical_paths(spark):

@@ -76,24 +76,78 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, rank).drop("_part", "_at", "_before")
 
 
-def running(df: DataFrame, key: str, order: list[Column], **sums: Column) -> DataFrame:
-    """nth (from 1) and running ``sums`` of the rows of each key, without one task that sees a whole key.
+def dealt(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """``df`` as a written table, dealt by ranges of key and order: _part, and _at, the place in the order there. Select what is needed before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*_keys(key), *order]
+    rows = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return cut(rows.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+
+
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
 
-    Rows are dealt by ranges of key and order. What a key has in the ranges before
-    one is added there; at most one key reaches into a range from before it, so
-    that this is one row per range.
+def _with_earlier(placed: DataFrame, keys: list[str], earlier: DataFrame) -> DataFrame:
+    """Rows with what their key has in the ranges before theirs.
+
+    At most one key reaches into a range from before it, so that ``earlier`` has
+    one row for each range.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = {"_n": F.lit(1), **{f"_{c}": value for c, value in sums.items()}}
-    rows = df.withColumns({c: F.coalesce(value, F.lit(0)).cast("long") for c, value in names.items()}).repartitionByRange(parts, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
-    placed = cut(rows.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
-    totals = placed.groupBy("_part", key).agg(*[F.sum(c).alias(c) for c in names])
-    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(F.col("_part").alias("_p"), F.col(key).alias("_k"), *[F.sum(c).over(earlier).alias(f"_b{c}") for c in names]).filter("_b_n > 0")
-    joined = placed.join(F.broadcast(before), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")), "left")
-    here = Window.partitionBy("_part", key).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    so_far = {"nth" if c == "_n" else c[1:]: F.sum(c).over(here) + F.coalesce(f"_b{c}", F.lit(0)) for c in names}
-    return joined.withColumns(so_far).drop("_part", "_at", "_p", "_k", *names, *[f"_b{c}" for c in names])
+    other = earlier.withColumnsRenamed({"_part": "_p", **{c: f"_k{i}" for i, c in enumerate(keys)}})
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(keys):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(F.broadcast(other), same, "left").drop("_p", *[f"_k{i}" for i in range(len(keys))])
+
+
+def with_running(placed: DataFrame, key: str | list[str], **sums: Column) -> DataFrame:
+    """Rows that ``dealt`` has placed by the key, with running ``sums``: those of the range, and of the key's ranges before."""
+    keys = _keys(key)
+    values = {f"_{c}": F.coalesce(value, F.lit(0)).cast("long") for c, value in sums.items()}
+    placed = placed.withColumns(values)
+    totals = placed.groupBy("_part", *keys).agg(*[F.sum(c).alias(c) for c in values])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = next(iter(values))
+    before = totals.select("_part", *keys, *[F.sum(c).over(earlier).alias(f"_b{c}") for c in values]).filter(F.col(f"_b{first}").isNotNull())
+    here = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = {c[1:]: F.sum(c).over(here) + F.coalesce(f"_b{c}", F.lit(0)) for c in values}
+    return _with_earlier(placed, keys, before).withColumns(so_far).drop(*values, *[f"_b{c}" for c in values])
+
+
+def with_previous(placed: DataFrame, key: str | list[str], value: Column, name: str) -> DataFrame:
+    """Rows that ``dealt`` has placed by the key, with the value of the key's row before; null for the first.
+
+    The last value of a key in a range is handed over to the next range that has the key.
+    """
+    keys = _keys(key)
+    placed = placed.withColumn("_v", F.struct(value.alias("v")))
+    last = placed.groupBy("_part", *keys).agg(F.max_by("_v", "_at").alias("_last"))
+    before = last.select("_part", *keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part")).alias("_handed")).filter("_handed IS NOT NULL")
+    here = Window.partitionBy("_part", *keys).orderBy("_at")
+    joined = _with_earlier(placed, keys, before)
+    return joined.withColumn(name, F.coalesce(F.lag("_v").over(here), F.col("_handed"))["v"]).drop("_v", "_handed")
+
+
+def with_total(placed: DataFrame, key: str | list[str], name: str) -> DataFrame:
+    """Rows that ``dealt`` has placed by the key, with how many rows their key has. They meet that by key and range, so that no key is hot."""
+    keys = _keys(key)
+    counts = placed.groupBy("_part", *keys).agg(F.count("*").alias("_c"))
+    sizes = counts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.sum("_c").over(Window.partitionBy(*keys)).alias(name))
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(keys):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(sizes, same).drop("_p", *[f"_k{i}" for i in range(len(keys))])
+
+
+def running(df: DataFrame, key: str | list[str], order: list[str], carry: list[str] | tuple[str, ...] = (), **sums: Column) -> DataFrame:
+    """The key, the columns of the order, those to carry, nth (from 1) and running ``sums`` of the rows of each key, without one task that sees a whole key.
+
+    Nothing but the columns named here is written.
+    """
+    own = [c for c in dict.fromkeys([*_keys(key), *order, *carry]) if c not in sums]
+    placed = dealt(df.select(*own, *[F.coalesce(v, F.lit(0)).cast("long").alias(f"_s_{c}") for c, v in sums.items()]), key, order)
+    return with_running(placed, key, nth=F.lit(1), **{c: F.col(f"_s_{c}") for c in sums}).select(*own, "nth", *sums)
 
 
 def shard_plan(files: DataFrame, shards: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verilake.operators.catalog import running
+from verilake.operators.catalog import dealt, running, with_previous, with_running
 
 EVENT_SCHEMA = "type string, worker long, seq long, ts timestamp, file string, percent int, ratio string, stage string, phase string, hash string, status string"
 TYPES = ("workerStarted", "workerProgress", "workerStageChanged", "workerIdle", "hashComputed", "fileCompleted", "filesAdded", "runComplete")
@@ -28,28 +28,32 @@ def decode(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFram
     return events, parsed.filter(~known).select(column)
 
 
-def with_file(events: DataFrame) -> DataFrame:
-    """Every event with the file of its worker's last start; an idle worker has none.
+def with_file(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """worker, seq, type, what to carry and current_file of every event: the file of its worker's last start; an idle worker has none.
 
     Starts and idle marks are counted along each worker's events, by ranges of
-    them; an event takes the file of the mark that has its count.
+    them; an event takes the file of the mark that has its count. Events before
+    the first mark meet none, and need no join.
     """
     marks = F.col("type").isin("workerStarted", "workerIdle")
-    rows = running(events, "worker", [F.col("seq")], _mark=F.when(marks, 1)).drop("nth")
+    rows = running(events, "worker", ["seq"], carry=["type", "file", *carry], _mark=F.when(marks, 1)).drop("nth")
     files = rows.filter(marks).select("worker", "_mark", F.when(F.col("type") == "workerStarted", F.col("file")).alias("current_file"))
-    return rows.join(files, ["worker", "_mark"], "left").drop("_mark")
+    shown = ["worker", "seq", "type", *carry]
+    met = rows.filter("_mark > 0").join(files, ["worker", "_mark"], "left").select(*shown, "current_file")
+    return met.unionByName(rows.filter("_mark = 0").select(*shown, F.lit(None).cast(events.schema["file"].dataType).alias("current_file")))
 
 
 def progress_changes(events: DataFrame) -> DataFrame:
-    """Progress events whose percentage differs from the worker's one before, which is 0 at first."""
-    rows = running(events.filter(F.col("type") == "workerProgress"), "worker", [F.col("seq")])
-    before = rows.select("worker", (F.col("nth") + 1).alias("nth"), F.col("percent").alias("_before"))
-    return rows.join(before, ["worker", "nth"], "left").filter(F.col("percent") != F.coalesce("_before", F.lit(0))).drop("_before", "nth")
+    """worker, seq, percent of the progress events whose percentage differs from the worker's one before, which is 0 at first."""
+    own = events.filter((F.col("type") == "workerProgress") & F.col("percent").isNotNull()).select("worker", "seq", "percent")
+    rows = with_previous(dealt(own, "worker", ["seq"]), "worker", F.col("percent"), "_before")
+    return rows.filter(F.col("percent") != F.coalesce("_before", F.lit(0))).select("worker", "seq", "percent")
 
 
 def hash_pairs(events: DataFrame) -> DataFrame:
     """worker, job (from 1), source_hash, output_hash: the hashes of each file a worker took up."""
-    jobs = running(events, "worker", [F.col("seq")], job=F.when(F.col("type") == "workerStarted", 1))
+    own = events.filter((F.col("type") == "workerStarted") | F.col("hash").isNotNull())  # nothing else has a part in it
+    jobs = running(own, "worker", ["seq"], carry=["phase", "hash"], job=F.when(F.col("type") == "workerStarted", 1))
     of = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("hash")))
     return jobs.filter((F.col("job") > 0) & F.col("hash").isNotNull()).groupBy("worker", "job").agg(of("source").alias("source_hash"), of("output").alias("output_hash"))
 
@@ -74,11 +78,43 @@ def live_progress(states: DataFrame, processed: int, total: int) -> DataFrame:
 
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Spans of activity of each key that are parted by a pause of ``gap`` or more."""
-    order = Window.partitionBy(key).orderBy("ts", "seq")
-    rows = events.withColumn("_before", F.lag("ts").over(order))
-    rows = rows.withColumn("session", F.sum(F.when(F.col("_before").isNull() | (F.col("ts") >= F.col("_before") + F.expr(f"INTERVAL {gap}")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.groupBy(key, "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+    """key, session (from 1), start, end, n: spans of activity of each key that are parted by a pause of ``gap`` or more.
+
+    Times are handed over from range to range of a key's events, and so are the
+    sessions so far, so that a key of any length is many tasks' work.
+    """
+    rows = with_previous(dealt(events.select(key, "ts", "seq"), key, ["ts", "seq"]), key, F.col("ts"), "_before")
+    opens = F.col("_before").isNull() | (F.col("ts") >= F.col("_before") + F.expr(f"INTERVAL {gap}"))
+    counted = with_running(rows, key, session=F.when(opens, 1))
+    return counted.groupBy(key, "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+
+
+def is_busy():
+    """Whether an event leaves its worker at work."""
+    return ~F.col("type").isin("workerIdle", "fileCompleted")
+
+
+def closed_runs(events: DataFrame, gap: str, until=None) -> DataFrame:
+    """run_id, start, end, n of each span of a run that is over: no worker was busy, and for ``gap`` nothing came.
+
+    events has run_id, worker, seq, ts and type. A pause with a busy worker ends no
+    span. The last span of a run is over if its workers are idle and ``until`` (a
+    time up to which everything has come; the table's last event, if not given) is
+    ``gap`` past it. By ranges of a run's and of a worker's events, as ``sessions``.
+    """
+    order = ["ts", "seq"]
+    of_worker = dealt(events.select("run_id", "worker", *order, is_busy().cast("long").alias("busy")), ["run_id", "worker"], order)
+    changes = with_previous(of_worker, ["run_id", "worker"], F.col("busy"), "was")
+    of_run = dealt(changes.select("run_id", *order, (F.col("busy") - F.coalesce("was", F.lit(0))).alias("change")), "run_id", order)
+    rows = with_previous(with_running(of_run, "run_id", busy=F.col("change")), "run_id", F.struct("ts", "busy"), "_before")
+    opens = F.col("_before").isNull() | ((F.col("_before.busy") == 0) & (F.col("ts") >= F.col("_before.ts") + F.expr(f"INTERVAL {gap}")))
+    spans = with_running(rows, "run_id", session=F.when(opens, 1)).groupBy("run_id", "session")
+    found = spans.agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"), F.max_by("busy", F.struct("ts", "seq")).alias("busy"))
+    last = Window.partitionBy("run_id").orderBy(F.desc("session"))  # rows are spans here
+    now = found.agg(F.max("end").alias("now")) if until is None else events.sparkSession.range(1).select(F.lit(until).cast("timestamp").alias("now"))
+    ended = found.withColumn("latest", F.row_number().over(last) == 1).join(F.broadcast(now))  # one row
+    over = ~F.col("latest") | ((F.col("busy") == 0) & (F.col("now") >= F.col("end") + F.expr(f"INTERVAL {gap}")))
+    return ended.filter(over).select("run_id", "start", "end", "n")
 
 
 def closed_sessions(sessions_of: DataFrame, states: DataFrame, key: str) -> DataFrame:

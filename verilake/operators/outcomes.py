@@ -69,11 +69,10 @@ def recent(events: DataFrame, n: int) -> DataFrame:
 
 
 def running_progress(events: DataFrame, every: int) -> DataFrame:
-    """Events done and bytes saved so far, at every n-th event of a run and at its last; a run may be of any length."""
-    rows = running(events, "run_id", [F.col("seq")], saved_so_far=F.col("saved")).withColumnRenamed("nth", "done")
-    last = events.groupBy("run_id").agg(F.max("seq").alias("_last"))
-    joined = rows.join(last, "run_id")
-    return joined.filter((F.col("done") % every == 0) | (F.col("seq") == F.col("_last"))).drop("_last")
+    """run_id, seq, done, saved_so_far: events done and bytes saved at every n-th event of a run and at its last; a run may be of any length."""
+    rows = running(events, "run_id", ["seq"], saved_so_far=F.col("saved")).withColumnRenamed("nth", "done")
+    last = rows.groupBy("run_id").agg(F.max("done").alias("_last"))
+    return rows.join(last, "run_id").filter((F.col("done") % every == 0) | (F.col("done") == F.col("_last"))).drop("_last")
 
 
 def event_order(key: str, descending: bool) -> list[Column]:

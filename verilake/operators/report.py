@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verilake.functions.text import collection_label, format_bytes_padded, format_percent, report_line
 from verilake.operators.catalog import running
+from verilake.sources.scratch import cut
 
 NEWLINE = "\r\n"
 
@@ -74,18 +75,30 @@ def with_checksum(body: Column) -> Column:
     return F.concat(body, F.lit(NEWLINE * 2 + "==== Log checksum "), F.sha2(body, 256), F.lit(" ====" + NEWLINE))
 
 
-def report_parts(events: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """run_id, part, text, n_files: the file blocks of each run in order, in parts of bounded size.
+def numbered(events: DataFrame, part_size: int) -> DataFrame:
+    """run_id, seq, part of each event: the parts of a run are counted off in the order of seq, by ranges of it."""
+    return running(events, "run_id", ["seq"]).select("run_id", "seq", F.call_function("div", F.col("nth") - 1, F.lit(part_size)).cast("int").alias("part"))
 
-    Parts are counted off in the order of seq; a run of any length is numbered by
-    ranges of it and written by as many tasks as it has parts.
+
+def report_parts(events: DataFrame, places: DataFrame) -> DataFrame:
+    """run_id, part, text, n_files: the file blocks of each run in order, in the parts that ``numbered`` gives.
+
+    A run of any length is written by as many tasks as it has parts.
     """
-    rows = running(events, "run_id", [F.col("seq")]).withColumn("part", F.call_function("div", F.col("nth") - 1, F.lit(part_size)).cast("int"))
-    blocks = rows.select("run_id", "part", "seq", _file_block().alias("txt"))
+    blocks = events.join(places, ["run_id", "seq"]).select("run_id", "part", "seq", _file_block().alias("txt"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "txt"))), lambda x: x.txt)
     return blocks.groupBy("run_id", "part").agg(F.array_join(ordered, NEWLINE).alias("text"), F.count("*").alias("n_files"))
 
 
+# What binds the parts of a report together.
+PART_LINE, ROOT_LINE = "Part {} of {}", "==== Parts checksum {}"
+
+
+def _filled(line: str, *values: Column) -> Column:
+    texts = line.split("{}")
+    return F.concat(F.lit(texts[0]), *[x for v, t in zip(values, texts[1:], strict=True) for x in (v.cast("string"), F.lit(t))])
+
+
 def _best_lines(best: DataFrame) -> DataFrame:
     """run_id, best: the lines on the files that saved most, from (run_id, rank, file, saved, pct) with a few ranks a run."""
     c = F.col
@@ -100,8 +113,11 @@ def texts(runs: DataFrame, events: DataFrame, counters: DataFrame, best: DataFra
 
     The first part has the header, the last the status report and the files that
     saved most (``best``: run_id, rank, file, saved, pct; none for a run, no list).
-    runs has source_folder, started and finished as text, threads, max_attempts,
-    total_files and run_canceled.
+    Where there are several, each begins with its number and how many there are,
+    and the last ends with the checksum of all the others' checksums
+    (``logs.report_gaps`` reads them). seq is unique in a run. runs has
+    source_folder, started and finished as text, threads, max_attempts, total_files
+    and run_canceled.
     """
     c = F.col
     header = F.array_join(
@@ -114,16 +130,27 @@ def texts(runs: DataFrame, events: DataFrame, counters: DataFrame, best: DataFra
     )
     status = F.array_join(F.filter(_status_lines(), lambda x: x.isNotNull()), NEWLINE)
     heads = runs.join(counters, "run_id").select("run_id", header.alias("header"), status.alias("status"))
-    parts = report_parts(events, part_size)
-    last = parts.groupBy("run_id").agg(F.max("part").alias("last"))
-    joined = parts.join(last, "run_id").join(heads, "run_id").join(_best_lines(best), "run_id", "left")
-    body = F.concat_ws(NEWLINE, F.when(c("part") == 0, c("header")), c("text"), F.when(c("part") == c("last"), c("status")), F.when(c("part") == c("last"), c("best")))
-    return joined.select("run_id", "part", "n_files", body.alias("body")).withColumn("text", with_checksum(c("body")))
+    places = cut(numbered(events, part_size))
+    counts = places.groupBy("run_id").agg((F.max("part") + 1).alias("parts"))
+    # what the first and the last part have besides files, at most two rows a run: joined by run and part, so that no run's parts meet
+    edges = counts.join(heads, "run_id").join(_best_lines(best), "run_id", "left").withColumn("part", F.explode(F.array_distinct(F.array(F.lit(0), F.col("parts") - 1))))
+    last = F.col("part") == F.col("parts") - 1
+    edges = edges.select("run_id", "part", F.when(c("part") == 0, c("header")).alias("header"), F.when(last, c("status")).alias("status"), F.when(last, c("best")).alias("best"))
+    # and how many there are, which every part says
+    sizes = places.join(counts, "run_id").select("run_id", "part", "parts").distinct()
+    joined = report_parts(events, places).join(sizes, ["run_id", "part"]).join(edges, ["run_id", "part"], "left")
+    number = F.when(c("parts") > 1, _filled(PART_LINE, c("part") + 1, c("parts")))
+    bodies = cut(joined.select("run_id", "part", "parts", "n_files", F.concat_ws(NEWLINE, number, c("header"), c("text"), c("status"), c("best")).alias("body")))
+    # the checksums of all parts but the last, in order: of many parts 64 letters each
+    sums = bodies.filter((c("parts") > 1) & ~last).groupBy("run_id", "parts").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.sha2("body", 256).alias("sum")))), lambda x: x["sum"]), "").alias("sums"))
+    roots = sums.select("run_id", (c("parts") - 1).alias("part"), _filled(ROOT_LINE, F.sha2("sums", 256)).alias("root"))
+    bound = bodies.join(roots, ["run_id", "part"], "left")
+    return bound.select("run_id", "part", "n_files", F.concat_ws(NEWLINE, "body", "root").alias("body")).withColumn("text", with_checksum(c("body")))
 
 
 def failed_list(settled: DataFrame) -> DataFrame:
     """The files that failed for good, numbered in each run."""
-    return running(settled.filter(F.col("status") == "FAIL"), "run_id", [F.col("file")]).withColumn("entry", F.col("nth").cast("int")).drop("nth")
+    return running(settled.filter(F.col("status") == "FAIL"), "run_id", ["file"], carry=settled.columns).withColumn("entry", F.col("nth").cast("int")).drop("nth")
 
 
 def history(counters: DataFrame, runs: DataFrame) -> DataFrame:

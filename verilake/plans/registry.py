@@ -170,6 +170,7 @@ def error_snippet(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", text.error_snippet(F.col("text")).alias("snippet"))
 
 
+# What errors say.
 _SAID = ("Access is denied.", "open: permission denied", "UnauthorizedAccess at file", "volume is Read-Only", "flac__stream_decoder_error_status_LOST_SYNC", "disk full", "", "while decoding FLAC input, state = FLAC__STREAM_DECODER_ABORTED")
 
 
@@ -216,6 +217,18 @@ def stream_digest(spark, sf_dir):
     return verify.stream_digest(fx.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sha256(text)) - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n_pieces, sha256(text) AS digest FROM conversations),
+    l AS (SELECT conv_id, idx, n_pieces, n_pieces AS n, digest FROM p
+      UNION ALL SELECT conv_id, idx // 3, any_value(n_pieces), (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM l WHERE n > 1 GROUP BY conv_id, idx // 3)
+    SELECT conv_id, digest, n_pieces FROM l WHERE n = 1"""
+)
+def tree_digest(spark, sf_dir):
+    """As stream_digest, by a tree of three pieces each, whose levels are many tasks' work whatever a key holds."""
+    return verify.tree_digest(fx.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", fan_out=3)
+
+
+
 @query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS keep_doc_id, CAST(sum(n_chars) - min(n_chars) AS BIGINT) AS reclaimable_chars FROM documents GROUP BY 1 HAVING count(*) > 1")
 def content_duplicates(spark, sf_dir):
     return verify.content_duplicates(fx.table(spark, sf_dir, "documents"), "text", "doc_id", "n_chars").select("digest", "n", F.col("keep").alias("keep_doc_id"), F.col("reclaimable").alias("reclaimable_chars"))
@@ -363,6 +376,7 @@ def running_progress(spark, sf_dir):
 
 # -- reports ------------------------------------------------------------------
 
+# The labels and sentences of reports.
 _STATUS = """, c AS (SELECT *, greatest(total_files - processed, 0) AS pending FROM counters_v JOIN runs_v USING (run_id)), l AS (
   SELECT run_id, list_filter([
     CASE WHEN successful > 0 THEN ' ' || successful || ' file(s) processed successfully' END, CASE WHEN failed > 0 THEN ' ' || failed || ' file(s) failed' END,
@@ -405,6 +419,7 @@ def _line(label: str, value: str) -> str:
     return f"'     {label.ljust(20)} ' || {value}"
 
 
+# The labels of a file's lines.
 _REPORT = (
     _STATUS
     + f""", e AS (SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS nth, array_to_string(list_concat(
@@ -417,10 +432,12 @@ _REPORT = (
   p AS (SELECT run_id, CAST(nth // 1000 AS INTEGER) AS part, string_agg(txt, chr(13) || chr(10) ORDER BY seq) AS t, count(*) AS n_files FROM e GROUP BY 1, 2), z AS (SELECT run_id, max(part) AS last FROM p GROUP BY run_id),
   t AS (SELECT run_id, list('  ' || n || '. Saved ' || {_num("abs(saved)")} || ' (' || {_pct_text("pct")} || ') | ' || file ORDER BY n) AS best
     FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY saved DESC, seq) AS n FROM attempts_v WHERE status IN ('OK', 'WARN') AND saved > 0) WHERE n <= 3 GROUP BY run_id),
-  b AS (SELECT p.run_id, part, n_files, CASE WHEN part = 0 THEN array_to_string(['Processing report', '', 'Logfile from ' || strftime(to_timestamp(finish_ms / 1000) AT TIME ZONE 'UTC', '%-d. %B %Y, %-H:%M'), '', p.run_id, '', {_line("Source folder", "'/lib/' || p.run_id")},
+  b0 AS (SELECT p.run_id, part, last, n_files, CASE WHEN last > 0 THEN 'Part ' || (part + 1) || ' of ' || (last + 1) || chr(13) || chr(10) ELSE '' END || CASE WHEN part = 0 THEN array_to_string(['Processing report', '', 'Logfile from ' || strftime(to_timestamp(finish_ms / 1000) AT TIME ZONE 'UTC', '%-d. %B %Y, %-H:%M'), '', p.run_id, '', {_line("Source folder", "'/lib/' || p.run_id")},
     {_line("Run started", "strftime(to_timestamp(start_ms / 1000) AT TIME ZONE 'UTC', '%-d. %B %Y, %-H:%M')")}, {_line("Run finished", "strftime(to_timestamp(finish_ms / 1000) AT TIME ZONE 'UTC', '%-d. %B %Y, %-H:%M')")},
     {_line("Worker threads", "'8'")}, {_line("Retry limit", "'3'")}, {_line("Files discovered", "CAST(total_files AS VARCHAR)")}, '', ''], chr(13) || chr(10)) ELSE '' END || t || CASE WHEN part = last THEN chr(13) || chr(10) || array_to_string(lines, chr(13) || chr(10)) || coalesce(chr(13) || chr(10) || array_to_string(list_concat(['', '---- Compression notes', ''], best), chr(13) || chr(10)), '') ELSE '' END AS body
-    FROM p JOIN z USING (run_id) JOIN l USING (run_id) JOIN runs_v USING (run_id) LEFT JOIN t USING (run_id))
+    FROM p JOIN z USING (run_id) JOIN l USING (run_id) JOIN runs_v USING (run_id) LEFT JOIN t USING (run_id)),
+  s AS (SELECT run_id, sha256(string_agg(sha256(body), '' ORDER BY part)) AS root FROM b0 WHERE part < last GROUP BY run_id),
+  b AS (SELECT b0.run_id, part, n_files, CASE WHEN last > 0 AND part = last THEN body || chr(13) || chr(10) || '==== Parts checksum ' || root ELSE body END AS body FROM b0 LEFT JOIN s USING (run_id))
   SELECT run_id, part, n_files, sha256(body) AS body_sha256, CAST(len(string_split(body, chr(13) || chr(10))) AS INTEGER) AS n_lines FROM b"""
 )
 
@@ -430,7 +447,38 @@ def run_report(spark, sf_dir):
     return _report_texts(spark, sf_dir).select("run_id", "part", "n_files", F.sha2("body", 256).alias("body_sha256"), F.size(F.split("body", report.NEWLINE, -1)).alias("n_lines"))
 
 
-def _report_texts(spark, sf_dir):
+@query(
+    """, n AS (SELECT run_id, count(*) AS n FROM attempts_v GROUP BY run_id), k AS (SELECT run_id, (n + 49) // 50 AS parts, CAST(row_number() OVER (ORDER BY run_id) % 6 AS INTEGER) AS kind FROM n)
+    SELECT run_id AS report, CAST(1 AS INTEGER) AS part, 'missing' AS problem FROM k WHERE kind IN (1, 4) AND parts > 1 UNION ALL SELECT run_id, 0, 'altered' FROM k WHERE kind = 2
+    UNION ALL SELECT run_id, 0, unnest(['doubled', 'altered']) FROM k WHERE kind = 4 AND parts > 1 UNION ALL SELECT run_id, 1, 'misplaced' FROM k WHERE kind = 4 AND parts > 1
+    UNION ALL SELECT run_id, unnest([0, 1]), 'misplaced' FROM k WHERE kind = 3 AND parts > 1 UNION ALL SELECT run_id, NULL, 'foreign' FROM k WHERE kind = 5 AND parts > 1""",
+    fx.ATTEMPTS,
+)
+def report_gaps(spark, sf_dir):
+    """Parts of reports that are gone (1), altered (2), exchanged (3), replaced by an altered copy of another (4), or of another writing of the same report (5)."""
+    texts = _report_texts(spark, sf_dir, part_size=50).select("run_id", "part", "text")
+    kinds = catalog.ranked(fx.runs(spark, sf_dir).select("run_id"), F.col("run_id"), name="kind").select("run_id", (F.col("kind") % 6).alias("kind"))
+    rows = texts.join(kinds, "run_id").join(texts.groupBy("run_id").agg(F.max("part").alias("last")), "run_id")
+    kind, part, several = F.col("kind"), F.col("part"), F.col("last") > 0
+    gone = several & (part == 1) & kind.isin(1, 4)
+    changed = F.regexp_replace("text", "Logfile from ", "Log file from ")
+    own = rows.filter(~gone).select(
+        F.col("run_id").alias("report"), F.when((kind == 3) & several & (part < 2), 1 - part).otherwise(part).alias("part"),
+        F.when((kind == 2) & (part == 0), changed).when((kind == 5) & several & (part == 0), _resealed(changed)).otherwise(F.col("text")).alias("text"),
+    )
+    copies = rows.filter((kind == 4) & several & (part == 0)).select(F.col("run_id").alias("report"), F.lit(1).alias("part"), F.col("text"))
+    broken = rows.filter((kind == 4) & several & (part == 0)).select(F.col("run_id").alias("report"), F.lit(0).alias("part"), changed.alias("text"))
+    files = own.join(broken.select("report", "part"), ["report", "part"], "left_anti").unionByName(copies).unionByName(broken)
+    checked = logs.report_check(files.select(F.concat_ws("/", "report", F.col("part").cast("string")).alias("file"), "text"))
+    return logs.report_gaps(checked.select(F.substring_index("file", "/", 1).alias("report"), F.substring_index("file", "/", -1).cast("int").alias("part"), "body", "valid"))
+
+
+def _resealed(text):
+    """A report text with the checksum that its body has now."""
+    return report.with_checksum(F.regexp_extract(text, logs._FOOTER, 1))
+
+
+def _report_texts(spark, sf_dir, part_size=1000):
     rows = fx.attempts(spark, sf_dir).select(
         "*", F.date_format("ts", "HH:mm:ss").alias("time"), (F.col("blocks") + 1).cast("string").alias("attempt"), F.col("status").alias("verification"), F.lit(None).cast("string").alias("emb"),
         F.md5(F.col("file").cast("binary")).alias("pre"), F.md5(F.col("file").cast("binary")).alias("out"), F.when((F.col("blocks") > 0) | (F.col("status") == "WARN"), "kept").alias("detail"),
@@ -439,7 +487,7 @@ def _report_texts(spark, sf_dir):
         "run_id", "total_files", "run_canceled", F.concat(F.lit("/lib/"), "run_id").alias("source_folder"), text.report_datetime(F.col("start_ms")).alias("started"),
         text.report_datetime(F.col("finish_ms")).alias("finished"), F.lit(8).alias("threads"), F.lit(3).alias("max_attempts"),
     )
-    return report.texts(runs, rows, outcomes.count(outcomes.settle(fx.attempts(spark, sf_dir))), savings.top_by_run(fx.attempts(spark, sf_dir), 3), part_size=1000)
+    return report.texts(runs, rows, outcomes.count(outcomes.settle(fx.attempts(spark, sf_dir))), savings.top_by_run(fx.attempts(spark, sf_dir), 3), part_size=part_size)
 
 
 def _plain(b: str) -> str:
@@ -524,6 +572,23 @@ def activity_sessions(spark, sf_dir):
     return events.sessions(fx.table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq"), "user_id", "1 DAY")
 
 
+@query(
+    """, e AS (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS run_id, worker, seq, ts, CASE WHEN type IN ('workerIdle', 'fileCompleted') THEN 0 ELSE 1 END AS busy FROM pipeline_v),
+    d AS (SELECT *, busy - coalesce(lag(busy) OVER (PARTITION BY run_id, worker ORDER BY ts, seq), 0) AS change FROM e),
+    b AS (SELECT *, sum(change) OVER (PARTITION BY run_id ORDER BY ts, seq) AS n_busy FROM d),
+    p AS (SELECT *, lag(n_busy) OVER w AS was_busy, lag(ts) OVER w AS was_ts FROM b WINDOW w AS (PARTITION BY run_id ORDER BY ts, seq)),
+    s AS (SELECT *, sum(CASE WHEN was_ts IS NULL OR (was_busy = 0 AND ts >= was_ts + INTERVAL 1 MINUTE) THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, seq) AS session FROM p),
+    g AS (SELECT run_id, session, min(ts) AS start, max(ts) AS "end", count(*) AS n, arg_max(n_busy, seq) AS n_busy FROM s GROUP BY run_id, session),
+    l AS (SELECT *, session = max(session) OVER (PARTITION BY run_id) AS latest, max("end") OVER () AS now FROM g)
+    SELECT run_id, start, "end", n FROM l WHERE NOT latest OR (n_busy = 0 AND now >= "end" + INTERVAL 1 MINUTE)""",
+    fx.PIPELINE,
+)
+def closed_runs(spark, sf_dir):
+    """Spans of a week's run that ended with all its workers idle."""
+    rows = fx.pipeline(spark, sf_dir).withColumn("run_id", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
+    return events.closed_runs(rows, "1 MINUTE")
+
+
 _ORDERS = {"time": "seq", "file": "lower(file)", "audio": "saved", "art": "art", "pct": "pct", "verify": "lower(CASE WHEN k % 3 <> 0 THEN 'V' || (k % 5) ELSE coalesce(status, '') END)", "status": "status"}
 
 

@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     """file, line_no (from 0), line of text files."""
     lines = spark.read.option("lineSep", "\n").text(path)
     placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
-    return running(placed, "file", [F.col("block"), F.col("at")]).select("file", (F.col("nth") - 1).cast("int").alias("line_no"), "line")
+    return running(placed, "file", ["block", "at"], carry=["line"]).select("file", (F.col("nth") - 1).cast("int").alias("line_no"), "line")
 
 
 _BRACKETS = r"^\[([^\]]+)\] \[(INFO|WARN|ERROR|OK|SUCCESS)\] (.*)$"
@@ -93,6 +93,38 @@ def report_check(whole: DataFrame) -> DataFrame:
     return whole.select("file", body.alias("body"), stated.alias("stated"), F.sha2(body, 256).alias("actual")).withColumn("valid", F.col("stated") == F.col("actual"))
 
 
+# What binds the parts of a report together.
+_PART, _ROOT = r"^Part (\d+) of (\d+)\r?\n", r"\r?\n==== Parts checksum ([0-9a-f]{64})$"
+
+
+def report_gaps(checked: DataFrame) -> DataFrame:
+    """report, part (from 0), problem: what is wrong with the parts of reports.
+
+    ``checked`` has report, part (the place in which a part was found: its file's
+    name says it), body and valid, as ``report_check`` gives them. A part is
+    ``altered`` (its own checksum), ``misplaced`` (it says another number than its
+    place's), ``doubled`` (a number that several parts say) or ``missing`` (a number
+    that none says; of how many there are, any part tells). If nothing of that is
+    found but the parts are not those that the last one was written with, part is
+    null and the problem ``foreign``. A report in one part says no number.
+    """
+    number = F.coalesce(F.nullif(F.regexp_extract("body", _PART, 1), F.lit("")).cast("int") - 1, F.lit(0))
+    of = F.coalesce(F.nullif(F.regexp_extract("body", _PART, 2), F.lit("")).cast("int"), F.lit(1))
+    said = checked.select("report", "part", "valid", number.alias("number"), of.alias("of"), F.nullif(F.regexp_extract("body", _ROOT, 1), F.lit("")).alias("root"), F.sha2("body", 256).alias("sum"))
+    bad = said.filter(~F.coalesce("valid", F.lit(False))).select("report", "part", F.lit("altered").alias("problem"))
+    moved = said.filter("part <> number").select("report", "part", F.lit("misplaced").alias("problem"))
+    counts = said.groupBy("report", "number").agg(F.count("*").alias("n"))
+    twice = counts.filter("n > 1").select("report", F.col("number").alias("part"), F.lit("doubled").alias("problem"))
+    wanted = said.groupBy("report").agg(F.max("of").alias("of")).select("report", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("number"))
+    absent = wanted.join(counts, ["report", "number"], "left_anti").select("report", F.col("number").alias("part"), F.lit("missing").alias("problem"))
+    found = bad.unionByName(moved).unionByName(twice).unionByName(absent)
+    whole = said.join(found.select("report").distinct(), "report", "left_anti")
+    sums = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("root").isNull(), F.struct("number", "sum")))), lambda x: x["sum"]), "")
+    roots = whole.filter("of > 1").groupBy("report").agg(F.max("root").alias("root"), F.sha2(sums, 256).alias("true"))
+    foreign = roots.filter(~F.col("root").eqNullSafe(F.col("true"))).select("report", F.lit(None).cast("int").alias("part"), F.lit("foreign").alias("problem"))
+    return found.unionByName(foreign)
+
+
 def report_files(checked: DataFrame) -> DataFrame:
     """file, nth, filename, fields: the file sections of reports; the label is what stands in the first columns."""
     sections = F.slice(F.split("body", r"(?:^|\r?\n)File\r?\n", -1), F.lit(2), F.greatest(F.size(F.split("body", r"(?:^|\r?\n)File\r?\n", -1)) - 1, F.lit(0)))

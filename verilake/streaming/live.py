@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +17,7 @@ from pyspark.sql.window import Window
 
 from verilake.operators import events as batch
 from verilake.operators import outcomes, savings
+from verilake.sources import versioned
 from verilake.sources.listing import any_case
 
 LATE = "10 minutes"
@@ -65,7 +65,7 @@ def coalesced_progress(events: DataFrame, every: str = "100 milliseconds") -> Da
 
 
 def heartbeat(attempts: DataFrame, every: str = "10 seconds") -> DataFrame:
-    """What was done in each span of time, by run; append mode. ``keep_totals`` adds it up."""
+    """What was done in each span of time, by run; append mode. ``running_totals`` adds it up."""
     rows = watermarked(attempts).groupBy("run_id", F.window("ts", every).alias("w"))
     ok = F.col("status").isin(*outcomes.SUCCESS)
     sums = rows.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.coalesce(F.sum(F.when(ok, F.col("saved"))), F.lit(0)).alias("saved"))
@@ -73,7 +73,7 @@ def heartbeat(attempts: DataFrame, every: str = "10 seconds") -> DataFrame:
 
 
 class _Retries(StatefulProcessor):
-    """Counts a file's tries; a failure is RETRY until the last one, after a success they count from 1 again."""
+    """Counts a file's tries; a failure is RETRY until the last one if it makes sense, after a success they count from 1 again."""
 
     def __init__(self, max_attempts: int, ttl_ms: int | None):
         self.max_attempts, self.ttl_ms = max_attempts, ttl_ms
@@ -87,7 +87,8 @@ class _Retries(StatefulProcessor):
         out = []
         for r in found.itertuples():
             n += 1
-            out.append((*key, r.seq, n, "RETRY" if r.status == "FAIL" and n < self.max_attempts else r.status))
+            again = r.status == "FAIL" and n < self.max_attempts and r.retryable is not None and bool(r.retryable)
+            out.append((*key, r.seq, n, "RETRY" if again else r.status))
             if r.status in outcomes.SUCCESS:
                 n = 0
         if n:
@@ -101,76 +102,188 @@ class _Retries(StatefulProcessor):
 
 
 def retries(attempts: DataFrame, max_attempts: int, ttl_ms: int | None = None) -> DataFrame:
-    """The decision on each try as it comes, as ``outcomes.decide`` makes it; append mode.
+    """The decision on each try as it comes, as ``outcomes.decide`` makes it, with ``retryable`` if there is such a column; append mode.
 
     Needs the RocksDB state store. State of a file is dropped ttl_ms after its last try, if given.
     """
-    rows = attempts.select("run_id", "file", "seq", "status")
+    retryable = F.coalesce("retryable", F.lit(False)) if "retryable" in attempts.columns else F.lit(True)
+    rows = attempts.select("run_id", "file", "seq", "status", retryable.alias("retryable"))
     return rows.groupBy("run_id", "file").transformWithStateInPandas(_Retries(max_attempts, ttl_ms), "run_id string, file string, seq long, attempt int, decision string", "Append", "none")
 
 
-def kept(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version of a table that ``keep_top`` or ``keep_recent`` maintains; None before the first."""
-    try:
-        versions = spark.read.parquet(path)
-        newest = versions.agg(F.max("version")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-    return None if newest is None else versions.filter(F.col("version") == newest).drop("version")
-
-
-def _merged(path: str, rows: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> None:
-    """Merge rows into the small table at ``path``, as its next version.
-
-    A version is one file in a folder of its own, which Spark puts there complete
-    or not at all; readers take the newest. A merge that stops anywhere leaves
-    the version before it in force, and running it again gives the same rows.
+class _IdleRuns(StatefulProcessor):
+    """Holds which workers of a run are busy, and the span of activity that is open.
+
+    A span closes when ``gap_ms`` have passed since the run's last event with no
+    worker busy: by the next event that comes later, or by the watermark.
     """
-    spark = rows.sparkSession
-    old = kept(spark, path)
-    both = rows if old is None else rows.unionByName(old)
-    version = 0 if old is None else spark.read.parquet(path).agg(F.max("version")).first()[0] + 1
-    keep(both.dropDuplicates(["run_id", "seq"])).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
-    _drop_version(spark, path, version - 2)
 
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
 
-def _drop_version(spark: SparkSession, path: str, version: int) -> None:
-    """Delete a version that no reader can still be on."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.busy = handle.getMapState("busy", "worker long", "busy boolean")
+        self.span = handle.getValueState("span", "start timestamp, last timestamp, n long, busy int, timer long")
 
+    def _given(self, key, start, last, n):
+        return (*key, start.floor("us"), last.floor("us"), n)
 
-def keep_top(path: str, k: int = 3) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the k best events of each run, in a table that each batch merges into.
+    def handleInputRows(self, key, rows, timerValues):
+        found = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        start, last, n, busy, timer = self.span.get() if self.span.exists() else (None, None, 0, 0, 0)
+        start, last = (None if x is None else pd.Timestamp(x) for x in (start, last))
+        out, gap = [], pd.Timedelta(milliseconds=self.gap_ms)
+        for r in found.itertuples():
+            at = pd.Timestamp(r.ts)
+            if n and not busy and at >= last + gap:
+                out.append(self._given(key, start, last, n))
+                start, n = None, 0
+            start, last, n = at if start is None else start, at if last is None or n == 0 else max(last, at), n + 1
+            was = self.busy.containsKey((r.worker,)) and self.busy.getValue((r.worker,))[0]
+            if was != r.busy:
+                busy += 1 if r.busy else -1
+            if r.busy:
+                self.busy.updateValue((r.worker,), (True,))
+            elif was:
+                self.busy.removeKey((r.worker,))
+        if timer:
+            self.handle.deleteTimer(timer)
+        # a busy run waits for no time, only for its workers
+        timer = 0 if busy else int((last + gap).timestamp() * 1000)
+        if timer:
+            self.handle.registerTimer(timer)
+        self.span.update((start.to_pydatetime(), last.to_pydatetime(), n, busy, timer))
+        yield self._table(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        start, last, n, busy, _ = self.span.get()
+        self.span.clear()
+        yield self._table([self._given(key, pd.Timestamp(start), pd.Timestamp(last), n)])
+
+    def _table(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["run_id", "start", "end", "n"]).astype({"start": "datetime64[us]", "end": "datetime64[us]", "n": "int64"})
 
-    A batch that is run again changes nothing, since events are told apart by seq.
+    def close(self) -> None:
+        pass
+
+
+def idle_runs(events: DataFrame, gap_ms: int = 1500, late: str = "0 seconds") -> DataFrame:
+    """run_id, start, end (the last event), n of each span of a run that is over: all its workers have gone idle and ``gap_ms`` have passed; append mode.
+
+    As ``events.closed_runs``. events has run_id, worker, seq, ts and type. A run's
+    events come in the order of time, up to ``late``, by which spans close later.
+    Needs the RocksDB state store. State of a run is dropped when its span closes.
     """
-    return lambda rows, _: _merged(path, savings._saved(rows), lambda both: savings.top_by_run(both, k).drop("rank"))
+    rows = watermarked(events, late).select("run_id", "worker", "seq", "ts", batch.is_busy().alias("busy"))
+    return rows.groupBy("run_id").transformWithStateInPandas(_IdleRuns(gap_ms), "run_id string, start timestamp, end timestamp, n long", "Append", "EventTime")
 
 
-def keep_recent(path: str, n: int = 25) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the last n events of each run."""
-    by_run = Window.partitionBy("run_id").orderBy(F.desc("seq"))
-    return lambda rows, _: _merged(path, rows, lambda both: both.withColumn("_n", F.row_number().over(by_run)).filter(F.col("_n") <= n).drop("_n"))
+class _Changes(StatefulProcessor):
+    """Holds a worker's last percentage."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "percent int", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = pd.concat(list(rows)).sort_values("seq")
+        before = self.last.get()[0] if self.last.exists() else 0
+        changed = found[found["percent"] != found["percent"].shift(fill_value=before)]
+        self.last.update((int(found["percent"].iloc[-1]),))
+        yield changed[["worker", "seq", "percent"]]
+
+    def close(self) -> None:
+        pass
+
+
+def changed_progress(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """worker, seq, percent of the progress events that differ from the worker's one before, as ``events.progress_changes``; append mode.
+
+    Events without a percentage are not compared. Needs the RocksDB state store.
+    State of a worker is dropped ttl_ms after its last event, if given.
+    """
+    rows = events.filter((F.col("type") == "workerProgress") & F.col("percent").isNotNull()).select("worker", "seq", "percent")
+    return rows.groupBy("worker").transformWithStateInPandas(_Changes(ttl_ms), "worker long, seq long, percent int", "Append", "ProcessingTime" if ttl_ms else "None")
+
+
+class _Totals(StatefulProcessor):
+    """Holds what a run has done so far: three numbers."""
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
-def keep_totals(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over ``heartbeat``: at each beat of a run, what it has done so far.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.so_far = handle.getValueState("so_far", "n long, failed long, saved long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = pd.concat(list(rows)).sort_values("start")
+        so_far = self.so_far.get() if self.so_far.exists() else (0, 0, 0)
+        for c, before in zip(("n", "failed", "saved"), so_far, strict=True):
+            found[f"total_{c}"] = found[c].cumsum() + before
+        self.so_far.update(tuple(int(found[f"total_{c}"].iloc[-1]) for c in ("n", "failed", "saved")))
+        yield found[["run_id", "start", "n", "failed", "saved", "total_n", "total_failed", "total_saved"]]
+
+    def close(self) -> None:
+        pass
+
+
+def running_totals(beats: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The beats of ``heartbeat`` and at each what its run has done so far; append mode.
+
+    Beats of a run come in order, as the watermark passes them. What is kept are
+    three numbers for each run, in the state store; no table is written again. Needs
+    the RocksDB state store. State of a run is dropped ttl_ms after its last beat, if given.
+    """
+    kind = "run_id string, start timestamp, n long, failed long, saved long, total_n long, total_failed long, total_saved long"
+    return beats.groupBy("run_id").transformWithStateInPandas(_Totals(ttl_ms), kind, "Append", "ProcessingTime" if ttl_ms else "None")
+
+
+#: Small tables are merged by hash buckets of the run; a batch writes those that its runs are in.
+BUCKETS = 1024
+
+
+def kept(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a table that ``keep_top`` or ``keep_recent`` maintains; None before the first."""
+    found = versioned.read(spark, path)
+    return None if found is None else found.drop("bucket")
 
-    Adds total_n, total_failed and total_saved to the beats of each run. Spans come
-    in order; a batch that is run again finds its spans there and changes nothing.
+
+def _merged(path: str, rows: DataFrame, keep: Callable[[DataFrame], DataFrame], keep_seconds: float) -> None:
+    """Merge rows into the table at ``path``: the buckets of their runs are written anew and put in force at once.
+
+    A merge that stops anywhere leaves the version before it in force, and running
+    it again gives the same rows. Versions out of force for ``keep_seconds`` go.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).cast("int"))
+    old = versioned.read(spark, path, only=rows.select("bucket"))
+    both = rows if old is None else rows.unionByName(old)
+    versioned.replace(spark, path, keep(both.dropDuplicates(["run_id", "seq"])).repartition("bucket"), "bucket")
+    versioned.vacuum(spark, path, keep_seconds)
+
+
+def keep_top(path: str, k: int = 3, keep_seconds: float = 3600) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the k best events of each run, in a table that each batch merges into.
+
+    A batch that is run again changes nothing, since events are told apart by seq.
     """
 
     def merge(rows: DataFrame, _: int) -> None:
-        so_far = Window.partitionBy("run_id").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        if not rows.isEmpty():
+            _merged(path, savings._saved(rows), lambda both: savings.top_by_run(both, k).drop("rank"), keep_seconds)
+
+    return merge
 
-        def add_up(both: DataFrame) -> DataFrame:
-            beats = both.select("run_id", "seq", "start", "n", "failed", "saved")
-            return beats.select("*", *[F.sum(c).over(so_far).alias(f"total_{c}") for c in ("n", "failed", "saved")])
 
-        own = rows.select("run_id", F.unix_micros("start").alias("seq"), "start", "n", "failed", "saved", *[F.lit(None).cast("long").alias(f"total_{c}") for c in ("n", "failed", "saved")])
-        _merged(path, own, add_up)
+def keep_recent(path: str, n: int = 25, keep_seconds: float = 3600) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the last n events of each run."""
+    by_run = Window.partitionBy("run_id").orderBy(F.desc("seq"))
+
+    def merge(rows: DataFrame, _: int) -> None:
+        if not rows.isEmpty():
+            _merged(path, rows, lambda both: both.withColumn("_n", F.row_number().over(by_run)).filter(F.col("_n") <= n).drop("_n"), keep_seconds)
 
     return merge
