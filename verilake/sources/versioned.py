@@ -19,7 +19,7 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class Overtaken(RuntimeError):
@@ -37,6 +37,11 @@ def _children(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(at)] if fs.exists(at) else []
 
 
+def _stored(kind: StructType) -> StructType:
+    """The schema of the files, which lie by publication too."""
+    return StructType([*kind.fields, StructField("publication", StringType())])
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(name[1:]) for name, _ in _children(spark, f"{path}/manifests") if name[0] == "v" and name[1:].isdigit())
 
@@ -58,17 +63,18 @@ def read(spark: SparkSession, path: str, version: int | None = None, only: DataF
 
 
 def _rows(spark: SparkSession, path: str, named: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    partition = named.columns[0]
+    partition, whole = named.columns[0], named
     if only is not None:
         named = named.join(only.select(F.col(partition).alias("_only")).distinct(), F.col(partition).eqNullSafe(F.col("_only")), "left_semi")
     # as many publications as the table has partitions, at most
     publications = [r["publication"] for r in named.select("publication").distinct().collect()]
-    schema = named.select("schema").first()
-    if schema is None:
-        shown = manifest(spark, path).select("schema").first()
-        return spark.createDataFrame([], StructType.fromJson(json.loads(shown[0])) if shown else StructType())
-    kind = StructType.fromJson(json.loads(schema["schema"]))
-    rows = spark.read.schema(kind.add("publication", "string")).option("basePath", f"{path}/data").parquet(*[f"{path}/data/publication={p}" for p in publications])
+    shown = whole.select("schema").first()
+    if shown is None:
+        return None  # a version of no partitions
+    kind = StructType.fromJson(json.loads(shown["schema"]))
+    if not publications:
+        return spark.createDataFrame([], kind)
+    rows = spark.read.schema(_stored(kind)).option("basePath", f"{path}/data").parquet(*[f"{path}/data/publication={p}" for p in publications])
     held = named.select(F.col(partition).alias("_held"), F.col("publication").alias("_by"))
     return rows.join(held, F.col(partition).eqNullSafe(F.col("_held")) & (F.col("publication") == F.col("_by")), "left_semi").select(*kind.names)
 
@@ -84,7 +90,7 @@ def prepare(spark: SparkSession, path: str, partition: str, rows: DataFrame, pub
     """Step 2: the manifest of the next version, beside the others; (where it is, its number)."""
     kind = rows.schema
     found = versions(spark, path)
-    stored = spark.read.schema(kind.add("publication", "string")).option("basePath", f"{path}/data").parquet(f"{path}/data/publication={publication}")
+    stored = spark.read.schema(_stored(kind)).option("basePath", f"{path}/data").parquet(f"{path}/data/publication={publication}")
     named = stored.select(partition).distinct().select(partition, F.lit(publication).alias("publication"), F.lit(rows.schema.json()).alias("schema"))
     if found:
         gone = named.select(F.col(partition).alias("_gone"))
