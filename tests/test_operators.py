@@ -205,3 +205,78 @@ def test_canonical_paths(spark):
     want = ["/a/b"] * 8 + ["../b", "s3://Bucket/a/b", "C:/a", "", "/", "..", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, p string")
     assert [r["c"] for r in df.select("i", canonical_path(F.col("p")).alias("c")).orderBy("i").collect()] == want
+
+
+def test_sessions_of_a_hot_key(spark):
+    """One user with most of the events lies in several ranges; times and counts are handed over."""
+    import random
+
+    r, at, rows = random.Random(7), 0, []
+    for i in range(4000):
+        at += r.choice([0, 1, 1, 2, 30])
+        rows.append((r.choice([1, 1, 1, 1, 2, None]), i, at))
+    df = spark.createDataFrame(rows, "k int, seq int, s long").withColumn("ts", F.timestamp_seconds("s")).repartition(5)
+    found = sorted(((r["k"] or 0, r["session"], r["n"]) for r in events.sessions(df, "k", "30 SECONDS").collect()))
+    want, last = {}, {}
+    for k, _, t in rows:
+        k = k or 0
+        n = want.setdefault(k, [])
+        if k not in last or t >= last[k] + 30:
+            n.append(0)
+        n[-1] += 1
+        last[k] = t
+    assert found == sorted((k, j + 1, n) for k, own in want.items() for j, n in enumerate(own))
+    placed = catalog.dealt(df.select("k", "ts", "seq"), "k", ["ts", "seq"])
+    assert placed.filter("k = 1").select("_part").distinct().count() > 1
+    assert events.sessions(df.limit(0), "k", "30 SECONDS").count() == 0
+
+
+@pytest.mark.parametrize("value", [lambda i: i % 7, lambda i: None if i % 3 else i])
+def test_the_row_before_across_ranges(spark, value):
+    rows = [("a" if i % 5 else None, i, value(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, seq int, v int").repartition(3)
+    found = {r["seq"]: r["was"] for r in catalog.with_previous(catalog.dealt(df, "k", ["seq"]), "k", F.col("v"), "was").collect()}
+    want, last = {}, {}
+    for k, i, v in rows:
+        want[i] = last.get(k)
+        last[k] = v
+    assert found == want
+    sizes = {(r["k"], r["n"]) for r in catalog.with_total(catalog.dealt(df, "k", ["seq"]), "k", "n").select("k", "n").distinct().collect()}
+    assert sizes == {("a", 400), (None, 100)}
+
+
+def test_digests_of_a_key_of_a_million_pieces(spark):
+    """The pieces pass through a task one batch after the other, and through a tree of many tasks."""
+    import hashlib
+
+    pieces = spark.range(1_000_000).select(F.lit("k").alias("k"), F.col("id").alias("pos"), F.concat(F.lit("piece "), F.col("id").cast("string")).alias("t")).union(spark.createDataFrame([(None, 1, "x"), (None, 0, None), ("e", 0, "")], "k string, pos long, t string"))
+    whole = hashlib.md5(b"".join(b"piece %d" % i for i in range(1_000_000))).hexdigest()
+    found = {r["k"]: (r["digest"], r["n_pieces"]) for r in verify.stream_digest(pieces, "k", "pos", "t").collect()}
+    assert found == {"k": (whole, 1_000_000), None: (hashlib.md5(b"x").hexdigest(), 2), "e": (hashlib.md5(b"").hexdigest(), 1)}
+    h = lambda x: hashlib.sha256(x).hexdigest()
+    nodes = [h(b"piece %d" % i) for i in range(1_000_000)]
+    while len(nodes) > 1:
+        nodes = [h("".join(nodes[i : i + 1024]).encode()) for i in range(0, len(nodes), 1024)]
+    tree = {r["k"]: (r["digest"], r["n_pieces"]) for r in verify.tree_digest(pieces, "k", "pos", "t").collect()}
+    assert tree == {"k": (nodes[0], 1_000_000), None: (h((h(b"") + h(b"x")).encode()), 2), "e": (h(b""), 1)}
+    assert verify.tree_digest(pieces.limit(0), "k", "pos", "t").count() == 0 and verify.stream_digest(pieces.limit(0), "k", "pos", "t").count() == 0
+
+
+def test_gaps_in_reports(spark):
+    """Each kind of damage to the parts of a report is named, and an undamaged one has none."""
+    from verilake.sources import logs
+
+    body = lambda k, n, extra="": f"Part {k} of {n}\r\ntext {k}{extra}"
+    import hashlib
+
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    last = lambda *others: body(3, 3) + "\r\n==== Parts checksum " + h("".join(h(x) for x in others))
+    a, b, c = body(1, 3), body(2, 3), last(body(1, 3), body(2, 3))
+    reports = {
+        "whole": [(0, a, True), (1, b, True), (2, c, True)], "single": [(0, "no number", True)], "altered": [(0, a, True), (1, b, False), (2, c, True)], "no last": [(0, a, True), (1, b, True)],
+        "moved": [(1, a, True), (0, b, True), (2, c, True)], "twice": [(0, a, True), (1, a, True), (2, c, True)], "other": [(0, body(1, 3, "!"), True), (1, b, True), (2, c, True)],
+    }
+    rows = spark.createDataFrame([(r, *x) for r, own in reports.items() for x in own], "report string, part int, body string, valid boolean")
+    found = sorted(map(tuple, logs.report_gaps(rows).collect()), key=repr)
+    want = [("altered", 1, "altered"), ("no last", 2, "missing"), ("moved", 0, "misplaced"), ("moved", 1, "misplaced"), ("twice", 1, "misplaced"), ("twice", 0, "doubled"), ("twice", 1, "missing"), ("other", None, "foreign")]
+    assert found == sorted(want, key=repr)
