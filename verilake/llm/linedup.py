@@ -413,9 +413,10 @@ def _blocks(t: float):
 
         later, back = np.flatnonzero(at > 0), 1
         while len(later):
+            ok = n[later - back] >= t * n[later] - 1e-9  # sizes ascend: none further back is nearer
+            going = later = later[ok]
+            later = later[free[later] | free[later - back]]  # of two that are decided nothing is asked
             b = later - back
-            ok = n[b] >= t * n[later] - 1e-9  # sizes ascend: none further back is nearer
-            later, b = later[ok], b[ok]
             both = n[later] + n[b]
             differ = np.bitwise_count(low[later] ^ low[b]).astype(np.int64) + np.bitwise_count(high[later] ^ high[b])
             ok = (((both - differ) // 2 >= t / (1 + t) * both - 1e-9) | (n[later] == LARGE)) & ((i[later] == j[later]) | (block[later] != block[b])) & (ids[later] != ids[b])
@@ -424,7 +425,7 @@ def _blocks(t: float):
                 if k not in gone and len(words(k) & words(o)) >= _overlap(len(words(k)), len(words(o)), t):
                     gone.add(k)
             back += 1
-            later = later[at[later] >= back]
+            later = going[at[going] >= back]
         return pa.RecordBatch.from_arrays([pa.array(ids[sorted(gone)], pa.int64())], ["id"])
 
     def run(batches):

@@ -58,10 +58,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, stop) of the words of ``data``; no word reaches over an edge."""
     gap = np.ones(len(data) + 2, bool)  # one more on either side
-    np.take(SPACE, data, out=gap[1:-1])
+    np.less(data - np.uint8(0x09), np.uint8(5), out=gap[1:-1])  # tab to carriage return
+    gap[1:-1] |= data == 0x20
     inner = edges[(edges > 0) & (edges < len(data))]
-    start = np.flatnonzero(gap[:-2] & ~gap[1:-1])
-    stop = np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+    turns = np.flatnonzero(gap[1:] != gap[:-1])  # words open and close in turn
+    start, stop = turns[::2], turns[1::2]
     across = inner[~gap[inner] & ~gap[inner + 1]]
     if len(across):
         start, stop = (np.sort(np.concatenate((x, np.unique(across)))) for x in (start, stop))
