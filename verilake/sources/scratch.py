@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +13,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _SCOPES: list[list[str]] = []
+#: The driver's JVM is asked to collect garbage once in so many seconds at most: small tables leave little behind.
+COLLECT_SECONDS = 3.0
+_COLLECTED = [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +55,9 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led here
+    if time.monotonic() - _COLLECTED[0] > COLLECT_SECONDS:
+        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led here
+        _COLLECTED[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
