@@ -16,7 +16,7 @@ from verilake.llm.linedup import without_repeated_lines
 from verilake.llm.neardup import near_duplicates
 from verilake.llm.packing import pack
 from verilake.llm.substrings import without_repeats
-from verilake.sources.scratch import released, scratch_path
+from verilake.sources.scratch import delete, released, scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,11 +65,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The rows of the last stage; of what is written on the way only the table that it reads stays, in the shared folder."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         with released(spark):  # what the stage itself wrote goes when its result is there
             out = stage(spark, docs, sf_dir)
             out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:  # and its input
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
