@@ -249,7 +249,7 @@ def test_report_round_trip(spark, tmp_path):
 
 def test_long_reports_come_in_parts(spark):
     rows = spark.range(25).select(F.lit("r").alias("run_id"), F.col("id").alias("seq"), F.lit("OK").alias("status"), F.lit("f").alias("file"), *[F.lit(1).cast("long").alias(c) for c in ("before", "after", "saved")], F.lit(1.0).alias("pct"), *[F.lit("x").alias(c) for c in ("time", "attempt", "verification", "emb", "pre", "out", "detail")])
-    assert sorted((r["part"], r["n_files"]) for r in report.report_parts(rows, 10).collect()) == [(0, 10), (1, 10), (2, 5)]
+    assert sorted((r["part"], r["n_files"]) for r in report.report_parts(rows, report.numbered(rows, 10)).collect()) == [(0, 10), (1, 10), (2, 5)]
 
 
 def test_a_run_replaces_itself(spark, tmp_path):
