@@ -27,7 +27,8 @@ def dedup(files: DataFrame) -> DataFrame:
     """One row per file, of the first root that lists it; one shuffle with partial aggregation.
 
     Paths are told apart in their canonical form, which is what comes out: two
-    ways to write a path are one file, two links to it are two.
+    ways to write a path are one file, two links to it are two. Of files on disk
+    ``listing.identified`` tells links from files, while it walks.
     """
     rows = files.withColumn("path", canonical_path(F.col("path")))
     return rows.groupBy("path").agg(F.min(F.struct("root_ordinal", "size")).alias("first")).select("path", F.col("first.size").alias("size"), F.col("first.root_ordinal").alias("root_ordinal"))
@@ -60,7 +61,8 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Rank from 1 over the whole table, without one task that sees it all.
 
     Rows are dealt by ranges and sorted there; a row's rank is its place in its
-    range plus the rows of the ranges before it, one number per range.
+    range plus the rows of the ranges before it, one number per range. All columns
+    are written on the way: select what is needed before.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -217,6 +217,8 @@ def written_containers(spark: SparkSession, sf_dir: str) -> str:
     them; each folder has a link back to the whole.
     """
     root = local_path(scratch_path(spark, "library"))
+    if root is None:
+        raise ValueError("links are made in a shared folder that is mounted, not in a store")
 
     def write(batches):
         for batch in batches:
