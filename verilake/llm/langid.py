@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from verilake.llm.common import giving_back
+
 #: Hashed n-gram buckets, and the lengths of n-grams.
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -154,7 +156,7 @@ def train(docs: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
     rows = docs.filter(~held_out() & F.col("lang").isNotNull()).select("text", "lang")
-    table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table = rows.mapInArrow(giving_back(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = table.limit(MAX_LANGUAGES * BUCKETS + 1).toPandas()
     languages = sorted(found["lang"].unique())
     if len(languages) > MAX_LANGUAGES:
@@ -186,7 +188,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score, ambiguous = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(to_arrow_type(kind)), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -204,7 +206,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
             keep = [not ambiguous for *_, ambiguous in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

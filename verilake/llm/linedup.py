@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verilake.llm import words as W
+from verilake.llm.common import giving_back
 from verilake.sources.scratch import cut
 
 THRESHOLD = 0.8
@@ -170,7 +171,7 @@ def line_table(docs: DataFrame) -> DataFrame:
         blobs = pa.array([rows[k].tobytes() for k in at.tolist()], pa.binary())
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()]), pa.array(at.astype(np.int32)), blobs], names)
 
-    return docs.mapInArrow(run, "doc_id long, text_id long, line int, id long, more long, n int, piece int, counts binary")
+    return docs.mapInArrow(giving_back(run), "doc_id long, text_id long, line int, id long, more long, n int, piece int, counts binary")
 
 
 def _ranks(table: DataFrame) -> Ranks:
@@ -240,7 +241,7 @@ def _prefixes(docs: DataFrame, known, parts: int, t: float) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "part int, entries binary")
 
 
 def _run_pairs(t: float):
@@ -361,7 +362,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, known, t: float) -> DataFrame:
                 found += [row + r for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(found, pa.int64()))], ["id"])
 
-    return spread.mapInArrow(run, "id long").distinct()
+    return spread.mapInArrow(giving_back(run), "id long").distinct()
 
 
 def _in_finer_runs(members: DataFrame, known, t: float) -> DataFrame:
@@ -380,7 +381,7 @@ def _in_finer_runs(members: DataFrame, known, t: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in kept), pa.array(other[apart])], [*kept, "other"])
 
     place = members.schema["place"].dataType.simpleString()
-    return members.select(*kept, "text").mapInArrow(run, f"word long, id long, place {place}, free boolean, n long, low long, high long, other long")
+    return members.select(*kept, "text").mapInArrow(giving_back(run), f"word long, id long, place {place}, free boolean, n long, low long, high long, other long")
 
 
 _BLOCK_ROW = ["word", "other", "i", "j", "block", "free", "n", "low", "high", "doc_id", "text_id", "line", "id", "text"]
@@ -469,7 +470,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = classes.agg(F.sum("n").alias("words"), F.sum("lines").alias("lines")).first()
     parts = max(1, math.ceil((sizes["words"] or 0) * (1.2 - t) / PART))
     packed = _prefixes(docs, known, parts, t).repartition(parts, "part").sortWithinPartitions("part")
-    found = cut(packed.mapInArrow(_run_pairs(t), "kind int, x long, y long, n long, low long, high long"))
+    found = cut(packed.mapInArrow(giving_back(_run_pairs(t)), "kind int, x long, y long, n long, low long, high long"))
 
     # entries know a class by half of its digest; from here on it goes by its number, and if classes share that half, each of them does
     pairs, members = found.filter("kind = 0").select("x", "y").distinct(), found.filter("kind = 1").withColumnRenamed("x", "half").withColumnRenamed("y", "word")
@@ -497,7 +498,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = rest.join(finer.filter("last > start").select("word", "other", "blocks"), ["word", "other"]).join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("word", "other", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "free", "n", "low", "high", "place.*", "id", "text").select(*_BLOCK_ROW)
-    more = rest.repartition("word", "other", "i", "j").sortWithinPartitions("word", "other", "i", "j").mapInArrow(_blocks(t), "id long")
+    more = rest.repartition("word", "other", "i", "j").sortWithinPartitions("word", "other", "i", "j").mapInArrow(giving_back(_blocks(t)), "id long")
     gone = gone.union(more).distinct()
 
     # only the lines of classes that go, or that have more than one line, meet a verdict

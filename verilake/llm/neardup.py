@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verilake.llm.common import giving_back
 from verilake.llm.components import components
 from verilake.llm.setsketch import shingle_sets, superminhash
 from verilake.sources.scratch import cut
@@ -50,7 +51,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
                 kept.append((value >> np.uint64(48)).astype("<u2").tobytes() if len(elements) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, n_shingles long, digest binary, signature binary")
 
 
 def _linked(common: int, a: int, b: int, num: int, den: int) -> bool:
@@ -92,7 +93,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
                     v.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return spread.mapInArrow(run, "u long, v long")
+    return spread.mapInArrow(giving_back(run), "u long, v long")
 
 
 def _alike(bands: int, rows: int, num: int, den: int):
@@ -154,7 +155,7 @@ def _compact(texts: DataFrame, shingle: int) -> DataFrame:
             sets = [(x >> np.uint64(32)).astype("<u4").tobytes() for x in shingle_sets(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "compact"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "node long, compact binary")
+    return texts.select("doc_id", "text").mapInArrow(giving_back(run), "node long, compact binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     rest = rest.join(_compact(again, shingle), "node")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "signature", "compact")
-    candidates = rest.repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j", "node").mapInArrow(_alike(bands, rows, num, den), "node long, hub long").distinct()
+    candidates = rest.repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j", "node").mapInArrow(giving_back(_alike(bands, rows, num, den)), "node long, hub long").distinct()
     more = verified(cut(candidates), texts, shingle, num, den)
     roots = components(links.unionByName(more))
 

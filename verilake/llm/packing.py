@@ -33,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from verilake.llm import words as W
 from verilake.llm.bpe import ranges, together, vocabulary
+from verilake.llm.common import giving_back
 
 TIERS = (4096, 2048, 1024, 512)
 #: Tokens of a step group.
@@ -261,7 +262,7 @@ def pack(docs: DataFrame, vocabulary_path: str, tiers: tuple[int, ...] = TIERS,
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), schema)
 
 
 def op9_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

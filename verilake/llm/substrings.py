@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from verilake.llm.common import giving_back
 from verilake.sources.scratch import cut
 
 RADIUS = 3
@@ -140,7 +141,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "digest long, doc_id long, ord int")
+    return rows.mapInArrow(giving_back(run), "digest long, doc_id long, ord int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -210,7 +211,7 @@ def _edited(docs: DataFrame, min_words: int) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", *out.names])
 
-    return joined.mapInArrow(run, shape)
+    return joined.mapInArrow(giving_back(run), shape)
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
