@@ -57,3 +57,18 @@ def test_run_equals_its_stages_and_leaves_no_tables_behind(spark, sf):
         docs = cut(stage(spark, docs, sf))
     rows = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.groupBy("doc_id").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.max("doc_tokens").alias("ids_crc32")).collect())
     assert rows(found) == rows(pipeline.STAGES[-1][1](spark, docs, sf))
+
+
+@pytest.mark.parametrize("name", ["op1_superminhash", "op2_set_similarity_join", "op11_sibling_shift_manifest"])
+def test_tables_of_a_query_go_with_their_scope(spark, sf, tmp_path, name):
+    """A result that is written inside ``released`` leaves nothing in the shared folder."""
+    from pathlib import Path
+
+    from verilake.llm.queries import QUERIES
+    from verilake.sources.scratch import released, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    with released(spark):
+        QUERIES[name](spark, sf).write.parquet(str(tmp_path / name))
+    assert set(folder.iterdir()) == before and spark.read.parquet(str(tmp_path / name)).count() == 200
