@@ -210,6 +210,25 @@ CONTAINERS = """containers_v AS (
   FROM (SELECT doc_id, '/lib/r' || (doc_id % 5) || '/' || doc_id || '.flac' AS path, '/lib/r' || (doc_id % 5) AS folder, n_chars, text, source FROM documents) WHERE doc_id % 13 <> 0)"""
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """Files of path and content below a folder that is mounted, which tasks write."""
+    at = local_path(root)
+    if at is None:
+        raise ValueError("files are made in a shared folder that is mounted, not in a store")
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = at + path
+                os.makedirs(os.path.dirname(own), exist_ok=True)
+                with open(f"{own}.{os.getpid()}", "wb") as f:
+                    f.write(content)
+                os.replace(f"{own}.{os.getpid()}", own)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def written_containers(spark: SparkSession, sf_dir: str) -> str:
     """The containers as files of a folder, which tasks write; its path.
 

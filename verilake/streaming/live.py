@@ -35,7 +35,10 @@ def read_events(spark: SparkSession, path: str, max_files: int = 100) -> DataFra
 
 
 def catalog(spark: SparkSession, root: str, extension: str = "flac") -> DataFrame:
-    """path, name, size of files as they appear under a folder; content is not read."""
+    """path, name, size of files as they appear under a folder; content is not read.
+
+    Spark's file source passes over files of no bytes, also when they grow later under the same name and time; ``listing.scan`` finds them.
+    """
     schema = StructType.fromDDL("path string, modificationTime timestamp, length long, content binary")
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extension)).load(root)
     return files.select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("name"), F.col("length").alias("size"))
@@ -134,19 +137,22 @@ class _IdleRuns(StatefulProcessor):
         start, last, n, busy, timer = self.span.get() if self.span.exists() else (None, None, 0, 0, 0)
         start, last = (None if x is None else pd.Timestamp(x) for x in (start, last))
         out, gap = [], pd.Timedelta(milliseconds=self.gap_ms)
+        was, now = {}, {}
         for r in found.itertuples():
             at = pd.Timestamp(r.ts)
             if n and not busy and at >= last + gap:
                 out.append(self._given(key, start, last, n))
                 start, n = None, 0
             start, last, n = at if start is None else start, at if last is None or n == 0 else max(last, at), n + 1
-            was = self.busy.containsKey((r.worker,)) and self.busy.getValue((r.worker,))[0]
-            if was != r.busy:
-                busy += 1 if r.busy else -1
-            if r.busy:
-                self.busy.updateValue((r.worker,), (True,))
-            elif was:
-                self.busy.removeKey((r.worker,))
+            if r.worker not in was:
+                was[r.worker] = now[r.worker] = self.busy.containsKey((r.worker,))
+            busy += int(r.busy) - int(now[r.worker])
+            now[r.worker] = bool(r.busy)
+        for worker in now:  # the state is asked and told once for each worker, not for each event
+            if now[worker] and not was[worker]:
+                self.busy.updateValue((worker,), (True,))
+            elif was[worker] and not now[worker]:
+                self.busy.removeKey((worker,))
         if timer:
             self.handle.deleteTimer(timer)
         # a busy run waits for no time, only for its workers
