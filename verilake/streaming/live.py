@@ -37,7 +37,7 @@ def read_events(spark: SparkSession, path: str, max_files: int = 100) -> DataFra
 def catalog(spark: SparkSession, root: str, extension: str = "flac") -> DataFrame:
     """path, name, size of files as they appear under a folder; content is not read.
 
-    Spark's file source passes over files of no bytes, also when they grow later under the same name and time; ``listing.scan`` finds them.
+    Spark's file source passes over files of no bytes; ``listing.scan`` finds them.
     """
     schema = StructType.fromDDL("path string, modificationTime timestamp, length long, content binary")
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extension)).load(root)
