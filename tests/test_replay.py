@@ -85,3 +85,21 @@ def test_lots_may_be_put_another_way(spark):
     append(rows.select("path"), one)
     append(rows.select("path"), one)
     assert spark.read.parquet(one).count() == 12
+
+
+def _stages(spark):
+    """Each stage so far and how many tasks it had."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {found.apply(i).stageId(): found.apply(i).numTasks() for i in range(found.size())}
+
+
+def test_many_small_files_are_no_task_each(spark):
+    """What a lot's files are listed with are tasks of many files; the settings end with the streams."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, known = spark.conf.get(name), set(_stages(spark))
+    rows = spark.range(1, 301).select(F.format_string("/lib/r%d/%d.flac", F.col("id") % 3, "id").alias("path"), F.col("id").alias("size"), F.lit(b"x").alias("content"))
+    found = replay(rows, "size", lambda stream: stream.select("name", "size"), put=fx.write_files, opened=live.catalog, conf=live.MANY_FILES)
+    assert sorted(map(tuple, found.collect())) == sorted((f"{i}.flac", 1) for i in range(1, 301))
+    assert max(n for i, n in _stages(spark).items() if i not in known) <= 100
+    assert spark.conf.get(name) == before

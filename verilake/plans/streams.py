@@ -12,7 +12,7 @@ from verilake.plans import fixtures as fx
 from verilake.plans import registry
 from verilake.plans.registry import query
 from verilake.sources import logs, publish
-from verilake.sources.scratch import scratch_path
+from verilake.sources.scratch import cut, scratch_path
 from verilake.streaming import live
 from verilake.streaming.replay import append_lines, replay, replay_into
 
@@ -63,9 +63,9 @@ def stream_pauses(spark, sf_dir):
 )
 def stream_catalog(spark, sf_dir):
     """Files that appear in a folder while it is watched."""
-    rows = fx.containers(spark, sf_dir)
+    rows = cut(fx.containers(spark, sf_dir))
     own = F.regexp_extract("path", "(/lib/r[^/]*/[^/]*)$", 1)
-    return replay(rows, "size", lambda stream: stream.withColumn("path", own), put=fx.write_files, opened=live.catalog)
+    return replay(rows, "size", lambda stream: stream.withColumn("path", own), put=fx.write_files, opened=live.catalog, conf=live.MANY_FILES)
 
 
 @query(registry.ORACLES["progress_changes"])

@@ -34,13 +34,20 @@ def read_events(spark: SparkSession, path: str, max_files: int = 100) -> DataFra
     return batch.decode(lines)[0]
 
 
-def catalog(spark: SparkSession, root: str, extension: str = "flac") -> DataFrame:
+#: Settings for a stream of very many small files whose content is not read. Spark lists a batch's files
+#: again with up to 10,000 tasks, and then gives a task 32 files, each of which makes a file of the result.
+MANY_FILES = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "100", "spark.sql.files.openCostInBytes": "65536"}
+
+
+def catalog(spark: SparkSession, root: str, extension: str = "flac", max_files: int = 100_000) -> DataFrame:
     """path, name, size of files as they appear under a folder; content is not read.
 
     Spark's file source passes over files of no bytes; ``listing.scan`` finds them.
+    What a batch takes passes through the driver as paths, ``max_files`` at most.
+    Of many files start the stream with the settings of ``MANY_FILES``.
     """
     schema = StructType.fromDDL("path string, modificationTime timestamp, length long, content binary")
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extension)).load(root)
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extension)).option("maxFilesPerTrigger", max_files).load(root)
     return files.select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("name"), F.col("length").alias("size"))
 
 

@@ -10,18 +10,25 @@ from pyspark.sql import functions as F
 
 from verilake.sources.scratch import delete, scratch_path
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store that the operators with state of their own need, for the streams started inside."""
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def held(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings for the streams started inside."""
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def rocksdb(spark: SparkSession):
+    """The state store that the operators with state of their own need, for the streams started inside."""
+    return held(spark, ROCKSDB)
 
 
 def lots(rows: DataFrame, by: str, n: int) -> list[DataFrame]:
@@ -52,14 +59,14 @@ def append_lines(lot: DataFrame, path: str) -> None:
 
 def replay(
     rows: DataFrame, by: str, operator: Callable[[DataFrame], DataFrame], n: int = 2, mode: str = "append",
-    put: Callable[[DataFrame, str], None] = append, opened: Callable[[SparkSession, str], DataFrame] | None = None,
+    put: Callable[[DataFrame, str], None] = append, opened: Callable[[SparkSession, str], DataFrame] | None = None, conf: dict[str, str] | None = None,
 ) -> DataFrame:
     """What a streaming operator gives on a table that arrives in n lots, in the order of ``by``.
 
     Each lot is put into a folder and taken by a stream that is started for it on
     the checkpoint of the one before and ends when all is taken. ``put`` writes a
     lot and ``opened`` reads the folder as a stream; tables of Parquet files if
-    not given. mode is append or complete. Rows that a watermark has not passed at
+    not given; ``conf`` holds while the streams run. mode is append or complete. Rows that a watermark has not passed at
     the end are not given. The folder and the state go at the end, the result stays
     in the shared folder as a scratch table does. An empty table gives no rows.
     """
@@ -74,7 +81,7 @@ def replay(
             return writer.outputMode(mode).format("parquet").start(given)
         return writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(given)).start()
 
-    kind = _taken(rows, by, n, put, lambda path: operator(opened(spark, path)), start)
+    kind = _taken(rows, by, n, put, lambda path: operator(opened(spark, path)), start, conf)
     return spark.read.schema(kind).parquet(given)
 
 
@@ -85,11 +92,11 @@ def replay_into(rows: DataFrame, by: str, merge: Callable[[DataFrame, int], None
     _taken(rows, by, n, append, lambda path: spark.readStream.schema(rows.schema).parquet(path), start)
 
 
-def _taken(rows, by, n, put, made, start):
+def _taken(rows, by, n, put, made, start, conf=None):
     """Put the lots and run a stream after each; the schema of what it gives."""
     spark = rows.sparkSession
     folder, checkpoint = scratch_path(spark, "lots"), scratch_path(spark, "checkpoint")
-    with rocksdb(spark):
+    with held(spark, ROCKSDB | (conf or {})):
         for lot in lots(rows, by, n):
             put(lot, folder)
             stream = made(folder)
