@@ -70,9 +70,9 @@ def _file_block() -> Column:
     return F.array_join(F.concat(head, body, F.array(F.lit(""))), NEWLINE)
 
 
-def with_checksum(body: Column) -> Column:
-    """The body, a blank line, and its SHA-256."""
-    return F.concat(body, F.lit(NEWLINE * 2 + "==== Log checksum "), F.sha2(body, 256), F.lit(" ====" + NEWLINE))
+def with_checksum(body: Column, known: Column | None = None) -> Column:
+    """The body, a blank line, and its SHA-256, which may be known."""
+    return F.concat(body, F.lit(NEWLINE * 2 + "==== Log checksum "), F.sha2(body, 256) if known is None else known, F.lit(" ====" + NEWLINE))
 
 
 def numbered(events: DataFrame, part_size: int) -> DataFrame:
@@ -131,21 +131,25 @@ def texts(runs: DataFrame, events: DataFrame, counters: DataFrame, best: DataFra
     status = F.array_join(F.filter(_status_lines(), lambda x: x.isNotNull()), NEWLINE)
     heads = runs.join(counters, "run_id").select("run_id", header.alias("header"), status.alias("status"))
     places = cut(numbered(events, part_size))
-    counts = places.groupBy("run_id").agg((F.max("part") + 1).alias("parts"))
+    # a row for each part: what follows does not ask the places of all files again
+    sizes = cut(places.select("run_id", "part").distinct())
+    counts = sizes.groupBy("run_id").agg((F.max("part") + 1).alias("parts"))
     # what the first and the last part have besides files, at most two rows a run: joined by run and part, so that no run's parts meet
     edges = counts.join(heads, "run_id").join(_best_lines(best), "run_id", "left").withColumn("part", F.explode(F.array_distinct(F.array(F.lit(0), F.col("parts") - 1))))
     last = F.col("part") == F.col("parts") - 1
     edges = edges.select("run_id", "part", F.when(c("part") == 0, c("header")).alias("header"), F.when(last, c("status")).alias("status"), F.when(last, c("best")).alias("best"))
     # and how many there are, which every part says
-    sizes = places.join(counts, "run_id").select("run_id", "part", "parts").distinct()
-    joined = report_parts(events, places).join(sizes, ["run_id", "part"]).join(edges, ["run_id", "part"], "left")
+    joined = report_parts(events, places).join(sizes.join(counts, "run_id"), ["run_id", "part"]).join(edges, ["run_id", "part"], "left")
     number = F.when(c("parts") > 1, _filled(PART_LINE, c("part") + 1, c("parts")))
-    bodies = cut(joined.select("run_id", "part", "parts", "n_files", F.concat_ws(NEWLINE, number, c("header"), c("text"), c("status"), c("best")).alias("body")))
+    bodies = joined.select("run_id", "part", "parts", "n_files", F.concat_ws(NEWLINE, number, c("header"), c("text"), c("status"), c("best")).alias("body"))
+    bodies = cut(bodies.withColumn("sum", F.sha2("body", 256)))
     # the checksums of all parts but the last, in order: of many parts 64 letters each
-    sums = bodies.filter((c("parts") > 1) & ~last).groupBy("run_id", "parts").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.sha2("body", 256).alias("sum")))), lambda x: x["sum"]), "").alias("sums"))
-    roots = sums.select("run_id", (c("parts") - 1).alias("part"), _filled(ROOT_LINE, F.sha2("sums", 256)).alias("root"))
+    sums = bodies.filter((c("parts") > 1) & ~last).groupBy("run_id", "parts").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sum"))), lambda x: x["sum"]), "").alias("sums"))
+    # a row a run, written: Spark sees its size, and few are brought to the texts rather than the texts to them
+    roots = cut(sums.select("run_id", (c("parts") - 1).alias("part"), _filled(ROOT_LINE, F.sha2("sums", 256)).alias("root")))
     bound = bodies.join(roots, ["run_id", "part"], "left")
-    return bound.select("run_id", "part", "n_files", F.concat_ws(NEWLINE, "body", "root").alias("body")).withColumn("text", with_checksum(c("body")))
+    whole = bound.select("run_id", "part", "n_files", F.concat_ws(NEWLINE, "body", "root").alias("body"), F.when(c("root").isNull(), c("sum")).alias("sum"))
+    return whole.select("run_id", "part", "n_files", "body", with_checksum(c("body"), F.coalesce("sum", F.sha2("body", 256))).alias("text"))
 
 
 def failed_list(settled: DataFrame) -> DataFrame:

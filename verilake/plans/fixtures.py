@@ -103,9 +103,9 @@ def counters_sql(source: str) -> str:
     return COUNTERS.replace("{source}", source)
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs behind the attempts; the newest was canceled with a tenth of its files to come."""
-    found = attempts(spark, sf_dir).groupBy("run_id").agg(F.countDistinct("file").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("finished"))
+def runs(spark: SparkSession, sf_dir: str, made: DataFrame | None = None) -> DataFrame:
+    """The runs behind the attempts, which may be made already; the newest was canceled with a tenth of its files to come."""
+    found = (attempts(spark, sf_dir) if made is None else made).groupBy("run_id").agg(F.countDistinct("file").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("finished"))
     newest = found.agg(F.max("run_id").alias("newest"))
     canceled = F.col("run_id") == F.col("newest")
     return found.join(F.broadcast(newest)).select(  # one row

@@ -13,6 +13,7 @@ from verilake.functions import classes, text
 from verilake.operators import catalog, events, outcomes, report, savings, verify
 from verilake.plans import fixtures as fx
 from verilake.sources import blocks, listing, logs
+from verilake.sources.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -457,20 +458,22 @@ def run_report(spark, sf_dir):
 def report_gaps(spark, sf_dir):
     """Parts of reports that are gone (1), altered (2), exchanged (3), replaced by an altered copy of another (4), or of another writing of the same report (5)."""
     texts = _report_texts(spark, sf_dir, part_size=50).select("run_id", "part", "text")
-    kinds = catalog.ranked(fx.runs(spark, sf_dir).select("run_id"), F.col("run_id"), name="kind").select("run_id", (F.col("kind") % 6).alias("kind"))
-    rows = texts.join(kinds, "run_id").join(texts.groupBy("run_id").agg(F.max("part").alias("last")), "run_id")
+    attempts = fx.attempts(spark, sf_dir).groupBy("run_id").agg(F.expr("(count(*) - 1) div 50").alias("last"))
+    kinds = catalog.ranked(attempts, F.col("run_id"), name="kind").select("run_id", "last", (F.col("kind") % 6).alias("kind"))
+    # a row a run, written: Spark sees its size. Each text is read once, and gives none, one or two
+    rows = texts.join(cut(kinds), "run_id")
     kind, part, several = F.col("kind"), F.col("part"), F.col("last") > 0
-    gone = several & (part == 1) & kind.isin(1, 4)
     changed = F.regexp_replace("text", "Logfile from ", "Log file from ")
-    own = rows.filter(~gone).select(
-        F.col("run_id").alias("report"), F.when((kind == 3) & several & (part < 2), 1 - part).otherwise(part).alias("part"),
-        F.when((kind == 2) & (part == 0), changed).when((kind == 5) & several & (part == 0), _resealed(changed)).otherwise(F.col("text")).alias("text"),
-    )
-    copies = rows.filter((kind == 4) & several & (part == 0)).select(F.col("run_id").alias("report"), F.lit(1).alias("part"), F.col("text"))
-    broken = rows.filter((kind == 4) & several & (part == 0)).select(F.col("run_id").alias("report"), F.lit(0).alias("part"), changed.alias("text"))
-    files = own.join(broken.select("report", "part"), ["report", "part"], "left_anti").unionByName(copies).unionByName(broken)
+    given = lambda place, words: F.array(F.struct(place.alias("part"), words.alias("text")))
+    own = given(
+        F.when((kind == 3) & several & (part < 2), 1 - part).otherwise(part),
+        F.when((kind == 2) & (part == 0), changed).when((kind == 5) & several & (part == 0), _resealed(changed)).otherwise(F.col("text")),
+    )
+    both = F.concat(given(F.lit(0), changed), given(F.lit(1), F.col("text")))
+    gone = several & (part == 1) & kind.isin(1, 4)
+    files = rows.select(F.col("run_id").alias("report"), F.explode(F.when((kind == 4) & several & (part == 0), both).when(~gone, own)).alias("x")).select("report", "x.part", "x.text")
     checked = logs.report_check(files.select(F.concat_ws("/", "report", F.col("part").cast("string")).alias("file"), "text"))
-    return logs.report_gaps(checked.select(F.substring_index("file", "/", 1).alias("report"), F.substring_index("file", "/", -1).cast("int").alias("part"), "body", "valid"))
+    return logs.report_gaps(checked.select(F.substring_index("file", "/", 1).alias("report"), F.substring_index("file", "/", -1).cast("int").alias("part"), "body", "valid", "actual"))
 
 
 def _resealed(text):
@@ -479,15 +482,16 @@ def _resealed(text):
 
 
 def _report_texts(spark, sf_dir, part_size=1000):
-    rows = fx.attempts(spark, sf_dir).select(
+    made = cut(fx.attempts(spark, sf_dir))
+    rows = made.select(
         "*", F.date_format("ts", "HH:mm:ss").alias("time"), (F.col("blocks") + 1).cast("string").alias("attempt"), F.col("status").alias("verification"), F.lit(None).cast("string").alias("emb"),
         F.md5(F.col("file").cast("binary")).alias("pre"), F.md5(F.col("file").cast("binary")).alias("out"), F.when((F.col("blocks") > 0) | (F.col("status") == "WARN"), "kept").alias("detail"),
     )
-    runs = fx.runs(spark, sf_dir).select(
+    runs = fx.runs(spark, sf_dir, made).select(
         "run_id", "total_files", "run_canceled", F.concat(F.lit("/lib/"), "run_id").alias("source_folder"), text.report_datetime(F.col("start_ms")).alias("started"),
         text.report_datetime(F.col("finish_ms")).alias("finished"), F.lit(8).alias("threads"), F.lit(3).alias("max_attempts"),
     )
-    return report.texts(runs, rows, outcomes.count(outcomes.settle(fx.attempts(spark, sf_dir))), savings.top_by_run(fx.attempts(spark, sf_dir), 3), part_size=part_size)
+    return report.texts(runs, rows, outcomes.count(outcomes.settle(made)), savings.top_by_run(made, 3), part_size=part_size)
 
 
 def _plain(b: str) -> str:
@@ -791,11 +795,18 @@ def picture_listing(spark, sf_dir):
 def report_reading(spark, sf_dir):
     """Reports, read again: those with a changed letter are found out, the others give back their files."""
     whole = _report_texts(spark, sf_dir).select(F.concat_ws("/", "run_id", F.col("part").cast("string")).alias("file"), "text")
-    broken = whole.select(F.concat("file", F.lit("/broken")).alias("file"), F.regexp_replace("text", "Retry limit", "Retry Limit").alias("text")).filter("file LIKE '%/0/broken'")
-    checked = logs.report_check(whole.unionByName(broken))
-    proper = checked.agg(F.max((F.col("valid") == F.endswith("file", F.lit("broken"))).cast("int")).alias("wrong"))
-    files = logs.report_files(checked.filter("valid")).select(F.substring_index("file", "/", 1).alias("run_id"), "filename", F.nullif(F.when(F.col("fields")["Verification"] == "FAIL", F.col("fields")["Reason"]), F.lit("")).alias("reason"), F.col("fields")["Verification"].alias("verification"))
-    return files.groupBy("run_id", "filename", "reason", "verification").agg(F.count("*").alias("n")).crossJoin(F.broadcast(proper.select((2 - F.col("wrong")).alias("checks"))))  # one row
+    # one reading of the texts: the changed copy of a first part comes with it
+    broken = F.array(F.struct(F.concat("file", F.lit("/broken")).alias("file"), F.regexp_replace("text", "Retry limit", "Retry Limit").alias("text")))
+    own = F.array(F.struct("file", "text"))
+    checked = logs.report_check(whole.select(F.explode(F.when(F.col("file").endswith("/0"), F.concat(own, broken)).otherwise(own)).alias("x")).select("x.*"))
+    wrong = (F.col("valid") == F.endswith("file", F.lit("broken"))).cast("int")
+    # those that are found out give a row without a file, which says whether that was right
+    files = logs.report_files(checked.withColumn("wrong", wrong).withColumn("body", F.when(F.col("valid"), F.col("body"))), "valid", "wrong", outer=True)
+    verification = F.col("fields")["Verification"]
+    found = files.select("valid", "wrong", F.substring_index("file", "/", 1).alias("run_id"), "filename", F.nullif(F.when(verification == "FAIL", F.col("fields")["Reason"]), F.lit("")).alias("reason"), verification.alias("verification"))
+    kinds = cut(found.groupBy("run_id", "filename", "reason", "verification").agg(F.count_if(F.col("valid") & F.col("filename").isNotNull()).alias("n"), F.max("wrong").alias("wrong")))
+    proper = kinds.agg((2 - F.max("wrong")).alias("checks"))
+    return kinds.filter("n > 0").drop("wrong").crossJoin(F.broadcast(proper))  # one row
 
 
 # -- what went wrong, and what was cleaned up -------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verilake.operators.catalog import running
+from verilake.sources.scratch import cut
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
@@ -47,9 +48,9 @@ def pipe_log(lines: DataFrame) -> DataFrame:
 
 
 def _last_of_each(pairs: Column) -> Column:
-    """Of entries with the same key only the last."""
-    later = lambda x, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"])
-    return F.filter(pairs, lambda x, i: ~later(x, i))
+    """Of entries with the same key only the last. The entries are made once, not anew for each of them."""
+    later = lambda all, x, i: F.exists(F.slice(all, i + 2, F.size(all)), lambda y: y["key"] == x["key"])
+    return F.get(F.transform(F.array(pairs), lambda all: F.filter(all, lambda x, i: ~later(all, x, i))), F.lit(0))
 
 
 def progress(text: Column) -> Column:
@@ -80,6 +81,8 @@ def picture_listing(lines: DataFrame) -> DataFrame:
 
 
 _FOOTER = r"(?s)^(.*?)\r?\n\r?\n==== Log checksum ([0-9A-Fa-f]{64}) ====\s*$"
+# the same, found from the end, in this many last letters and at most so many of them
+_ENDING, _TAIL, _LONGEST = r"(?s)^.*?(\r?\n\r?\n==== Log checksum [0-9A-Fa-f]{64} ====\s*[\x{85}\x{2028}\x{2029}]?)\z", 200, 190
 
 
 def read_reports(spark: SparkSession, path) -> DataFrame:
@@ -89,8 +92,21 @@ def read_reports(spark: SparkSession, path) -> DataFrame:
 
 def report_check(whole: DataFrame) -> DataFrame:
     """file, body, stated and true checksum of reports (file, text), and whether they agree, in either case of letters."""
-    body, stated = F.regexp_extract("text", _FOOTER, 1), F.lower(F.regexp_extract("text", _FOOTER, 2))
-    return whole.select("file", body.alias("body"), stated.alias("stated"), F.sha2(body, 256).alias("actual")).withColumn("valid", F.col("stated") == F.col("actual"))
+    return split_footer(whole).withColumn("actual", F.sha2("body", 256)).withColumn("valid", F.col("stated") == F.col("actual")).select("file", "body", "stated", "actual", "valid")
+
+
+def split_footer(whole: DataFrame) -> DataFrame:
+    """Rows with a text, and its body and stated checksum; empty ones without a footer.
+
+    A footer stands at the end, where it is looked for first: a pattern that goes
+    through a whole part costs more than its checksum. Only a text whose footer is
+    not in its last letters is searched whole.
+    """
+    ending = F.regexp_extract(F.right("text", F.lit(_TAIL)), _ENDING, 1)
+    rows = whole.withColumn("_ending", ending).withColumn("_near", F.length("_ending").between(1, _LONGEST))
+    body = F.when(F.col("_near"), F.substring(F.col("text"), F.lit(1), F.length("text") - F.length("_ending"))).otherwise(F.regexp_extract("text", _FOOTER, 1))
+    stated = F.when(F.col("_near"), F.regexp_extract("_ending", "([0-9A-Fa-f]{64})", 1)).otherwise(F.regexp_extract("text", _FOOTER, 2))
+    return rows.withColumn("body", body).withColumn("stated", F.lower(stated)).drop("_ending", "_near")
 
 
 # What binds the parts of a report together.
@@ -101,16 +117,20 @@ def report_gaps(checked: DataFrame) -> DataFrame:
     """report, part (from 0), problem: what is wrong with the parts of reports.
 
     ``checked`` has report, part (the place in which a part was found: its file's
-    name says it), body and valid, as ``report_check`` gives them. A part is
+    name says it), body and valid, as ``report_check`` gives them, and may have actual. A part is
     ``altered`` (its own checksum), ``misplaced`` (it says another number than its
     place's), ``doubled`` (a number that several parts say) or ``missing`` (a number
     that none says; of how many there are, any part tells). If nothing of that is
     found but the parts are not those that the last one was written with, part is
     null and the problem ``foreign``. A report in one part says no number.
     """
-    number = F.coalesce(F.nullif(F.regexp_extract("body", _PART, 1), F.lit("")).cast("int") - 1, F.lit(0))
-    of = F.coalesce(F.nullif(F.regexp_extract("body", _PART, 2), F.lit("")).cast("int"), F.lit(1))
-    said = checked.select("report", "part", "valid", number.alias("number"), of.alias("of"), F.nullif(F.regexp_extract("body", _ROOT, 1), F.lit("")).alias("root"), F.sha2("body", 256).alias("sum"))
+    # the number stands in the first letters and the checksum of the parts in the last ones: patterns do not go through the texts
+    first, last = F.left("body", F.lit(100)), F.right("body", F.lit(100))
+    number = F.coalesce(F.nullif(F.regexp_extract(first, _PART, 1), F.lit("")).cast("int") - 1, F.lit(0))
+    of = F.coalesce(F.nullif(F.regexp_extract(first, _PART, 2), F.lit("")).cast("int"), F.lit(1))
+    own = F.col("actual") if "actual" in checked.columns else F.sha2("body", 256)
+    # written once, without the texts: what follows asks it several times
+    said = cut(checked.select("report", "part", "valid", number.alias("number"), of.alias("of"), F.nullif(F.regexp_extract(last, _ROOT, 1), F.lit("")).alias("root"), own.alias("sum")))
     bad = said.filter(~F.coalesce("valid", F.lit(False))).select("report", "part", F.lit("altered").alias("problem"))
     moved = said.filter("part <> number").select("report", "part", F.lit("misplaced").alias("problem"))
     counts = said.groupBy("report", "number").agg(F.count("*").alias("n"))
@@ -125,10 +145,13 @@ def report_gaps(checked: DataFrame) -> DataFrame:
     return found.unionByName(foreign)
 
 
-def report_files(checked: DataFrame) -> DataFrame:
-    """file, nth, filename, fields: the file sections of reports; the label is what stands in the first columns."""
-    sections = F.slice(F.split("body", r"(?:^|\r?\n)File\r?\n", -1), F.lit(2), F.greatest(F.size(F.split("body", r"(?:^|\r?\n)File\r?\n", -1)) - 1, F.lit(0)))
-    rows = checked.select("file", F.posexplode(sections).alias("nth", "section"))
+def report_files(checked: DataFrame, *carry: str, outer: bool = False) -> DataFrame:
+    """file, the columns to carry, nth, filename, fields: the file sections of reports; the label is what stands in the first columns.
+
+    With ``outer`` a report without any gives a row without a filename.
+    """
+    sections = F.slice(F.split("body", r"(?:^|\r?\n)File\r?\n", -1), 2, 2_147_483_647)
+    rows = checked.select("file", *carry, (F.posexplode_outer if outer else F.posexplode)(sections).alias("nth", "section"))
     labelled = F.filter(F.split("section", r"\r?\n"), lambda x: x.rlike(r"^ {5}[A-Z][^ ].{18,}") & ~x.startswith("     Filename "))
     pairs = F.transform(labelled, lambda x: F.struct(F.btrim(F.substring(x, 6, 20)).alias("key"), F.btrim(F.substring(x, 27, 2_147_483_647)).alias("value")))
-    return rows.select("file", "nth", F.regexp_extract("section", r"(?m)^ {5}Filename (.*?)\r?$", 1).alias("filename"), F.map_from_entries(_last_of_each(pairs)).alias("fields"))
+    return rows.select("file", *carry, "nth", F.regexp_extract("section", r"(?m)^ {5}Filename (.*?)\r?$", 1).alias("filename"), F.map_from_entries(_last_of_each(pairs)).alias("fields"))
