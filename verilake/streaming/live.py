@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -92,20 +92,18 @@ class _Retries(StatefulProcessor):
         self.tries = handle.getValueState("tries", "n int", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        found = pd.concat(list(rows)).sort_values("seq")
-        n = self.tries.get()[0] if self.tries.exists() else 0
-        out = []
-        for r in found.itertuples():
+        before = self.tries.get()  # None, if there is none: asked once
+        n = before = before[0] if before else 0
+        for r in sorted(rows, key=lambda r: r.seq):
             n += 1
-            again = r.status == "FAIL" and n < self.max_attempts and r.retryable is not None and bool(r.retryable)
-            out.append((*key, r.seq, n, "RETRY" if again else r.status))
+            again = r.status == "FAIL" and n < self.max_attempts and r.retryable
+            yield Row(run_id=key[0], file=key[1], seq=r.seq, attempt=n, decision="RETRY" if again else r.status)
             if r.status in outcomes.SUCCESS:
                 n = 0
         if n:
             self.tries.update((n,))
-        else:
+        elif before:
             self.tries.clear()
-        yield pd.DataFrame(out, columns=["run_id", "file", "seq", "attempt", "decision"])
 
     def close(self) -> None:
         pass
@@ -118,7 +116,7 @@ def retries(attempts: DataFrame, max_attempts: int, ttl_ms: int | None = None) -
     """
     retryable = F.coalesce("retryable", F.lit(False)) if "retryable" in attempts.columns else F.lit(True)
     rows = attempts.select("run_id", "file", "seq", "status", retryable.alias("retryable"))
-    return rows.groupBy("run_id", "file").transformWithStateInPandas(_Retries(max_attempts, ttl_ms), "run_id string, file string, seq long, attempt int, decision string", "Append", "none")
+    return rows.groupBy("run_id", "file").transformWithState(_Retries(max_attempts, ttl_ms), "run_id string, file string, seq long, attempt int, decision string", "Append", "none")
 
 
 class _IdleRuns(StatefulProcessor):
