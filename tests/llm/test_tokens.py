@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tests.llm.cases import docs_df, documents
+from tests.llm.cases import docs_df, documents, prose
 from verilake.llm import bpe, packing
 from verilake.llm.queries import QUERIES
 
@@ -169,3 +170,18 @@ def test_packer_routes_by_tier():
     windows = list(packer.finish())
     assert sum(t for t, _ in windows) == 37 and all(sum(n for *_, n in p) == t for t, p in windows)
     assert windows[0] == (8, [(0, 0, 8)]) and windows[1] == (8, [(0, 8, 8)])
+
+
+def test_memory_of_encoding_is_bounded_by_a_slice_of_text():
+    """Eight megabytes of text in one batch: what the encoder works with stays a small part of an executor's memory."""
+    texts = pa.array([prose(k, 20_000) for k in range(64)])
+    encoder = packing.word_encoder(public.path("word_bpe_49k.json"))
+    few = [x.tolist() for x in encoder.ids_of(texts.slice(0, 2))]
+    tracemalloc.start()
+    try:
+        ids = encoder.ids_of(texts)
+        assert [next(ids).tolist() for _ in few] == few
+        assert sum(len(x) for x in ids) > 1_000_000
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()

@@ -42,7 +42,7 @@ END = 2
 #: Tokens that a task gathers before it packs them.
 POOL = 1 << 21
 #: Bytes of text that are encoded at once, about, and bytes of the memo of what the library has encoded.
-SLICE = 1 << 22
+SLICE = 1 << 20
 MEMO_BYTES = 50_000_000
 
 
