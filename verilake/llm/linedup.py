@@ -41,8 +41,9 @@ THRESHOLD = 0.8
 RARITY = 1 << 18
 #: Longer runs of a word are not paired at once.
 RUN = 4096
-#: Pairs of a line that are verified at once; more wait until these have not matched.
-FIRST = 2
+#: Pairs of a line that are verified at once; more wait until these have not matched. Each pair is verified once, but in blocks under
+#: every two words that it shares, so that few lines should get there.
+FIRST = 24
 BLOCK = 512
 #: Packed words that meet in one task, about; partners checked against one line in one task.
 PART = 500_000
@@ -473,7 +474,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = cut(packed.mapInArrow(giving_back(_run_pairs(t)), "kind int, x long, y long, n long, low long, high long"))
 
     # entries know a class by half of its digest; from here on it goes by its number, and if classes share that half, each of them does
-    pairs, members = found.filter("kind = 0").select("x", "y").distinct(), found.filter("kind = 1").withColumnRenamed("x", "half").withColumnRenamed("y", "word")
+    pairs, members = cut(found.filter("kind = 0").select("x", "y").distinct()), found.filter("kind = 1").withColumnRenamed("x", "half").withColumnRenamed("y", "word")
     met = pairs.select(F.col("x").alias("half")).union(pairs.select("y")).union(members.select("half")).distinct()
     named = cut(classes.select(F.col("id").alias("half"), F.col("number").alias("id"), "place").join(met.hint("shuffle_hash"), "half"))
     of = lambda c: named.select(F.col("half").alias(c), F.col("id").alias("id_" + c), F.col("place").alias("place_" + c))
