@@ -196,3 +196,29 @@ def test_digests_are_of_whole_hashes(monkeypatch):
             for own in (linedup._LineSets(*next(words.slices(pa.array(texts)))[1:], r) for r in (None, ranks)):
                 ids = list(zip(*(x.tolist() for x in own.digests()), strict=True))
                 assert len(ids) == 6 and ids[0] == ids[1] and len(set(ids)) == 5
+
+
+@pytest.mark.parametrize("run", [8, 4096])
+def test_only_long_runs_are_dealt_by_a_second_word(spark, monkeypatch, run):
+    """Short runs are compared as they are; in longer ones the second word is behind the first."""
+    plain, seen = linedup._in_finer_runs, []
+
+    def counted(members, known, t):
+        out = plain(members, known, t)
+        seen.append((members.count(), out.count(), out.filter("other <= word").count()))
+        return out
+
+    monkeypatch.setattr(linedup, "_in_finer_runs", counted)
+    monkeypatch.setattr(linedup, "RUN", run)
+    monkeypatch.setattr(linedup, "BLOCK", 8)
+    r = random.Random(4)
+    base = [f"rare{k}" for k in range(24)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for k in r.sample(range(24), r.randrange(0, 7)):
+            words[k] = f"other{r.randrange(400)}"
+        rows.append((i, " ".join(words), None, None, None))
+    check(spark, rows)
+    ((members, finer, before),) = seen
+    assert before == 0 and (members > 0 and finer > 0 if run == 8 else members == finer == 0)

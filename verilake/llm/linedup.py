@@ -18,10 +18,10 @@ few candidates.
 Prefix words travel as packed arrays, dealt by word, and are sorted and paired
 in numpy; a bitmap of each set rules out most pairs that share a word by chance.
 A line is first verified against a few lines of the run and against its earliest
-one; only those left without a match go on. They are dealt by the word and one
-more: two matching lines that share a word of their prefixes share two of
-prefixes that are one word longer. Each is compared with the earlier lines of
-such a run, in blocks. No run is cut short.
+one; only those left without a match go on. Each is compared with the earlier
+lines of its runs, in blocks. Runs longer than RUN are dealt by the word and a
+later one before: two matching lines that share a word of their prefixes share
+two of prefixes that are one word longer. No run is cut short.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from verilake.sources.scratch import cut
 
 THRESHOLD = 0.8
 RARITY = 1 << 18
-#: Longer runs of a word are not paired at once.
+#: Longer runs of a word are not paired at once; what is left of them is dealt by a second word.
 RUN = 4096
 #: Pairs of a line that are verified at once; more wait until these have not matched.
 FIRST = 2
@@ -366,7 +366,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, known, t: float) -> DataFrame:
 
 
 def _in_finer_runs(members: DataFrame, known, t: float) -> DataFrame:
-    """Members of runs by the word and each other word of a prefix that is one word longer, without the text."""
+    """Members of runs by the word and each later word of a prefix that is one word longer, without the text.
+
+    Two matching lines are both in the run of the first word that they share, with the second one behind it.
+    """
     kept = ["word", "id", "place", "free", "n", "low", "high"]
 
     def run(batches):
@@ -376,9 +379,9 @@ def _in_finer_runs(members: DataFrame, known, t: float) -> DataFrame:
                 own = _LineSets(data, edges, known.value)
                 keep = np.arange(len(own.at)) - own.starts[own.at] <= _prefix_size(own.sizes, t)[own.at]
                 other, at = own.words[keep].astype(np.int64), own.text[own.at[keep]] + row
-                apart = other != words[at]
-                rows = pa.array(at[apart])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in kept), pa.array(other[apart])], [*kept, "other"])
+                second = other > words[at]
+                rows = pa.array(at[second])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in kept), pa.array(other[second])], [*kept, "other"])
 
     place = members.schema["place"].dataType.simpleString()
     return members.select(*kept, "text").mapInArrow(giving_back(run), f"word long, id long, place {place}, free boolean, n long, low long, high long, other long")
@@ -491,11 +494,13 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     gone = cut(_verified(pairs, texts, known, t))
     free = members.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("free", F.col("gone").isNull())
-    # a run is done with if no line behind its first one is still unmatched
-    runs = free.groupBy("word").agg(F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start")).filter("last > start").select("word")
-    rest = cut(_in_finer_runs(free.join(runs, "word").join(texts, "id"), known, t))
-    finer = rest.groupBy("word", "other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start"))
-    rest = rest.join(finer.filter("last > start").select("word", "other", "blocks"), ["word", "other"]).join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a run is done with if no line behind its first one is still unmatched; one that is no longer than those paired at once needs no second word
+    runs = free.groupBy("word").agg(F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start"), (F.count("*") > RUN).alias("long")).filter("last > start").select("word", "long")
+    going = cut(free.join(runs, "word"))
+    finer = _in_finer_runs(going.filter("long").join(texts, "id"), known, t)
+    rest = cut(going.filter("NOT long").withColumn("other", F.col("word")).select(finer.columns).unionByName(finer))
+    runs = rest.groupBy("word", "other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max(F.when(F.col("free"), F.col("place"))).alias("last"), F.min("place").alias("start")).filter("last > start")
+    rest = rest.join(runs, ["word", "other"]).filter("free OR place < last").join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("word", "other", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "free", "n", "low", "high", "place.*", "id", "text").select(*_BLOCK_ROW)
     more = rest.repartition("word", "other", "i", "j").sortWithinPartitions("word", "other", "i", "j").mapInArrow(giving_back(_blocks(t)), "id long")
