@@ -65,7 +65,8 @@ def stream_catalog(spark, sf_dir):
     """Files that appear in a folder while it is watched."""
     rows = cut(fx.containers(spark, sf_dir))
     own = F.regexp_extract("path", "(/lib/r[^/]*/[^/]*)$", 1)
-    return replay(rows, "size", lambda stream: stream.withColumn("path", own), put=fx.write_files, opened=live.catalog, conf=live.MANY_FILES)
+    opened = lambda spark, path: live.catalog(spark, path, looks=f"{path}/_looks")  # noqa: E731  names that begin so are no files
+    return replay(rows, "size", lambda stream: stream.withColumn("path", own), put=fx.write_files, opened=opened)
 
 
 @query(registry.ORACLES["progress_changes"])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import os
 import shutil
 import tempfile
 import uuid
@@ -11,6 +13,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verilake.sources.files import local_path
+
 _SCOPES: list[list[str]] = []
 
 
@@ -68,5 +72,23 @@ def released(spark: SparkSession) -> Iterator[None]:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing will read again."""
+    if path.startswith("file:") and os.path.isdir(own := local_path(path)) and not os.path.islink(own):
+        _removed(own)  # Hadoop holds all entries of a folder
+        return
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _removed(folder: str) -> None:
+    """Delete a folder as its entries are read: it is not held, however many there are."""
+    for _ in range(10):  # a mounted folder may pass over entries while others go
+        with os.scandir(folder) as found:
+            for e in found:
+                if e.is_dir(follow_symlinks=False):
+                    _removed(e.path)
+                else:
+                    with contextlib.suppress(FileNotFoundError):
+                        os.unlink(e.path)
+        with contextlib.suppress(OSError):
+            os.rmdir(folder)
+            return

@@ -6,6 +6,7 @@ later is dropped by operators that keep state.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,8 +18,9 @@ from pyspark.sql.window import Window
 
 from verilake.operators import events as batch
 from verilake.operators import outcomes, savings
-from verilake.sources import versioned
+from verilake.sources import versioned, watched
 from verilake.sources.listing import any_case
+from verilake.sources.scratch import scratch_path
 
 LATE = "10 minutes"
 
@@ -34,21 +36,52 @@ def read_events(spark: SparkSession, path: str, max_files: int = 100) -> DataFra
     return batch.decode(lines)[0]
 
 
-#: Settings for a stream of very many small files whose content is not read. Spark lists a batch's files
-#: again with up to 10,000 tasks, and then gives a task 32 files, each of which makes a file of the result.
+#: Settings for a stream by Spark's own source of very many small files whose content is not read. Spark lists a batch's
+#: files again with up to 10,000 tasks, and then gives a task 32 files, each of which makes a file of the result.
 MANY_FILES = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "100", "spark.sql.files.openCostInBytes": "65536"}
+_PATTERN = frozenset("*?[]{}\\")
 
 
-def catalog(spark: SparkSession, root: str, extension: str = "flac", max_files: int = 100_000) -> DataFrame:
+def catalog(spark: SparkSession, root: str, extension: str = "flac", max_files: int = 100_000, looks: str | None = None) -> DataFrame:
     """path, name, size of files as they appear under a folder; content is not read.
 
-    Spark's file source passes over files of no bytes; ``listing.scan`` finds them.
-    What a batch takes passes through the driver as paths, ``max_files`` at most.
-    Of many files start the stream with the settings of ``MANY_FILES``.
+    Files of no bytes when they are first seen are passed over; ``listing.scan`` finds
+    them. A folder that is mounted on driver and executors is looked at by
+    ``sources.watched``: the driver holds no file, paths that were given already are
+    state on the executors (take the RocksDB state store for many files), and a batch
+    takes all that is there. ``looks`` is a mounted folder for the names of a
+    batch, of one stream only, best beside its checkpoint: with it a batch that is run
+    again after a failure takes the same names, without it (a scratch folder) what is there then.
+
+    A store, a pattern or a single file goes by Spark's file source, which keeps every
+    path on the driver; there a batch takes ``max_files`` at most. Of many files start
+    that stream with the settings of ``MANY_FILES``.
     """
+    at = _mounted(spark, root)
+    if at is not None and os.path.isdir(at) and not _PATTERN & {*root, *extension}:
+        lists = _mounted(spark, looks or scratch_path(spark, "looks"))
+        if lists is not None:
+            return _appearing(spark, {"root": at, "extension": extension, "looks": lists, "own": looks is None})
     schema = StructType.fromDDL("path string, modificationTime timestamp, length long, content binary")
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extension)).option("maxFilesPerTrigger", max_files).load(root)
-    return files.select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("name"), F.col("length").alias("size"))
+    return _named(files.withColumnRenamed("length", "size"))
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The plain path of what Spark takes for a local one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(at).toUri().getPath() if store.getUri().getScheme() == "file" else None
+
+
+def _appearing(spark: SparkSession, options: dict) -> DataFrame:
+    spark.dataSource.register(watched.FilesAppearing)
+    files = spark.readStream.format(watched.FilesAppearing.name()).options(**options).load()
+    return _named(files.dropDuplicates(["path"]).filter("size > 0"))
+
+
+def _named(files: DataFrame) -> DataFrame:
+    return files.select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("name"), "size")
 
 
 def counters(attempts: DataFrame) -> DataFrame:
