@@ -99,6 +99,18 @@ def test_files_are_given_once_and_lie_on_no_driver(spark, tmp_path, kept):
     assert said and b".flac" not in said
 
 
+def test_a_folder_that_is_emptied(spark, tmp_path):
+    root, checkpoint = tmp_path / "root", tmp_path / "checkpoint"
+    root.mkdir()
+    assert taken(spark, root, checkpoint) == []
+    put(root, "a.flac")
+    assert [x[1] for x in taken(spark, root, checkpoint)] == ["a.flac"]
+    (root / "a.flac").unlink()
+    assert taken(spark, root, checkpoint) == []
+    put(root, "a.flac", "b.flac")
+    assert [x[1] for x in taken(spark, root, checkpoint)] == ["b.flac"]  # a path is given once
+
+
 def test_patterns_go_by_sparks_own_source(spark, tmp_path):
     put(tmp_path, "r1/a.flac", "r2/b.flac", "s/c.flac")
     assert [x[1] for x in taken(spark, tmp_path / "r*", tmp_path / "checkpoint")] == ["a.flac", "b.flac"]
